@@ -2,7 +2,7 @@
 
 Text becomes the model's symbols (a mark for each space, one in front) and a lattice: an edge for each vocabulary piece,
 and one of byte pieces for a character that has none. No piece spans the start of a word, so the lattice is a chain of
-word lattices, built once for each distinct word and kept. Edges weigh ``-temperature * log(rank + 2)`` by merge rank.
+word lattices, one for each distinct word of a slice of rows; a slice is worked on as flat arrays, all rows at once. Edges weigh ``-temperature * log(rank + 2)`` by merge rank.
 
 Sampling is an A* search over perturbed log-masses: the root's value is Gumbel noise around the lattice's mass, each
 node passes its value on to its best child and truncated Gumbel values to the others, and the largest open value is
@@ -12,9 +12,8 @@ lower bound gives each path's inclusion score 1 - exp(-exp(log p - kappa)). All
 
 from __future__ import annotations
 
-import re
 from functools import lru_cache
-from math import exp, log
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -25,247 +24,310 @@ from . import _vec
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-_WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-#: Word lattices kept by a worker; all are dropped when full.
-KEPT = 150_000
+_M = ord(MARK)
 
 
-class Lattices:
-    """Vocabulary and word lattices as flat arrays; node 0 of a word is its start, each node has a run of edges."""
+class Vocabulary:
+    """The model's pieces as a trie in a hash table: (state, character) to state, looked up for many places at once."""
 
     def __init__(self, path: str, temperature: float):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
-        self.byte = [0] * 256
-        self.piece = {}
         self.pieces = [sp.id_to_piece(i) for i in range(n)]
-        self.is_byte = np.zeros(n, bool)
-        for i in range(n):
-            if sp.is_byte(i):
-                self.byte[int(self.pieces[i][3:5], 16)] = i
-                self.is_byte[i] = True
-            elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
-                self.piece[self.pieces[i]] = i
-        self.weight = {p: -temperature * log(i + 2) for p, i in self.piece.items()}
+        self.is_byte = np.array([sp.is_byte(i) for i in range(n)])
+        self.byte = np.zeros(256, np.int32)
+        for i in np.flatnonzero(self.is_byte):
+            self.byte[int(self.pieces[i][3:5], 16)] = i
+        usable = {p: i for i, p in enumerate(self.pieces) if not (self.is_byte[i] or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
+        assert not any(MARK in p.lstrip(MARK) for p in usable), "a piece spans the start of a word"
+        self.weight = -temperature * np.log(np.arange(n) + 2.0)
         self.fallback = -temperature * log(n + 2)
-        self.longest = max(map(len, self.piece))
-        self.clear()
-
-    def clear(self):
-        self.at: dict[str, int] = {}
-        self.n_nodes = self.n_edges = 0
-        self.edge_ids: list = []
-        self.new: tuple[list, list, list] = ([], [], [])  # not yet in the arrays
-        self.start, self.to, self.logp = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 12)
-        self.flat = [0, 0]
-
-    def word(self, w: str) -> int:
-        """The word's first node; built on first sight."""
-        found = self.at.get(w)
-        if found is not None:
-            return found
-        n, base = len(w), self.n_nodes
-        beta = [0.0] * (n + 1)
-        out: list[list] = [[]] * (n + 1)
-        weight, longest = self.weight, self.longest
-        for i in range(n - 1, -1, -1):
-            edges = []
-            for j in range(i + 1, min(n, i + longest) + 1):
-                x = weight.get(w[i:j])
-                if x is not None:
-                    edges.append((j, x + beta[j], (self.piece[w[i:j]],)))
-            if not edges or edges[0][0] != i + 1:  # a character without a piece
-                ids = tuple(self.byte[b] for b in w[i].encode())
-                edges.insert(0, (i + 1, self.fallback * len(ids) + beta[i + 1], ids))
-            top = max(e[1] for e in edges)
-            beta[i] = top + log(sum([exp(e[1] - top) for e in edges])) if len(edges) > 1 else edges[0][1]
-            out[i] = [(j, x - beta[i], ids) for j, x, ids in edges]
-        start, to, logp = self.new
-        for i in range(n + 1):
-            start.append(self.n_edges)
-            for j, x, ids in out[i]:
-                to.append(base + j)
-                logp.append(x)
-                self.edge_ids.append(ids)
-            self.n_edges += len(out[i])
-        self.n_nodes += n + 1
-        self.at[w] = base
-        return base
-
-    def arrays(self):
-        """(first edge of each node and the total, each edge's target, its log-probability given its node)."""
-        if self.new[0]:
-            for name, new, at in zip(("start", "to", "logp"), self.new, (0, 1, 1)):
-                old, n = getattr(self, name), self.flat[at]
-                if n + len(new) + 1 > len(old):
-                    old = np.concatenate((old, np.zeros(n + len(new) + 1, old.dtype)))
-                    setattr(self, name, old)
-                old[n : n + len(new)] = new
-            self.flat = [self.n_nodes, self.n_edges]
-            self.start[self.n_nodes] = self.n_edges
-            self.new = ([], [], [])
-        return self.start, self.to, self.logp
+        self.char = np.zeros(0x110000, np.int32)
+        letters = sorted({c for p in usable for c in p})
+        self.char[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.width = len(letters) + 1
+        child, ends = {}, [-1]
+        for p, i in usable.items():
+            state = 0
+            for c in p:
+                key = state * self.width + int(self.char[ord(c)])
+                if key not in child:
+                    child[key] = len(ends)
+                    ends.append(-1)
+                state = child[key]
+            ends[state] = i
+        self.ends = np.array(ends, np.int32)
+        self.raw = [bytes([int(p[3:5], 16)]) if b else p.encode() for p, b in zip(self.pieces, self.is_byte.tolist())]
+        bits = (4 * len(child)).bit_length()
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.next = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+        keys, to = np.array(list(child), np.int64), np.array(list(child.values()), np.int32)
+        for key, value, slot in zip(keys.tolist(), to.tolist(), self._slot(keys).tolist()):
+            while self.keys[slot] >= 0:
+                slot = (slot + 1) & self.mask
+            self.keys[slot], self.next[slot] = key, value
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def step(self, state: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """The next state of each place, or 0."""
+        key = state * self.width + char
+        slot = self._slot(key)
+        out = np.zeros(len(key), np.int64)
+        todo = np.arange(len(key))
+        while len(todo):
+            seen = self.keys[slot[todo]]
+            hit = seen == key[todo]
+            out[todo[hit]] = self.next[slot[todo[hit]]]
+            todo = todo[~hit & (seen >= 0)]
+            slot[todo] = (slot[todo] + 1) & self.mask
+        return out
 
 
 @lru_cache(2)
-def lattices(path: str, temperature: float) -> Lattices:
-    return Lattices(path, temperature)
+def vocabulary(path: str, temperature: float) -> Vocabulary:
+    return Vocabulary(path, temperature)
 
 
-def symbols(text: str) -> str:
-    return MARK + text.replace(" ", MARK) if text else ""
-
-
-def decode(lat: Lattices, ids) -> str:
+def decode(voc: Vocabulary, ids) -> str:
     """The text of a segmentation: pieces and bytes put together, marks to spaces, the mark in front dropped."""
-    out, raw = [], bytearray()
-    for i in ids:
-        p = lat.pieces[i]
-        if lat.is_byte[i]:
-            raw.append(int(p[3:5], 16))
-        else:
-            if raw:
-                out.append(raw.decode())
-                raw = bytearray()
-            out.append(p)
-    if raw:
-        out.append(raw.decode())
-    return "".join(out).replace(MARK, " ")[1:]
-
-
-def _noise(seed: np.uint64, trial: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = _vec.mix(a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + seed + np.uint64(trial) * np.uint64(0x165667B19E3779F9))
-    u = ((x >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
-    return -np.log(-np.log(u))
-
-
-def _walk(arrays, seed, trial, nodes, ends, word, step):
-    """From open nodes to the ends of their words, all at once. Rows: (word, step, edge, log p, perturbed, taken)."""
-    start, to, logp = arrays
-    got = []
-    while len(nodes):
-        lo, n = start[nodes], start[nodes + 1] - start[nodes]
-        first = np.concatenate(([0], np.cumsum(n)[:-1]))
-        edge = np.repeat(lo - first, n) + np.arange(n.sum())
-        w, s = np.repeat(word, n), np.repeat(step, n)
-        lp = logp[edge]
-        value = lp + _noise(seed, trial, w * 131_071 + s, edge - np.repeat(lo, n))
-        best = np.maximum.reduceat(value, first)
-        taken = value == np.repeat(best, n)
-        got.append((w, s, edge, lp, value, np.repeat(best, n), taken))
-        chosen = to[edge[taken]]
-        live = chosen != ends
-        nodes, ends, word, step = chosen[live], ends[live], word[live], step[live] + 1
-    return [np.concatenate(x) for x in zip(*got)] if got else None
-
-
-def sample(lat: Lattices, text: str, key: int, k: int):
-    """Up to k distinct segmentations: [(ids, log p, inclusion score)] in falling order of perturbed value.
-
-    All paths are given, with score 1, where the text has no more than k."""
-    words = _WORD.findall(symbols(text))
-    if not words:
-        return [((), 0.0, 1.0)]
-    if len(lat.at) > KEPT:
-        lat.clear()
-    base = np.array([lat.word(w) for w in words], np.int64)
-    ends = base + np.array([len(w) for w in words], np.int64)
-    arrays = lat.arrays()
-    start, to, _ = arrays
-    seed = _vec.mix(np.array([key], np.int64).view(np.uint64))[0]
-    index = np.arange(len(base), dtype=np.int64)
-    root = float(_noise(seed, 0, np.array([1]), np.array([2]))[0])
-    heap: list = []  # (value, path number, row of the path) of open siblings
-    paths = []
-
-    def expand(trial, bound, prefix, walked):
-        """A complete path: what comes before, then the walked rows; opens the siblings met on the way."""
-        if walked is None:
-            edges, logs, at = prefix[0], prefix[1], prefix[2]
-            paths.append((bound, edges, logs, at, None))
+    raw = voc.raw
+    return b"".join([raw[i] for i in np.asarray(ids).tolist()]).decode().replace(MARK, " ")[1:]
+
+
+def _ragged(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start[i], start[i] + 1, ... for count[i] places, one after the other."""
+    at = np.cumsum(count) - count
+    return np.repeat(start - at, count) + np.arange(int(count.sum()))
+
+
+class Lattice:
+    """The lattices of the distinct words of some texts. Nodes are places in the distinct words' characters, with one
+    more at each end; ``first`` edge of each node, and of each edge ``to``, piece ``ids`` (-1: bytes), ``logp``."""
+
+    def __init__(self, voc: Vocabulary, texts: list[str]):
+        self.voc = voc
+        code = np.frombuffer("".join([MARK + t.replace(" ", MARK) if t else "" for t in texts]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        length = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
+        at = np.concatenate(([0], np.cumsum(length)))
+        mark = code == _M
+        start = np.zeros(len(code), bool)
+        if len(code):
+            start[1:] = mark[1:] & ~mark[:-1]
+            start[at[:-1][length > 0]] = True
+        begin = np.flatnonzero(start)
+        size = np.diff(np.append(begin, len(code)))
+        self.doc_word = np.searchsorted(begin, at)  # first word of each text, and the total
+        self.code = code
+        if not len(code):
             return
+        place = np.arange(len(code)) - np.repeat(begin, size)
+        h = np.add.reduceat(_vec.mix(code.astype(np.uint64)) * _vec._powers(int(size.max()))[place], begin)
+        h = _vec.mix(h + size.astype(np.uint64))
+        _, one, self.word = np.unique(h, return_index=True, return_inverse=True)
+        begin, size = begin[one], size[one]
+        self.base = np.concatenate(([0], np.cumsum(size + 1)))[:-1]
+        self.size = size
+        total = int((size + 1).sum())
+        chars = np.full(total, -1, np.int64)
+        inner = _ragged(self.base, size)
+        chars[inner] = code[_ragged(begin, size)]
+        cls = np.where(chars >= 0, voc.char[np.maximum(chars, 0)], 0).astype(np.int64)
+        # edges, depth by depth: only places whose prefix is still in the trie go on
+        src, dst, piece = [], [], []
+        where, state, depth = inner, np.zeros(len(inner), np.int64), 0
+        while len(where):
+            c = cls[where + depth]
+            ok = c > 0
+            where, state, c = where[ok], state[ok], c[ok]
+            state = voc.step(state, c)
+            ok = state > 0
+            where, state, depth = where[ok], state[ok], depth + 1
+            found = voc.ends[state]
+            ok = found >= 0
+            src.append(where[ok])
+            dst.append(where[ok] + depth)
+            piece.append(found[ok])
+        single = np.zeros(total, bool)
+        single[src[0]] = True
+        bare = inner[~single[inner]]
+        src, dst, piece = np.concatenate([bare, *src]), np.concatenate([bare + 1, *dst]), np.concatenate([np.full(len(bare), -1, np.int32), *piece])
+        order = np.argsort(src, kind="stable")
+        src, self.to, self.ids = src[order], dst[order], piece[order]
+        self.first = np.searchsorted(src, np.arange(total + 1))
+        self.chars = chars
+        cp = chars[src]
+        width = 1 + (cp > 0x7F) + (cp > 0x7FF) + (cp > 0xFFFF)
+        weight = np.where(self.ids >= 0, voc.weight[np.maximum(self.ids, 0)], voc.fallback * width)
+        # log-mass from each node to its word's end, from the last characters of all words backwards
+        beta = np.zeros(total)
+        order = np.argsort(-size, kind="stable")
+        falling = size[order]
+        self.logp = weight
+        for back in range(1, int(size.max()) + 1):
+            w = order[: np.searchsorted(-falling, -back, side="right")]
+            node = self.base[w] + size[w] - back
+            n = self.first[node + 1] - self.first[node]
+            edge = _ragged(self.first[node], n)
+            x = weight[edge] + beta[self.to[edge]]
+            cut = np.cumsum(n) - n
+            top = np.maximum.reduceat(x, cut)
+            b = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, n)), cut))
+            beta[node] = b
+            self.logp[edge] = x - np.repeat(b, n)
+
+
+def _noise(seed: np.ndarray, a: np.ndarray, b: np.ndarray, trial: int) -> np.ndarray:
+    """Gumbel noise by hash of the row's seed, the trial and two counters."""
+    x = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    x = _vec.mix(x + seed + np.uint64(trial * 0x165667B19E3779F9 & (1 << 64) - 1))
+    return -np.log(-np.log(((x >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53))
+
+
+def _walk(lat: Lattice, seed, node, end, word, count, step, trial):
+    """From open nodes to the ends of their words, all at once: (word, step, edge, log p, perturbed, best, taken).
+    ``word`` tells words apart; ``count`` is a word's number within its text, on which the noise depends."""
+    got = []
+    while len(node):
+        lo = lat.first[node]
+        n = lat.first[node + 1] - lo
+        cut = np.cumsum(n) - n
+        edge = _ragged(lo, n)
+        lp = lat.logp[edge]
+        value = lp + _noise(np.repeat(seed, n), np.repeat(count * 65_537 + step, n), edge - np.repeat(lo, n), trial)
+        best = np.repeat(np.maximum.reduceat(value, cut), n)
+        taken = value == best
+        got.append((np.repeat(word, n), np.repeat(step, n), edge, lp, value, best, taken))
+        here = lat.to[edge[taken]]
+        on = here != end
+        node, end, word, count, step, seed = here[on], end[on], word[on], count[on], step[on] + 1, seed[on]
+    return [np.concatenate(x) for x in zip(*got)] if got else [np.zeros(0, t) for t in (int, int, int, float, float, float, bool)]
+
+
+def sample(voc: Vocabulary, texts: list[str], keys: list[int], k: int):
+    """Up to k distinct segmentations of each text: [(text number, rank, ids, log p, inclusion score)].
+
+    Per text in falling order of perturbed value; where a text has no more than k, all are given with score 1."""
+    lat = Lattice(voc, texts)
+    m = len(texts)
+    out = [(i, 1, np.zeros(0, np.int32), 0.0, 1.0) for i in range(m) if not texts[i]]
+    live = np.array([i for i in range(m) if texts[i]], np.int64)
+    if not len(live):
+        return out
+    seed = _vec.mix(np.array(keys, np.int64).view(np.uint64))
+    count_of = lat.doc_word[1:] - lat.doc_word[:-1]
+    doc_of_word = np.repeat(np.arange(m), count_of)
+    bound = np.full(m, -np.inf)
+    bound[live] = _noise(seed[live], np.ones(len(live)), np.full(len(live), 2), 0)
+    word = _ragged(lat.doc_word[live], count_of[live])
+    begin = lat.base[lat.word[word]]
+    walked = _walk(lat, seed[doc_of_word[word]], begin, begin + lat.size[lat.word[word]], word, word - lat.doc_word[doc_of_word[word]], np.zeros(len(word), np.int64), 1)
+    empty = [np.zeros(0, t) for t in (int, int, int, float)]
+    prefix = empty  # text, word, edge, log p of what stands before the walk, by text
+    paths, opened = [], []
+    values = [bound.copy()]
+    for p in range(k):
         w, s, edge, lp, value, best, taken = walked
-        order = np.lexsort((~taken, s, w))
-        w, s, edge, lp, value, best, taken = (x[order] for x in (w, s, edge, lp, value, best, taken))
-        head = prefix[1].sum() if len(prefix[1]) else 0.0
-        run = np.cumsum(np.where(taken, lp, 0.0))
-        before = head + run - np.where(taken, lp, 0.0)
-        own = run[taken]
-        before[~taken] = head + (own - lp[taken])[np.cumsum(taken)[~taken] - 1]
+        # a complete path lies text by text, word by word; a row's place follows from counts, without a sort
+        was = np.bincount(prefix[1], minlength=len(doc_of_word))
+        now = np.bincount(w[taken], minlength=len(doc_of_word))
+        start = np.cumsum(was + now) - was - now
+        pe, pl, pw = np.zeros(int((was + now).sum()), np.int64), np.zeros(int((was + now).sum())), np.repeat(np.arange(len(doc_of_word)), was + now)
+        at = _ragged(start, was)
+        pe[at], pl[at] = prefix[2], prefix[3]
+        place = start[w] + was[w] + s
+        pe[place[taken]], pl[place[taken]] = edge[taken], lp[taken]
+        p_first = np.searchsorted(pw, lat.doc_word)
+        cum = np.concatenate(([0.0], np.cumsum(pl)))
+        side = ~taken
+        d, place = doc_of_word[w[side]], place[side]
+        before = cum[place] - cum[p_first[d]]
+        G = bound[d]
         with np.errstate(divide="ignore", invalid="ignore"):
-            v = bound - (before + value) + np.log1p(-np.exp(np.minimum(value - best, -1e-16)))
-            g = bound - np.maximum(0, v) - np.log1p(np.exp(-np.abs(v)))
-        n0 = len(prefix[0])
-        row = n0 + np.cumsum(taken) - 1
-        opened = (g[~taken], row[~taken], edge[~taken], lp[~taken])
-        paths.append((bound, np.concatenate((prefix[0], edge[taken])), np.concatenate((prefix[1], lp[taken])), np.concatenate((prefix[2], np.stack([w[taken], s[taken]], 1))), opened))
-
-    none = (np.zeros(0, np.int64), np.zeros(0), np.zeros((0, 2), np.int64))
-    expand(0, root, none, _walk(arrays, seed, 1, base, ends, index, np.zeros(len(base), np.int64)))
-    tops = []
-
-    def best_open(p):
-        g = paths[p][4][0] if paths[p][4] is not None else np.zeros(0)
-        return float(g.max()) if len(g) else -np.inf
-
-    tops.append(best_open(0))
-    while len(paths) <= k:  # one more than asked for: its value is the bound kappa
-        p = int(np.argmax(tops))
-        if tops[p] == -np.inf:
+            v = G - (before + value[side]) + np.log1p(-np.exp(np.minimum(value[side] - best[side], -1e-16)))
+            g = G - np.maximum(0, v) - np.log1p(np.exp(-np.abs(v)))
+        paths.append((pw, pe, pl, p_first))
+        opened.append((d, g, np.full(len(d), p), place - p_first[d], edge[side], lp[side]))
+        od, og, op, orow, oe, ol = opened[0] if len(opened) == 1 else (np.concatenate(x) for x in zip(*opened))
+        bound = np.full(m, -np.inf)
+        np.maximum.at(bound, od, og)
+        lead = np.flatnonzero((og == bound[od]) & (og > -np.inf))
+        lead = lead[np.unique(od[lead], return_index=True)[1]]
+        values.append(bound.copy())
+        if p == k - 1 or not len(lead):
             break
-        bound, edges, logs, at, opened = paths[p]
-        i = int(np.argmax(opened[0]))
-        value, row, edge, lp = opened[0][i], int(opened[1][i]), int(opened[2][i]), opened[3][i]
-        opened[0][i] = -np.inf
-        tops[p] = best_open(p)
-        w, s = int(at[row, 0]), int(at[row, 1])
-        prefix = (np.append(edges[:row], edge), np.append(logs[:row], lp), np.concatenate((at[:row], at[row : row + 1])))
-        here = to[edge]
-        nodes, stop, word, step = base[w + 1 :], ends[w + 1 :], index[w + 1 :], np.zeros(len(base) - w - 1, np.int64)
-        if here != ends[w]:
-            nodes, stop, word, step = np.append(here, nodes), np.append(ends[w], stop), np.append(w, word), np.append(s + 1, step)
-        expand(len(paths) + 1, float(value), prefix, _walk(arrays, seed, len(paths) + 1, nodes, stop, word, step))
-        tops.append(best_open(len(paths) - 1))
-    kappa = paths[k][0] if len(paths) > k else -np.inf
-    out = []
-    for bound, edges, logs, _, _ in paths[:k]:
-        lp = float(logs.sum())
-        score = 1.0 if kappa == -np.inf else float(-np.expm1(-np.exp(min(lp - kappa, 700.0))))
-        out.append((tuple(x for e in edges.tolist() for x in lat.edge_ids[e]), lp, score))
+        # take each text's best open node out and complete it
+        gone = np.zeros(len(od), bool)
+        gone[lead] = True
+        opened = [tuple(x[~gone] for x in (od, og, op, orow, oe, ol))]
+        parts, starts = [], []
+        for q in range(len(paths)):
+            mine = lead[op[lead] == q]
+            t, n = od[mine], orow[mine]
+            take = _ragged(paths[q][3][t], n)
+            parts.append((np.repeat(t, n), paths[q][0][take], paths[q][1][take], paths[q][2][take]))
+            at = paths[q][3][t] + n
+            starts.append((t, paths[q][0][at], oe[mine], ol[mine]))
+        t, w0, e0, l0 = (np.concatenate(x) for x in zip(*starts))
+        merged = [np.concatenate(x) for x in zip(*parts, (t, w0, e0, l0))]
+        order = np.argsort(merged[0], kind="stable")
+        prefix = [x[order] for x in merged]
+        # (a stable sort by text keeps the prefix's order, as the new edge comes last)
+        here = lat.to[e0]
+        end = lat.base[lat.word[w0]] + lat.size[lat.word[w0]]
+        inside = here != end
+        n = lat.doc_word[t + 1] - w0 - 1
+        rest = _ragged(w0 + 1, n)
+        begin = lat.base[lat.word[rest]]
+        word = np.concatenate((w0[inside], rest))
+        walked = _walk(lat, seed[doc_of_word[word]], np.concatenate((here[inside], begin)), np.concatenate((end[inside], begin + lat.size[lat.word[rest]])), word, word - lat.doc_word[doc_of_word[word]], np.zeros(len(word), np.int64), p + 2)
+    kappa = values[k] if len(values) > k else np.full(m, -np.inf)
+    for q, (_, pe, pl, first) in enumerate(paths):
+        log_p = np.add.reduceat(np.append(pl, 0.0), np.minimum(first[:-1], len(pl)))
+        for i in np.flatnonzero(np.diff(first)).tolist():
+            edge = pe[first[i] : first[i + 1]]
+            ids = lat.ids[edge]
+            if len(bare := np.flatnonzero(ids < 0)):  # characters without a piece: as many byte pieces as UTF-8 bytes
+                raw = [voc.byte[list(chr(lat.chars[lat.to[e] - 1]).encode("utf-8", "surrogatepass"))] for e in edge[bare].tolist()]
+                cuts = np.concatenate(([0], bare + 1))
+                ids = np.concatenate([x for j, r in enumerate(raw) for x in (ids[cuts[j] : bare[j]], r)] + [ids[cuts[-1] :]])
+            lp = float(log_p[i])
+            score = 1.0 if kappa[i] == -np.inf else float(-np.expm1(-np.exp(min(lp - kappa[i], 700.0))))
+            out.append((i, q + 1, ids, lp, score))
     return out
 
 
-def encode(spark: SparkSession, docs: DataFrame, k: int = 2, path: str = MODEL, temperature: float = 1.0) -> DataFrame:
-    """(doc_id, sample, ids, n_pieces, log_prob, inclusion, round_trip) for up to ``k`` segmentations of each text.
-
-    The row key is doc_id (0 if null). Null and empty texts have one segmentation without pieces, as decoding gives the
-    empty text; round_trip says that decoding the pieces gives the text back (true for all texts). Texts with fewer
-    than k segmentations give all of them. Repeated rows give the same samples; an empty table gives no rows."""
-
+def _encode_map(k: int, path: str, temperature: float, chars: int = 400_000):
     def run(batches):
-        lat = lattices(path, temperature)
+        voc = vocabulary(path, temperature)
         for batch in batches:
-            rows = []
-            for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                for i, (ids, lp, inc) in enumerate(sample(lat, text or "", key or 0, k)):
-                    rows.append((key, i + 1, ids, len(ids), lp, inc, decode(lat, ids) == (text or "")))
-                if len(rows) >= 2000:
-                    yield _batch(rows)
-                    rows = []
-            if rows:
-                yield _batch(rows)
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, sample int, ids array<int>, n_pieces int, log_prob double, inclusion double, round_trip boolean")
-
-
-_KINDS = (pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.int32(), pa.float64(), pa.float64(), pa.bool_())
-
+            for a, b in _vec.slices(batch.column("text"), chars):
+                keys = batch.column("doc_id")[a:b]
+                texts = [t or "" for t in batch.column("text")[a:b].to_pylist()]
+                got = sample(voc, texts, [x or 0 for x in keys.to_pylist()], k)
+                got.sort(key=lambda r: r[:2])
+                who, rank, ids, lp, inc = zip(*got)
+                sizes = np.array([len(x) for x in ids])
+                flat = np.concatenate(ids).astype(np.int32)
+                back = [decode(voc, x) == texts[i] for i, x in zip(who, ids)]
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(who)), pa.array(rank, pa.int32()), lists, pa.array(sizes.astype(np.int32)), pa.array(lp), pa.array(inc), pa.array(back)], ["doc_id", "sample", "ids", "n_pieces", "log_prob", "inclusion", "round_trip"])
+
+    return run
+
+
+def encode(spark: SparkSession, docs: DataFrame, k: int = 2, path: str = MODEL, temperature: float = 0.2) -> DataFrame:
+    """(doc_id, sample, ids, n_pieces, log_prob, inclusion, round_trip) for up to ``k`` segmentations of each text.
 
-def _batch(rows):
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _KINDS)], ["doc_id", "sample", "ids", "n_pieces", "log_prob", "inclusion", "round_trip"])
+    The row key is doc_id (0 if null). Null and empty texts have one segmentation without pieces, as decoding gives the
+    empty text; round_trip says that decoding the pieces gives the text back (false only where a text itself holds the
+    mark U+2581, which decodes to a space). Texts with fewer than k segmentations give all of them. Repeated rows give
+    the same samples; an empty table gives no rows; other columns play no part."""
+    schema = "doc_id long, sample int, ids array<int>, n_pieces int, log_prob double, inclusion double, round_trip boolean"
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_encode_map(k, path, temperature), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
