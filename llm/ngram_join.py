@@ -1,14 +1,18 @@
 """N-gram Jaccard join by PartEnum signatures.
 
 Sets of word shingles fall into bands of size; two sets that reach the Jaccard bound lie in the same or in adjoining
-bands, and differ in at most k elements. The domain of shingles is cut into k + 1 + SPARE parts, so such a pair agrees
-in SPARE + 1 parts at least. A set emits one signature for each of its parts that has elements, and one for each
-(SPARE + 1)-subset of its empty parts: no pair is lost, whatever parts are empty. Candidates are then held against the
-exact bound on the whole sets. Equal sets are one node from the start.
+bands, and differ in at most k elements. The domain of shingles is cut into k + 1 + spare parts, so such a pair agrees
+in spare + 1 parts at least. A set emits one signature for each of its parts that has elements. Where more than spare
+parts are empty, which spare makes rare, it also emits subsets of its empty parts (few parts) or each empty part (many):
+no pair is lost, whatever parts are empty. Sets so small that k <= 2 have each element as a part, and enumerate what is
+left without up to k of them. A pair that shares fewer signatures
+than spare + 1, less the parts that may be empty in both, cannot reach the bound. Other candidates are then held
+against the exact bound on the whole sets. Equal sets are one node from the start.
 """
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 from itertools import combinations
 
@@ -22,7 +26,6 @@ from . import _vec
 from ._graph import components
 from ._scratch import Scratch
 
-SPARE = 1
 #: Groups up to this size give all their pairs at once; larger ones give pairs with their least member first,
 #: and the rest only where components stay apart.
 SMALL = 4
@@ -38,13 +41,21 @@ def band(size: int, num: int) -> tuple[int, int]:
 
 
 @lru_cache(None)
-def labels(size: int, num: int) -> tuple[tuple[int, int], ...]:
-    """(band, parts) under which a set meets its partners; none where only equal sets can reach the bound."""
+def labels(size: int, num: int) -> tuple[tuple[int, int, int, int], ...]:
+    """(band, k, parts, spare) under which a set meets its partners; none where only equal sets can reach the bound."""
     i, high = band(size, num)
+    low = [1, 1]  # the least size of the band and of the one below
+    while low[0] * 100 // num < size:
+        low = [low[0] * 100 // num + 1, low[0]]
     out = []
-    for j, top in ((i, high), (i + 1, (high + 1) * 100 // num)):
+    for j, top, least in ((i, high, low[1]), (i + 1, (high + 1) * 100 // num, low[0])):
         if k := 2 * top * (100 - num) // (100 + num):
-            out.append((j, k + 1 + SPARE))
+            more = 1
+            for _ in range(4):  # most sets of the label have no more empty parts than this
+                parts = k + 1 + more
+                empty = parts * math.exp(-least / parts)
+                more = min(math.ceil(empty + 4 * math.sqrt(empty) + 1), max(2, k // 3))
+            out.append((j, k, k + 1 + more, more))
     return tuple(out)
 
 
@@ -68,23 +79,36 @@ def set_key(s: np.ndarray) -> int:
         return int(_vec.mix(np.array([s.sum() * _vec._P + np.uint64(len(s))]))[0].view(np.int64))
 
 
-def signatures(s: np.ndarray, num: int) -> np.ndarray:
-    out = []
+def signatures(s: np.ndarray, num: int) -> tuple[np.ndarray, int]:
+    """The signatures of a set, and how many of them a partner shares at least."""
+    out, least = [], 1023
     spread = _vec.mix(s ^ np.uint64(0xA5A5A5A55A5A5A5A))
     with np.errstate(over="ignore"):
-        for j, parts in labels(len(s), num):
+        for j, k, parts, more in labels(len(s), num):
+            tag = np.uint64(j * 2_000_003 + 17)
+            if k <= 2:
+                gone = [np.zeros(1, np.uint64), spread]
+                if k == 2 and len(s) > 1:
+                    x, y = np.triu_indices(len(s), 1)
+                    gone.append(spread[x] + spread[y])
+                out.append(_vec.mix(spread.sum() - np.concatenate(gone[: k + 1]) + tag))
+                least = 1
+                continue
             part = (spread >> np.uint64(16)) % np.uint64(parts)
             order = np.argsort(part, kind="stable")
             part = part[order]
             at = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
             total = np.add.reduceat(spread[order], at)
             have = part[at]
-            out.append(_vec.mix(total + (have + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(j * 2_000_003)))
-            if parts - len(have) > SPARE:
-                empty = np.setdiff1d(np.arange(parts), have)
-                codes = np.array([x * 1_000_003 + y for x, y in combinations(empty.tolist(), SPARE + 1)], dtype=np.uint64)
-                out.append(_vec.mix(codes + np.uint64(0xC2B2AE3D27D4EB4F) * np.uint64(j + 1)))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+            out.append(_vec.mix(total + (have + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93) + tag))
+            empty = parts - len(have)
+            least = min(least, max(1, more + 1 - empty))
+            if empty > more:
+                void = np.setdiff1d(np.arange(parts), have).tolist()
+                void = combinations(void, more + 1) if more <= 2 else ((x,) for x in void)
+                codes = np.array([hash(x) & (1 << 64) - 1 for x in void], dtype=np.uint64)
+                out.append(_vec.mix(codes * np.uint64(0xC2B2AE3D27D4EB4F) + tag))
+    return (np.concatenate(out) if out else np.zeros(0, np.uint64)), least
 
 
 def keys_map(n: int):
@@ -96,10 +120,13 @@ def keys_map(n: int):
     return run
 
 
+NAMES = ["a", "b", "votes", "least", "sig", "members"]
+
+
 def packs_map(n: int, num: int, buckets: int, most: int = 400_000):
     """Signatures leave a task as packed arrays for each bucket: ten bytes an entry in place of a row each."""
 
-    def packed(nodes, sizes, sigs, counts):
+    def packed(nodes, sizes, leasts, sigs, counts):
         sig = np.concatenate(sigs)
         who = np.repeat(np.arange(len(nodes), dtype=np.uint16), counts)
         to = (sig >> np.uint64(33)) % np.uint64(buckets)
@@ -108,7 +135,7 @@ def packs_map(n: int, num: int, buckets: int, most: int = 400_000):
         at = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
         end = np.append(at[1:], len(to))
         rows = []
-        nodes, sizes = np.array(nodes, np.int64), np.array(sizes, np.int32)
+        nodes, sizes = np.array(nodes, np.int64), np.array(sizes, np.int64) * 1024 + np.array(leasts, np.int64)
         for a, b in zip(at, end):
             used, local = np.unique(who[a:b], return_inverse=True)
             rows.append((int(to[a]), sig[a:b].tobytes(), local.astype(np.uint16).tobytes(), nodes[used].tobytes(), sizes[used].tobytes()))
@@ -116,20 +143,22 @@ def packs_map(n: int, num: int, buckets: int, most: int = 400_000):
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32())] + [pa.array(c, pa.binary()) for c in cols[1:]], ["bucket", "sig", "who", "nodes", "sizes"])
 
     def run(batches):
-        nodes, sizes, sigs, counts, total = [], [], [], [], 0
+        nodes, sizes, leasts, sigs, counts, total, seen = [], [], [], [], [], 0, set()
         for batch in batches:
             for s in sets_of(batch.column("text"), n):
-                if len(s) and len(g := signatures(s, num)):
-                    nodes.append(set_key(s))
-                    sizes.append(len(s))
-                    sigs.append(g)
-                    counts.append(len(g))
+                if not len(s) or (key := set_key(s)) in seen:  # copies within a task go once
+                    continue
+                seen.add(key)
+                g, least = signatures(s, num)
+                if len(g):
+                    for x, y in ((nodes, key), (sizes, len(s)), (leasts, least), (sigs, g), (counts, len(g))):
+                        x.append(y)
                     total += len(g)
                 if total > most or len(nodes) > 60_000:
-                    yield packed(nodes, sizes, sigs, counts)
-                    nodes, sizes, sigs, counts, total = [], [], [], [], 0
+                    yield packed(nodes, sizes, leasts, sigs, counts)
+                    nodes, sizes, leasts, sigs, counts, total = [], [], [], [], [], 0
         if total:
-            yield packed(nodes, sizes, sigs, counts)
+            yield packed(nodes, sizes, leasts, sigs, counts)
 
     return run
 
@@ -138,15 +167,18 @@ def bucket_map(num: int):
     """Within whole buckets: groups of nodes that share a signature. ``kind`` 0: a pair; 1: a larger group's members."""
 
     def emit(pairs, runs):
-        a = np.concatenate([p[0] for p in pairs]) if pairs else np.zeros(0, np.int64)
-        b = np.concatenate([p[1] for p in pairs]) if pairs else np.zeros(0, np.int64)
+        a, b, least = (np.concatenate(x) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 3
         if len(a):
-            both, votes = np.unique(np.stack([a, b], 1), axis=0, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(votes.astype(np.int64)), pa.nulls(len(both), pa.int64()), pa.nulls(len(both), pa.list_(pa.int64()))], ["a", "b", "votes", "sig", "members"])
+            order = np.lexsort((b, a))
+            a, b, least = a[order], b[order], least[order]
+            at = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+            votes = np.diff(np.append(at, len(a)))
+            none = pa.nulls(len(at), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at]), pa.array(votes.astype(np.int64)), pa.array(least[at].astype(np.int32)), none, pa.nulls(len(at), pa.list_(pa.int64()))], NAMES)
         for k in range(0, len(runs), 20_000):
             part = runs[k : k + 20_000]
             none = pa.nulls(len(part), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.list_(pa.int64()))], ["a", "b", "votes", "sig", "members"])
+            yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(part), pa.int32()), pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.list_(pa.int64()))], NAMES)
 
     def run(batches):
         sig, node, size = [], [], []
@@ -155,7 +187,7 @@ def bucket_map(num: int):
                 w = np.frombuffer(w, np.uint16)
                 sig.append(np.frombuffer(s, np.uint64))
                 node.append(np.frombuffer(d, np.int64)[w])
-                size.append(np.frombuffer(z, np.int32)[w])
+                size.append(np.frombuffer(z, np.int64)[w])
         if not sig:
             return
         sig, node, size = np.concatenate(sig), np.concatenate(node), np.concatenate(size)
@@ -170,6 +202,7 @@ def bucket_map(num: int):
         fresh = np.ones(len(sig), bool)
         fresh[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
         sig, node, size = sig[fresh], node[fresh], size[fresh]
+        size, least = size // 1024, size % 1024
         if not len(sig):
             return
         at = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
@@ -180,13 +213,13 @@ def bucket_map(num: int):
             base = at[count == m]
             for i, j in combinations(range(m), 2):
                 ok = fits(size[base + i], size[base + j])
-                pairs.append((node[base + i][ok], node[base + j][ok]))
+                pairs.append((node[base + i][ok], node[base + j][ok], np.maximum(least[base + i], least[base + j])[ok]))
         big = count > SMALL
         if big.any():
             lead = np.repeat(at[big], count[big])
             inside = np.repeat(at[big] - np.concatenate(([0], np.cumsum(count[big])[:-1])), count[big]) + np.arange(count[big].sum())
             ok = (lead != inside) & fits(size[lead], size[inside])
-            pairs.append((node[lead][ok], node[inside][ok]))
+            pairs.append((node[lead][ok], node[inside][ok], np.maximum(least[lead], least[inside])[ok]))
             for a, c in zip(at[big], count[big]):
                 members = node[a : a + c]
                 key = (int(members[0]), int(c), hash(members.tobytes()))
@@ -268,11 +301,10 @@ def similarity_join(spark: SparkSession, docs: DataFrame, n: int = 5, percent: i
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     keys = scratch.cut(docs.mapInArrow(keys_map(n), "doc_id long, n_shingles long, node long"))
     nodes = scratch.cut(keys.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").cast("int").alias("size")))
-    reps = nodes.where("rep is not null").select(F.col("rep").alias("doc_id"))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packs = docs.join(reps, "doc_id", "left_semi").mapInArrow(packs_map(n, percent, buckets), "bucket int, sig binary, who binary, nodes binary, sizes binary")
-    found = scratch.cut(packs.repartition(buckets, "bucket").mapInArrow(bucket_map(percent), "a long, b long, votes long, sig long, members array<long>"))
-    pairs = scratch.cut(found.where("a is not null").groupBy("a", "b").agg(F.sum("votes").alias("votes")))
+    packs = docs.mapInArrow(packs_map(n, percent, buckets), "bucket int, sig binary, who binary, nodes binary, sizes binary")
+    found = scratch.cut(packs.repartition(buckets, "bucket").mapInArrow(bucket_map(percent), "a long, b long, votes long, least int, sig long, members array<long>"))
+    pairs = scratch.cut(found.where("a is not null").groupBy("a", "b").agg(F.sum("votes").alias("votes"), F.max("least").alias("least")).where("votes >= least").select("a", "b", "votes"))
     in_pairs = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).union(found.where("sig is not null").select(F.explode("members").alias("node"))).distinct()
     wanted = nodes.join(in_pairs, "node", "left_semi").select(F.col("rep").alias("doc_id"))
     blobs = scratch.cut(docs.join(wanted, "doc_id", "left_semi").mapInArrow(blob_map(n), "node long, blob binary").dropDuplicates(["node"]))
