@@ -267,22 +267,42 @@ def verify_map(num: int):
     return run
 
 
+#: Counters of a set's profile, and members of a block of a large group.
+PROFILE, BLOCK = 64, 2000
+
+
+def profile_map(batches):
+    """Each set's elements counted in PROFILE bins (to 255): the sum of differences of two profiles is no more than the
+    number of elements in which the sets differ."""
+    for batch in batches:
+        out = [np.minimum(np.bincount(((_unpack(x.as_py()) >> np.uint64(20)) % np.uint64(PROFILE)).astype(np.int64), minlength=PROFILE), 255).astype(np.uint8).tobytes() for x in batch.column("blob")]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(out, pa.binary())], ["node", "profile"])
+
+
 def _rest_pairs(num: int):
-    """Members of a group that lie in unlike components, pair by pair, in bounded batches."""
+    """Of the members of a group (or of two blocks of it) the pairs in unlike components whose sizes and profiles allow
+    the bound. What is looked at stays in the task; few pairs leave it."""
 
     def run(frames):
         for f in frames:
             left, right = [], []
-            for ids, comps, sizes in zip(f["node"], f["comp"], f["size"]):
-                ids, comps, sizes = np.asarray(ids), np.asarray(comps), np.asarray(sizes)
+            for ids, comps, sizes, profiles, sides in zip(f["node"], f["comp"], f["size"], f["profile"], f["side"]):
+                ids, comps, sizes, sides = np.asarray(ids), np.asarray(comps), np.asarray(sizes, np.int64), np.asarray(sides)
+                prof = np.frombuffer(b"".join(profiles), np.uint8).reshape(-1, PROFILE)
+                halves = len(np.unique(sides)) > 1  # two blocks: only pairs across
                 for i in range(len(ids) - 1):
-                    ok = (comps[i + 1 :] != comps[i]) & (100 * np.minimum(sizes[i + 1 :], sizes[i]) >= num * np.maximum(sizes[i + 1 :], sizes[i]))
-                    other = ids[i + 1 :][ok]
-                    left.append(np.minimum(other, ids[i]))
-                    right.append(np.maximum(other, ids[i]))
-                    if sum(map(len, left)) > 100_000 or len(left) > 5000:
-                        yield pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)}).drop_duplicates()
-                        left, right = [], []
+                    rest = slice(i + 1, None)
+                    ok = (comps[rest] != comps[i]) & (100 * np.minimum(sizes[rest], sizes[i]) >= num * np.maximum(sizes[rest], sizes[i]))
+                    if halves:
+                        ok &= sides[rest] != sides[i]
+                    at = np.flatnonzero(ok) + i + 1
+                    if not len(at):
+                        continue
+                    apart = (np.maximum(prof[at], prof[i]) - np.minimum(prof[at], prof[i])).sum(1, dtype=np.int64)
+                    other = ids[at[apart * (100 + num) <= (sizes[at] + sizes[i]) * (100 - num)]]
+                    if len(other):
+                        left.append(np.minimum(other, ids[i]))
+                        right.append(np.maximum(other, ids[i]))
             if left:
                 yield pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)}).drop_duplicates()
 
@@ -332,8 +352,13 @@ def similarity_join(spark: SparkSession, docs: DataFrame, n: int = 5, percent: i
     comp = scratch.cut(components(links, scratch))
     # 3. large groups that still span components: all pairs across them that were not yet held against each other
     member = found.where("sig is not null").select("sig", F.explode("members").alias("node")).join(comp, "node", "left").select("sig", "node", F.coalesce("comp", "node").alias("comp"))
-    open_ = member.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sig")
-    groups = member.join(open_, "sig", "left_semi").join(nodes.select("node", "size"), "node").groupBy("sig").agg(F.sort_array(F.collect_list(F.struct("node", "comp", "size"))).alias("m")).select(F.col("m.node").alias("node"), F.col("m.comp").alias("comp"), F.col("m.size").alias("size"))
+    open_ = member.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("x <> y")
+    member = member.join(open_.select("sig", "blocks"), "sig").join(nodes.select("node", "size"), "node").join(blobs.mapInArrow(profile_map, "node long, profile binary"), "node")
+    mine = F.pmod(F.xxhash64("node"), "blocks").cast("int")
+    member = member.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    fields = F.struct("node", "comp", "size", "profile", (F.col("mine") <= F.col("other")).alias("side"))
+    groups = member.groupBy("sig", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y")).agg(F.collect_list(fields).alias("m"))
+    groups = groups.select(*(F.col(f"m.{c}").alias(c) for c in ("node", "comp", "size", "profile", "side")))
     across = groups.mapInPandas(_rest_pairs(percent), "a long, b long").distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti")
     last = verified(across)
     links = links.union(last)
