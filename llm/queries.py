@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, ngram_join, pieces, toxicity
+from . import decontaminate, html_text, licences, line_dedup, masked_lm, neighbours, ngram_join, pieces, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
     "op2_pieces": pieces.query,
+    "op3_warc": warc.query,
+    "op4_licences": licences.query,
     "op5_decontamination": decontaminate.query,
+    "op6_neighbours": neighbours.query,
     "op7_substring_dedup": line_dedup.query,
+    "op8_masked_lm": masked_lm.query,
     "op9_ngram_jaccard": ngram_join.query,
+    "op10_html_text": html_text.query,
 }
-SQL = {"op9_ngram_jaccard": ngram_join.SQL}
+SQL = {"op4_licences": licences.SQL, "op9_ngram_jaccard": ngram_join.SQL}
