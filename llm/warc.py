@@ -66,7 +66,7 @@ def _write_map(root: str, limit: int):
                 for page, url, text, first in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to"))):
                     if out is None:  # a name for each attempt: a task that runs again leaves no half-written file in use
                         name, size = f"{base}/{uuid.uuid4().hex}.warc.gz", 0
-                        out = fs.open_output_stream(name)
+                        out = fs.open_output_stream(name, compression=None)  # members are compressed already
                     raw = record(page, url, (text or "").encode("utf-8", "surrogatepass"), first)
                     out.write(raw)
                     size += len(raw)
