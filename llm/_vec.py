@@ -61,7 +61,7 @@ def string_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(column: pa.Array, limit: int = 3 << 20) -> Iterator[tuple[int, int]]:
+def slices(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges [a, b) of at most ``limit`` bytes each (one row at least): bounds the working memory."""
     n = len(column)
     size = np.cumsum(string_parts(column)[1][1:] - string_parts(column)[1][:-1]) if n else np.zeros(0)

@@ -44,7 +44,7 @@ def units(column: pa.Array):
 def _units_map(batches):
     for batch in batches:
         key, ids, text = batch.column("row_key"), batch.column("rank_id"), batch.column("text")
-        for a, b in _vec.slices(text, 4 << 20):
+        for a, b in _vec.slices(text):
             first, _, _, _, d1, d2 = units(text[a:b])
             if not len(d1):
                 continue
