@@ -192,7 +192,7 @@ def _search_map(space: np.ndarray, items: Items, cosine: float, share: float, sh
                     fit = (till - place == n) | (place == at[home])
                     w = (c[till] - c[place])[fit].astype(np.float32)
                     w /= np.maximum(np.linalg.norm(w, axis=1), 1e-9)[:, None]
-                    near, which = np.nonzero(w @ items.vec[own].T >= cosine)
+                    near, which = np.nonzero(w @ items.vec[own].T >= cosine * min(1.0, 0.7 + 0.05 * int(n)))  # few blocks are never well aligned
                     if not len(near):
                         continue
                     block = place[fit][near]

@@ -268,7 +268,7 @@ def verify_map(num: int):
 
 
 #: Counters of a set's profile, and members of a block of a large group.
-PROFILE, BLOCK = 64, 2000
+PROFILE, BLOCK = 256, 2000
 
 
 def profile_map(batches):

@@ -242,15 +242,21 @@ def sample(voc: Vocabulary, texts: list[str], keys: list[int], k: int):
         pe[place[taken]], pl[place[taken]] = edge[taken], lp[taken]
         p_first = np.searchsorted(pw, lat.doc_word)
         cum = np.concatenate(([0.0], np.cumsum(pl)))
-        side = ~taken
-        d, place = doc_of_word[w[side]], place[side]
-        before = cum[place] - cum[p_first[d]]
+        side = np.flatnonzero(~taken)
+        d, at = doc_of_word[w[side]], place[side]
+        before = cum[at] - cum[p_first[d]]
+        # a sibling's truncated value is at most before + value + 40 (the noise has 53 bits): what lies so far behind a
+        # text's early siblings cannot be among its next ones
+        early = before > -100
+        few = np.bincount(d[early], minlength=m) < k + 2
+        use = early | few[d]
+        side, d, at, before = side[use], d[use], at[use], before[use]
         G = bound[d]
         with np.errstate(divide="ignore", invalid="ignore"):
             v = G - (before + value[side]) + np.log1p(-np.exp(np.minimum(value[side] - best[side], -1e-16)))
             g = G - np.maximum(0, v) - np.log1p(np.exp(-np.abs(v)))
         paths.append((pw, pe, pl, p_first))
-        opened.append((d, g, np.full(len(d), p), place - p_first[d], edge[side], lp[side]))
+        opened.append((d, g, np.full(len(d), p), at - p_first[d], edge[side], lp[side]))
         od, og, op, orow, oe, ol = opened[0] if len(opened) == 1 else (np.concatenate(x) for x in zip(*opened))
         bound = np.full(m, -np.inf)
         np.maximum.at(bound, od, og)
@@ -300,7 +306,7 @@ def sample(voc: Vocabulary, texts: list[str], keys: list[int], k: int):
     return out
 
 
-def _encode_map(k: int, path: str, temperature: float, chars: int = 400_000):
+def _encode_map(k: int, path: str, temperature: float, chars: int = 100_000):
     def run(batches):
         voc = vocabulary(path, temperature)
         for batch in batches:
