@@ -19,12 +19,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts may be long, so Arrow batches between the JVM and Python carry no more than ``rows`` rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, rows)
+
+
 class Scratch:
     """Written intermediate tables: a lost executor costs a re-read, never a recomputation of the lineage."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        small_batches(spark)
 
     def path(self) -> str:
         self.n += 1

@@ -7,6 +7,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+#: Freed batches go back to the system: workers share a bounded memory with their executor.
+pa.set_memory_pool(pa.system_memory_pool())
+
 #: Bytes that separate words: space and the ASCII controls 9 to 13.
 _SEP = np.zeros(256, dtype=bool)
 _SEP[[0x20, *range(0x09, 0x0E)]] = True

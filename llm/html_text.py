@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._scratch import small_batches
+
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: Content that is never text of the page.
@@ -156,6 +158,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Null and empty html, and pages without main text, give the empty text and 0; markup that is never closed ends with
     the page. Repeated rows give a row each; other columns play no part; an empty table gives an empty result."""
+    small_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     return rows.mapInArrow(_map, "page_id long, url string, text string, n_chars long")
 

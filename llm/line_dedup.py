@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _vec
+from ._scratch import small_batches
 
 UNIT_WORDS, RUN_WORDS = 8, 20
 
@@ -107,6 +108,7 @@ def removals(spark: SparkSession, docs: DataFrame, unit_words: int = UNIT_WORDS,
 
     The grouping of digests combines before its shuffle; the join back to the units leaves hot digests to AQE's
     splitting of skewed partitions. Each unit passes as five numbers, never as text."""
+    small_batches(spark)
     rows = docs.select("rank_id", "row_key", "text")
     u = rows.mapInArrow(_units_map, "rank_id long, row_key long, pos int, d1 long, d2 long")
     dup = u.groupBy("d1", "d2").agg(F.count("*").alias("k"), F.min(F.struct("rank_id", "row_key", "pos")).alias("first")).where("k > 1")

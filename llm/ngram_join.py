@@ -267,15 +267,18 @@ def verify_map(num: int):
     return run
 
 
-#: Counters of a set's profile, and members of a block of a large group.
-PROFILE, BLOCK = 256, 2000
+#: Bits of a set's profile, and members of a block of a large group.
+PROFILE, BLOCK = 4096, 2000
 
 
 def profile_map(batches):
-    """Each set's elements counted in PROFILE bins (to 255): the sum of differences of two profiles is no more than the
-    number of elements in which the sets differ."""
+    """The parity of the number of each set's elements in PROFILE bins, a bit each: two profiles differ in no more bits
+    than the sets in elements."""
     for batch in batches:
-        out = [np.minimum(np.bincount(((_unpack(x.as_py()) >> np.uint64(20)) % np.uint64(PROFILE)).astype(np.int64), minlength=PROFILE), 255).astype(np.uint8).tobytes() for x in batch.column("blob")]
+        out = []
+        for x in batch.column("blob"):
+            count = np.bincount(((_unpack(x.as_py()) >> np.uint64(20)) % np.uint64(PROFILE)).astype(np.int64), minlength=PROFILE)
+            out.append(np.packbits((count & 1).astype(np.uint8)).tobytes())
         yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(out, pa.binary())], ["node", "profile"])
 
 
@@ -288,7 +291,7 @@ def _rest_pairs(num: int):
             left, right = [], []
             for ids, comps, sizes, profiles, sides in zip(f["node"], f["comp"], f["size"], f["profile"], f["side"]):
                 ids, comps, sizes, sides = np.asarray(ids), np.asarray(comps), np.asarray(sizes, np.int64), np.asarray(sides)
-                prof = np.frombuffer(b"".join(profiles), np.uint8).reshape(-1, PROFILE)
+                prof = np.frombuffer(b"".join(profiles), np.uint64).reshape(-1, PROFILE // 64)
                 halves = len(np.unique(sides)) > 1  # two blocks: only pairs across
                 for i in range(len(ids) - 1):
                     rest = slice(i + 1, None)
@@ -298,7 +301,7 @@ def _rest_pairs(num: int):
                     at = np.flatnonzero(ok) + i + 1
                     if not len(at):
                         continue
-                    apart = (np.maximum(prof[at], prof[i]) - np.minimum(prof[at], prof[i])).sum(1, dtype=np.int64)
+                    apart = np.bitwise_count(prof[at] ^ prof[i]).sum(1, dtype=np.int64)
                     other = ids[at[apart * (100 + num) <= (sizes[at] + sizes[i]) * (100 - num)]]
                     if len(other):
                         left.append(np.minimum(other, ids[i]))

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _vec
+from ._scratch import small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -332,6 +333,7 @@ def encode(spark: SparkSession, docs: DataFrame, k: int = 2, path: str = MODEL,
     empty text; round_trip says that decoding the pieces gives the text back (false only where a text itself holds the
     mark U+2581, which decodes to a space). Texts with fewer than k segmentations give all of them. Repeated rows give
     the same samples; an empty table gives no rows; other columns play no part."""
+    small_batches(spark)
     schema = "doc_id long, sample int, ids array<int>, n_pieces int, log_prob double, inclusion double, round_trip boolean"
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_encode_map(k, path, temperature), schema)
 

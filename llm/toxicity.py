@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _vec
+from ._scratch import small_batches
 
 BUCKETS = 1 << 20
 
@@ -145,6 +146,7 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_class: in
     Whole texts are scored; null and empty texts get the score of a text without terms. Other columns stay as they
     are. Without labels of both kinds the score is that of the prevailing label. Repeated ids are scored row by row;
     an empty table gives an empty result."""
+    small_batches(spark)
     machine = spark.sparkContext.broadcast(learn(spark, docs, labels, per_class))
 
     @F.pandas_udf("double")
