@@ -282,9 +282,9 @@ def profile_map(batches):
         yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(out, pa.binary())], ["node", "profile"])
 
 
-def _rest_pairs(num: int):
+def _rest_pairs(num: int, nearest: bool):
     """Of the members of a group (or of two blocks of it) the pairs in unlike components whose sizes and profiles allow
-    the bound. What is looked at stays in the task; few pairs leave it."""
+    the bound; or only each member's nearest such partner. What is looked at stays in the task; few pairs leave it."""
 
     def run(frames):
         for f in frames:
@@ -293,16 +293,20 @@ def _rest_pairs(num: int):
                 ids, comps, sizes, sides = np.asarray(ids), np.asarray(comps), np.asarray(sizes, np.int64), np.asarray(sides)
                 prof = np.frombuffer(b"".join(profiles), np.uint64).reshape(-1, PROFILE // 64)
                 halves = len(np.unique(sides)) > 1  # two blocks: only pairs across
-                for i in range(len(ids) - 1):
-                    rest = slice(i + 1, None)
+                for i in range(len(ids)):
+                    first = 0 if nearest else i + 1
+                    rest = slice(first, None)
                     ok = (comps[rest] != comps[i]) & (100 * np.minimum(sizes[rest], sizes[i]) >= num * np.maximum(sizes[rest], sizes[i]))
                     if halves:
                         ok &= sides[rest] != sides[i]
-                    at = np.flatnonzero(ok) + i + 1
+                    at = np.flatnonzero(ok) + first
                     if not len(at):
                         continue
                     apart = np.bitwise_count(prof[at] ^ prof[i]).sum(1, dtype=np.int64)
-                    other = ids[at[apart * (100 + num) <= (sizes[at] + sizes[i]) * (100 - num)]]
+                    near = apart * (100 + num) <= (sizes[at] + sizes[i]) * (100 - num)
+                    if nearest and near.any():
+                        near &= np.arange(len(at)) == int(np.where(near, apart, np.iinfo(np.int64).max).argmin())
+                    other = ids[at[near]]
                     if len(other):
                         left.append(np.minimum(other, ids[i]))
                         right.append(np.maximum(other, ids[i]))
@@ -353,20 +357,27 @@ def similarity_join(spark: SparkSession, docs: DataFrame, n: int = 5, percent: i
     more = verified(rest.join(tried, ["a", "b"], "left_anti"))
     links = links.union(more)
     comp = scratch.cut(components(links, scratch))
-    # 3. large groups that still span components: all pairs across them that were not yet held against each other
-    member = found.where("sig is not null").select("sig", F.explode("members").alias("node")).join(comp, "node", "left").select("sig", "node", F.coalesce("comp", "node").alias("comp"))
-    open_ = member.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("x <> y")
-    member = member.join(open_.select("sig", "blocks"), "sig").join(nodes.select("node", "size"), "node").join(blobs.mapInArrow(profile_map, "node long, profile binary"), "node")
-    mine = F.pmod(F.xxhash64("node"), "blocks").cast("int")
-    member = member.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    fields = F.struct("node", "comp", "size", "profile", (F.col("mine") <= F.col("other")).alias("side"))
-    groups = member.groupBy("sig", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y")).agg(F.collect_list(fields).alias("m"))
-    groups = groups.select(*(F.col(f"m.{c}").alias(c) for c in ("node", "comp", "size", "profile", "side")))
-    across = groups.mapInPandas(_rest_pairs(percent), "a long, b long").distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-    last = verified(across)
-    links = links.union(last)
-    if last.limit(1).count():
-        comp = scratch.cut(components(links, scratch))
+    # 3. large groups that still span components: rounds in which each member meets its nearest partner beyond its own
+    # component, which join most of what belongs together; then all pairs across components, whatever is left
+    runs = found.where("sig is not null").select("sig", F.explode("members").alias("node"))
+    profiles = scratch.cut(blobs.mapInArrow(profile_map, "node long, profile binary"))
+    tried = pairs.select("a", "b")
+    for nearest in (True, True, False):
+        member = runs.join(comp, "node", "left").select("sig", "node", F.coalesce("comp", "node").alias("comp"))
+        open_ = member.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("x <> y")
+        member = member.join(open_.select("sig", "blocks"), "sig").join(nodes.select("node", "size"), "node").join(profiles, "node")
+        mine = F.pmod(F.xxhash64("node"), "blocks").cast("int")
+        member = member.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        fields = F.struct("node", "comp", "size", "profile", (F.col("mine") <= F.col("other")).alias("side"))
+        groups = member.groupBy("sig", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y")).agg(F.collect_list(fields).alias("m"))
+        groups = groups.select(*(F.col(f"m.{c}").alias(c) for c in ("node", "comp", "size", "profile", "side")))
+        across = scratch.cut(groups.mapInPandas(_rest_pairs(percent, nearest), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"))
+        if not across.limit(1).count():
+            continue
+        last = verified(across)
+        links, tried = links.union(last), tried.union(across.select("a", "b"))
+        if last.limit(1).count():
+            comp = scratch.cut(components(links, scratch))
     degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     home = nodes.join(comp, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
     least = home.groupBy("comp").agg(F.min("rep").alias("component_id"))
