@@ -5,14 +5,16 @@ and one of byte pieces for a character that has none. No piece spans the start o
 word lattices, one for each distinct word of a slice of rows; a slice is worked on as flat arrays, all rows at once. Edges weigh ``-temperature * log(rank + 2)`` by merge rank.
 
 Sampling is an A* search over perturbed log-masses: the root's value is Gumbel noise around the lattice's mass, each
-node passes its value on to its best child and truncated Gumbel values to the others, and the largest open value is
+node passes its value on to its best child, which has its share of the mass as probability, and truncated Gumbel values to the others, and the largest open value is
 expanded next. Complete paths come out in falling order of value: a sample without replacement, in which the k-th
 lower bound gives each path's inclusion score 1 - exp(-exp(log p - kappa)). All noise is a hash of the row key.
 """
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
+from itertools import chain
 from math import log
 
 import numpy as np
@@ -25,7 +27,7 @@ from ._scratch import small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-_M = ord(MARK)
+_WORD = re.compile(f"{MARK}+[^{MARK}]*")
 
 
 class Vocabulary:
@@ -60,7 +62,9 @@ class Vocabulary:
                 state = child[key]
             ends[state] = i
         self.ends = np.array(ends, np.int32)
-        self.raw = [bytes([int(p[3:5], 16)]) if b else p.encode() for p, b in zip(self.pieces, self.is_byte.tolist())]
+        self.raw = pa.array([bytes([int(p[3:5], 16)]) if b else p.encode() for p, b in zip(self.pieces, self.is_byte.tolist())], pa.large_binary())
+        self.start = np.zeros(self.width, np.int32)
+        self.start[1:] = [child.get(c, 0) for c in range(1, self.width)]
         bits = (4 * len(child)).bit_length()
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.keys, self.next = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
@@ -77,14 +81,15 @@ class Vocabulary:
         """The next state of each place, or 0."""
         key = state * self.width + char
         slot = self._slot(key)
-        out = np.zeros(len(key), np.int64)
-        todo = np.arange(len(key))
+        seen = self.keys[slot]
+        out = np.where(seen == key, self.next[slot], 0)
+        todo = np.flatnonzero((seen != key) & (seen >= 0))
         while len(todo):
-            seen = self.keys[slot[todo]]
+            slot[todo] = at = (slot[todo] + 1) & self.mask
+            seen = self.keys[at]
             hit = seen == key[todo]
-            out[todo[hit]] = self.next[slot[todo[hit]]]
+            out[todo[hit]] = self.next[at[hit]]
             todo = todo[~hit & (seen >= 0)]
-            slot[todo] = (slot[todo] + 1) & self.mask
         return out
 
 
@@ -93,10 +98,15 @@ def vocabulary(path: str, temperature: float) -> Vocabulary:
     return Vocabulary(path, temperature)
 
 
-def decode(voc: Vocabulary, ids) -> str:
-    """The text of a segmentation: pieces and bytes put together, marks to spaces, the mark in front dropped."""
-    raw = voc.raw
-    return b"".join([raw[i] for i in np.asarray(ids).tolist()]).decode().replace(MARK, " ")[1:]
+def decode(voc: Vocabulary, ids: np.ndarray, sizes: np.ndarray) -> list[str]:
+    """The texts of segmentations that lie one after the other, ``sizes`` pieces each: pieces and bytes put together,
+    marks to spaces, the mark in front dropped."""
+    if not len(ids):
+        return [""] * len(sizes)
+    taken = voc.raw.take(pa.array(ids, pa.int32()))
+    at = np.frombuffer(taken.buffers()[1], np.int64)[np.concatenate(([0], np.cumsum(sizes)))].tolist()
+    data = taken.buffers()[2].to_pybytes()
+    return [data[a:b].decode().replace(MARK, " ")[1:] for a, b in zip(at, at[1:])]
 
 
 def _ragged(start: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -106,106 +116,110 @@ def _ragged(start: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 class Lattice:
-    """The lattices of the distinct words of some texts. Nodes are places in the distinct words' characters, with one
-    more at each end; ``first`` edge of each node, and of each edge ``to``, piece ``ids`` (-1: bytes), ``logp``."""
+    """The lattices of the distinct words of some texts. Nodes are places in the distinct words' characters and
+    their ends, numbered by the characters that are left: the ends of the ``words`` words come first, ``root`` is each word's start; ``first`` edge of each node, and of each edge ``src``, ``to``, piece ``ids`` (-1: bytes), ``logp``, ``prob``."""
 
     def __init__(self, voc: Vocabulary, texts: list[str]):
         self.voc = voc
-        code = np.frombuffer("".join([MARK + t.replace(" ", MARK) if t else "" for t in texts]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        length = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
-        at = np.concatenate(([0], np.cumsum(length)))
-        mark = code == _M
-        start = np.zeros(len(code), bool)
-        if len(code):
-            start[1:] = mark[1:] & ~mark[:-1]
-            start[at[:-1][length > 0]] = True
-        begin = np.flatnonzero(start)
-        size = np.diff(np.append(begin, len(code)))
-        self.doc_word = np.searchsorted(begin, at)  # first word of each text, and the total
-        self.code = code
-        if not len(code):
+        words = [_WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        self.doc_word = np.concatenate(([0], np.cumsum([len(w) for w in words])))  # first word of each text, and the total
+        distinct = dict.fromkeys(chain.from_iterable(words))
+        number = dict(zip(distinct, range(len(distinct))))
+        if not number:
             return
-        place = np.arange(len(code)) - np.repeat(begin, size)
-        h = np.add.reduceat(_vec.mix(code.astype(np.uint64)) * _vec._powers(int(size.max()))[place], begin)
-        h = _vec.mix(h + size.astype(np.uint64))
-        _, one, self.word = np.unique(h, return_index=True, return_inverse=True)
-        begin, size = begin[one], size[one]
-        self.base = np.concatenate(([0], np.cumsum(size + 1)))[:-1]
-        self.size = size
-        total = int((size + 1).sum())
+        self.word = np.fromiter(map(number.__getitem__, chain.from_iterable(words)), np.int64, int(self.doc_word[-1]))
+        size = np.fromiter(map(len, number), np.int64, len(number))
+        code = np.frombuffer("".join(number).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        level = np.cumsum(np.bincount(size, minlength=int(size.max()) + 1)[::-1])[::-1]  # words with as many characters or more
+        start = np.concatenate(([0], np.cumsum(level)))
+        rank = np.empty(len(size), np.int64)
+        rank[np.argsort(-size, kind="stable")] = np.arange(len(size))
+        self.words, total = len(size), int(start[-1])
+        self.root = start[size] + rank
+        # edges are found by places in the words' own order of characters, taken in the order of their nodes
+        left = np.repeat(size, size + 1) - _ragged(np.zeros(len(size), np.int64), size + 1)
+        node = start[left] + np.repeat(rank, size + 1)
+        place = np.empty(total, np.int32)
+        place[node] = np.arange(total)
         chars = np.full(total, -1, np.int64)
-        inner = _ragged(self.base, size)
-        chars[inner] = code[_ragged(begin, size)]
-        cls = np.where(chars >= 0, voc.char[np.maximum(chars, 0)], 0).astype(np.int64)
+        chars[left > 0] = code
+        cls = np.where(chars >= 0, voc.char[np.maximum(chars, 0)], 0)
+        self.chars = chars[place]
         # edges, depth by depth: only places whose prefix is still in the trie go on
         src, dst, piece = [], [], []
-        where, state, depth = inner, np.zeros(len(inner), np.int64), 0
+        where, state, depth = place[self.words :], None, 0
         while len(where):
             c = cls[where + depth]
-            ok = c > 0
-            where, state, c = where[ok], state[ok], c[ok]
-            state = voc.step(state, c)
-            ok = state > 0
+            ok = np.flatnonzero(c)
+            where, state = where[ok], voc.step(state[ok], c[ok]) if depth else voc.start[c[ok]]
+            ok = np.flatnonzero(state)
             where, state, depth = where[ok], state[ok], depth + 1
             found = voc.ends[state]
-            ok = found >= 0
-            src.append(where[ok])
-            dst.append(where[ok] + depth)
+            ok = np.flatnonzero(found >= 0)
             piece.append(found[ok])
+            src.append(node[where[ok]])
+            dst.append(node[where[ok] + depth])
         single = np.zeros(total, bool)
-        single[src[0]] = True
-        bare = inner[~single[inner]]
-        src, dst, piece = np.concatenate([bare, *src]), np.concatenate([bare + 1, *dst]), np.concatenate([np.full(len(bare), -1, np.int32), *piece])
+        single[src[0]] = single[: self.words] = True
+        bare = np.flatnonzero(~single)
+        src, dst, piece = np.concatenate([bare, *src]), np.concatenate([node[place[bare] + 1], *dst]), np.concatenate([np.full(len(bare), -1, np.int32), *piece])
         order = np.argsort(src, kind="stable")
-        src, self.to, self.ids = src[order], dst[order], piece[order]
-        self.first = np.searchsorted(src, np.arange(total + 1))
-        self.chars = chars
-        cp = chars[src]
-        width = 1 + (cp > 0x7F) + (cp > 0x7FF) + (cp > 0xFFFF)
-        weight = np.where(self.ids >= 0, voc.weight[np.maximum(self.ids, 0)], voc.fallback * width)
-        # log-mass from each node to its word's end, from the last characters of all words backwards
+        self.src, self.to, self.ids = src[order], dst[order], piece[order]
+        self.first = np.concatenate(([0], np.cumsum(np.bincount(src, minlength=total))))
+        weight = voc.weight[self.ids]
+        bare = np.flatnonzero(self.ids < 0)
+        cp = self.chars[self.src[bare]]
+        weight[bare] = voc.fallback * (1 + (cp > 0x7F) + (cp > 0x7FF) + (cp > 0xFFFF))
+        # log-mass from each node to its word's end, level by level
         beta = np.zeros(total)
-        order = np.argsort(-size, kind="stable")
-        falling = size[order]
-        self.logp = weight
-        for back in range(1, int(size.max()) + 1):
-            w = order[: np.searchsorted(-falling, -back, side="right")]
-            node = self.base[w] + size[w] - back
-            n = self.first[node + 1] - self.first[node]
-            edge = _ragged(self.first[node], n)
-            x = weight[edge] + beta[self.to[edge]]
-            cut = np.cumsum(n) - n
-            top = np.maximum.reduceat(x, cut)
-            b = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, n)), cut))
-            beta[node] = b
-            self.logp[edge] = x - np.repeat(b, n)
-
-
-def _noise(seed: np.ndarray, a: np.ndarray, b: np.ndarray, trial: int) -> np.ndarray:
-    """Gumbel noise by hash of the row's seed, the trial and two counters."""
-    x = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        self.logp = np.empty(len(weight))
+        for low, high in zip(start[1:-1].tolist(), start[2:].tolist()):
+            cut = self.first[low : high + 1]
+            edges = slice(cut[0], cut[-1])
+            n = np.diff(cut)
+            x = weight[edges] + beta[self.to[edges]]
+            top = np.maximum.reduceat(x, cut[:-1] - cut[0])
+            b = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, n)), cut[:-1] - cut[0]))
+            beta[low:high] = b
+            self.logp[edges] = x - np.repeat(b, n)
+        self.prob = np.exp(self.logp)
+
+
+def _uniform(seed: np.ndarray, a, b, trial: int) -> np.ndarray:
+    """Numbers between 0 and 1 by hash of the row's seed, the trial and two counters."""
+    a, b = (np.atleast_1d(x).astype(np.uint64) for x in (a, b))
+    x = a * np.uint64(0x9E3779B97F4A7C15) + b * np.uint64(0xC2B2AE3D27D4EB4F)
     x = _vec.mix(x + seed + np.uint64(trial * 0x165667B19E3779F9 & (1 << 64) - 1))
-    return -np.log(-np.log(((x >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53))
+    return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
 
 
-def _walk(lat: Lattice, seed, node, end, word, count, step, trial):
-    """From open nodes to the ends of their words, all at once: (word, step, edge, log p, perturbed, best, taken).
-    ``word`` tells words apart; ``count`` is a word's number within its text, on which the noise depends."""
-    got = []
+def _walk(lat: Lattice, seed, node, word, count, trial):
+    """From open nodes to the ends of their words, all at once: (word, step, edge).
+
+    The best child of a node is each child by its share of the mass, whatever the node's value; long pieces, which are
+    the likeliest, are tried first. ``count`` is a word's number within its text, on which the choice depends."""
+    got, step = [], 0
     while len(node):
-        lo = lat.first[node]
-        n = lat.first[node + 1] - lo
-        cut = np.cumsum(n) - n
-        edge = _ragged(lo, n)
-        lp = lat.logp[edge]
-        value = lp + _noise(np.repeat(seed, n), np.repeat(count * 65_537 + step, n), edge - np.repeat(lo, n), trial)
-        best = np.repeat(np.maximum.reduceat(value, cut), n)
-        taken = value == best
-        got.append((np.repeat(word, n), np.repeat(step, n), edge, lp, value, best, taken))
-        here = lat.to[edge[taken]]
-        on = here != end
-        node, end, word, count, step, seed = here[on], end[on], word[on], count[on], step[on] + 1, seed[on]
-    return [np.concatenate(x) for x in zip(*got)] if got else [np.zeros(0, t) for t in (int, int, int, float, float, float, bool)]
+        u = _uniform(seed, count * 65_537 + step, 0, trial)
+        first, edge = lat.first[node], lat.first[node + 1] - 1
+        u -= lat.prob[edge]
+        todo = np.flatnonzero((u >= 0) & (edge > first))
+        while len(todo):
+            e = edge[todo] - 1
+            edge[todo] = e
+            left = u[todo] - lat.prob[e]
+            u[todo] = left
+            todo = todo[(left >= 0) & (e > first[todo])]
+        got.append((word, np.full(len(word), step), edge))
+        here = lat.to[edge]
+        on = np.flatnonzero(here >= lat.words)
+        node, word, count, seed, step = here[on], word[on], count[on], seed[on], step + 1
+    return [np.concatenate(x) for x in zip(*got)] if got else [np.zeros(0, int)] * 3
+
+
+#: Siblings behind a log-probability of NEAR are worked out only for texts without enough open values over FLOOR: the
+#: noise has 53 bits, so that it is under 38, and a sibling's value never exceeds its log-probability by more.
+NEAR, FLOOR = -50.0, -12.0
 
 
 def sample(voc: Vocabulary, texts: list[str], keys: list[int], k: int):
@@ -222,43 +236,46 @@ def sample(voc: Vocabulary, texts: list[str], keys: list[int], k: int):
     count_of = lat.doc_word[1:] - lat.doc_word[:-1]
     doc_of_word = np.repeat(np.arange(m), count_of)
     bound = np.full(m, -np.inf)
-    bound[live] = _noise(seed[live], np.ones(len(live)), np.full(len(live), 2), 0)
+    bound[live] = -np.log(-np.log(_uniform(seed[live], 1, 2, 0)))
     word = _ragged(lat.doc_word[live], count_of[live])
-    begin = lat.base[lat.word[word]]
-    walked = _walk(lat, seed[doc_of_word[word]], begin, begin + lat.size[lat.word[word]], word, word - lat.doc_word[doc_of_word[word]], np.zeros(len(word), np.int64), 1)
-    empty = [np.zeros(0, t) for t in (int, int, int, float)]
-    prefix = empty  # text, word, edge, log p of what stands before the walk, by text
+    walked = _walk(lat, seed[doc_of_word[word]], lat.root[lat.word[word]], word, word - lat.doc_word[doc_of_word[word]], 1)
+    prefix = [np.zeros(0, np.int64)] * 3  # text, word, edge of what stands before the walk, by text
     paths, opened = [], []
     values = [bound.copy()]
     for p in range(k):
-        w, s, edge, lp, value, best, taken = walked
+        w, s, edge = walked
         # a complete path lies text by text, word by word; a row's place follows from counts, without a sort
         was = np.bincount(prefix[1], minlength=len(doc_of_word))
-        now = np.bincount(w[taken], minlength=len(doc_of_word))
-        start = np.cumsum(was + now) - was - now
-        pe, pl, pw = np.zeros(int((was + now).sum()), np.int64), np.zeros(int((was + now).sum())), np.repeat(np.arange(len(doc_of_word)), was + now)
-        at = _ragged(start, was)
-        pe[at], pl[at] = prefix[2], prefix[3]
+        sizes = was + np.bincount(w, minlength=len(doc_of_word))
+        start = np.concatenate(([0], np.cumsum(sizes)))
+        pe, pw = np.zeros(start[-1], np.int64), np.repeat(np.arange(len(doc_of_word)), sizes)
+        pe[_ragged(start[:-1], was)] = prefix[2]
         place = start[w] + was[w] + s
-        pe[place[taken]], pl[place[taken]] = edge[taken], lp[taken]
-        p_first = np.searchsorted(pw, lat.doc_word)
+        pe[place] = edge
+        pl = lat.logp[pe]
+        p_first = start[lat.doc_word]
         cum = np.concatenate(([0.0], np.cumsum(pl)))
-        side = np.flatnonzero(~taken)
-        d, at = doc_of_word[w[side]], place[side]
-        before = cum[at] - cum[p_first[d]]
-        # a sibling's truncated value is at most before + value + 40 (the noise has 53 bits): what lies so far behind a
-        # text's early siblings cannot be among its next ones
-        early = before > -100
-        few = np.bincount(d[early], minlength=m) < k + 2
-        use = early | few[d]
-        side, d, at, before = side[use], d[use], at[use], before[use]
-        G = bound[d]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            v = G - (before + value[side]) + np.log1p(-np.exp(np.minimum(value[side] - best[side], -1e-16)))
-            g = G - np.maximum(0, v) - np.log1p(np.exp(-np.abs(v)))
+        d = doc_of_word[w]
+        before = cum[place] - cum[p_first[d]]
+
+        def siblings(at):
+            """The untaken children at some rows of the walk: values under their parent's, which is the text's bound."""
+            node = lat.src[edge[at]]
+            n = lat.first[node + 1] - lat.first[node]
+            e, at, nth = _ragged(lat.first[node], n), np.repeat(at, n), _ragged(np.zeros(len(n), np.int64), n)
+            other = np.flatnonzero(e != edge[at])
+            e, at, nth = e[other], at[other], nth[other]
+            text, lp = d[at], lat.logp[e]
+            row = place[at] - p_first[text]
+            free = before[at] + lp - np.log(-np.log(_uniform(seed[text], row, nth + 1, -p - 1)))
+            return text, -np.logaddexp(-bound[text], -free), np.full(len(e), p), row, e, lp
+
+        near = before > NEAR
+        opened.append(siblings(np.flatnonzero(near)))
+        few = np.bincount(opened[-1][0][opened[-1][1] >= FLOOR], minlength=m) <= k
+        opened.append(siblings(np.flatnonzero(~near & few[d])))
         paths.append((pw, pe, pl, p_first))
-        opened.append((d, g, np.full(len(d), p), at - p_first[d], edge[side], lp[side]))
-        od, og, op, orow, oe, ol = opened[0] if len(opened) == 1 else (np.concatenate(x) for x in zip(*opened))
+        od, og, op, orow, oe, ol = (np.concatenate(x) for x in zip(*opened))
         bound = np.full(m, -np.inf)
         np.maximum.at(bound, od, og)
         lead = np.flatnonzero((og == bound[od]) & (og > -np.inf))
@@ -275,22 +292,20 @@ def sample(voc: Vocabulary, texts: list[str], keys: list[int], k: int):
             mine = lead[op[lead] == q]
             t, n = od[mine], orow[mine]
             take = _ragged(paths[q][3][t], n)
-            parts.append((np.repeat(t, n), paths[q][0][take], paths[q][1][take], paths[q][2][take]))
+            parts.append((np.repeat(t, n), paths[q][0][take], paths[q][1][take]))
             at = paths[q][3][t] + n
-            starts.append((t, paths[q][0][at], oe[mine], ol[mine]))
-        t, w0, e0, l0 = (np.concatenate(x) for x in zip(*starts))
-        merged = [np.concatenate(x) for x in zip(*parts, (t, w0, e0, l0))]
+            starts.append((t, paths[q][0][at], oe[mine]))
+        t, w0, e0 = (np.concatenate(x) for x in zip(*starts))
+        merged = [np.concatenate(x) for x in zip(*parts, (t, w0, e0))]
         order = np.argsort(merged[0], kind="stable")
         prefix = [x[order] for x in merged]
         # (a stable sort by text keeps the prefix's order, as the new edge comes last)
         here = lat.to[e0]
-        end = lat.base[lat.word[w0]] + lat.size[lat.word[w0]]
-        inside = here != end
+        inside = here >= lat.words
         n = lat.doc_word[t + 1] - w0 - 1
         rest = _ragged(w0 + 1, n)
-        begin = lat.base[lat.word[rest]]
         word = np.concatenate((w0[inside], rest))
-        walked = _walk(lat, seed[doc_of_word[word]], np.concatenate((here[inside], begin)), np.concatenate((end[inside], begin + lat.size[lat.word[rest]])), word, word - lat.doc_word[doc_of_word[word]], np.zeros(len(word), np.int64), p + 2)
+        walked = _walk(lat, seed[doc_of_word[word]], np.concatenate((here[inside], lat.root[lat.word[rest]])), word, word - lat.doc_word[doc_of_word[word]], p + 2)
     kappa = values[k] if len(values) > k else np.full(m, -np.inf)
     for q, (_, pe, pl, first) in enumerate(paths):
         log_p = np.add.reduceat(np.append(pl, 0.0), np.minimum(first[:-1], len(pl)))
@@ -298,7 +313,7 @@ def sample(voc: Vocabulary, texts: list[str], keys: list[int], k: int):
             edge = pe[first[i] : first[i + 1]]
             ids = lat.ids[edge]
             if len(bare := np.flatnonzero(ids < 0)):  # characters without a piece: as many byte pieces as UTF-8 bytes
-                raw = [voc.byte[list(chr(lat.chars[lat.to[e] - 1]).encode("utf-8", "surrogatepass"))] for e in edge[bare].tolist()]
+                raw = [voc.byte[list(chr(lat.chars[lat.src[e]]).encode("utf-8", "surrogatepass"))] for e in edge[bare].tolist()]
                 cuts = np.concatenate(([0], bare + 1))
                 ids = np.concatenate([x for j, r in enumerate(raw) for x in (ids[cuts[j] : bare[j]], r)] + [ids[cuts[-1] :]])
             lp = float(log_p[i])
@@ -307,7 +322,7 @@ def sample(voc: Vocabulary, texts: list[str], keys: list[int], k: int):
     return out
 
 
-def _encode_map(k: int, path: str, temperature: float, chars: int = 100_000):
+def _encode_map(k: int, path: str, temperature: float, chars: int = 300_000):
     def run(batches):
         voc = vocabulary(path, temperature)
         for batch in batches:
@@ -319,7 +334,7 @@ def _encode_map(k: int, path: str, temperature: float, chars: int = 100_000):
                 who, rank, ids, lp, inc = zip(*got)
                 sizes = np.array([len(x) for x in ids])
                 flat = np.concatenate(ids).astype(np.int32)
-                back = [decode(voc, x) == texts[i] for i, x in zip(who, ids)]
+                back = [x == texts[i] for i, x in zip(who, decode(voc, flat, sizes))]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(who)), pa.array(rank, pa.int32()), lists, pa.array(sizes.astype(np.int32)), pa.array(lp), pa.array(inc), pa.array(back)], ["doc_id", "sample", "ids", "n_pieces", "log_prob", "inclusion", "round_trip"])
 

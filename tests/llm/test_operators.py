@@ -85,9 +85,8 @@ def test_pieces_distribution():
         if word == len(lat.word):
             p[ids] = math.exp(lp)
             return
-        base, end = lat.base[lat.word[word]], lat.base[lat.word[word]] + lat.size[lat.word[word]]
-        node = base if node is None else node
-        if node == end:
+        node = lat.root[lat.word[word]] if node is None else node
+        if node < lat.words:
             return walk(word + 1, None, ids, lp)
         for e in range(lat.first[node], lat.first[node + 1]):
             walk(word, lat.to[e], (*ids, int(lat.ids[e])), lp + lat.logp[e])
