@@ -75,11 +75,11 @@ class Vocabulary:
             self.keys[slot], self.next[slot] = key, value
 
     def _slot(self, key: np.ndarray) -> np.ndarray:
-        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+        return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
     def step(self, state: np.ndarray, char: np.ndarray) -> np.ndarray:
         """The next state of each place, or 0."""
-        key = state * self.width + char
+        key = state.astype(np.int64) * self.width + char
         slot = self._slot(key)
         seen = self.keys[slot]
         out = np.where(seen == key, self.next[slot], 0)
@@ -129,7 +129,7 @@ class Lattice:
             return
         self.word = np.fromiter(map(number.__getitem__, chain.from_iterable(words)), np.int64, int(self.doc_word[-1]))
         size = np.fromiter(map(len, number), np.int64, len(number))
-        code = np.frombuffer("".join(number).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        code = np.frombuffer("".join(number).encode("utf-32-le", "surrogatepass"), np.int32)
         level = np.cumsum(np.bincount(size, minlength=int(size.max()) + 1)[::-1])[::-1]  # words with as many characters or more
         start = np.concatenate(([0], np.cumsum(level)))
         rank = np.empty(len(size), np.int64)
@@ -138,13 +138,14 @@ class Lattice:
         self.root = start[size] + rank
         # edges are found by places in the words' own order of characters, taken in the order of their nodes
         left = np.repeat(size, size + 1) - _ragged(np.zeros(len(size), np.int64), size + 1)
-        node = start[left] + np.repeat(rank, size + 1)
+        node = (start[left] + np.repeat(rank, size + 1)).astype(np.int32)
         place = np.empty(total, np.int32)
-        place[node] = np.arange(total)
-        chars = np.full(total, -1, np.int64)
-        chars[left > 0] = code
-        cls = np.where(chars >= 0, voc.char[np.maximum(chars, 0)], 0)
-        self.chars = chars[place]
+        place[node] = np.arange(total, dtype=np.int32)
+        inner = np.flatnonzero(left)
+        chars, cls = np.zeros(total, np.int32), np.zeros(total, np.int32)
+        chars[inner] = code
+        cls[inner] = voc.char[code]
+        self.chars, self.place = chars, place
         # edges, depth by depth: only places whose prefix is still in the trie go on
         src, dst, piece = [], [], []
         where, state, depth = place[self.words :], None, 0
@@ -161,14 +162,14 @@ class Lattice:
             dst.append(node[where[ok] + depth])
         single = np.zeros(total, bool)
         single[src[0]] = single[: self.words] = True
-        bare = np.flatnonzero(~single)
+        bare = np.flatnonzero(~single).astype(np.int32)
         src, dst, piece = np.concatenate([bare, *src]), np.concatenate([node[place[bare] + 1], *dst]), np.concatenate([np.full(len(bare), -1, np.int32), *piece])
         order = np.argsort(src, kind="stable")
         self.src, self.to, self.ids = src[order], dst[order], piece[order]
         self.first = np.concatenate(([0], np.cumsum(np.bincount(src, minlength=total))))
         weight = voc.weight[self.ids]
         bare = np.flatnonzero(self.ids < 0)
-        cp = self.chars[self.src[bare]]
+        cp = chars[place[self.src[bare]]]
         weight[bare] = voc.fallback * (1 + (cp > 0x7F) + (cp > 0x7FF) + (cp > 0xFFFF))
         # log-mass from each node to its word's end, level by level
         beta = np.zeros(total)
@@ -199,8 +200,9 @@ def _walk(lat: Lattice, seed, node, word, count, trial):
     The best child of a node is each child by its share of the mass, whatever the node's value; long pieces, which are
     the likeliest, are tried first. ``count`` is a word's number within its text, on which the choice depends."""
     got, step = [], 0
+    key = _vec.mix(seed + count.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     while len(node):
-        u = _uniform(seed, count * 65_537 + step, 0, trial)
+        u = _uniform(key, step, 0, trial)
         first, edge = lat.first[node], lat.first[node + 1] - 1
         u -= lat.prob[edge]
         todo = np.flatnonzero((u >= 0) & (edge > first))
@@ -213,7 +215,7 @@ def _walk(lat: Lattice, seed, node, word, count, trial):
         got.append((word, np.full(len(word), step), edge))
         here = lat.to[edge]
         on = np.flatnonzero(here >= lat.words)
-        node, word, count, seed, step = here[on], word[on], count[on], seed[on], step + 1
+        node, word, key, step = here[on], word[on], key[on], step + 1
     return [np.concatenate(x) for x in zip(*got)] if got else [np.zeros(0, int)] * 3
 
 
@@ -313,7 +315,7 @@ def sample(voc: Vocabulary, texts: list[str], keys: list[int], k: int):
             edge = pe[first[i] : first[i + 1]]
             ids = lat.ids[edge]
             if len(bare := np.flatnonzero(ids < 0)):  # characters without a piece: as many byte pieces as UTF-8 bytes
-                raw = [voc.byte[list(chr(lat.chars[lat.src[e]]).encode("utf-8", "surrogatepass"))] for e in edge[bare].tolist()]
+                raw = [voc.byte[list(chr(lat.chars[lat.place[lat.src[e]]]).encode("utf-8", "surrogatepass"))] for e in edge[bare].tolist()]
                 cuts = np.concatenate(([0], bare + 1))
                 ids = np.concatenate([x for j, r in enumerate(raw) for x in (ids[cuts[j] : bare[j]], r)] + [ids[cuts[-1] :]])
             lp = float(log_p[i])
