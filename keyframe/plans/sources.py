@@ -13,7 +13,7 @@ from . import surrogates as X
 
 def explode_episodes(spark, d):
     """Nested step JSON made from lineitem, read back as rows."""
-    s = X.steps(spark, d).where("ep % 50 < 25").select("ls", "ep", "step", F.struct(F.col("ep").cast("string").alias("ep_id"), F.concat(F.lit("f"), F.col("step").cast("string"), F.lit(".png")).alias("img_filename"), F.col("label").alias("goal")).alias("s"))
+    s = X.steps(spark, d).select("ls", "ep", "step", F.struct(F.col("ep").cast("string").alias("ep_id"), F.concat(F.lit("f"), F.col("step").cast("string"), F.lit(".png")).alias("img_filename"), F.col("label").alias("goal")).alias("s"))
     eps = s.groupBy("ls", "ep").agg(F.array_sort(F.collect_list(F.struct("step", "s"))).alias("a")).select("ls", "ep", F.transform("a", lambda x: x["s"]).alias("steps"))
     doc = eps.select(F.to_json(F.map_from_entries(F.array(F.struct("ls", F.array("steps"))))).alias("text"))
     return R.steps(doc).select("task", "ep_id", "step_idx", "img_filename", "goal")
