@@ -136,7 +136,7 @@ def batch_tally(spark, d):
 
 def repeat_to_count(spark, d):
     """Sample images repeated until there are seven."""
-    f = X.frames(spark, d).where("event_type = 'signup' and idx < 20").groupBy("video").agg(F.array_sort(F.collect_list("idx")).alias("a"))
+    f = X.frames(spark, d).where("event_type = 'signup'").groupBy("video").agg(F.slice(F.array_sort(F.collect_list("idx")), 1, 7).alias("a"))
     return f.select("video", F.array_join(F.transform(F.slice(F.flatten(F.array_repeat("a", 7)), 1, 7), lambda x: x.cast("string")), ",").alias("picked"))
 
 
