@@ -1,11 +1,13 @@
 """Masked pseudo-likelihood: a bidirectional window network in numpy predicts each token from both sides.
 
-Tokens are words hashed into VOCABULARY ids of two digits (class, member). A token's context is the mean of the
-embeddings of up to WINDOW tokens on each side, by side and distance weighted; a hidden layer leads to a softmax over
-classes and one over the members of the token's class. Training is rounds of local descent: each task starts from the
-shared parameters, goes over its own documents (one position in STRIDE, moving with each round and document, so that
-what is trained on grows with the input), and the tasks' parameters are averaged by their numbers of tokens in two
-shuffled levels. Scores sum the conditional log-probabilities of all tokens of a document.
+Tokens are words by their exact number in the corpus's own vocabulary (64-bit hashes in order, with counts), so unlike
+words never share an id. A token's context is the mean of the embeddings of up to WINDOW tokens on each side, by side
+and distance weighted, an embedding being the sum of two hashed rows; a hidden layer leads to a softmax that is a binary
+tree over the whole vocabulary. A node's bias comes from the counts below it, so without a context the tree gives each
+word's own frequency; its weights are a row of its own in the upper levels and a hashed one below. Training is rounds of
+local descent: each task starts from the shared parameters and goes over its own documents, each round over one position
+in ``rounds``, so that together they predict every position once; the tasks' parameters are averaged by their numbers of
+tokens in two shuffled levels. Scores sum the conditional log-probabilities of all tokens of a document.
 """
 
 from __future__ import annotations
@@ -18,15 +20,31 @@ from pyspark.sql import functions as F
 from . import _vec
 from ._scratch import small_batches
 
-CLASSES, MEMBERS, WIDTH, WINDOW, STRIDE = 64, 64, 24, 3, 16
-VOCABULARY = CLASSES * MEMBERS
-SHAPES = {"embed": (VOCABULARY, WIDTH), "side": (2 * WINDOW, WIDTH), "hidden": (WIDTH, WIDTH), "hidden_bias": (WIDTH,), "classes": (WIDTH, CLASSES), "class_bias": (CLASSES,), "members": (CLASSES, WIDTH, MEMBERS), "member_bias": (CLASSES, MEMBERS)}
+#: Words of a model without a vocabulary; rows of the embeddings and of the tree's weights.
+VOCABULARY, ROWS, WIDTH, WINDOW = 4096, 16384, 24, 3
+SHAPES = {"embed": (ROWS, WIDTH), "side": (2 * WINDOW, WIDTH), "hidden": (WIDTH, WIDTH), "hidden_bias": (WIDTH,), "nodes": (ROWS, WIDTH)}
+
+
+def tree_logits(counts: np.ndarray) -> np.ndarray:
+    """Log of right by left count at each inner node of the heap-ordered tree, whose leaf of word i is len(counts) + i."""
+    n = len(counts)
+    total = np.zeros(2 * n, np.float64)
+    total[n:] = counts
+    high = n
+    while high > 1:
+        low = (high + 1) // 2
+        total[low:high] = total[2 * low : 2 * high : 2] + total[2 * low + 1 : 2 * high : 2]
+        high = low
+    out = np.zeros(n, np.float32)
+    out[1:] = np.log(total[3::2] / total[2::2])
+    return out
 
 
-def start(seed: int = 3) -> dict[str, np.ndarray]:
+def start(seed: int = 3, logits: np.ndarray | None = None) -> dict[str, np.ndarray]:
     rng = np.random.Generator(np.random.PCG64(seed))
-    out = {k: (rng.standard_normal(s) * 0.1).astype(np.float32) if not k.endswith("bias") else np.zeros(s, np.float32) for k, s in SHAPES.items()}
+    out = {k: (rng.standard_normal(s) * 0.1).astype(np.float32) if k not in ("hidden_bias", "nodes") else np.zeros(s, np.float32) for k, s in SHAPES.items()}
     out["side"] += 1
+    out["logits"] = tree_logits(np.ones(VOCABULARY)) if logits is None else logits
     return out
 
 
@@ -34,8 +52,8 @@ def pack(model: dict[str, np.ndarray]) -> bytes:
     return np.concatenate([model[k].ravel() for k in SHAPES]).astype(np.float32).tobytes()
 
 
-def unpack(raw) -> dict[str, np.ndarray]:
-    flat, out, at = np.frombuffer(raw, np.float32) if isinstance(raw, bytes) else raw, {}, 0
+def unpack(raw: bytes, logits: np.ndarray) -> dict[str, np.ndarray]:
+    flat, out, at = np.frombuffer(raw, np.float32), {"logits": logits}, 0
     for k, s in SHAPES.items():
         n = int(np.prod(s))
         out[k] = flat[at : at + n].reshape(s).astype(np.float32)
@@ -43,118 +61,106 @@ def unpack(raw) -> dict[str, np.ndarray]:
     return out
 
 
-def tokens(column: pa.Array):
-    """(token ids, first token of each row and the total) of a slice of texts."""
+def tokens(column: pa.Array, keys: np.ndarray):
+    """(token ids, first token of each row and the total) of a slice of texts; ``keys``: the sorted hashes of all words."""
     h, first, _, _ = _vec.words(column)
-    return ((h >> np.uint64(7)) % np.uint64(VOCABULARY)).astype(np.int64), first
-
-
-def _forward(model, ids, lo, hi, at):
-    """Hidden layer and class log-probabilities at positions ``at`` of rows [lo, hi)."""
-    n = len(at)
-    ctx = np.zeros((n, WIDTH), np.float32)
-    seen = np.zeros(n, np.float32)
-    taps = []
-    for k, off in enumerate([-d for d in range(WINDOW, 0, -1)] + list(range(1, WINDOW + 1))):
-        pos = at + off
-        ok = (pos >= lo) & (pos < hi)
-        tok = ids[np.where(ok, pos, 0)]
-        ctx += model["embed"][tok] * (model["side"][k] * ok[:, None])
-        seen += ok
-        taps.append((ok, tok))
-    ctx /= np.maximum(seen, 1)[:, None]
-    hid = np.tanh(ctx @ model["hidden"] + model["hidden_bias"])
-    z = hid @ model["classes"] + model["class_bias"]
-    z -= z.max(1, keepdims=True)
-    p = np.exp(z)
-    total = p.sum(1)
-    return taps, seen, ctx, hid, z, p, total
-
-
-def log_probs(model, ids, first, step: int = 32768) -> np.ndarray:
+    own, place = np.unique(h, return_inverse=True)
+    return np.searchsorted(keys, own)[place], first
+
+
+def _picks(ids) -> np.ndarray:
+    """The two rows of embeddings of each token."""
+    h = _vec.mix(ids.astype(np.uint64) + np.uint64(1))
+    return np.stack((h % np.uint64(ROWS), (h >> np.uint64(32)) % np.uint64(ROWS))).astype(np.int64)
+
+
+def _weights(node) -> np.ndarray:
+    """The row of weights of each inner node."""
+    half = ROWS // 2
+    return np.where(node < half, node, half + (_vec.mix(node.astype(np.uint64)) % np.uint64(half)).astype(np.int64))
+
+
+def _forward(model, picks, lo, hi, at):
+    """Context and hidden layer at positions ``at`` of rows [lo, hi)."""
+    off = np.concatenate((np.arange(-WINDOW, 0), np.arange(1, WINDOW + 1)))
+    pos = at[:, None] + off
+    ok = (pos >= lo[:, None]) & (pos < hi[:, None])
+    two = picks[:, np.where(ok, pos, 0)]
+    ctx = np.einsum("nkw,kw,nk->nw", model["embed"][two[0]] + model["embed"][two[1]], model["side"], ok.astype(np.float32), optimize=False)
+    seen = np.maximum(ok.sum(1), 1).astype(np.float32)[:, None]
+    ctx /= seen
+    return ok, two, seen, ctx, np.tanh(ctx @ model["hidden"] + model["hidden_bias"])
+
+
+def log_probs(model, ids, first, step: int = 4096) -> np.ndarray:
     """Conditional log-probability of each token given its window."""
-    out = np.empty(len(ids))
+    out = np.zeros(len(ids))
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    picks, words = _picks(ids), len(model["logits"])
     for a in range(0, len(ids), step):
         at = np.arange(a, min(len(ids), a + step))
         r = row[at]
-        _, _, _, hid, z, _, total = _forward(model, ids, first[r], first[r + 1], at)
-        c, m = np.divmod(ids[at], MEMBERS)
-        lp = z[np.arange(len(at)), c] - np.log(total)
-        order = np.argsort(c, kind="stable")
-        cut = np.searchsorted(c[order], np.arange(CLASSES + 1))
-        for k in range(CLASSES):
-            own = order[cut[k] : cut[k + 1]]
-            if len(own):
-                y = hid[own] @ model["members"][k] + model["member_bias"][k]
-                y -= y.max(1, keepdims=True)
-                lp[own] += y[np.arange(len(own)), m[own]] - np.log(np.exp(y).sum(1))
-        out[at] = lp
+        hid = _forward(model, picks, first[r], first[r + 1], at)[-1]
+        leaf = ids[at] + words
+        while (inner := leaf > 1).any():
+            node = leaf >> 1
+            z = np.einsum("nw,nw->n", hid, model["nodes"][_weights(node)]) + model["logits"][node % words]
+            out[at] -= np.where(inner, np.logaddexp(0, np.where(leaf & 1, -z, z)), 0)
+            leaf = np.where(inner, node, 1)
     return out
 
 
-def train_step(model, memory, ids, lo, hi, at, rate: float) -> None:
+def _descend(model, memory, name: str, rows, grad, rate: float) -> None:
+    """A step of AdaGrad on single rows of a table; gradients of a repeated row add up."""
+    order = np.argsort(rows.astype(np.uint16), kind="stable")
+    rows = rows[order]
+    head = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1]))) if len(rows) else np.zeros(0, int)
+    if len(head):
+        g, who = np.add.reduceat(grad[order], head, axis=0), rows[head]
+        m = memory[name][who] + g * g
+        memory[name][who] = m
+        model[name][who] -= rate * g / np.sqrt(m + 1e-8)
+
+
+def train_step(model, memory, ids, picks, lo, hi, at, rate: float) -> None:
     """A step of AdaGrad on the mean loss of the positions ``at``."""
-    n = len(at)
-    taps, seen, ctx, hid, z, p, total = _forward(model, ids, lo, hi, at)
-    c, m = np.divmod(ids[at], MEMBERS)
-    p /= total[:, None]
-    p[np.arange(n), c] -= 1
-    p /= n
-    grad = {"classes": hid.T @ p, "class_bias": p.sum(0), "members": np.zeros(SHAPES["members"], np.float32), "member_bias": np.zeros(SHAPES["member_bias"], np.float32)}
-    gh = p @ model["classes"].T
-    order = np.argsort(c, kind="stable")
-    cut = np.searchsorted(c[order], np.arange(CLASSES + 1))
-    for k in range(CLASSES):
-        own = order[cut[k] : cut[k + 1]]
-        if len(own):
-            y = hid[own] @ model["members"][k] + model["member_bias"][k]
-            y = np.exp(y - y.max(1, keepdims=True))
-            y /= y.sum(1, keepdims=True)
-            y[np.arange(len(own)), m[own]] -= 1
-            y /= n
-            grad["members"][k] = hid[own].T @ y
-            grad["member_bias"][k] = y.sum(0)
-            gh[own] += y @ model["members"][k].T
-    gz = gh * (1 - hid**2)
-    grad["hidden"], grad["hidden_bias"] = ctx.T @ gz, gz.sum(0)
-    gc = (gz @ model["hidden"].T) / np.maximum(seen, 1)[:, None]
-    grad["side"] = np.zeros(SHAPES["side"], np.float32)
-    toks, parts = [], []
-    for k, (ok, tok) in enumerate(taps):
-        g = gc[ok]
-        grad["side"][k] = (g * model["embed"][tok[ok]]).sum(0)
-        toks.append(tok[ok])
-        parts.append(g * model["side"][k])
-    tok, part = np.concatenate(toks), np.concatenate(parts)
-    order = np.argsort(tok, kind="stable")
-    tok = tok[order]
-    head = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1]))) if len(tok) else np.zeros(0, int)
+    n, words = len(at), len(model["logits"])
+    ok, two, seen, ctx, hid = _forward(model, picks, lo, hi, at)
+    leaf = (ids[at] + words)[:, None] >> np.arange((2 * words - 1).bit_length() - 1)
+    node = leaf >> 1
+    inner = node > 0
+    rows = _weights(node)
+    w = model["nodes"][rows]
+    z = (w @ hid[:, :, None])[:, :, 0] + model["logits"][node]
+    err = ((1 / (1 + np.exp(-z)) - (leaf & 1)) * inner / n).astype(np.float32)
+    gz = (err[:, None, :] @ w)[:, 0] * (1 - hid**2)
+    _descend(model, memory, "nodes", rows.ravel(), (err[:, :, None] * hid[:, None, :]).reshape(-1, WIDTH), rate)  # nothing for what isn't inner
+    gc = ((gz @ model["hidden"].T) / seen)[:, None, :] * ok[:, :, None]
+    grad = {"hidden": ctx.T @ gz, "hidden_bias": gz.sum(0), "side": (gc * (model["embed"][two[0]] + model["embed"][two[1]])).sum(0)}
+    part = (gc * model["side"])[ok]
     for k, g in grad.items():
         memory[k] += g * g
         model[k] -= rate * g / np.sqrt(memory[k] + 1e-8)
-    if len(head):
-        g = np.add.reduceat(part[order], head, axis=0)
-        who = tok[head]
-        memory["embed"][who] += g * g
-        model["embed"][who] -= rate * g / np.sqrt(memory["embed"][who] + 1e-8)
+    _descend(model, memory, "embed", np.concatenate((two[0][ok], two[1][ok])), np.concatenate((part, part)), rate)
 
 
-def _train_map(shared, turn: int, batch_size: int = 512, rate: float = 0.1):
+def _train_map(shared, vocabulary, turn: int, rounds: int, batch_size: int = 512, rate: float = 0.1):
     def run(batches):
-        model = {k: v.copy() for k, v in unpack(shared.value).items()}
+        keys, logits = vocabulary.value
+        model = unpack(shared.value, logits)
         memory = {k: np.full(s, 1e-4, np.float32) for k, s in SHAPES.items()}
         count = 0
         for batch in batches:
             text = batch.column("text")
             for a, b in _vec.slices(text, 1 << 20):
-                ids, first = tokens(text[a:b])
+                ids, first = tokens(text[a:b], keys)
+                picks = _picks(ids)
                 row = np.repeat(np.arange(b - a), np.diff(first))
-                at = np.flatnonzero((np.arange(len(ids)) + turn * 5) % STRIDE == 0)
+                at = np.arange(turn, len(ids), rounds)
                 at = at[np.argsort(_vec.mix(at.astype(np.uint64)), kind="stable")]
                 for k in range(0, len(at), batch_size):
                     part = at[k : k + batch_size]
-                    train_step(model, memory, ids, first[row[part]], first[row[part] + 1], part, rate)
+                    train_step(model, memory, ids, picks, first[row[part]], first[row[part] + 1], part, rate)
                 count += len(at)
         if count:
             yield pa.RecordBatch.from_arrays([pa.array([count], pa.int64()), pa.array([pack(model)], pa.binary())], ["tokens", "model"])
@@ -162,6 +168,60 @@ def _train_map(shared, turn: int, batch_size: int = 512, rate: float = 0.1):
     return run
 
 
+def _summed(keys, counts):
+    own, place = np.unique(np.concatenate(keys), return_inverse=True)
+    return own, np.bincount(place, np.concatenate(counts), len(own)).astype(np.int64)
+
+
+COUNTED = "bucket int, words binary, counts binary"
+
+
+def _count_map(buckets: int):
+    """The distinct words of a task with their counts, packed by ranges of the hash."""
+
+    def run(batches):
+        keys, counts, size = [], [], 0
+        for batch in batches:
+            for a, b in _vec.slices(batch.column("text"), 1 << 20):
+                own, n = np.unique(_vec.words(batch.column("text")[a:b])[0], return_counts=True)
+                keys.append(own)
+                counts.append(n)
+                size += len(own)
+                if size > 2 * len(keys[0]) + 1_000_000:
+                    own, n = _summed(keys, counts)
+                    keys, counts, size = [own], [n], len(own)
+        if keys:
+            own, n = _summed(keys, counts)
+            to = ((own >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+            cut = np.searchsorted(to, np.arange(buckets + 1).astype(np.uint64))
+            rows = [(k, own[a:b].tobytes(), n[a:b].tobytes()) for k, (a, b) in enumerate(zip(cut, cut[1:])) if a < b]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], ["bucket", "words", "counts"])
+
+    return run
+
+
+def _merge_map(batches):
+    found = {}
+    for batch in batches:
+        for k, own, n in zip(*(batch.column(c).to_pylist() for c in ("bucket", "words", "counts"))):
+            a, b = found.setdefault(k, ([], []))
+            a.append(np.frombuffer(own, np.uint64))
+            b.append(np.frombuffer(n, np.int64))
+    for k, (a, b) in found.items():
+        own, n = _summed(a, b)
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([own.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], ["bucket", "words", "counts"])
+
+
+def count_words(spark: SparkSession, docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """All distinct words of the texts as sorted hashes, and the logits of their tree."""
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got = docs.select("text").mapInArrow(_count_map(buckets), COUNTED).repartition(buckets, "bucket").mapInArrow(_merge_map, COUNTED).collect()
+    got.sort(key=lambda r: r["bucket"])
+    joined = lambda c, t: np.frombuffer(b"".join(bytes(r[c]) for r in got), t)
+    return joined("words", np.uint64), tree_logits(joined("counts", np.int64))
+
+
 def _mean_map(batches):
     total, weight = None, 0
     for batch in batches:
@@ -172,12 +232,12 @@ def _mean_map(batches):
         yield pa.RecordBatch.from_arrays([pa.array([weight], pa.int64()), pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary())], ["tokens", "model"])
 
 
-def train(spark: SparkSession, docs: DataFrame, rounds: int = 2) -> bytes:
-    """Parameters after ``rounds`` passes; those of the start if there are no tokens."""
+def train(spark: SparkSession, docs: DataFrame, vocabulary, rounds: int = 2) -> bytes:
+    """Parameters after ``rounds`` rounds over all positions; those of the start if there are no tokens."""
     model = pack(start())
     for turn in range(rounds):
         shared = spark.sparkContext.broadcast(model)
-        local = docs.select("text").mapInArrow(_train_map(shared, turn), "tokens long, model binary")
+        local = docs.select("text").mapInArrow(_train_map(shared, vocabulary, turn, rounds), "tokens long, model binary")
         fan = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
         level = local.repartition(fan).mapInArrow(_mean_map, "tokens long, model binary")
         got = level.repartition(1).mapInArrow(_mean_map, "tokens long, model binary").collect()
@@ -193,13 +253,15 @@ def score(spark: SparkSession, docs: DataFrame, rounds: int = 2) -> DataFrame:
     empty context. Repeated rows count and are scored each; other columns play no part; an empty table gives no rows."""
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    shared = spark.sparkContext.broadcast(train(spark, docs, rounds))
+    vocabulary = spark.sparkContext.broadcast(count_words(spark, docs))
+    shared = spark.sparkContext.broadcast(train(spark, docs, vocabulary, rounds))
 
     def run(batches):
-        model = unpack(shared.value)
+        keys, logits = vocabulary.value
+        model = unpack(shared.value, logits)
         for batch in batches:
             for a, b in _vec.slices(batch.column("text"), 1 << 20):
-                ids, first = tokens(batch.column("text")[a:b])
+                ids, first = tokens(batch.column("text")[a:b], keys)
                 total = np.concatenate(([0.0], np.cumsum(log_probs(model, ids, first))))
                 n = np.diff(first)
                 lp = total[first[1:]] - total[first[:-1]]
