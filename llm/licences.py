@@ -1,7 +1,8 @@
-"""Licence scans with built-in functions only: lines and whole texts against licence templates by Dice coefficient over
-word bigrams.
+"""Licence scans with built-in functions only: lines, whole texts, runs of lines and sentences against licence templates
+by Dice coefficient over word bigrams.
 
-A unit (each line of a text, and the text as a whole) is normalised to lower-case words of letters and digits and turned
+A unit (each line of a text, the text as a whole, each run of lines with no more words than the largest template allows,
+and each sentence, whatever lines it is wrapped over) is normalised to lower-case words of letters and digits and turned
 into its set of bigrams. Of A and B bigrams, at most min(A, B) are shared, so a template is only compared with units of
 A * t / (2 - t) to A * (2 - t) / t bigrams for a bound t; and a unit that reaches t shares a bigram with the template, so
 units without any template's rarer words are never taken apart.
@@ -55,10 +56,45 @@ def pattern(templates: dict[str, list[str]], dice: float) -> str:
     return "(?i)(?:" + "|".join("[^a-z0-9]+".join(b.split()) for b in sorted(need)) + ")"
 
 
+def _newlines(text):
+    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+
+
+def _marked(lines, near: str):
+    """Lines with words: their number, words, and whether they match ``near``, alone or with the next one."""
+    full = F.filter(lines, lambda u: u["line"].rlike("[A-Za-z0-9]"))
+    return F.transform(full, lambda u, i: F.struct(u["unit"].alias("unit"), u["line"].alias("line"), F.size(F.filter(F.split(F.lower(u["line"]), "[^a-z0-9]+"), lambda x: x != "")).alias("n"), F.concat_ws("\n", F.transform(F.slice(full, i + 1, 2), lambda v: v["line"])).rlike(near).alias("near")))
+
+
+def _wrapped(marked, near: str, most: int):
+    """Runs of two and more such lines, of ``most`` + 1 words at most, with a match of ``near``: (unit, last, line)."""
+
+    def ends(u, i):
+        """Runs from line i on."""
+        tail = F.slice(marked, i + 1, most + 1)
+        none = F.struct(F.lit(0).alias("words"), F.lit(0).alias("lines"))
+        count = F.aggregate(tail, none, lambda a, v: F.when((a["lines"] >= 0) & (a["words"] + v["n"] <= most + 1), F.struct((a["words"] + v["n"]).alias("words"), (a["lines"] + 1).alias("lines"))).otherwise(F.struct(F.lit(most + 2).alias("words"), a["lines"].alias("lines"))), lambda a: a["lines"])
+        reach = F.slice(tail, 1, count)
+        run = lambda k: F.struct(u["unit"].alias("unit"), F.element_at(reach, k)["unit"].alias("last"), F.array_join(F.transform(F.slice(reach, 1, k), lambda v: v["line"]), "\n").alias("line"))
+        some = F.when((F.size(reach) > 1) & F.exists(reach, lambda v: v["near"]), F.sequence(F.lit(2), F.size(reach))).otherwise(F.array().cast("array<int>"))
+        return F.filter(F.transform(some, run), lambda r: r["line"].rlike(near))
+
+    return F.flatten(F.transform(marked, ends))
+
+
+def _sentences(text, near: str):
+    """Sentences with a match of ``near``: (unit, last, line), by the lines they start and end on."""
+    parts = F.split(text, r"(?<=[.!?])(?=\s)")
+    each = F.filter(F.transform(parts, lambda x, i: F.struct(i.alias("i"), x.alias("line"))), lambda u: u["line"].rlike(near))
+    begin = lambda u: F.when(u["i"] > 0, _newlines(F.array_join(F.slice(parts, 1, u["i"]), ""))).otherwise(0) + 1
+    return F.transform(each, lambda u: F.struct((begin(u) + _newlines(F.regexp_extract(u["line"], r"^\s*", 0))).cast("int").alias("unit"), (begin(u) + _newlines(u["line"])).cast("int").alias("last"), u["line"].alias("line")))
+
+
 def scan(docs: DataFrame, dice: float = 0.8, templates: dict[str, list[str]] | None = None) -> DataFrame:
     """(doc_id, unit, licence, template, dice): units of each text that reach ``dice`` with a template; ``unit`` is the
-    line's number from 1, or 0 for the whole text (given if it has several lines). Of a licence's templates each line
-    names the best one, ties by number.
+    number of the line, or of the first line of a run or sentence, from 1, or 0 for the whole text (given if it has
+    several lines). Lines and whole texts give all their hits. Runs and sentences add what these miss: with a template
+    that no line of theirs, nor the whole text, reaches; of those that overlap, the best one, the shortest and first.
 
     Null and empty texts have none; texts of any length are scanned whole; units of one word have no bigrams and match
     nothing. Repeated rows give their hits each; other columns play no part; an empty table gives an empty result."""
@@ -73,8 +109,11 @@ def scan(docs: DataFrame, dice: float = 0.8, templates: dict[str, list[str]] | N
     # bigrams number at most words; a longer text than the largest template allows is no candidate as a whole
     whole = F.when(F.instr(text, "\n") > 0, F.array(F.struct(F.lit(0).alias("unit"), text.alias("line")))).otherwise(F.array().cast("array<struct<unit:int,line:string>>"))
     hits = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).where(F.col("text").rlike(near))
-    found = hits.select("doc_id", F.explode(F.concat(F.filter(lines, lambda u: u["line"].rlike(near)), whole)).alias("u"))
-    found = found.select("doc_id", "u.unit", _unit_bigrams(F.col("u.line")).alias("b")).where(F.size("b").between(1, most))
+    plain = F.transform(F.concat(F.filter(lines, lambda u: u["line"].rlike(near)), whole), lambda u: F.struct(u["unit"].alias("unit"), u["unit"].alias("last"), u["line"].alias("line"), F.lit(False).alias("more")))
+    more = lambda a: F.transform(a, lambda u: F.struct(u["unit"].alias("unit"), u["last"].alias("last"), u["line"].alias("line"), F.lit(True).alias("more")))
+    texts = hits.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text", _marked(lines, near).alias("marked"))
+    found = texts.select("key", "doc_id", F.explode(F.concat(plain, more(_wrapped(F.col("marked"), near, most)), more(_sentences(F.col("text"), near)))).alias("u"))
+    found = found.select("key", "doc_id", "u.unit", "u.last", "u.more", _unit_bigrams(F.col("u.line")).alias("b")).where(F.size("b").between(1, most))
     cases = []
     for name, number, b in known:
         size, n = F.size("b"), len(b)
@@ -85,9 +124,14 @@ def scan(docs: DataFrame, dice: float = 0.8, templates: dict[str, list[str]] | N
         cases.append(F.when(fits & (2000 * shared >= round(1000 * dice) * (size + n)), F.struct(F.lit(name).alias("licence"), F.lit(number).alias("template"), value.cast("double").alias("dice"))))
     if not cases:
         return hits.where("false").select("doc_id", F.lit(0).alias("unit"), F.lit("").alias("licence"), F.lit(0).alias("template"), F.lit(0.0).alias("dice"))
-    each = found.select("doc_id", "unit", F.explode(F.filter(F.array(*cases), lambda c: c.isNotNull())).alias("c"))
-    best = each.select("doc_id", "unit", "c.licence", "c.template", "c.dice")
-    return best
+    each = found.select("key", "doc_id", "unit", "last", "more", F.explode(F.filter(F.array(*cases), lambda c: c.isNotNull())).alias("c"))
+    each = each.select("key", "doc_id", "unit", "last", "more", "c.licence", "c.template", "c.dice")
+    own = F.struct((-F.col("dice")).alias("d"), (F.col("last") - F.col("unit")).alias("n"), "unit", "last", "more", "dice")
+    group = each.groupBy("key", "doc_id", "licence", "template").agg(F.collect_set(own).alias("h"))
+    rank = lambda x: F.struct(x["more"], x["d"], x["n"], x["unit"])
+    hides = lambda y, x: (rank(y) < rank(x)) & ((~y["more"] & (y["unit"] == 0)) | (y["unit"] <= x["last"]) & (y["last"] >= x["unit"]))
+    best = group.select("doc_id", "licence", "template", F.explode(F.filter("h", lambda x: ~x["more"] | ~F.exists("h", lambda y: hides(y, x)))).alias("x"))
+    return best.select("doc_id", F.col("x.unit").alias("unit"), "licence", "template", F.col("x.dice").alias("dice"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 
 from keyframe.plans import sources
 from keyframe.plans import surrogates as X
-from llm import masked_lm
+from llm import licences, masked_lm
 
 D = "/root/testdata/sf0.001"
 
@@ -68,3 +68,13 @@ def test_masked_lm_learns():
         ids[20] = k
         lp[k] = masked_lm.log_probs(model, ids[17:24], np.array([0, 7]))[3]
     assert abs(np.exp(lp).sum() - 1) < 1e-4
+
+
+def test_licences_wrapped_and_embedded(spark):
+    long = " ".join(f"prose{i}" for i in range(200))
+    w = licences.TEMPLATES["MIT"][1].split()
+    wrapped = "\n".join(" ".join(w[i : i + 8]) for i in range(0, len(w), 8))
+    rows = [(1, f"{long}\n{long}\n{wrapped}\n\n{long}"), (2, f"intro\n{long}. Released under the MIT License. {long}\nend"), (3, f"x\n{long}\nReleased under the MIT License.\n{long}"), (4, f"{long}. This work is licensed under a\nCreative Commons Attribution 4.0\nInternational License. {long}"), (5, f"{long}\n{long}")]
+    got = sorted((r.doc_id, r.unit, r.licence, r.template, r.dice) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert (1, 3, "MIT", 1, 1.0) in got and (2, 2, "MIT", 0, 1.0) in got and [g[1:] for g in got if g[0] == 3] == [(3, "MIT", 0, 1.0)]
+    assert (4, 1, "CC-BY-4.0", 1, 1.0) in got and not [g for g in got if g[0] == 5]
