@@ -316,11 +316,12 @@ def _rest_pairs(num: int, nearest: bool):
     return run
 
 
-def similarity_join(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+def similarity_join(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80, count_links: bool = False) -> DataFrame:
     """Groups of documents whose shingle sets reach a Jaccard similarity of ``percent`` / 100.
 
-    ``docs`` needs doc_id and text; other columns are left out. Returns doc_id, n_shingles, component_id, n_links
-    (links between unlike texts found for the document's set; copies are not expanded). Null and empty texts, and
+    ``docs`` needs doc_id and text; other columns are left out. Returns doc_id, n_shingles, component_id, and
+    with ``count_links`` n_links: all links of the document's set to unlike sets (copies are not expanded), for which every
+    candidate pair is verified, in dense groups as many as there are links. Null and empty texts, and
     texts without words, have 0 shingles and are their own component; a text of fewer than n words is one shingle.
     Rows that repeat an id give a row each; a null id gives a null component unless its set has other documents.
     An empty table gives an empty result."""
@@ -362,7 +363,8 @@ def similarity_join(spark: SparkSession, docs: DataFrame, n: int = 5, percent: i
     runs = found.where("sig is not null").select("sig", F.explode("members").alias("node"))
     profiles = scratch.cut(blobs.mapInArrow(profile_map, "node long, profile binary"))
     tried = pairs.select("a", "b")
-    for nearest in (True, True, False):
+
+    def across_of(comp: DataFrame, nearest: bool) -> DataFrame:
         member = runs.join(comp, "node", "left").select("sig", "node", F.coalesce("comp", "node").alias("comp"))
         open_ = member.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("x <> y")
         member = member.join(open_.select("sig", "blocks"), "sig").join(nodes.select("node", "size"), "node").join(profiles, "node")
@@ -371,18 +373,26 @@ def similarity_join(spark: SparkSession, docs: DataFrame, n: int = 5, percent: i
         fields = F.struct("node", "comp", "size", "profile", (F.col("mine") <= F.col("other")).alias("side"))
         groups = member.groupBy("sig", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y")).agg(F.collect_list(fields).alias("m"))
         groups = groups.select(*(F.col(f"m.{c}").alias(c) for c in ("node", "comp", "size", "profile", "side")))
-        across = scratch.cut(groups.mapInPandas(_rest_pairs(percent, nearest), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"))
+        return groups.mapInPandas(_rest_pairs(percent, nearest), "a long, b long").distinct()
+
+    for nearest in (True, True, False):
+        across = scratch.cut(across_of(comp, nearest).join(tried, ["a", "b"], "left_anti"))
         if not across.limit(1).count():
             continue
         last = verified(across)
         links, tried = links.union(last), tried.union(across.select("a", "b"))
         if last.limit(1).count():
             comp = scratch.cut(components(links, scratch))
-    degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     home = nodes.join(comp, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
     least = home.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    home = home.join(least, "comp").join(degree, "node", "left").select("node", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = keys.join(home, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    home = home.join(least, "comp").select("node", "component_id")
+    out = keys.join(home, "node", "left").select("node", "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    if count_links:
+        single = nodes.select("node", F.col("node").alias("comp"))  # no pair is left out as joined already
+        every = verified(pairs.select("a", "b").union(across_of(single, False)).distinct())
+        degree = every.select(F.col("a").alias("node")).union(every.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
+        out = out.join(degree, "node", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+    out = out.drop("node")
     out = scratch.cut(out)
     scratch.free(keys, nodes, found, pairs, blobs, comp)
     return out

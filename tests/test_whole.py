@@ -9,7 +9,7 @@ import pytest
 
 from keyframe.plans import sources
 from keyframe.plans import surrogates as X
-from llm import licences, masked_lm
+from llm import licences, masked_lm, ngram_join
 
 D = "/root/testdata/sf0.001"
 
@@ -78,3 +78,20 @@ def test_licences_wrapped_and_embedded(spark):
     got = sorted((r.doc_id, r.unit, r.licence, r.template, r.dice) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert (1, 3, "MIT", 1, 1.0) in got and (2, 2, "MIT", 0, 1.0) in got and [g[1:] for g in got if g[0] == 3] == [(3, "MIT", 0, 1.0)]
     assert (4, 1, "CC-BY-4.0", 1, 1.0) in got and not [g for g in got if g[0] == 5]
+
+
+def test_ngram_join_counts_every_link(spark):
+    """A dense group of near copies with unlike texts, against brute force."""
+    rng = np.random.default_rng(5)
+    base = [f"w{x}" for x in range(120)]
+    texts = []
+    for k in range(30):
+        w = list(base)
+        for at in rng.integers(0, 120, k % 4):
+            w[at] = f"v{k}_{at}"
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_links for r in ngram_join.similarity_join(spark, docs, 4, 85, count_links=True).collect()}
+    sets = [frozenset(zip(*(t.split()[i:] for i in range(4)))) for t in texts]
+    links = lambda x: sum(x != y and 100 * len(x & y) >= 85 * len(x | y) for y in set(sets))
+    assert got == {i: links(x) for i, x in enumerate(sets)} and max(got.values()) > 10
