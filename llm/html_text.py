@@ -17,69 +17,145 @@ from pyspark.sql import functions as F
 
 from ._scratch import small_batches
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
+#: What ends a tag, or opens a quoted value inside it (quotes elsewhere are ordinary characters).
+_TAG_END = re.compile(r">|=\s*([\"'])")
+_NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: Numbers of character references that no code point has, beyond what int() reads.
+_HUGE = re.compile(r"&#[0-9]{1000,};?")
 #: Content that is never text of the page.
 _RAW = {"script", "style", "noscript", "template", "iframe", "svg", "object", "textarea", "select", "math", "canvas", "audio", "video"}
 _SKIP = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "fieldset", "head", "header"}
 _BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul button".split())
 _CONTAINER = set("article aside body blockquote dialog details div dl fieldset figure footer form head header main menu nav ol section table ul button".split())
-_BAD = re.compile(r"(?:^|[\s_-])(?:ads?|adv|adverts?|advertisements?|advertising|sponsor(?:ed|s)?|promo(?:tion)?s?|banners?|sidebars?|side|menus?|nav(?:bar|igation)?|breadcrumbs?|footers?|headers?|masthead|topbar|cookies?|consent|gdpr|notices?|alerts?|disclaimers?|popups?|modals?|overlays?|newsletters?|subscribe|subscriptions?|sign-?up|log-?in|share|sharing|social|related|recommend(?:ed|ations)?|comments?|commentlist|respond|reply|replies|discussion|disqus|pagination|pager|widgets?|toolbar|search|complementary|contentinfo|copyright|legal|tags?)(?:$|[\s_-])", re.I)
+#: Words of a class, id or role that mark what is never the article, wherever it stands.
+_HARD = re.compile(r"ads?|adv|adverts?|advertisements?|advertising|sponsor(?:ed|s)?|promo(?:tion)?s?|breadcrumbs?|footers?|cookies?|consent|gdpr|notices?|alerts?|disclaimers?|popups?|modals?|newsletters?|subscribe|subscriptions?|signup|login|related|recommend(?:ed|ations)?|comments?|commentlist|respond|reply|replies|discussion|disqus|pagination|pager|contentinfo|copyright", re.I)
+#: Words that also name layouts which hold the article, so that article and main lift them.
+_SOFT = re.compile(r"banners?|sidebars?|side|menus?|nav(?:bar|igation)?|headers?|masthead|topbar|overlays?|share|sharing|social|widgets?|toolbar|search|complementary|legal|tags?", re.I)
+#: Words in front of a marked one that take its meaning away: the layout has or lacks it, or it is the article's own.
+_NOT = re.compile(r"no|not|has|have|with|without|hide|hidden", re.I)
+_OWN = re.compile(r"post|entry|article|story|content|section|chapter|headline|title", re.I)
+_PARTS = re.compile(r"[-_]+")
 _STOP = frozenset("""a an and are as at be but by for from has have he her his i in is it its not of on or she that the their they this to was we were which with you
 le la les un une des du de et est en que qui dans pour pas sur au aux avec ce il elle par plus se sont son sa ne ou
 der die das und ist ein eine einer den dem des im in zu von mit nicht auf für sich auch als an es er sie wird aus bei nach
 el los las una uno y es que por con para del al no se su lo como más pero sus ya si""".split())
 
 
-def _label(tag: str, attributes: str, inside_article: bool) -> str | None:
-    """bad or good for a container that decides its blocks, else None."""
-    if tag in _SKIP and not (tag == "header" and inside_article):
-        return "bad"
+def _named(names: str) -> str | None:
+    """hard or soft if a word of a class, id or role marks an element, by whole words of whole tokens."""
+    found, skip = None, False
+    for token in names.replace("sign-up", "signup").replace("log-in", "login").split():
+        parts = _PARTS.split(token)
+        for i, part in enumerate(parts):
+            off = skip or i > 0 and bool(_NOT.fullmatch(parts[i - 1]))
+            if off:
+                continue
+            if _HARD.fullmatch(part):
+                return "hard"
+            if _SOFT.fullmatch(part) and not (part.lower() in ("header", "headers") and i > 0 and _OWN.fullmatch(parts[i - 1])):
+                found = "soft"
+        skip = bool(_NOT.fullmatch(token))  # "with share"
+    return found
+
+
+def _label(tag: str, attributes: str, in_article: bool) -> str | None:
+    """hard, soft or good for a container that decides its blocks, else None."""
+    if tag in _SKIP and not (tag == "header" and in_article):
+        return "hard"
+    if tag == "body":
+        return None
+    own = None
     for m in _NAMES.finditer(attributes):
-        if _BAD.search(m[1] or m[2] or m[3] or ""):
-            return "bad"
-    return "good" if tag in ("article", "main") else None
+        own = max(own or "", _named(m[1] or m[2] or m[3] or "") or "", key=("", "soft", "hard").index) or None
+    return own or ("good" if tag in ("article", "main") else None)
+
+
+def _tag_end(page: str, at: int) -> int:
+    """The place of the > that closes the tag whose attributes start at ``at``; -1 if the page ends first."""
+    while m := _TAG_END.search(page, at):
+        if not m[1]:
+            return m.start()
+        at = page.find(m[1], m.end()) + 1 or m.end()  # a quote that never closes is an ordinary character
+    return -1
+
+
+def _unescape(text: str) -> str:
+    return html.unescape(_HUGE.sub("\ufffd", text) if len(text) > 1000 and "&#" in text else text)
 
 
 def blocks(page: str):
-    """(text, length of link text, standing, number of the container) of each block that isn't empty."""
+    """(text, length of link text, standing, number of the container) of each block that isn't empty.
+
+    Standing: good inside article or main, lifted if these stand in a container that a soft word marks, hard or soft
+    where a container speaks against the block, else None. One pass over the page; what is looked for in vain once
+    isn't looked for again, so that the time is linear in the page whatever it holds."""
     out, buf, link, depth_a = [], [], 0, 0
-    stack: list[tuple[str, str | None, int]] = [("", None, 0)]
+    stack: list[tuple[str, str | None, int, bool]] = [("", None, 0, False)]  # tag, standing, container, inside an article
+    depth: dict[str, int] = {}
+    unclosed: set[str] = set()
     number = 0
     at, n = 0, len(page)
 
     def close():
         nonlocal link
         if buf:
-            text = " ".join(html.unescape("".join(buf)).split())
+            text = " ".join(_unescape("".join(buf)).split())
             if text:
                 out.append((text, link, stack[-1][1], stack[-1][2]))
             buf.clear()
         link = 0
 
+    def add(piece):
+        nonlocal link
+        buf.append(piece)
+        if depth_a:
+            link += len(piece)
+
     while at < n:
-        m = _TAG.search(page, at)
-        piece = page[at : m.start() if m else n]
-        if piece:
-            buf.append(piece)
-            if depth_a:
-                link += len(piece)
-        if not m:
+        i = page.find("<", at)
+        if i < 0:
+            i = n
+        if i > at:
+            add(page[at:i])
+        if i == n:
             break
-        at = m.end()
-        if m[1] is not None:
-            buf.append(html.escape(m[1]))
+        after = page[i + 1 : i + 2]
+        if after in ("!", "?"):
+            if page.startswith("<!--", i):
+                till = page.find("-->", i + 4)
+                at = n if till < 0 else till + 3
+            elif page.startswith("<![CDATA[", i) and "]]>" not in unclosed and (till := page.find("]]>", i + 9)) >= 0:
+                add(html.escape(page[i + 9 : till]))
+                at = till + 3
+            else:
+                if page.startswith("<![CDATA[", i):
+                    unclosed.add("]]>")
+                till = page.find(">", i)
+                at = n if till < 0 else till + 1
             continue
-        if not (tag := m[3]):
+        m = _NAME.match(page, i + 1)
+        if not m:
+            add("<")
+            at = i + 1
             continue
-        tag, end = tag.lower(), bool(m[2])
-        if tag in _RAW and not end and not m[4].rstrip().endswith("/"):
-            till = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = till.end() if till else n
+        till = _tag_end(page, m.end())
+        if till < 0:
+            break
+        tag, end, attributes = m[1].lower(), after == "/", page[m.end() : till]
+        at = till + 1
+        if tag in _RAW and not end and not attributes.rstrip().endswith("/"):
+            shut = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            if shut:
+                at = shut.end()
+            elif tag in ("script", "style"):
+                break
+            else:
+                unclosed.add(tag)  # only the tag itself goes
             continue
         if tag == "a":
             depth_a = max(0, depth_a - 1) if end else 1
-        elif tag in ("br", "hr", "img", "input", "wbr") and tag != "wbr":
+        elif tag in ("br", "hr", "img", "input"):
             buf.append(" ")
         if tag not in _BLOCK:
             continue
@@ -89,32 +165,48 @@ def blocks(page: str):
         if tag not in _CONTAINER and tag != "title":
             continue
         if end:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-        elif not m[4].rstrip().endswith("/"):
+            if depth.get(tag):
+                while True:
+                    gone = stack.pop()[0]
+                    depth[gone] -= 1
+                    if gone == tag:
+                        break
+        elif not attributes.rstrip().endswith("/"):
             number += 1
-            up = stack[-1]
-            own = "bad" if up[1] == "bad" or tag == "title" else _label(tag, m[4], any(x[0] == "article" for x in stack)) or up[1]
-            stack.append((tag, own, number if own != up[1] or tag in ("article", "main") else up[2]))
+            _, up, box, inside = stack[-1]
+            own = "hard" if tag == "title" else _label(tag, attributes, inside)
+            if up == "hard" or own == "hard":
+                own = "hard"
+            elif up == "soft":
+                own = "lifted" if own == "good" else "soft"
+            elif up == "lifted":
+                own = "soft" if own == "soft" else "lifted"
+            else:
+                own = own or up
+            stack.append((tag, own, number if own != up or tag in ("article", "main") else box, inside or tag in ("article", "main")))
+            depth[tag] = depth.get(tag, 0) + 1
     close()
     return out
 
 
-def main_text(page: str | None, long: int = 20, stop_share: float = 0.15, link_share: float = 0.5) -> str:
-    found = blocks(page or "")
-    verdict: list[bool | None] = []
+def verdicts(found, long: int = 20, stop_share: float = 0.15, link_share: float = 0.5) -> list[bool | None]:
+    """Pass one: True, False, or None where a block is too short or too unlike a sentence to tell."""
+    out: list[bool | None] = []
     for text, link, standing, _ in found:
         words = text.split()
         dense = link > link_share * len(text)
-        if standing == "bad" or dense and len(words) < 60:
-            verdict.append(False)
+        if standing in ("hard", "soft") or dense and len(words) < 60:
+            out.append(False)
         elif len(words) >= long and (standing == "good" or len(words) >= 3 * long or sum(w.strip(".,;:!?").lower() in _STOP for w in words) >= stop_share * len(words)):
-            verdict.append(True)
+            out.append(True)
         else:
-            verdict.append(None)
-    keep = []
+            out.append(None)
+    return out
+
+
+def inherit(found, verdict: list[bool | None]) -> list[bool]:
+    """Pass two: undecided blocks take the label of the nearest decided ones of their container."""
+    keep: list[bool] = []
     last: dict[int, int] = {}
     before: list[int | None] = []
     for i, (_, _, _, box) in enumerate(found):
@@ -127,21 +219,34 @@ def main_text(page: str | None, long: int = 20, stop_share: float = 0.15, link_s
         after[i] = nxt.get(found[i][3])
         if verdict[i] is not None:
             nxt[found[i][3]] = i
-    for i, (text, _, standing, _) in enumerate(found):
+    bare = not any(standing == "good" for _, _, standing, _ in found) and not any(verdict)  # a page of short blocks only
+    for i, (_, _, standing, _) in enumerate(found):
         v = verdict[i]
         if v is None:
             p, q = before[i], after[i]
-            if standing == "good" and (p is None or q is None):
+            if standing == "good":
                 v = True
             elif p is None and q is None:
-                v = standing == "good" or not any(found[j][2] == "good" for j in range(len(found))) and not any(verdict[j] for j in range(len(found)))
+                v = bare
             elif p is None or q is None or verdict[p] == verdict[q]:
                 v = verdict[q if p is None else p]
             else:
                 v = verdict[p] if i - p <= q - i else verdict[q]
-            if standing == "good" and not v:
-                v = True
-        keep.append(v)
+        keep.append(bool(v))
+    return keep
+
+
+def main_text(page: str | None) -> str:
+    """The blocks that are kept. An article in a softly marked container counts if the page has none elsewhere; where
+    nothing is kept at all, softly marked containers are judged by their blocks alone."""
+    found = blocks(page or "")
+    good = any(standing == "good" for _, _, standing, _ in found)
+    found = [(t, k, ("soft" if good else "good") if standing == "lifted" else standing, box) for t, k, standing, box in found]
+    keep = inherit(found, verdicts(found))
+    if not any(keep) and any(standing == "soft" for _, _, standing, _ in found):
+        freed = [(t, k, None if standing == "soft" else standing, box) for t, k, standing, box in found]
+        verdict = verdicts(freed)
+        keep = inherit(freed, verdict) if any(verdict) else keep
     return "\n".join(text for (text, *_), k in zip(found, keep) if k)
 
 
