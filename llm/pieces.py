@@ -1,8 +1,10 @@
 """SentencePiece encoding and decoding with Gumbel top-k sampling.
 
 Text becomes the model's symbols (a mark for each space, one in front) and a lattice: an edge for each vocabulary piece,
-and one of byte pieces for a character that has none. No piece spans the start of a word, so the lattice is a chain of
-word lattices, one for each distinct word of a slice of rows; a slice is worked on as flat arrays, all rows at once. Edges weigh ``-temperature * log(rank + 2)`` by merge rank.
+and one of byte pieces for a character that has none. Where two neighbouring characters stand together in no piece, no
+edge spans their border, so the lattice is a chain of small ones cut at all such places (starts of words are some; text
+without spaces has others), one for each distinct stretch of a slice of rows; a slice is worked on as flat arrays, all
+rows at once. Edges weigh ``-temperature * log(rank + 2)`` by merge rank.
 
 Sampling is an A* search over perturbed log-masses: the root's value is Gumbel noise around the lattice's mass, each
 node passes its value on to its best child, which has its share of the mass as probability, and truncated Gumbel values to the others, and the largest open value is
@@ -12,9 +14,7 @@ lower bound gives each path's inclusion score 1 - exp(-exp(log p - kappa)). All
 
 from __future__ import annotations
 
-import re
 from functools import lru_cache
-from itertools import chain
 from math import log
 
 import numpy as np
@@ -27,42 +27,77 @@ from ._scratch import small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-_WORD = re.compile(f"{MARK}+[^{MARK}]*")
+
+
+#: Kinds of pieces in a model file.
+UNKNOWN, CONTROL, UNUSED, BYTE = 2, 3, 5, 6
+
+
+def _varint(raw: bytes, at: int) -> tuple[int, int]:
+    value, shift = 0, 0
+    while True:
+        x = raw[at]
+        value, shift, at = value | (x & 127) << shift, shift + 7, at + 1
+        if x < 128:
+            return value, at
+
+
+def _fields(raw: bytes):
+    """(number, value) of each field of a protocol-buffer message."""
+    at = 0
+    while at < len(raw):
+        tag, at = _varint(raw, at)
+        if tag & 7 == 0:
+            value, at = _varint(raw, at)
+        else:
+            size, at = _varint(raw, at) if tag & 7 == 2 else ({1: 8, 5: 4}[tag & 7], at)
+            value, at = raw[at : at + size], at + size
+        yield tag >> 3, value
+
+
+def read_model(path: str) -> list[tuple[str, int]]:
+    """(piece, kind) in the order of ids. The file is read directly: a loaded processor takes tens of MB a worker."""
+    with open(path, "rb") as f:
+        raw = f.read()
+    parts = (dict(_fields(value)) for number, value in _fields(raw) if number == 1)
+    return [(part.get(1, b"").decode(), part.get(3, 1)) for part in parts]
 
 
 class Vocabulary:
     """The model's pieces as a trie in a hash table: (state, character) to state, looked up for many places at once."""
 
     def __init__(self, path: str, temperature: float):
-        import sentencepiece
-
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        n = sp.get_piece_size()
-        self.pieces = [sp.id_to_piece(i) for i in range(n)]
-        self.is_byte = np.array([sp.is_byte(i) for i in range(n)])
+        model = read_model(path)
+        n = len(model)
+        kind = np.array([k for _, k in model])
+        is_byte = kind == BYTE
         self.byte = np.zeros(256, np.int32)
-        for i in np.flatnonzero(self.is_byte):
-            self.byte[int(self.pieces[i][3:5], 16)] = i
-        usable = {p: i for i, p in enumerate(self.pieces) if not (self.is_byte[i] or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
-        assert not any(MARK in p.lstrip(MARK) for p in usable), "a piece spans the start of a word"
+        for i in np.flatnonzero(is_byte).tolist():
+            self.byte[int(model[i][0][3:5], 16)] = i
+        usable = {p: i for i, (p, k) in enumerate(model) if k not in (UNKNOWN, CONTROL, UNUSED, BYTE)}
         self.weight = -temperature * np.log(np.arange(n) + 2.0)
         self.fallback = -temperature * log(n + 2)
         self.char = np.zeros(0x110000, np.int32)
         letters = sorted({c for p in usable for c in p})
         self.char[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
         self.width = len(letters) + 1
+        number = dict(zip(letters, range(1, self.width)))
+        pairs = np.zeros(self.width**2, bool)  # neighbours inside a piece
         child, ends = {}, [-1]
         for p, i in usable.items():
-            state = 0
-            for c in p:
-                key = state * self.width + int(self.char[ord(c)])
+            state, last = 0, 0
+            for c in map(number.__getitem__, p):
+                if last:
+                    pairs[last * self.width + c] = True
+                key = state * self.width + c
                 if key not in child:
                     child[key] = len(ends)
                     ends.append(-1)
-                state = child[key]
+                state, last = child[key], c
             ends[state] = i
+        self.pairs = np.packbits(pairs, bitorder="little")
         self.ends = np.array(ends, np.int32)
-        self.raw = pa.array([bytes([int(p[3:5], 16)]) if b else p.encode() for p, b in zip(self.pieces, self.is_byte.tolist())], pa.large_binary())
+        self.raw = pa.array([bytes([int(p[3:5], 16)]) if k == BYTE else p.encode() for p, k in model], pa.large_binary())
         self.start = np.zeros(self.width, np.int32)
         self.start[1:] = [child.get(c, 0) for c in range(1, self.width)]
         bits = (4 * len(child)).bit_length()
@@ -74,6 +109,13 @@ class Vocabulary:
                 slot = (slot + 1) & self.mask
             self.keys[slot], self.next[slot] = key, value
 
+    def apart(self, cls: np.ndarray) -> np.ndarray:
+        """Whether no piece holds each character together with the one before it (the first: always)."""
+        out = np.ones(len(cls), bool)
+        key = cls[:-1].astype(np.int64) * self.width + cls[1:]
+        out[1:] = (self.pairs[key >> 3] >> (key & 7).astype(np.uint8)) & 1 == 0
+        return out
+
     def _slot(self, key: np.ndarray) -> np.ndarray:
         return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
@@ -121,15 +163,30 @@ class Lattice:
 
     def __init__(self, voc: Vocabulary, texts: list[str]):
         self.voc = voc
-        words = [_WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        self.doc_word = np.concatenate(([0], np.cumsum([len(w) for w in words])))  # first word of each text, and the total
-        distinct = dict.fromkeys(chain.from_iterable(words))
-        number = dict(zip(distinct, range(len(distinct))))
-        if not number:
+        raw = [(MARK + t.replace(" ", MARK)).encode("utf-32-le", "surrogatepass") if t else b"" for t in texts]
+        text = np.frombuffer(b"".join(raw), np.int32)
+        if not len(text):
+            self.doc_word = np.zeros(len(texts) + 1, np.int64)
             return
-        self.word = np.fromiter(map(number.__getitem__, chain.from_iterable(words)), np.int64, int(self.doc_word[-1]))
-        size = np.fromiter(map(len, number), np.int64, len(number))
-        code = np.frombuffer("".join(number).encode("utf-32-le", "surrogatepass"), np.int32)
+        starts = np.concatenate(([0], np.cumsum([len(x) // 4 for x in raw])))
+        del raw
+        cls = voc.char[text]
+        cut = voc.apart(cls)
+        cut[starts[starts < len(text)]] = True
+        begin = np.flatnonzero(cut)
+        length = np.diff(np.append(begin, len(text)))
+        self.doc_word = np.searchsorted(begin, starts)  # first word of each text, and the total
+        # distinct words by hash, held against the characters themselves
+        power = _vec._powers(int(length.max()))[_ragged(np.zeros(len(begin), np.int64), length)]
+        value = _vec.mix(np.add.reduceat(_vec.mix(text.astype(np.uint64) + np.uint64(1)) * power, begin) + length.astype(np.uint64))
+        _, lead, self.word = np.unique(value, return_index=True, return_inverse=True)
+        same = (length == length[lead][self.word]).all() and (text == text[_ragged(begin[lead][self.word], length)]).all()
+        if not same:
+            distinct: dict[bytes, int] = {}
+            self.word = np.array([distinct.setdefault(text[a : a + k].tobytes(), len(distinct)) for a, k in zip(begin.tolist(), length.tolist())], np.int64)
+            lead = np.unique(self.word, return_index=True)[1]
+        size = length[lead]
+        code = text[_ragged(begin[lead], size)]
         level = np.cumsum(np.bincount(size, minlength=int(size.max()) + 1)[::-1])[::-1]  # words with as many characters or more
         start = np.concatenate(([0], np.cumsum(level)))
         rank = np.empty(len(size), np.int64)
