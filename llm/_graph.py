@@ -9,7 +9,7 @@ from ._scratch import Scratch
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, comp): the smallest node reachable, for each node of ``links(a, b)``.
+    """(node, comp), written: the smallest node reachable, for each node of ``links(a, b)``.
 
     Alternates large-star and small-star steps; each is one grouped minimum and one join, so a hot node is
     pre-aggregated before its shuffle and its join partition is split by AQE. Rounds are logarithmic in the
@@ -33,4 +33,6 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         if state <= 1 and not nested:
             break
     roots = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("comp"))
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(roots)
+    out = scratch.cut(edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(roots))
+    scratch.free(edges)
+    return out

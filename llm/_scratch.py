@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's shared folder; only where the setting is absent (local tests) an own one is made."""
+    """The session's shared folder; only where the setting is absent in a local session (tests) an own one is made."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir isn't set: on a cluster it must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="llm-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -47,9 +52,22 @@ class Scratch:
         return out
 
     def free(self, *frames: DataFrame) -> None:
-        """Delete tables that no later plan reads."""
+        """Delete tables that no later plan reads, and let Spark delete the shuffle files of plans that have ended: it
+        does so only when the driver collects its garbage, which a long job of large shuffles cannot wait for."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for df in frames:
             if path := getattr(df, "scratch_path", None):
                 p = jvm.org.apache.hadoop.fs.Path(path)
                 p.getFileSystem(conf).delete(p, True)
+        gc.collect()
+        jvm.System.gc()
+
+
+#: Ids that are sent to every task at most: 8 MB.
+FEW = 1 << 20
+
+
+def semi(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """The rows of ``df`` whose ``column`` is in ``ids``, a written table: by broadcast if it has no more than FEW rows, so
+    that ``df`` isn't shuffled, else by a shuffled join."""
+    return df.join(F.broadcast(ids) if ids.count() <= FEW else ids, column, "left_semi")

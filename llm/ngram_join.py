@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 
 from . import _vec
 from ._graph import components
-from ._scratch import Scratch
+from ._scratch import Scratch, semi
 
+#: Bytes of signatures that a task pairs at once, about, and bytes of them for each shingle of the input.
+PACK_BYTES, SHINGLE_BYTES = 24 << 20, 6
 #: Groups up to this size give all their pairs at once; larger ones give pairs with their least member first,
 #: and the rest only where components stay apart.
 SMALL = 4
@@ -232,12 +234,17 @@ def bucket_map(num: int):
 
 
 def blob_map(n: int):
-    """Whole sets as packed 48-bit hashes."""
+    """Whole sets as packed 48-bit hashes, each set of a task once."""
 
     def run(batches):
+        seen: set[int] = set()
         for batch in batches:
-            got = [(set_key(s), s) for s in sets_of(batch.column("text"), n) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([np.ascontiguousarray(g[1].view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes() for g in got], pa.binary())], ["node", "blob"])
+            got = {}
+            for s in sets_of(batch.column("text"), n):
+                if len(s) and (key := set_key(s)) not in seen:
+                    got[key] = np.ascontiguousarray(s.view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
+                    seen.add(key)
+            yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int64()), pa.array(list(got.values()), pa.binary())], ["node", "blob"])
 
     return run
 
@@ -329,18 +336,41 @@ def similarity_join(spark: SparkSession, docs: DataFrame, n: int = 5, percent: i
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     keys = scratch.cut(docs.mapInArrow(keys_map(n), "doc_id long, n_shingles long, node long"))
     nodes = scratch.cut(keys.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").cast("int").alias("size")))
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shingles_ = keys.agg(F.sum("n_shingles")).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), shingles_ * SHINGLE_BYTES // PACK_BYTES + 1)
     packs = docs.mapInArrow(packs_map(n, percent, buckets), "bucket int, sig binary, who binary, nodes binary, sizes binary")
     found = scratch.cut(packs.repartition(buckets, "bucket").mapInArrow(bucket_map(percent), "a long, b long, votes long, least int, sig long, members array<long>"))
+    del packs
+    scratch.free()
     pairs = scratch.cut(found.where("a is not null").groupBy("a", "b").agg(F.sum("votes").alias("votes"), F.max("least").alias("least")).where("votes >= least").select("a", "b", "votes"))
-    in_pairs = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).union(found.where("sig is not null").select(F.explode("members").alias("node"))).distinct()
-    wanted = nodes.join(in_pairs, "node", "left_semi").select(F.col("rep").alias("doc_id"))
-    blobs = scratch.cut(docs.join(wanted, "doc_id", "left_semi").mapInArrow(blob_map(n), "node long, blob binary").dropDuplicates(["node"]))
+    runs = scratch.cut(found.where("sig is not null").select("sig", F.explode("members").alias("node")))
+    scratch.free(found)
+    in_pairs = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).union(runs.select("node")).distinct()
+    wanted = scratch.cut(nodes.join(in_pairs, "node", "left_semi").select("node", "rep"))
+    # a node's text is that of its least doc_id, or of a row without an id if it has no other
+    ids = scratch.cut(wanted.where("rep is not null").select(F.col("rep").alias("doc_id")).distinct())
+    texts = semi(docs, ids, "doc_id")
+    if wanted.where("rep is null").limit(1).count():
+        texts = texts.union(docs.where("doc_id is null"))
+    blobs = scratch.cut(texts.mapInArrow(blob_map(n), "node long, blob binary"))
+    if blobs.count() != blobs.select("node").distinct().count():  # rows that repeat an id, or have none
+        again, blobs = blobs, scratch.cut(blobs.dropDuplicates(["node"]))
+        scratch.free(again)
+    del texts
+    scratch.free(wanted, ids)
 
     def verified(these: DataFrame) -> DataFrame:
-        with_b = these.select("a", "b").join(blobs.select(F.col("node").alias("b"), F.col("blob").alias("blob_b")), "b")
-        both = with_b.join(blobs.select(F.col("node").alias("a"), F.col("blob").alias("blob_a")), "a")
-        return scratch.cut(both.select("a", "b", "blob_a", "blob_b").mapInArrow(verify_map(percent), "a long, b long"))
+        """The pairs of the written table ``these`` that reach the bound; only the sets they name are shuffled."""
+        sides = []
+        for x in "ab":
+            own = scratch.cut(these.select(F.col(x).alias("node")).distinct())
+            sides.append((own, semi(blobs, own, "node").select(F.col("node").alias(x), F.col("blob").alias(f"blob_{x}"))))
+        (own_a, blob_a), (own_b, blob_b) = sides
+        both = these.select("a", "b").join(blob_b, "b").join(blob_a, "a")
+        out = scratch.cut(both.select("a", "b", "blob_a", "blob_b").mapInArrow(verify_map(percent), "a long, b long"))
+        del sides, blob_a, blob_b, both
+        scratch.free(own_a, own_b)
+        return out
 
     def apart(these: DataFrame, comp: DataFrame) -> DataFrame:
         """Pairs whose components differ."""
@@ -349,52 +379,65 @@ def similarity_join(spark: SparkSession, docs: DataFrame, n: int = 5, percent: i
         return out.where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b")
 
     # 1. each node with the least-numbered partner that shares most signatures; most groups close here
-    best = pairs.groupBy("b").agg(F.max(F.struct("votes", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
+    best = scratch.cut(pairs.groupBy("b").agg(F.max(F.struct("votes", "a")).alias("x")).select(F.col("x.a").alias("a"), "b"))
     links = verified(best)
-    comp = scratch.cut(components(links, scratch))
+    comp = components(links, scratch)
+    scratch.free(links)
     # 2. what is still apart
-    tried = best
-    rest = apart(pairs, comp)
-    more = verified(rest.join(tried, ["a", "b"], "left_anti"))
-    links = links.union(more)
-    comp = scratch.cut(components(links, scratch))
+    rest = scratch.cut(apart(pairs, comp).join(best, ["a", "b"], "left_anti"))
+    comp = _grown(comp, verified(rest), scratch)
+    scratch.free(best, rest)
     # 3. large groups that still span components: rounds in which each member meets its nearest partner beyond its own
     # component, which join most of what belongs together; then all pairs across components, whatever is left
-    runs = found.where("sig is not null").select("sig", F.explode("members").alias("node"))
-    profiles = scratch.cut(blobs.mapInArrow(profile_map, "node long, profile binary"))
-    tried = pairs.select("a", "b")
-
-    def across_of(comp: DataFrame, nearest: bool) -> DataFrame:
-        member = runs.join(comp, "node", "left").select("sig", "node", F.coalesce("comp", "node").alias("comp"))
-        open_ = member.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("x <> y")
-        member = member.join(open_.select("sig", "blocks"), "sig").join(nodes.select("node", "size"), "node").join(profiles, "node")
+    tried = [pairs.select("a", "b")]
+
+    def across_of(comp: DataFrame | None, nearest: bool) -> DataFrame:
+        """Pairs of members of large groups that profiles allow; ``comp`` None: whatever is joined already."""
+        member = runs.join(comp, "node", "left").select("sig", "node", F.coalesce("comp", "node").alias("comp")) if comp is not None else runs.select("sig", "node", F.col("node").alias("comp"))
+        open_ = scratch.cut(member.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("x <> y").select("sig", "blocks"))
+        member = scratch.cut(member.join(open_, "sig"))
+        who = scratch.cut(member.select("node").distinct())
+        profiles = scratch.cut(semi(blobs, who, "node").mapInArrow(profile_map, "node long, profile binary"))
+        wide = member.join(nodes.select("node", "size"), "node").join(profiles, "node")
         mine = F.pmod(F.xxhash64("node"), "blocks").cast("int")
-        member = member.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        wide = wide.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         fields = F.struct("node", "comp", "size", "profile", (F.col("mine") <= F.col("other")).alias("side"))
-        groups = member.groupBy("sig", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y")).agg(F.collect_list(fields).alias("m"))
+        groups = wide.groupBy("sig", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y")).agg(F.collect_list(fields).alias("m"))
         groups = groups.select(*(F.col(f"m.{c}").alias(c) for c in ("node", "comp", "size", "profile", "side")))
-        return groups.mapInPandas(_rest_pairs(percent, nearest), "a long, b long").distinct()
+        out = groups.mapInPandas(_rest_pairs(percent, nearest), "a long, b long").distinct()
+        for t in tried if comp is not None else []:
+            out = out.join(t, ["a", "b"], "left_anti")
+        out = scratch.cut(out)
+        del wide, groups
+        scratch.free(open_, member, who, profiles)
+        return out
 
     for nearest in (True, True, False):
-        across = scratch.cut(across_of(comp, nearest).join(tried, ["a", "b"], "left_anti"))
-        if not across.limit(1).count():
-            continue
-        last = verified(across)
-        links, tried = links.union(last), tried.union(across.select("a", "b"))
-        if last.limit(1).count():
-            comp = scratch.cut(components(links, scratch))
+        across = across_of(comp, nearest)
+        if across.limit(1).count():
+            comp = _grown(comp, verified(across), scratch)
+        tried.append(across)
     home = nodes.join(comp, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
     least = home.groupBy("comp").agg(F.min("rep").alias("component_id"))
     home = home.join(least, "comp").select("node", "component_id")
     out = keys.join(home, "node", "left").select("node", "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     if count_links:
-        single = nodes.select("node", F.col("node").alias("comp"))  # no pair is left out as joined already
-        every = verified(pairs.select("a", "b").union(across_of(single, False)).distinct())
+        every = verified(scratch.cut(pairs.select("a", "b").union(across_of(None, False)).distinct()))  # no pair is left out as joined already
         degree = every.select(F.col("a").alias("node")).union(every.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
         out = out.join(degree, "node", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
-    out = out.drop("node")
-    out = scratch.cut(out)
-    scratch.free(keys, nodes, found, pairs, blobs, comp)
+    out = scratch.cut(out.drop("node"))
+    scratch.free(keys, nodes, pairs, runs, blobs, comp, *tried)
+    return out
+
+
+def _grown(comp: DataFrame, more: DataFrame, scratch: Scratch) -> DataFrame:
+    """Components after further links; those found so far stand for the links they were made of."""
+    if not more.limit(1).count():
+        scratch.free(more)
+        return comp
+    stars = comp.where("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b"))
+    out = components(stars.union(more.select("a", "b")), scratch)
+    scratch.free(comp, more)
     return out
 
 
