@@ -1,8 +1,10 @@
-"""Substring dedup by unit hashing: lines, cut further at sentence ends, are normalised and hashed to 128 bits; of each
+"""Substring dedup by line hashing: lines, cut further at sentence ends, are normalised and hashed to 128 bits; of each
 digest the earliest ranked occurrence (least doc_id, then place) stays and later ones go, by offsets into the original.
 
-A unit alone may repeat by chance where it is short, so removal looks at runs: consecutive units of a document that all
-repeat an earlier one go together if the run has a unit of ``unit_words`` words or ``run_words`` words in all.
+A line goes as a whole if all its units repeat earlier ones. Sentences inside other lines may repeat by chance where they
+are short, so there removal looks at runs: consecutive units of a document that all repeat an earlier one go together
+if the run has a unit of ``unit_words`` words or ``run_words`` words in all. ``line_words`` sets a least length for
+lines too (none by default).
 """
 
 from __future__ import annotations
@@ -13,74 +15,87 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _vec
-from ._scratch import small_batches
+from ._scratch import Scratch
 
-UNIT_WORDS, RUN_WORDS = 8, 20
+UNIT_WORDS, RUN_WORDS, LINE_WORDS = 8, 20, 0
 
 
 def units(column: pa.Array):
-    """Units of a slice of texts: (first unit of each row and the total, byte start, byte end, words, two hashes).
+    """Units of a slice of texts: (first unit of each row and the total, byte start, byte end, words, two hashes, whether
+    a line starts with it).
 
     A unit ends after a word that ends in . ! or ?, and at each line feed; case and white space don't count."""
     h, first, begin, end = _vec.words(column)
     data, offsets = _vec.string_parts(column)
     if not len(h):
         z = np.zeros(0, np.int64)
-        return np.zeros(len(column) + 1, np.int64), z, z, z, z, z
+        return np.zeros(len(column) + 1, np.int64), z, z, z, z, z, z
     last = data[end - 1]
     stop = (last == 46) | (last == 33) | (last == 63)
     feeds = np.concatenate(([0], np.cumsum(data == 10)))
-    stop[:-1] |= feeds[begin[1:]] > feeds[end[:-1]]
-    stop[first[1:][np.diff(first) > 0] - 1] = True
-    at = np.concatenate(([0], np.flatnonzero(stop)[:-1] + 1))
+    line = np.zeros(len(h), bool)  # words after which a line or a text ends
+    line[:-1] = feeds[begin[1:]] > feeds[end[:-1]]
+    line[first[1:][np.diff(first) > 0] - 1] = True
+    stop |= line
     till = np.flatnonzero(stop) + 1
+    at = np.concatenate(([0], till[:-1]))
+    opens = np.concatenate(([True], line[till[:-1] - 1]))
     size = till - at
     place = np.arange(len(h)) - np.repeat(at, size)
     pw = _vec._powers(int(size.max()))[place]
     d1 = _vec.mix(np.add.reduceat(h * pw, at) + size.astype(np.uint64))
     d2 = _vec.mix(np.add.reduceat(_vec.mix(h + np.uint64(0x1234567)) * pw, at))
-    return np.searchsorted(at, first), begin[at], end[till - 1], size, d1, d2
+    return np.searchsorted(at, first), begin[at], end[till - 1], size, d1, d2, opens
+
+
+KEY = ["rank_id", "key_1", "key_2"]
 
 
 def _units_map(batches):
     for batch in batches:
-        key, ids, text = batch.column("row_key"), batch.column("rank_id"), batch.column("text")
+        text = batch.column("text")
         for a, b in _vec.slices(text):
-            first, _, _, _, d1, d2 = units(text[a:b])
+            first, _, _, _, d1, d2, _ = units(text[a:b])
             if not len(d1):
                 continue
             count = np.diff(first)
-            who = np.repeat(np.arange(a, b), count)
+            who = pa.array(np.repeat(np.arange(a, b), count))
             pos = np.arange(len(d1)) - np.repeat(first[:-1], count)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(who)), key.take(pa.array(who)), pa.array(pos.astype(np.int32)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64))], ["rank_id", "row_key", "pos", "d1", "d2"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(who) for c in KEY), pa.array(pos.astype(np.int32)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64))], [*KEY, "pos", "d1", "d2"])
+
 
+def _edges(flags: np.ndarray):
+    """(start, end) of each run of true flags."""
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], flags.astype(np.int8), [0])))).tolist()
+    return zip(edge[::2], edge[1::2])
 
-def runs(flags: np.ndarray, size: np.ndarray, unit_words: int, run_words: int) -> np.ndarray:
-    """Which units go: whole runs of flagged units that are long enough."""
-    out = np.zeros(len(flags), bool)
-    edge = np.flatnonzero(np.diff(np.concatenate(([0], flags.astype(np.int8), [0]))))
-    for a, b in zip(edge[::2], edge[1::2]):
-        out[a:b] = size[a:b].max() >= unit_words or size[a:b].sum() >= run_words
+
+def gone(flags: np.ndarray, size: np.ndarray, opens: np.ndarray, unit_words: int, run_words: int, line_words: int) -> np.ndarray:
+    """Which units go: lines that repeat whole, and whole runs of flagged units that are long enough."""
+    at = np.flatnonzero(opens)
+    whole = np.logical_and.reduceat(flags, at) & (np.add.reduceat(size, at) >= line_words)
+    out = np.repeat(whole, np.diff(np.append(at, len(flags))))
+    for a, b in _edges(flags):
+        if size[a:b].max() >= unit_words or size[a:b].sum() >= run_words:
+            out[a:b] = True
     return out
 
 
-def cut_text(text: str | None, repeats, unit_words: int, run_words: int):
+def cut_text(text: str | None, repeats, unit_words: int = UNIT_WORDS, run_words: int = RUN_WORDS, line_words: int = LINE_WORDS):
     """(text without the removed units, [(start, end, words)] in code points of the original)."""
     if not text or repeats is None or not len(repeats):
         return text, []
     raw = text.encode()
-    _, start, end, size, _, _ = units(pa.array([text]))
+    _, start, end, size, _, _, opens = units(pa.array([text]))
     flags = np.zeros(len(start), bool)
     flags[np.asarray(repeats)] = True
-    gone = runs(flags, size, unit_words, run_words)
-    if not gone.any():
+    cut = gone(flags, size, opens, unit_words, run_words, line_words)
+    if not cut.any():
         return text, []
     nxt = np.append(start[1:], len(raw))
-    kept, at = [], 0
     chars = np.concatenate(([0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)))
-    spans = []
-    edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(np.int8), [0]))))
-    for a, b in zip(edge[::2], edge[1::2]):
+    kept, spans, at = [], [], 0
+    for a, b in _edges(cut):
         kept.append(raw[at : start[a]])
         at = nxt[b - 1]
         spans.append((int(chars[start[a]]), int(chars[end[b - 1]]), int(size[a:b].sum())))
@@ -88,70 +103,72 @@ def cut_text(text: str | None, repeats, unit_words: int, run_words: int):
     return b"".join(kept).decode(), spans
 
 
-def _apply_map(unit_words: int, run_words: int):
+CUT = "struct<text:string,removed:array<struct<start:int,end:int,words:int>>>"
+
+
+def _cut_column(*words: int):
+    """(text, repeats) to the text that stays and the removed spans."""
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32())]))
 
-    def run(batches):
-        for batch in batches:
-            texts, spans = [], []
-            for t, r in zip(batch.column("text").to_pylist(), batch.column("repeats").to_pylist()):
-                t, s = cut_text(t, r, unit_words, run_words)
-                texts.append(t)
-                spans.append([dict(zip(("start", "end", "words"), x)) for x in s])
-            yield pa.RecordBatch.from_arrays([batch.column("row_key"), pa.array(texts, pa.string()), pa.array(spans, span)], ["row_key", "text", "removed"])
-
-    return run
-
-
-def removals(spark: SparkSession, docs: DataFrame, unit_words: int = UNIT_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
-    """(row_key, text, removed) for each distinct row of ``docs(row_key, rank_id, text)`` that loses something.
-
-    The grouping of digests combines before its shuffle; the join back to the units leaves hot digests to AQE's
-    splitting of skewed partitions. Each unit passes as five numbers, never as text."""
-    small_batches(spark)
-    rows = docs.select("rank_id", "row_key", "text")
-    u = rows.mapInArrow(_units_map, "rank_id long, row_key long, pos int, d1 long, d2 long")
-    dup = u.groupBy("d1", "d2").agg(F.count("*").alias("k"), F.min(F.struct("rank_id", "row_key", "pos")).alias("first")).where("k > 1")
-    dup = dup.select("d1", "d2", F.col("first.row_key").alias("first_key"), F.col("first.pos").alias("first_pos"))
-    later = u.select("row_key", "pos", "d1", "d2").join(dup, ["d1", "d2"]).where("row_key <> first_key or pos <> first_pos").select("row_key", "pos")
-    marks = later.groupBy("row_key").agg(F.collect_set("pos").alias("repeats"))
-    hit = rows.select("row_key", "text")
-    out = hit.join(marks, "row_key").mapInArrow(_apply_map(unit_words, run_words), "row_key long, text string, removed array<struct<start:int,end:int,words:int>>")
-    return out.where(F.size("removed") > 0)
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    """row_key tells rows apart by id and text; rank_id ranks them, null ids last."""
+    @F.arrow_udf(CUT)
+    def cut(text: pa.Array, repeats: pa.Array) -> pa.Array:
+        texts, spans = [], []
+        for t, r in zip(text, repeats):
+            t, found = cut_text(t.as_py(), r.as_py(), *words)
+            texts.append(t)
+            spans.append([dict(zip(("start", "end", "words"), x)) for x in found])
+        return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(spans, span)], ["text", "removed"])
+
+    return cut
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with rank_id (the doc_id; null ids last) and two hashes of the text, which tell rows apart."""
     text = F.col("text").cast("string")
-    rank = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
-    return docs.select(F.xxhash64(rank, text).alias("row_key"), rank.alias("rank_id"), text.alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
+    return docs.withColumns({"rank_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), "key_1": F.xxhash64(text), "key_2": F.xxhash64(F.lit("text"), text)})
+
+
+def repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """(rank_id, key_1, key_2, repeats): the places of the units of each distinct row that repeat an earlier one.
+
+    The grouping of digests combines before its shuffle. The digests that occur twice are written, so that their join to
+    the units is of two shuffled sides, of which Spark splits partitions that a hot digest makes large. A unit passes as
+    numbers, never as text."""
+    scratch = Scratch(spark, "lines")
+    u = keyed(docs).select(*KEY, F.col("text").cast("string").alias("text")).mapInArrow(_units_map, "rank_id long, key_1 long, key_2 long, pos int, d1 long, d2 long")
+    dup = scratch.cut(u.groupBy("d1", "d2").agg(F.count("*").alias("k"), F.min(F.struct(*KEY, "pos")).alias("first")).where("k > 1").select("d1", "d2", "first"))
+    scratch.free()
+    later = u.join(dup, ["d1", "d2"]).where(F.struct(*KEY, "pos") != F.col("first")).select(*KEY, "pos")
+    return later.groupBy(*KEY).agg(F.collect_set("pos").alias("repeats"))
 
 
-def dedup(spark: SparkSession, docs: DataFrame, unit_words: int = UNIT_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
+def dedup(spark: SparkSession, docs: DataFrame, unit_words: int = UNIT_WORDS, run_words: int = RUN_WORDS, line_words: int = LINE_WORDS) -> DataFrame:
     """``docs`` with repeated units cut from text (and n_chars, if there is one, set to the new length).
 
-    Ranks: least doc_id first (null ids last), then place in the text; within a document later repeats go as well.
-    Null and empty texts stay as they are. Rows with equal id and text are one document and get the same result. All
-    other columns stay; an empty table gives an empty result."""
-    keyed = docs.withColumn("__key", F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), F.col("text").cast("string")))
-    cut = removals(spark, _keyed(docs), unit_words, run_words).dropDuplicates(["row_key"]).select(F.col("row_key").alias("__key"), F.col("text").alias("__text"), F.lit(True).alias("__hit"))
-    out = keyed.join(cut, "__key", "left")
-    new = F.when(F.col("__hit"), F.col("__text")).otherwise(F.col("text"))
-    cols = []
-    for c in docs.columns:
-        if c == "text":
-            cols.append(new.alias("text"))
-        elif c == "n_chars":
-            cols.append(F.when(F.col("__hit"), F.length("__text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars"))
-        else:
-            cols.append(F.col(c))
-    return out.select(*cols)
+    Ranks: least doc_id first (null ids last), then the text's hashes, then place in the text; within a document later
+    repeats go as well. Null and empty texts stay as they are. Rows with equal id and text are one document and get the
+    same result. All other columns stay, whatever their names; an empty table gives an empty result."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    text = names[docs.columns.index("text")]
+    ranked = keyed(docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names))).alias("row")))
+    out = ranked.join(repeats(spark, docs), KEY, "left")
+    hit = F.col("repeats").isNotNull()
+    out = out.withColumn("cut", _cut_column(unit_words, run_words, line_words)(F.when(hit, F.col(f"row.{text}").cast("string")), F.col("repeats")))
+    new = {text: F.when(hit, F.col("cut.text")).otherwise(F.col(f"row.{text}"))}
+    if "n_chars" in docs.columns:
+        n = names[docs.columns.index("n_chars")]
+        new[n] = F.when(F.size("cut.removed") > 0, F.length("cut.text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col(f"row.{n}"))
+    return out.select(*(new.get(n, F.col(f"row.{n}")).alias(c) for c, n in zip(docs.columns, names)))
+
+
+def removed(spark: SparkSession, docs: DataFrame, unit_words: int = UNIT_WORDS, run_words: int = RUN_WORDS, line_words: int = LINE_WORDS) -> DataFrame:
+    """(doc_id, start_char, end_char, n_words): one row for each removed run, in code points of the original text; for
+    rows that repeat an id and a text, one for each of them."""
+    rows = keyed(docs.select("doc_id", F.col("text").cast("string").alias("text"))).join(repeats(spark, docs.select("doc_id", "text")), KEY)
+    cut = rows.select(F.col("doc_id").cast("long").alias("doc_id"), _cut_column(unit_words, run_words, line_words)("text", "repeats").alias("cut"))
+    return cut.select("doc_id", F.explode("cut.removed").alias("r")).select("doc_id", F.col("r.start").alias("start_char"), F.col("r.end").alias("end_char"), F.col("r.words").alias("n_words"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each removed run: doc_id, start and end (code points of the original text), words."""
-    keyed = _keyed(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    # row_key is derived from the id; carry the id along with the text
-    cut = removals(spark, keyed)
-    ids = keyed.select("row_key", "doc_id").distinct()
-    return cut.join(ids, "row_key").select("doc_id", F.explode("removed").alias("r")).select("doc_id", F.col("r.start").alias("start_char"), F.col("r.end").alias("end_char"), F.col("r.words").alias("n_words"))
+    """Every removed run of the documents, short lines included."""
+    return removed(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))

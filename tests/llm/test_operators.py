@@ -194,7 +194,7 @@ def test_line_dedup_brute(spark):
     assert got == {1: rows[1][1], 2: "Own start of two.\nend", 3: "third ones tail", 4: None, 5: "", 6: "Hi."}
     out = line_dedup.dedup(spark, docs(spark, ODD))
     assert out.count() == len(ODD) and out.columns == docs(spark, []).columns
-    text, spans = line_dedup.cut_text("é A b c d e f g h.\nrest", [0], 8, 20)
+    text, spans = line_dedup.cut_text("é A b c d e f g h.\nrest", [0], 8, 20, 0)
     assert (text, spans) == ("rest", [(0, 18, 9)])
 
 
