@@ -23,8 +23,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeats of units are cut from the texts."""
-    return line_dedup.dedup(spark, docs)
+    """Later repeats of units are cut from the texts; short lines stay, as clean documents have them in common."""
+    return line_dedup.dedup(spark, docs, line_words=line_dedup.UNIT_WORDS)
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
