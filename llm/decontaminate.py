@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from . import _vec
 from ._scratch import Scratch
 
-TERMS, SKETCH, COMMON, RANK, BLOCK, PASSAGE = 1 << 13, 48, 12, 32, 8, 32
-#: Benchmark items searched at once; more go in further rounds over the documents.
-ITEMS = 4096
+TERMS, SKETCH, BLOCK, PASSAGE = 1 << 13, 48, 8, 32
+#: Benchmark items searched in one round over the documents (more go in further rounds), and held against windows at once.
+ITEMS, AT_ONCE = 4096, 512
 
 
 def _blocks(first: np.ndarray, size: int):
@@ -92,14 +92,14 @@ def _add_map(batches):
 
 
 def latent_space(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> np.ndarray:
-    """TERMS x RANK projection, IDF included. What comes to the driver has the size of the sketch, whatever the input."""
+    """TERMS x SKETCH projection, IDF included. What comes to the driver has the size of the sketch, whatever the input."""
     df = docs.mapInArrow(_df_map, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()
     count = np.zeros(TERMS + 1)
     for r in df:
         count[r[0]] = r[1]
     weight = np.log1p(count[TERMS] / np.maximum(count[:TERMS], 1)).astype(np.float32)
     if not count[TERMS]:
-        return np.zeros((TERMS, RANK), np.float32)
+        return np.zeros((TERMS, SKETCH), np.float32)
     parts = 32
     sums = docs.mapInArrow(_sketch_map(weight, parts), "part int, sums binary")
     fan = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -117,12 +117,10 @@ def latent_space(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> np.n
 
 
 def projection(left, singular, weight) -> np.ndarray:
-    """The directions after the first COMMON ones, scaled to equal spread: the first ones tell languages and frequent
-    words, which all texts of a language share, and would rule the cosine. Small inputs have fewer; then all serve."""
-    if len(singular) > COMMON + RANK // 2:
-        left, singular = left[:, COMMON:], singular[COMMON:]
-    basis = np.zeros((TERMS, RANK), np.float32)
-    n = min(RANK, left.shape[1])
+    """All directions found, scaled to equal spread: the first ones tell languages and frequent words, which all texts of a
+    language share, and would rule the cosine if each had its own weight. The same for any number of directions."""
+    basis = np.zeros((TERMS, SKETCH), np.float32)
+    n = min(SKETCH, left.shape[1])
     basis[:, :n] = left[:, :n] / np.maximum(singular[:n], 1e-9 * singular[:1])
     return basis * weight[:, None]
 
@@ -162,7 +160,7 @@ class Items:
             self.answers.append(_vec.words(pa.array([answer]), alnum=True)[0].tolist())
             v = space[(h & np.uint64(TERMS - 1)).astype(np.int64)].sum(0)
             vec.append(v / max(float(np.linalg.norm(v)), 1e-12))
-        self.vec = np.array(vec, np.float32).reshape(-1, RANK)
+        self.vec = np.array(vec, np.float32).reshape(-1, SKETCH)
         self.terms = np.zeros((len(self.words), TERMS), bool)
         for i, w in enumerate(self.words):
             self.terms[i, (np.array(w, np.uint64) & np.uint64(TERMS - 1)).astype(np.int64)] = True
@@ -182,7 +180,7 @@ def _search_map(space: np.ndarray, items: Items, cosine: float, share: float, sh
                 start, at = _blocks(first, BLOCK)
                 t = (h & np.uint64(TERMS - 1)).astype(np.int64)
                 e = np.add.reduceat(space[t], start, axis=0)
-                c = np.concatenate((np.zeros((1, RANK)), np.cumsum(e, axis=0, dtype=np.float64)))
+                c = np.concatenate((np.zeros((1, SKETCH)), np.cumsum(e, axis=0, dtype=np.float64)))
                 home = np.repeat(np.arange(b - a), np.diff(at))
                 last = at[home + 1]
                 place = np.arange(len(start))
@@ -192,7 +190,10 @@ def _search_map(space: np.ndarray, items: Items, cosine: float, share: float, sh
                     fit = (till - place == n) | (place == at[home])
                     w = (c[till] - c[place])[fit].astype(np.float32)
                     w /= np.maximum(np.linalg.norm(w, axis=1), 1e-9)[:, None]
-                    near, which = np.nonzero(w @ items.vec[own].T >= cosine * min(1.0, 0.7 + 0.05 * int(n)))  # few blocks are never well aligned
+                    least = cosine * min(1.0, 0.7 + 0.05 * int(n))  # few blocks are never well aligned
+                    parts = [np.nonzero(w @ items.vec[own[k : k + AT_ONCE]].T >= least) for k in range(0, len(own), AT_ONCE)]
+                    near = np.concatenate([p[0] for p in parts])
+                    which = np.concatenate([p[1] + k * AT_ONCE for k, p in enumerate(parts)])
                     if not len(near):
                         continue
                     block = place[fit][near]
@@ -235,24 +236,25 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, cos
 
     ``benchmark`` has item_id and text, and may have answer; ITEMS items are held by a task at once and more are
     searched in rounds. Null, empty and wordless texts and items match nothing; items are found anywhere in texts of
-    any length; repeated rows give repeated hits only if they carry other ids. Other columns play no part."""
+    any length. An id with several rows is found by any of them, once for a document: ties between equal shares go to the
+    hit with the answer, then to the later place. Rows that repeat a doc_id are one document here; hits of rows with a null
+    id have a null id. Other columns play no part; empty tables give no hits."""
     scratch = Scratch(spark, "decontaminate")
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     space = latent_space(spark, docs, scratch)
     bench = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"), (F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")).alias("answer")).where("item_id is not null")
-    out, least = None, None
+    bench = bench.where("text is not null").distinct().select(F.struct("item_id", "text", F.coalesce("answer", F.lit("")).alias("answer")).alias("row"))
+    out, last = None, None
     while True:
-        rows = (bench if least is None else bench.where(F.col("item_id") > least)).orderBy("item_id", "text").limit(ITEMS).collect()
+        rows = [r.row for r in (bench if last is None else bench.where(F.col("row") > F.struct(*(F.lit(x).alias(c) for c, x in zip(("item_id", "text", "answer"), last))))).orderBy("row").limit(ITEMS).collect()]
         if not rows and out is not None:
             break
-        if full := len(rows) == ITEMS:  # the block ends between two ids, so the last one is left for the next
-            rows = [r for r in rows if r[0] < rows[-1][0]] or rows
         shared = spark.sparkContext.broadcast((space, Items([tuple(r) for r in rows], space)))
         hits = docs.mapInArrow(_with(shared, cosine, share, share_with_answer), "doc_id long, item_id long, lcs_share double, has_answer boolean, word_at long")
         out = hits if out is None else out.union(hits)
-        if not full:
+        if len(rows) < ITEMS:
             break
-        least = rows[-1][0]
+        last = tuple(rows[-1])
     return out.groupBy("doc_id", "item_id").agg(F.max(F.struct("lcs_share", "has_answer", "word_at")).alias("x")).select("doc_id", "item_id", "x.lcs_share", "x.has_answer", "x.word_at")
 
 
