@@ -24,12 +24,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Texts may be long, so Arrow batches between the JVM and Python carry no more than ``rows`` rows."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, rows)
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
+    """Texts and packed rows may be long, so Arrow batches between the JVM and Python carry no more than ``rows`` rows, and no
+    further row from ``size`` bytes on. A session's setting (Spark has none for a single plan); only ever lowered."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = int(re.match(r"-?\d+", spark.conf.get(key))[0]) if re.fullmatch(r"-?\d+b?", spark.conf.get(key), re.I) else 0
+        if now <= 0 or now > most:
+            spark.conf.set(key, most)
 
 
 class Scratch:
