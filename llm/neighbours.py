@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ._scratch import Scratch
 
 #: Rows of a shard; links of a node (twice as many on the lowest level); nodes kept in sight while building and searching.
-SHARD_ROWS, LINKS, BUILD, SEARCH = 1 << 16, 16, 64, 256
+SHARD_ROWS, LINKS, BUILD, SEARCH = 1 << 15, 16, 64, 384
 #: Nodes opened at a time, and nodes of a batch by the number of nodes there are.
 OPEN, MOST = 4, 512
 #: Queries of a block; blocks that a task reads behind one copy of a graph; bytes of a piece of a graph.
@@ -78,7 +78,9 @@ class Graph:
             near = np.where(np.repeat(shut, link.shape[1], 1), -1, near)
             r, c = np.nonzero(near >= 0)
             key = live[r] * n + near[r, c]
-            key = np.unique(key[~seen[key]])
+            key = key[~seen[key]]
+            key.sort()
+            key = key[np.concatenate(([True], key[1:] != key[:-1]))] if len(key) else key
             seen[key] = True
             r, c = np.divmod(key, n)
             d = np.maximum(self.sq[c] - 2 * np.einsum("kd,kd->k", self.y[c], q[r]) + square[r], 0)
