@@ -110,3 +110,20 @@ def actions_match(a: Column, b: Column, boxes: Column, tap: float = 0.04) -> Col
     axis = lambda s: F.abs(s["x2"] - s["x"]) > F.abs(s["y2"] - s["y"])
     dual = (a["type_id"] == 4) & (b["type_id"] == 4)
     return F.when(~dual, a["type_id"] == b["type_id"]).when(is_tap(a) != is_tap(b), False).when(is_tap(a), both | near).otherwise(axis(a) == axis(b))
+
+
+#: Strokes (x, y, x2, y2) of the predicted scroll types.
+STROKES = {0: (0.5, 0.8, 0.5, 0.2), 1: (0.5, 0.2, 0.5, 0.8), 8: (0.2, 0.5, 0.8, 0.5), 9: (0.8, 0.5, 0.2, 0.5)}
+
+
+def predicted_points(kind: Column, x: Column, y: Column, text: Column) -> Column:
+    """A predicted action as struct(type_id, touch_y, touch_x, lift_y, lift_x, typed): taps and scrolls are dual points
+    (type 4), other types stand at -1; only typing (3) has text, in lower case."""
+    ends = []
+    for place, own in ((1, y), (0, x), (3, y), (2, x)):
+        at = F.when(kind == 4, own)
+        for k, stroke in STROKES.items():
+            at = at.when(kind == k, F.lit(stroke[place]))
+        ends.append(at.otherwise(-1.0))
+    type_id = F.when(kind.isin(4, *STROKES), 4).otherwise(kind).cast("int")
+    return F.struct(type_id.alias("type_id"), *(e.alias(n) for e, n in zip(ends, ("touch_y", "touch_x", "lift_y", "lift_x"))), F.when(kind == 3, F.lower(F.coalesce(text, F.lit("")))).otherwise("").alias("typed"))

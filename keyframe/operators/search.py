@@ -39,56 +39,78 @@ STRATEGIES = {
 }
 
 
-def tree_search(frames: DataFrame, strategy: str, start: int = 4, limit: int = 16, beam: int = 3, steps: int = 20) -> DataFrame:
-    """(video, frame) after opening segments at their midpoints until ``limit`` frames, nothing to split, or no steps."""
-    pick = STRATEGIES[strategy]
+def tree_search(frames: DataFrame, strategy: str, interval: int = 20, beam: int = 3, steps: int = 4, others: str = "retain") -> DataFrame:
+    """(video, answer, at_step, n_frames, frames): the caption search of each video.
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("idx")
-        v, n = f["v"].to_numpy(float), len(f)
-        sample = sorted({i * (n - 1) // (start - 1) for i in range(start)}) if n > start else list(range(n))
-        for _ in range(steps):
-            able = [s for s in frontier(sample) if s[1] - s[0] > 1]
-            if len(sample) >= limit or not able:
-                break
-            new = [(a + b) // 2 for a, b in pick(v, able, beam)]
-            sample = sorted(set(sample) | set(new[: limit - len(sample)]))
-        return pd.DataFrame({"video": f["video"].iloc[0], "frame": sample})
-
-    return frames.groupBy("video").applyInPandas(run, "video long, frame int")
-
-
-def adaptive_search(frames: DataFrame, start: int = 4, limit: int = 16, imbalance: float = 3.0, same: int = 20) -> DataFrame:
-    """(video, frame, n_steps, forced, reason): the largest gap is forced while gaps are out of balance; else the most
-    relevant segment opens. A new frame like a neighbour (values within ``same``) freezes its segment. Stops at the limit,
-    after five fruitless steps or with nothing to split; the rest is filled by largest gaps."""
+    The sample starts with every ``interval``-th frame. A step answers from the sample and, while there is no answer,
+    opens segments at their middles: bfs once, several at a time, the other strategies one at a time, ``beam`` times.
+    Without an answer in ``steps`` steps all frames seen are asked about once more, then directly."""
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("idx")
-        v, n = f["v"].to_numpy(float), len(f)
-        if n <= limit:
-            return pd.DataFrame({"video": f["video"].iloc[0], "frame": range(n), "n_steps": 0, "forced": 0, "reason": "short"})
-        sample, frozen, stalled, steps, forced, reason = [i * (n - 1) // (start - 1) for i in range(start)], set(), 0, 0, 0, "attempts"
-        for _ in range(limit - start + 10):
-            segs = frontier(sample)
-            able = [s for s in segs if s[1] - s[0] > 1 and s not in frozen]
-            if len(sample) >= limit or stalled >= 5 or not able:
-                reason = "max_frames" if len(sample) >= limit else "stalled" if stalled >= 5 else "nothing_to_split"
+        got = answered_search(f["v"].to_numpy(float), STRATEGIES[strategy], spread_answer(f["v"].to_numpy(float)), interval, 1 if strategy == "bfs" else beam, steps, others, beam)
+        return pd.DataFrame([{"video": f["video"].iloc[0], **got}])
+
+    return frames.groupBy("video").applyInPandas(run, "video long, answer int, at_step string, n_frames int, frames array<int>")
+
+
+def spread_answer(v):
+    """A stand-in for two answer routes: sure once the sample spans much of what there is. (s, confidence, r, confidence)."""
+    whole = float(np.ptp(v)) + 1
+
+    def answer(sample):
+        part = float(np.ptp(v[sample])) if len(sample) else 0.0
+        s, r = int(sum(sample)) % 5, int(len(sample) + sample[-1]) % 5
+        return s, 1 + int(3 * part / whole), r, 1 + len(sample) % 3
+
+    return answer
+
+
+def split_others(segments, chosen, others: str, last: int):
+    """Segments after the chosen ones are halved: ``retain`` keeps the others, ``prune`` drops them, ``merge`` puts a segment
+    in each gap between the chosen, up to the last frame."""
+    out, at = [], segments[0][0] if segments else 0
+    for s in segments:
+        if s in chosen:
+            if others == "merge" and at < s[0]:
+                out.append((at, s[0]))
+            m = (s[0] + s[1]) // 2
+            out += [(s[0], m), (m, s[1])] if s[1] - s[0] > 1 else [s]
+            at = s[1]
+        elif others == "retain":
+            out.append(s)
+    if others == "merge" and at < last:
+        out.append((at, last))
+    return out
+
+
+def answered_search(v, pick, answer, interval: int, rounds: int, steps: int, others: str, beam: int, least: int = 3) -> dict:
+    n = len(v)
+    sample = list(range(0, n, interval))
+    seen, segments, result, at = set(sample), frontier(sample), -1, None
+
+    def both(frames, label):
+        s, s_sure, r, r_sure = answer(frames)
+        if s != -1 and s_sure >= least:
+            return s, f"{label}_s_qa"
+        return (r, f"{label}_r_qa") if r != -1 and r_sure >= least else (-1, None)
+
+    for step in range(1, steps + 1):
+        result, at = both(sample, step)
+        if result != -1:
+            break
+        for _ in range(rounds):
+            able = [s for s in segments if s[1] - s[0] > 1]
+            if not able:
                 break
-            gap = [b - a for a, b in segs]
-            out = max(gap) > imbalance * sum(gap) / len(gap) and len(sample) >= start + 2
-            s = longest(able)[0] if out else sorted(able, key=lambda s: (-(relevance(v, s) + change(v, s)), s[0]))[0]
-            m, steps, forced = (s[0] + s[1]) // 2, steps + 1, forced + out
-            if min(abs(v[m] - v[s[0]]), abs(v[m] - v[s[1]])) <= same:
-                frozen.add(s)
-                stalled += 1
-            else:
-                sample, stalled = sorted([*sample, m]), 0
-        while len(sample) < limit and (s := longest(frontier(sample))):
-            sample = sorted([*sample, (s[0][0] + s[0][1]) // 2])
-        return pd.DataFrame({"video": f["video"].iloc[0], "frame": sample, "n_steps": steps, "forced": int(forced), "reason": reason})
-
-    return frames.groupBy("video").applyInPandas(run, "video long, frame int, n_steps int, forced int, reason string")
+            segments = split_others(segments, pick(v, able, beam), others, n - 1)
+            sample = sorted({i for s in segments for i in s})
+        seen |= set(sample)
+    if result == -1:
+        result, at = both(sorted(seen), "post")
+    if result == -1:
+        result, at = answer(sorted(seen))[0], "final_direct_qa"
+    return {"answer": result, "at_step": at, "n_frames": len(seen), "frames": sorted(seen)}
 
 
 def force_fill(frames: DataFrame, limit: int = 8) -> DataFrame:
@@ -102,74 +124,3 @@ def force_fill(frames: DataFrame, limit: int = 8) -> DataFrame:
         return pd.DataFrame({"video": f["video"].iloc[0], "frame": sample})
 
     return frames.groupBy("video").applyInPandas(run, "video long, frame int")
-
-
-def refine_search(frames: DataFrame, start: int = 5, limit: int = 16, rounds: int = 2) -> DataFrame:
-    """(video, frame, rounds): up to two refinements; each adds every fourth candidate of the least sure segment, until
-    the confidence (1 to 3 by the sample's spread) is 3."""
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("idx")
-        v, n = f["v"].to_numpy(float), len(f)
-        sample, done = sorted({i * (n - 1) // (start - 1) for i in range(start)}), 0
-        while done < rounds and len(sample) < limit:
-            if 1 + int(np.ptp(v[sample]) * 3 // (np.ptp(v) + 1)) >= 3:
-                break
-            a, b = max(frontier(sample), key=lambda s: (relevance(v, s), -s[0]))
-            add = [i for i in range(a + 1, b) if (i - a) % 4 == 0][: limit - len(sample)] or ([(a + b) // 2] if b - a > 1 else [])
-            sample, done = sorted(set(sample) | set(add)), done + 1
-        return pd.DataFrame({"video": f["video"].iloc[0], "frame": sample, "rounds": done})
-
-    return frames.groupBy("video").applyInPandas(run, "video long, frame int, rounds int")
-
-
-def ward(x: np.ndarray, k: int) -> np.ndarray:
-    """Labels of k clusters by Ward's criterion, by repeated nearest merges (Lance and Williams); groups are small."""
-    n = len(x)
-    label, size = list(range(n)), {i: 1 for i in range(n)}
-    d = ((x[:, None] - x[None]) ** 2).sum(-1) / 2
-    np.fill_diagonal(d, np.inf)
-    alive = list(range(n))
-    while len(alive) > k:
-        sub = d[np.ix_(alive, alive)]
-        p, q = np.unravel_index(int(sub.argmin()), sub.shape)
-        i, j = sorted((alive[p], alive[q]))
-        for m in alive:
-            if m not in (i, j):
-                t = size[i] + size[j] + size[m]
-                d[i, m] = d[m, i] = ((size[i] + size[m]) * d[i, m] + (size[j] + size[m]) * d[j, m] - size[m] * d[i, j]) / t
-        size[i] += size[j]
-        alive.remove(j)
-        label = [i if a == j else a for a in label]
-    names = {a: r for r, a in enumerate(dict.fromkeys(label))}
-    return np.array([names[a] for a in label])
-
-
-def cluster_tree(vectors: DataFrame, width: int = 4, most: int = 16) -> DataFrame:
-    """(label, vec_id): representatives of Ward clusters and sub-clusters of each label's vectors, by relevance (id mod 3
-    + 1): 1 keeps the cluster's representative, 2 one of each sub-cluster, 3 goes a level deeper; up to ``most``."""
-
-    def centre(x, ids):
-        c = x.mean(0)
-        return ids[int(np.argmin(np.round(((x - c) ** 2).sum(1), 9)))]
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("vec_id")
-        x, ids = np.array(f["vec"].tolist(), float), f["vec_id"].to_numpy()
-        out: list[int] = []
-
-        def down(at, depth):
-            rep = centre(x[at], ids[at])
-            out.append(int(rep))
-            if depth and len(at) > width:
-                lab = ward(x[at], width)
-                for c in range(width):
-                    down(at[lab == c], depth - 1)
-
-        first = ward(x, min(width, len(x)))
-        for c in range(first.max() + 1):
-            at = np.flatnonzero(first == c)
-            down(at, int(centre(x[at], ids[at])) % 3)
-        return pd.DataFrame({"label": f["label"].iloc[0], "vec_id": sorted(dict.fromkeys(out))[:most]})
-
-    return vectors.groupBy("label").applyInPandas(run, "label int, vec_id long")

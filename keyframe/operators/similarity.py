@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,3 +56,44 @@ def histogram(frames: DataFrame, part: str, value: Column, bins: int) -> DataFra
     h = frames.select(part, value.alias("bin")).groupBy(part, "bin").agg(F.count("*").alias("n"))
     total = F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(part))
     return h.withColumn("norm", F.round(F.col("n") / F.sqrt(total), 6))
+
+
+def laplacian_variance(picture: Column, width: int) -> Column:
+    """Variance of the Laplacian of a square picture given as one array; cells beyond the border mirror those inside."""
+    n = width * width
+    near = [(i + width if i < width else i - width, i - width if i >= n - width else i + width, i + 1 if i % width == 0 else i - 1, i - 1 if i % width == width - 1 else i + 1) for i in range(n)]
+    around = F.array(*(F.array(*map(F.lit, x)) for x in near))
+    value = F.zip_with(around, picture, lambda a, v: F.aggregate(a, F.lit(0.0), lambda s, j: s + F.get(picture, j)) - 4 * v)
+    mean = F.aggregate(value, F.lit(0.0), lambda s, x: s + x) / n
+    return F.aggregate(value, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / n
+
+
+def bounds(picture: Column, width: int, over: Column) -> Column:
+    """struct(left_px, top_px, right_px, bottom_px) of the cells of a square picture over a value; (0, 0, 1, 1) without any."""
+    cells = F.filter(F.transform(picture, lambda v, i: F.when(v > over, i)), lambda i: i.isNotNull())
+    cols, rows = F.transform(cells, lambda i: i % width), F.transform(cells, lambda i: F.floor(i / width).cast("int"))
+    low, high = (lambda a: F.coalesce(F.array_min(a), F.lit(0))), (lambda a: F.coalesce(F.array_max(a) + 1, F.lit(1)))
+    return F.struct(low(cols).alias("left_px"), low(rows).alias("top_px"), high(cols).alias("right_px"), high(rows).alias("bottom_px"))
+
+
+def ssim(a: np.ndarray, b: np.ndarray, window: int = 7) -> float:
+    """Mean structural similarity of two square pictures over all whole windows, evenly weighted; sample covariances, range
+    by the two pictures' values."""
+    span = max(float(max(a.max(), b.max()) - min(a.min(), b.min())), 1e-12)
+    c1, c2 = (0.01 * span) ** 2, (0.03 * span) ** 2
+    x, y = (np.lib.stride_tricks.sliding_window_view(v, (window, window)).reshape(-1, window * window) for v in (a, b))
+    mx, my = x.mean(1), y.mean(1)
+    vx, vy = x.var(1, ddof=1), y.var(1, ddof=1)
+    both = ((x - mx[:, None]) * (y - my[:, None])).sum(1) / (window * window - 1)
+    return float((((2 * mx * my + c1) * (2 * both + c2)) / ((mx**2 + my**2 + c1) * (vx + vy + c2))).mean())
+
+
+def structural_similarity(a: Column, b: Column) -> Column:
+    """``ssim`` of two square pictures given as arrays."""
+
+    @F.pandas_udf("double")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        side = lambda v: np.asarray(v, float).reshape(int(len(v) ** 0.5), -1)
+        return pd.Series([ssim(side(p), side(q)) for p, q in zip(x, y)])
+
+    return run(a, b)

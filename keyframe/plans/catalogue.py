@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import reports, scoring, searches, similarity, sources, timeline
+from . import inputs, reports, scoring, searches, similarity, sources, timeline
 
 QUERIES: dict = {}
 SQL: dict = {}
-for part in (scoring, reports, timeline, similarity, sources, searches):
+for part in (scoring, reports, timeline, similarity, sources, inputs, searches):
     QUERIES |= part.QUERIES
     SQL |= part.SQL

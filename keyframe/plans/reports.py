@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from keyframe.functions import answers as N
+from keyframe.operators import boards as B
 from keyframe.operators import scoring as S
+from keyframe.sources import readers as R
 
 from . import scoring, surrogates as X
 
@@ -91,9 +93,32 @@ def stop_reasons(spark, d):
     return q.groupBy(F.coalesce("r", F.lit("unknown")).alias("reason")).agg(F.count("*").alias("n"), F.sum("ok").alias("correct"), F.round(F.avg(F.coalesce("f", F.lit(0))), 6).alias("mean_frames"))
 
 
-def submission_map(spark, d):
+def run_means(spark, d):
+    """Mean frames, steps and forced choices by category, missing values as 0; high relevances and progress as counts."""
     q = X.qa(spark, d)
-    return q.select("lang", F.struct(F.col("qid").cast("string").alias("k"), F.greatest("pred", F.lit(0)).alias("v")).alias("e")).groupBy("lang").agg(F.map_from_entries(F.array_sort(F.collect_list("e"))).alias("m")).select("lang", F.explode("m").alias("qid", "answer"))
+    some = lambda c, m: F.when(F.col("qid") % m == 0, None).otherwise(c)
+    mean = lambda c, n: F.round(F.avg(F.coalesce(c, F.lit(0))), 6).alias(n)
+    return q.groupBy("lang").agg(mean(some(F.col("n_chars") % 17, 6), "frames"), mean(some(F.col("n_chars") % 5, 4), "steps"), mean(some(F.col("qid") % 3, 5), "forced"), F.count_if(F.col("n_chars") % 3 + 1 == 3).alias("high"), F.count_if(F.col("pred") != -1).alias("done"), F.count("*").alias("total"))
+
+
+def submission_map(spark, d):
+    """Answers to hand in, none as 0."""
+    return X.qa(spark, d).select("lang", F.col("qid").cast("string").alias("qid"), F.greatest("pred", F.lit(0)).alias("answer"))
+
+
+def _runs(spark, d):
+    """A row of metrics for each model and mode, from scored steps: models by supplier, the base mode from open lines."""
+    b = scoring._best(spark, d).select(F.concat(F.lit("m"), (F.col("sk") % 7).cast("string")).alias("model"), F.when(F.col("ls") == "O", R.BASE_MODE).otherwise(R.VIDEO_MODE).alias("mode"), "score", "type_ok", "gt_type")
+    of = lambda c: F.avg(F.when(F.col("gt_type") == c, F.col("score"))).alias(f"{c.lower()}_score")
+    return b.groupBy("model", "mode").agg(F.avg("score").alias("acc"), F.avg(F.col("type_ok").cast("double")).alias("type_acc"), *(of(c) for c in R.CLASSES), F.avg((F.col("score") > 0).cast("double")).alias("completion"), F.lit(1.0).alias("images"), F.count("*").cast("int").alias("total_steps"))
+
+
+def board_markdown(spark, d):
+    return B.markdown(_runs(spark, d))
+
+
+def board_table(spark, d):
+    return B.table(_runs(spark, d))
 
 
 def _board(spark, d):
@@ -130,12 +155,21 @@ def metrics_wide(spark, d):
 
 
 def qa_prompt(spark, d):
+    """A question with its five options, lettered, and the numbers of its images."""
     q = X.qa(spark, d)
-    opts = F.transform(F.array(F.col("lang"), F.col("source"), F.col("type")), lambda o, i: F.concat(F.substring(F.lit("ABC"), i + 1, F.lit(1)), F.lit(". "), o))
-    return q.select(F.concat_ws("_", "lang", "qid").alias("item"), F.concat(F.lit("Question "), F.col("qid").cast("string"), F.lit("\n"), F.array_join(opts, "\n")).alias("prompt"))
-
-
-QUERIES = {f.__name__: f for f in (parse_letter, staged_answer, parse_json_answer, qa_accuracy, qa_by_type, caption_summary, accuracy_by_step, stop_reasons, submission_map, leaderboard_pivot, leaderboard_ranked, markdown_rows, metrics_wide, qa_prompt)} | {f"combine_answers_{m}": _combine(m) for m in N.MODES}
+    opts = F.transform(F.array(F.col("lang"), F.col("source"), F.col("type"), F.lit("all"), F.lit("none")), lambda o, i: F.concat(F.lit("("), F.substring(F.lit("ABCDE"), i + 1, F.lit(1)), F.lit(") "), o))
+    images = F.when(F.col("n_chars") % 3 > 0, F.concat(F.lit("\nImages: "), F.array_join(F.transform(F.sequence(F.lit(1).cast("long"), F.col("n_chars") % 3), lambda i: F.concat(F.lit("#"), i.cast("string"))), " "))).otherwise("")
+    return q.select(F.concat_ws("_", "lang", "qid").alias("item"), F.concat(F.lit("Question "), F.col("qid").cast("string"), F.lit("\n"), F.array_join(opts, "\n"), images).alias("prompt"))
+
+
+_RUNS = (
+    scoring._BEST
+    + ", y AS (SELECT 'm' || (sk % 7) AS model, CASE ls WHEN 'O' THEN 'single' ELSE 'uniform10' END AS mode, avg(score) AS acc, avg(CASE WHEN type_ok THEN 1.0::DOUBLE ELSE 0 END) AS type_acc, "
+    + ", ".join(f"coalesce(avg(score) FILTER (gt_type = '{c}'), 0) AS {c}" for c in R.CLASSES)
+    + ", avg(CASE WHEN score > 0 THEN 1.0::DOUBLE ELSE 0 END) AS comp, count(*) AS n FROM best GROUP BY ALL), z AS (SELECT *, max(acc) FILTER (mode = 'single') OVER (PARTITION BY model) AS ba, max(acc) OVER (PARTITION BY model) AS best FROM y)"
+)
+_T4 = ", ".join(f"printf('%.4f', {c}) AS \"{n}\"" for n, c in [("Acc", "acc"), ("Type_Acc", "type_acc"), *((f"{c}_Score", c) for c in R.CLASSES), ("Comp", "comp")])
+QUERIES = {f.__name__: f for f in (parse_letter, staged_answer, parse_json_answer, qa_accuracy, qa_by_type, caption_summary, accuracy_by_step, stop_reasons, run_means, submission_map, board_markdown, board_table, leaderboard_pivot, leaderboard_ranked, markdown_rows, metrics_wide, qa_prompt)} | {f"combine_answers_{m}": _combine(m) for m in N.MODES}
 _Q = f"WITH {X.QA}"
 SQL = {f"combine_answers_{m}": f"{_R} SELECT qid, CASE {_CASES[m]} ELSE -1 END AS answer FROM r" for m in N.MODES} | {
     "parse_letter": rf"""{_Q}, t AS (SELECT qid, pred, substring('ABCDE', CAST(pred + 1 AS INT), 1) AS l, qid % 7 AS m FROM qa)
@@ -156,5 +190,7 @@ SQL = {f"combine_answers_{m}": f"{_R} SELECT qid, CASE {_CASES[m]} ELSE -1 END A
     "leaderboard_ranked": f"{_BOARD} SELECT model, best, CAST(row_number() OVER (ORDER BY best DESC, model) AS INT) AS place FROM board",
     "markdown_rows": f"{_BOARD} SELECT model, '| model-' || model || ' | ' || CAST(round(base * 10000) AS BIGINT) || ' | ' || coalesce(CAST(CAST(round(pir * 10000) AS BIGINT) AS VARCHAR), '-') || ' |' AS line FROM board",
     "metrics_wide": f"{scoring._BEST} SELECT sk % 7 AS task, " + ", ".join(f"coalesce(round(avg(score) FILTER (gt_type = '{c}'), 6), 0) AS acc_{c.lower()}" for c in ("CLICK", "PRESS", "SCROLL", "TYPE")) + " FROM best GROUP BY ALL",
-    "qa_prompt": f"{_Q} SELECT lang || '_' || qid AS item, 'Question ' || qid || chr(10) || 'A. ' || lang || chr(10) || 'B. ' || source || chr(10) || 'C. ' || type AS prompt FROM qa",
+    "qa_prompt": f"{_Q} SELECT lang || '_' || qid AS item, 'Question ' || qid || chr(10) || '(A) ' || lang || chr(10) || '(B) ' || source || chr(10) || '(C) ' || type || chr(10) || '(D) all' || chr(10) || '(E) none' || CASE n_chars % 3 WHEN 1 THEN chr(10) || 'Images: #1' WHEN 2 THEN chr(10) || 'Images: #1 #2' ELSE '' END AS prompt FROM qa",
+    "run_means": f"{_Q} SELECT lang, round(avg(CASE WHEN qid % 6 = 0 THEN 0 ELSE n_chars % 17 END), 6) AS frames, round(avg(CASE WHEN qid % 4 = 0 THEN 0 ELSE n_chars % 5 END), 6) AS steps, round(avg(CASE WHEN qid % 5 = 0 THEN 0 ELSE qid % 3 END), 6) AS forced, count(*) FILTER (n_chars % 3 = 2) AS high, count(*) FILTER (pred <> -1) AS done, count(*) AS total FROM qa GROUP BY lang",
+    "board_table": f"{_RUNS} SELECT CAST(row_number() OVER (ORDER BY best DESC, model, mode) AS INT) AS number, model AS \"Model\", CASE mode WHEN 'single' THEN 'No Video' ELSE 'Uniform10' END AS \"Mode\", {_T4}, printf('%.2f', 1.0) AS \"Eff\", CASE WHEN mode = 'single' OR ba IS NULL OR ba = 0 THEN '' ELSE printf('%.4f', (acc - ba) / ba) END AS \"PIR\", CAST(n AS VARCHAR) AS \"Total_Steps\" FROM z",
 }

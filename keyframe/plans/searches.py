@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from keyframe.functions import answers as N
 from keyframe.operators import judge as J
 from keyframe.operators import search as S
+from keyframe.operators import select as C
 from keyframe.operators import timeline as T
+from keyframe.operators import video as V
 
 from . import surrogates as X
 
@@ -18,22 +20,81 @@ def force_fill(spark, d):
 
 def _tree(strategy):
     def run(spark, d):
-        return S.tree_search(X.frames(spark, d).select("video", "idx", "v"), strategy)
+        return S.tree_search(X.frames(spark, d).select("video", "idx", "v"), strategy).drop("frames")
 
     return run
 
 
-def adaptive_search(spark, d):
-    return S.adaptive_search(X.frames(spark, d).select("video", "idx", "v"))
+def _clips(spark, d):
+    """A row per video: four numbers of a frame stand for its histogram, twice its number k for its sharpness."""
+    v, k = F.col("v"), F.col("k")
+    hist = [v % 97, F.floor(v / 7) % 89, k, (k * 3) % 50, F.floor(v / 1000)]
+    return C.clips(X.frames(spark, d), "video", "idx", hist, k * 2, v)
 
 
-def refine_search(spark, d):
-    return S.refine_search(X.frames(spark, d).select("video", "idx", "v"))
+def _search(method, question="video"):
+    def run(spark, d):
+        rows = _clips(spark, d).withColumn("question", F.col(question))
+        got = C.choose(rows, method, "question")
+        return got.select("video", F.posexplode("frames").alias("pos", "frame"), "steps", "forced", "reason")
+
+    return run
+
+
+def split_point(spark, d):
+    """The split point of each segment of an even sample of five frames."""
+
+    def points(hist, sharp):
+        import numpy as np
+
+        clip = V.Clip(np.stack(list(hist)), sharp)
+        return [(a, b, V.split_point(clip, (a, b))) for a, b in V.segments_of(V.spaced(clip.n, 5))]
+
+    def run(frames):
+        import pandas as pd
+
+        for f in frames:
+            yield pd.DataFrame([(v, *p) for v, h, s in zip(f["video"], f["hist"], f["sharp"]) for p in points(h, s)], columns=["video", "seg_start", "seg_end", "split_at"])
+
+    return _clips(spark, d).select("video", "hist", "sharp").mapInPandas(run, "video long, seg_start int, seg_end int, split_at int")
+
+
+def adaptive_breadth(spark, d):
+    """Clusters, representatives and high relevances of each video."""
+
+    def run(frames):
+        import numpy as np
+        import pandas as pd
+
+        for f in frames:
+            rows = []
+            for v, h, value in zip(f["video"], f["hist"], f["value"]):
+                look = C.Look(np.asarray(value), int(v))
+                _, score, nodes, k = V.wide_enough(np.stack(list(h)), look.relevance, seed=int(v))
+                rows.append((v, k, len(nodes), sum(x == 3 for x in score.values())))
+            yield pd.DataFrame(rows, columns=["video", "clusters", "n_nodes", "n_high"])
 
+    return _clips(spark, d).select("video", "hist", "value").mapInPandas(run, "video long, clusters int, n_nodes int, n_high int")
 
-def cluster_tree(spark, d):
-    v = X.table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"), F.col("label").cast("int").alias("label"))
-    return S.cluster_tree(v)
+
+def kept_frames(spark, d):
+    """Frames that repeat none of those kept before them, by likeness over REPEATS."""
+
+    def run(frames):
+        import numpy as np
+        import pandas as pd
+
+        for f in frames:
+            out = []
+            for v, h, s in zip(f["video"], f["hist"], f["sharp"]):
+                clip, kept = V.Clip(np.stack(list(h)), s), []
+                for i in range(clip.n):
+                    if not clip.repeats(i, kept):
+                        kept.append(i)
+                out += [(v, i) for i in kept]
+            yield pd.DataFrame(out, columns=["video", "frame"])
+
+    return _clips(spark, d).select("video", "hist", "sharp").mapInPandas(run, "video long, frame int")
 
 
 def _prompts(spark, d, frames: bool):
@@ -50,14 +111,44 @@ def judge_batch(spark, d):
     return _judged(spark, d, True).select("qid", "pred")
 
 
-def _pipeline(frames):
+def _items(spark, d):
+    """Questions about videos: the number of a question picks one of the videos there are."""
+    clips = _clips(spark, d)
+    n = clips.count()
+    ranked = T.positions(clips.select("video"), "video").withColumnRenamed("pos", "slot")
+    q = X.qa(spark, d).withColumn("slot", F.pmod(F.col("qid"), F.lit(max(n, 1))))
+    return q.join(ranked, "slot").select("qid", "truth", "lang", "type", "source", "video"), clips
+
+
+def answered(spark, d, method: str):
+    """(qid, truth, lang, type, pred, n_frames, steps, reason): frames by a method, then one prompt; no frames where some are
+    expected, and no letter in the reply, is -1."""
+    items, clips = _items(spark, d)
+    got = C.choose(items.join(clips, "video"), method, "qid")
+    prompt = F.concat_ws("|", F.lit("Q"), "qid", "source", F.array_join(F.transform("frames", lambda i: i.cast("string")), ","))
+    rows = J.ask(got.withColumn("prompt", prompt))
+    none = (F.size("frames") == 0) & F.lit(method != "blind")
+    return rows.select("qid", "truth", "lang", "type", F.when(none, -1).otherwise(N.parse_letter(F.col("reply"))).alias("pred"), F.size("frames").alias("n_frames"), "steps", F.when(none & ~F.col("reason").startswith("error"), "no_frames_selected").otherwise(F.col("reason")).alias("reason"))
+
+
+def _pipeline(method):
     def run(spark, d):
-        r = _judged(spark, d, frames)
-        return r.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("pred") == F.col("truth")).alias("correct"))
+        r = answered(spark, d, method)
+        return r.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("pred") == F.col("truth")).alias("correct"), F.count_if(F.col("pred") == -1).alias("invalid"), F.round(F.avg(F.coalesce("n_frames", F.lit(0))), 6).alias("mean_frames"), F.round(F.avg("steps"), 6).alias("mean_steps"))
 
     return run
 
 
+def method_report(spark, d):
+    """Accuracy by question type and method: the same driver for all methods, the method a column."""
+    parts = [answered(spark, d, m).withColumn("method", F.lit(m)) for m in ("blind", "uniform", "agent")]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    kind = F.when(F.col("type") == "TP", "TN").otherwise(F.col("type"))
+    ok = (F.col("pred") == F.col("truth")).cast("int")
+    g = rows.select("method", kind.alias("type"), F.substring(kind, 1, 1).alias("cat"), ok.alias("ok")).groupingSets([["method", "type"], ["method", "cat"], ["method"]], "method", "type", "cat").agg(F.count("*").alias("n"), F.round(F.avg("ok"), 6).alias("acc"))
+    return g.select("method", F.coalesce(F.concat(F.lit("type:"), "type"), F.concat(F.lit("cat:"), "cat"), F.lit("all")).alias("name"), "n", "acc")
+
+
 def cached_judge(spark, d):
     """Replies from a cache for half of the prompts, asked for the rest."""
     p = _prompts(spark, d, False)
@@ -73,7 +164,19 @@ def frame_jobs(spark, d):
     return rows.select("video", "status", F.explode("i").alias("i"), "n").select("video", "status", "i", F.when(F.col("status") == "SUCCESS", F.round(F.col("i") * (F.col("n") - 0.1) / 4, 6)).alias("at_sec"))
 
 
-QUERIES = {f.__name__: f for f in (force_fill, adaptive_search, refine_search, cluster_tree, judge_batch, cached_judge, frame_jobs)} | {f"tree_search_{s}": _tree(s) for s in S.STRATEGIES} | {"qa_pipeline_blind": _pipeline(False), "qa_pipeline_uniform": _pipeline(True)}
+def content_range(spark, d):
+    """Content bounds by jumps of two seconds over irrelevant frames from either end."""
+    return T.jump_bounds(X.frames(spark, d).withColumn("rel", F.col("k") > 30), "video", "idx", "rel", 6)
+
+
+def replaced_frames(spark, d):
+    """New frames, and the relevant ones nearby that take the place of irrelevant ones."""
+    f = X.frames(spark, d).withColumn("rel", F.col("k") > 60)
+    return T.replaced(f, "video", "idx", "rel", F.col("event_type") == "click", F.col("event_type") == "signup")
+
+
+QUERIES = {f.__name__: f for f in (force_fill, split_point, adaptive_breadth, kept_frames, judge_batch, cached_judge, frame_jobs, content_range, replaced_frames, method_report)}
+QUERIES |= {f"tree_search_{s}": _tree(s) for s in S.STRATEGIES} | {f"{m}_search": _search(m) for m in ("capped", "guided", "agent", "cluster")} | {f"qa_pipeline_{m}": _pipeline(m) for m in C.METHODS}
 _F = f"{X.FRAMES}, cnt AS (SELECT video, CAST(count(*) AS INT) AS n FROM frames GROUP BY video)"
 SQL = {
     "force_fill": f"""WITH RECURSIVE {_F}, r(video, step, a) AS (SELECT video, 2, [0, n - 1] FROM cnt UNION ALL
@@ -81,4 +184,13 @@ SQL = {
       WHERE step < 8 AND list_max(list_transform(range(1, len(a)), lambda i: a[i + 1] - a[i])) > 1),
       l AS (SELECT video, max(step) AS s FROM r GROUP BY video) SELECT r.video, CAST(unnest(a) AS INT) AS frame FROM r JOIN l ON l.video = r.video AND l.s = r.step""",
     "frame_jobs": f"WITH {_F}, s AS (SELECT video, n, CASE WHEN n < 60 THEN 'SKIP' WHEN video % 7 = 0 THEN 'ERROR' ELSE 'SUCCESS' END AS status FROM cnt) SELECT video, status, CAST(i AS INT) AS i, CASE WHEN status = 'SUCCESS' THEN round(i * (n - 0.1::DOUBLE) / 4, 6) END AS at_sec FROM s, range(5) AS t(i) WHERE status = 'SUCCESS' OR i = 0",
+    "content_range": f"""WITH {_F}, f AS (SELECT video, idx, n, k > 30 AS rel FROM frames JOIN cnt USING (video)),
+      h AS (SELECT c.video, c.n, coalesce((SELECT min(idx) FROM f WHERE f.video = c.video AND idx % 6 = 0 AND idx <= c.n - 7 AND rel), CASE WHEN c.n - 7 < 0 THEN 0 ELSE ((c.n - 7) // 6 + 1) * 6 END) AS lo FROM cnt c)
+      SELECT video, lo, coalesce((SELECT max(idx) FROM f WHERE f.video = h.video AND (h.n - 1 - idx) % 6 = 0 AND idx >= h.lo + 6 AND rel), CASE WHEN h.n - 1 < h.lo + 6 THEN h.n - 1 ELSE h.n - 1 - ((h.n - 1 - h.lo - 6) // 6 + 1) * 6 END) AS hi FROM h""",
+    "replaced_frames": f"""WITH {_F}, s AS (SELECT video, idx FROM frames WHERE event_type = 'click'),
+      b AS (SELECT f.video, f.idx, f.k > 60 AS rel, coalesce((SELECT max(s.idx) + 1 FROM s WHERE s.video = f.video AND s.idx < f.idx), 0) AS l, coalesce((SELECT min(s.idx) - 1 FROM s WHERE s.video = f.video AND s.idx > f.idx), c.n - 1) AS r FROM frames f JOIN cnt c ON c.video = f.video WHERE f.event_type = 'signup'),
+      t AS (SELECT *, greatest(5, (r - l) // 10) AS st FROM b),
+      c AS (SELECT t.video, t.idx, 2 * k + CASE WHEN sg = 1 THEN 0 ELSE 1 END AS o, t.idx + sg * k * st AS at FROM t, range(1, 6) AS u(k), (VALUES (1), (-1)) AS v(sg) WHERE NOT rel AND t.idx + sg * k * st BETWEEN l AND r),
+      g AS (SELECT c.video, c.idx, arg_min(c.at, c.o) AS at FROM c JOIN frames f ON f.video = c.video AND f.idx = c.at AND f.k > 60 AND f.event_type <> 'click' GROUP BY ALL)
+      SELECT t.video, t.idx AS from_idx, CAST(CASE WHEN t.rel THEN t.idx ELSE g.at END AS INT) AS to_idx FROM t LEFT JOIN g ON g.video = t.video AND g.idx = t.idx""",
 }

@@ -39,8 +39,57 @@ def hist_corr(spark, d):
     return j.groupBy("video").agg(F.round(F.coalesce(F.corr("n", "m"), F.lit(0.0)), 6).alias("r"))
 
 
+def _video(spark, d):
+    """Vectors as frames of videos of 64, so that pairs are looked at within a video only, however many vectors there are."""
+    return _vectors(spark, d).select("vec_id", "vec", F.floor(F.col("vec_id") / 64).alias("video"))
+
+
 def near_dup(spark, d):
-    return V.redundant(_vectors(spark, d), "label", "vec_id", "vec", 0.3)
+    return V.redundant(_video(spark, d), "video", "vec_id", "vec", 0.3)
+
+
+def joint_hist(spark, d):
+    """Counts of the joint histogram of three components (50 bins each) by video, and their share of the vector's length."""
+    bins = [F.least(F.floor((c + 4) * 6.25), F.lit(49)) for c in (F.col("vec")[0], F.col("vec")[1], F.col("vec")[2])]
+    at = bins[0] * 2500 + bins[1] * 50 + bins[2]
+    return V.histogram(_video(spark, d), "video", at, 125000)
+
+
+def sharpness(spark, d):
+    """Variance of the Laplacian of 8 x 8 pictures, mirrored at the border."""
+    return _vectors(spark, d).select("vec_id", F.round(V.laplacian_variance(F.col("vec"), 8), 6).alias("sharpness"))
+
+
+def bright_box(spark, d):
+    """Bounds (left, top, right, bottom) of the cells over 1.5 of 8 x 8 pictures; (0, 0, 1, 1) where there is none."""
+    return _vectors(spark, d).select("vec_id", V.bounds(F.col("vec"), 8, F.lit(1.5)).alias("b")).select("vec_id", "b.*")
+
+
+def picture_likeness(spark, d):
+    """Likeness of each 8 x 8 picture to the one before it: structural similarity in windows of 7."""
+    w = Window.partitionBy("label").orderBy("vec_id")
+    v = _vectors(spark, d).withColumn("prev", F.lag("vec").over(w)).where("prev is not null")
+    return v.select("vec_id", F.round(V.structural_similarity(F.col("vec"), F.col("prev")), 6).alias("ssim"))
+
+
+def cluster_tree(spark, d):
+    """Representatives of each video by breadth and depth; relevance follows from the id."""
+
+    def run(frames):
+        import numpy as np
+        import pandas as pd
+
+        from keyframe.operators import video as K
+
+        for f in frames:
+            out = []
+            for video, ids, vecs in zip(f["video"], f["ids"], f["vecs"]):
+                found = K.cluster_search(np.stack(list(vecs)), lambda rows, i=ids: [int(i[r]) % 3 + 1 for r in rows], seed=int(video))
+                out += [(video, int(ids[r])) for r in found]
+            yield pd.DataFrame(out, columns=["video", "vec_id"])
+
+    rows = _video(spark, d).groupBy("video").agg(F.array_sort(F.collect_list(F.struct("vec_id", "vec"))).alias("a"))
+    return rows.select("video", F.transform("a", lambda x: x["vec_id"]).alias("ids"), F.transform("a", lambda x: x["vec"]).alias("vecs")).mapInPandas(run, "video long, vec_id long")
 
 
 def _seeds(spark, d):
@@ -82,7 +131,7 @@ def sharpness_1d(spark, d):
     return f.where("l is not null").groupBy("video").agg(F.round(F.var_pop("l") / 10000, 4).alias("sharpness"))
 
 
-QUERIES = {f.__name__: f for f in (cosine_pairs, hist_bins, hist_corr, near_dup, assign_centroid, centroid, medoid, kmeans_fixed_init, mse, sharpness_1d)}
+QUERIES = {f.__name__: f for f in (cosine_pairs, hist_bins, hist_corr, near_dup, joint_hist, sharpness, bright_box, picture_likeness, cluster_tree, assign_centroid, centroid, medoid, kmeans_fixed_init, mse, sharpness_1d)}
 _NEXT = "v.vec_id, row_number() OVER (PARTITION BY v.vec_id ORDER BY round(-" + _COS.format("v.vec", "s.c") + ", 9), s.cluster) AS r, s.cluster"
 _SEED = f"{_V}, s0 AS (SELECT CAST(vec_id AS INT) AS cluster, vec AS c FROM v WHERE vec_id < 8), a0 AS (SELECT * FROM (SELECT {_NEXT} FROM v, s0 s) WHERE r = 1)"
 
@@ -96,7 +145,10 @@ SQL = {
     "cosine_pairs": f"{_V}, p AS (SELECT vec_id, vec, lag(vec) OVER (PARTITION BY label ORDER BY vec_id) AS prev FROM v) SELECT vec_id, round({_COS.format('vec', 'prev')}, 6) AS cos FROM p WHERE prev IS NOT NULL",
     "hist_bins": f"WITH {X.FRAMES}, h AS (SELECT video, CAST(least(v // 200, 49) AS BIGINT) AS bin, count(*) AS n FROM frames GROUP BY ALL) SELECT video, bin, n, round(n / sqrt(sum(n * n) OVER (PARTITION BY video)), 6) AS norm FROM h",
     "hist_corr": f"WITH {X.FRAMES}, f AS (SELECT video, least(k // 5, 19) AS bin FROM frames), h AS (SELECT video, bin, count(*) AS n FROM f GROUP BY ALL), w AS (SELECT bin, count(*) AS m FROM f GROUP BY ALL), x AS (SELECT video, b AS bin FROM (SELECT DISTINCT video FROM f), range(20) AS t(b)) SELECT x.video, round(coalesce(corr(coalesce(n, 0), coalesce(m, 0)), 0), 6) AS r FROM x LEFT JOIN h ON h.video = x.video AND h.bin = x.bin LEFT JOIN w ON w.bin = x.bin GROUP BY x.video",
-    "near_dup": f"{_V} SELECT DISTINCT a.label, a.vec_id FROM v a JOIN v b ON a.label = b.label AND b.vec_id < a.vec_id WHERE {_COS.format('a.vec', 'b.vec')} >= 0.3",
+    "near_dup": f"{_V} SELECT DISTINCT a.vec_id // 64 AS video, a.vec_id FROM v a JOIN v b ON a.vec_id // 64 = b.vec_id // 64 AND b.vec_id < a.vec_id WHERE {_COS.format('a.vec', 'b.vec')} >= 0.3",
+    "joint_hist": f"{_V}, h AS (SELECT vec_id // 64 AS video, CAST(least(floor((vec[1] + 4) * 6.25), 49) * 2500 + least(floor((vec[2] + 4) * 6.25), 49) * 50 + least(floor((vec[3] + 4) * 6.25), 49) AS BIGINT) AS bin, count(*) AS n FROM v GROUP BY ALL) SELECT video, bin, n, round(n / sqrt(sum(n * n) OVER (PARTITION BY video)), 6) AS norm FROM h",
+    "sharpness": f"{_V}, l AS (SELECT vec_id, list_transform(range(64), lambda i: vec[CASE WHEN i < 8 THEN i + 8 ELSE i - 8 END + 1] + vec[CASE WHEN i >= 56 THEN i - 8 ELSE i + 8 END + 1] + vec[CASE WHEN i % 8 = 0 THEN i + 1 ELSE i - 1 END + 1] + vec[CASE WHEN i % 8 = 7 THEN i - 1 ELSE i + 1 END + 1] - 4 * vec[i + 1]) AS l FROM v) SELECT vec_id, round(list_aggregate(l, 'var_pop'), 6) AS sharpness FROM l",
+    "bright_box": f"{_V}, b AS (SELECT vec_id, list_filter(range(64), lambda i: vec[i + 1] > 1.5::DOUBLE) AS b FROM v) SELECT vec_id, CAST(coalesce(list_min(list_transform(b, lambda i: i % 8)), 0) AS INT) AS left_px, CAST(coalesce(list_min(b) // 8, 0) AS INT) AS top_px, CAST(coalesce(list_max(list_transform(b, lambda i: i % 8)) + 1, 1) AS INT) AS right_px, CAST(coalesce(list_max(b) // 8 + 1, 1) AS INT) AS bottom_px FROM b",
     "assign_centroid": f"{_SEED} SELECT vec_id, cluster FROM a0",
     "centroid": f"{_V} SELECT label, CAST(k - 1 AS INT) AS dim, round(avg(vec[k]), 6) AS mean FROM v, unnest(range(1, 65)) AS u(k) GROUP BY ALL",
     "medoid": f"{_V}, m AS (SELECT label, k, avg(vec[k]) AS x FROM v, unnest(range(1, 65)) AS u(k) GROUP BY ALL), c AS (SELECT label, list(x ORDER BY k) AS c FROM m GROUP BY label) SELECT label, vec_id FROM (SELECT v.label, v.vec_id, row_number() OVER (PARTITION BY v.label ORDER BY round(1 - {_COS.format('v.vec', 'c.c')}, 9), v.vec_id) AS r FROM v JOIN c ON c.label = v.label) WHERE r = 1",

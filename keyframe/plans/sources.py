@@ -26,14 +26,6 @@ def qa_two_shapes(spark, d):
     return R.questions(q.select(text.alias("text"))).select("qid", "question", F.element_at("options", 1).alias("first_option"), "truth")
 
 
-def log_metrics(spark, d):
-    q = X.qa(spark, d)
-    n = F.col("n_chars").cast("string")
-    text = F.concat(F.lit("run\nOverall Score: 0."), F.lpad(n, 5, "0"), F.when(F.col("qid") % 2 == 0, F.concat(F.lit("\nType Accuracy:  0.5"), n)).otherwise(""), F.lit("\nTotal Steps: "), n)
-    acc, kind, _, steps = R.log_metrics(text)
-    return q.select("qid", acc, kind, steps)
-
-
 def path_parts(spark, d):
     p = X.table(spark, d, "part").select("p_partkey", F.concat(F.lit("/out/"), F.lower(F.col("p_brand")), F.lit("/uniform"), (F.col("p_size") % 10).cast("string"), F.when(F.col("p_size") % 3 == 0, "_no_cut").otherwise(""), F.lit("/run.log")).alias("path"))
     return p.select("p_partkey", *R.path_parts(F.col("path")))
@@ -140,14 +132,13 @@ def repeat_to_count(spark, d):
     return f.select("video", F.array_join(F.transform(F.slice(F.flatten(F.array_repeat("a", 7)), 1, 7), lambda x: x.cast("string")), ",").alias("picked"))
 
 
-QUERIES = {f.__name__: f for f in (explode_episodes, qa_two_shapes, log_metrics, path_parts, semi_local, anti_processed, first_per_key, last_wins_lookup, positional_fallback, set_union, set_intersect, set_except, upsert_last, exclude_then_limit, id_selection_chain, quick_sample, cache_hits, cache_misses, caption_positions, batch_tally, repeat_to_count)}
+QUERIES = {f.__name__: f for f in (explode_episodes, qa_two_shapes, path_parts, semi_local, anti_processed, first_per_key, last_wins_lookup, positional_fallback, set_union, set_intersect, set_except, upsert_last, exclude_then_limit, id_selection_chain, quick_sample, cache_hits, cache_misses, caption_positions, batch_tally, repeat_to_count)}
 _Q, _F, _S = f"WITH {X.QA}", f"WITH {X.FRAMES}", f"WITH {X.STEPS}"
 _AB = f"{_F}, a AS (SELECT video, k % 20 AS frame FROM frames WHERE event_type = 'click'), b AS (SELECT video, k % 20 AS frame FROM frames WHERE event_type = 'view')"
 _C = "WITH c AS (SELECT DISTINCT text FROM documents WHERE doc_id % 2 = 0)"
 SQL = {
-    "explode_episodes": f"{_S} SELECT ls AS task, CAST(ep AS VARCHAR) AS ep_id, CAST(row_number() OVER (PARTITION BY ls, ep ORDER BY step) - 1 AS INT) AS step_idx, 'f' || step || '.png' AS img_filename, label AS goal FROM steps WHERE ep % 50 < 25",
+    "explode_episodes": f"{_S} SELECT ls AS task, CAST(ep AS VARCHAR) AS ep_id, CAST(row_number() OVER (PARTITION BY ls, ep ORDER BY step) - 1 AS INT) AS step_idx, 'f' || step || '.png' AS img_filename, label AS goal FROM steps",
     "qa_two_shapes": f"{_Q} SELECT CAST(qid AS VARCHAR) AS qid, source AS question, lang AS first_option, CAST(CASE WHEN qid % 3 > 0 THEN truth ELSE -1 END AS INT) AS truth FROM qa",
-    "log_metrics": f"{_Q} SELECT qid, CAST('0.' || lpad(CAST(n_chars AS VARCHAR), 5, '0') AS DOUBLE) AS acc, CASE WHEN qid % 2 = 0 THEN CAST('0.5' || n_chars AS DOUBLE) END AS type_acc, CAST(n_chars AS INT) AS total_steps FROM qa",
     "path_parts": "SELECT p_partkey, lower(p_brand) AS model, 'uniform' || (p_size % 10) AS mode, p_size % 3 = 0 AS no_cut FROM part",
     "semi_local": "SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)",
     "anti_processed": "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
@@ -163,5 +154,5 @@ SQL = {
     "cache_misses": f"{_C} SELECT doc_id FROM documents WHERE text NOT IN (SELECT text FROM c)",
     "caption_positions": "WITH t AS (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS r FROM conversations) SELECT conv_id, string_agg(role, '. ' ORDER BY r) FILTER (r % 2 = 1) AS narration, CAST(count(*) AS INT) AS n FROM t GROUP BY conv_id",
     "batch_tally": f"{_Q} SELECT CASE WHEN n_chars % 11 = 0 THEN 'SKIP' WHEN pred = -1 THEN 'ERROR' ELSE 'SUCCESS' END AS status, count(*) AS n, count(*) FILTER (qid % 2 = 0) AS annotated FROM qa GROUP BY ALL",
-    "repeat_to_count": f"{_F}, a AS (SELECT video, list(idx ORDER BY idx) AS a FROM frames WHERE event_type = 'signup' AND idx < 20 GROUP BY video) SELECT video, (SELECT string_agg(CAST(a[CAST(i % len(a) + 1 AS INT)] AS VARCHAR), ',' ORDER BY i) FROM range(7) AS t(i)) AS picked FROM a",
+    "repeat_to_count": f"{_F}, a AS (SELECT video, list(idx ORDER BY idx) AS a FROM frames WHERE event_type = 'signup' GROUP BY video) SELECT video, (SELECT string_agg(CAST(a[CAST(i % least(len(a), 7) + 1 AS INT)] AS VARCHAR), ',' ORDER BY i) FROM range(7) AS t(i)) AS picked FROM a",
 }

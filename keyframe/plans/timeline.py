@@ -89,11 +89,11 @@ def frame_record(spark, d):
 
 
 def shards(spark, d):
-    """Videos in ten shards by rounded boundaries (half to even); positions come from counts, not from one sorted task."""
-    v = X.frames(spark, d).select("video").distinct()
-    ids = v.agg(F.array_sort(F.collect_list("video")).alias("a")).select(F.posexplode("a").alias("pos", "video"), F.size("a").alias("n"))
-    shard = F.aggregate(F.sequence(F.lit(1), F.lit(9)), F.lit(0), lambda s, k: s + (F.col("pos") >= F.bround(F.col("n") / 10 * k)).cast("int"))
-    return ids.select("video", shard.alias("shard"))
+    """Videos in ten shards by rounded boundaries (half to even); places come from counts by range, not from one sorted task."""
+    v = T.positions(X.frames(spark, d).select("video").distinct(), "video")
+    n = v.count()
+    shard = F.aggregate(F.sequence(F.lit(1), F.lit(9)), F.lit(0), lambda s, k: s + (F.col("pos") >= F.bround(F.lit(n) / 10 * k)).cast("int"))
+    return v.select("video", shard.alias("shard"))
 
 
 def stable_suffix(spark, d):
@@ -108,11 +108,16 @@ def max_change(spark, d):
 
 
 def clearest_near(spark, d):
-    """Sharpest frame within 3 of each clicked one, first of equals."""
-    f = X.frames(spark, d)
-    a = f.where("event_type = 'signup'").select("video", F.col("idx").alias("at"))
-    near = a.withColumn("idx", F.explode(F.sequence(F.col("at") - 3, F.col("at") + 3))).join(f.select("video", "idx", "v"), ["video", "idx"])
-    return near.groupBy("video", "at").agg(F.max(F.struct("v", (-F.col("idx")).alias("i"))).alias("m")).select("video", F.col("at").alias("from_idx"), (-F.col("m.i")).alias("to_idx"))
+    """Each signup frame within a segment, or the sharpest frame near it where it is blurred: within a tenth of the segment,
+    three frames at least, strictly inside it, and only if sharper; the first of equals."""
+    f = X.frames(spark, d).withColumn("sharp", F.col("k") * 2)
+    g = T.gaps(_selected(spark, d), "video", "idx").select("video", "start", "end")
+    at = f.where("event_type = 'signup'").select("video", F.col("idx").alias("at"), F.col("sharp").alias("own"))
+    at = at.join(g, "video").where("at > start and at < end")
+    reach = F.greatest(F.lit(3), F.floor((F.col("end") - F.col("start")) / 10).cast("int"))
+    near = at.where("own < 100").withColumn("idx", F.explode(F.filter(F.sequence(F.col("at") - reach, F.col("at") + reach), lambda i: (i > F.col("start")) & (i < F.col("end")))))
+    best = near.join(f.select("video", "idx", "sharp"), ["video", "idx"]).where("sharp > own").groupBy("video", "at").agg(F.max(F.struct("sharp", (-F.col("idx")).alias("i"))).alias("m"))
+    return at.join(best, ["video", "at"], "left").select("video", F.col("at").alias("from_idx"), F.coalesce(-F.col("m.i"), F.col("at")).alias("to_idx"))
 
 
 def _segments(spark, d):
@@ -186,7 +191,9 @@ SQL = {
     "shards": f"{_F}, v AS (SELECT video, row_number() OVER (ORDER BY video) - 1 AS pos, count(*) OVER () AS n FROM (SELECT DISTINCT video FROM frames)) SELECT video, CAST((SELECT count(*) FROM range(1, 10) AS t(k) WHERE pos >= round_even(n / 10 * k, 0)) AS INT) AS shard FROM v",
     "stable_suffix": f"{_F}, m AS (SELECT video, idx, k / 100 >= 0.3 AS ok FROM frames), l AS (SELECT video, max(idx) FILTER (NOT ok) AS b, max(idx) AS e FROM m GROUP BY video) SELECT video, CAST(coalesce(b + 1, 0) AS INT) AS stable_from FROM l WHERE b IS NULL OR b < e",
     "max_change": f"{_F}, c AS (SELECT video, idx, abs(v - lag(v) OVER (PARTITION BY video ORDER BY idx)) AS c FROM frames) SELECT video, idx, c AS change FROM (SELECT *, row_number() OVER (PARTITION BY video ORDER BY c DESC, idx) AS r FROM c WHERE c IS NOT NULL) WHERE r = 1",
-    "clearest_near": f"{_F} SELECT video, from_idx, to_idx FROM (SELECT a.video, a.idx AS from_idx, b.idx AS to_idx, row_number() OVER (PARTITION BY a.video, a.idx ORDER BY b.v DESC, b.idx) AS r FROM frames a JOIN frames b ON a.video = b.video AND abs(a.idx - b.idx) <= 3 WHERE a.event_type = 'signup') WHERE r = 1",
+    "clearest_near": f"""{_SEL}, t AS (SELECT f.video, f.idx AS a, f.k * 2 AS own, g.s, g.e FROM frames f JOIN gaps g ON g.video = f.video AND f.idx > g.s AND f.idx < g.e WHERE f.event_type = 'signup'),
+      c AS (SELECT t.video, t.a, f.idx AS i, f.k * 2 AS sh FROM t JOIN frames f ON f.video = t.video AND f.idx BETWEEN t.a - greatest(3, (t.e - t.s) // 10) AND t.a + greatest(3, (t.e - t.s) // 10) AND f.idx > t.s AND f.idx < t.e AND f.k * 2 > t.own WHERE t.own < 100),
+      b AS (SELECT video, a, i FROM (SELECT *, row_number() OVER (PARTITION BY video, a ORDER BY sh DESC, i) AS r FROM c) WHERE r = 1) SELECT t.video, t.a AS from_idx, coalesce(b.i, t.a) AS to_idx FROM t LEFT JOIN b ON b.video = t.video AND b.a = t.a""",
     "split_prune": f"{_SPLIT} {_HALVES}",
     "split_retain": f"{_SPLIT} {_HALVES} UNION ALL SELECT video, s, e FROM h WHERE NOT c",
     "split_merge": f"{_SPLIT}, z AS (SELECT *, sum(CAST(c AS INT)) OVER (PARTITION BY video ORDER BY s) AS z FROM h) {_HALVES} UNION ALL SELECT video, min(s), max(e) FROM z WHERE NOT c GROUP BY video, z",

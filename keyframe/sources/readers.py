@@ -51,10 +51,24 @@ def manifest(texts: DataFrame, col: str = "text") -> DataFrame:
     return v.select("domain", F.explode("items").alias("i")).select("domain", "i.*")
 
 
+#: The line heads of an evaluation log, and the action classes of its table.
+OVERALL_SCORE = r"\[Overall Avg Score\]:\s*([\d.]+)"
+OVERALL_TYPE_ACC = r"Overall Type Acc\s*\|\s*([\d.]+)"
+EPISODE_COMPLETION = r"Avg Episode Completion\s*:\s*([\d.]+)"
+IMAGES_PER_STEP = r"Avg Images Per Step\s*:\s*([\d.]+)"
+TOTAL_STEPS = r"Total Steps\s*\|\s*(\d+)"
+CLASSES = ["CLICK", "SCROLL", "TYPE", "PRESS", "ZOOM", "FINISH"]
+
+
 def log_metrics(text: Column) -> list[Column]:
-    """Accuracies, completion and step count of a run's log; null where a line is missing."""
-    number = lambda p: F.regexp_extract(text, p, 1).try_cast("double")
-    return [number(r"Overall Score:\s*([\d.]+)").alias("acc"), number(r"Type Accuracy:\s*([\d.]+)").alias("type_acc"), number(r"Completion:\s*([\d.]+)").alias("completion"), F.regexp_extract(text, r"Total Steps:\s*(\d+)", 1).try_cast("int").alias("total_steps")]
+    """Accuracies, completion, images and steps of a run's log, and count, score and type accuracy of each class; the first
+    match of each line counts, null where a line is missing."""
+    number = lambda p, i=1, kind="double": F.regexp_extract(text, p, i).try_cast(kind)
+    out = [number(OVERALL_SCORE).alias("acc"), number(OVERALL_TYPE_ACC).alias("type_acc"), number(EPISODE_COMPLETION).alias("completion"), number(IMAGES_PER_STEP).alias("images"), number(TOTAL_STEPS, kind="int").alias("total_steps")]
+    for c in CLASSES:
+        row = rf"{c}\s*\|\s*(\d+)\s*\|\s*([\d.]+)\s*\|\s*([\d.]+)"
+        out += [number(row, 1, "int").alias(f"{c.lower()}_count"), number(row, 2).alias(f"{c.lower()}_score"), number(row, 3).alias(f"{c.lower()}_type_acc")]
+    return out
 
 
 def path_parts(path: Column) -> list[Column]:
@@ -63,10 +77,103 @@ def path_parts(path: Column) -> list[Column]:
     return [F.regexp_extract(path, r"([^/]+)/[^/]+/[^/]+$", 1).alias("model"), F.regexp_replace(mode, "_no_cut$", "").alias("mode"), mode.endswith("_no_cut").alias("no_cut")]
 
 
+#: The two modes of a leaderboard.
+BASE_MODE, VIDEO_MODE = "single", "uniform10"
+
+
+def run_folder(path: Column) -> list[Column]:
+    """(model, mode) of .../model_mode/run.log for the two modes; null for other folders."""
+    folder = F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)
+    known = rf"^(.+)_({BASE_MODE}|{VIDEO_MODE})$"
+    part = lambda i: F.nullif(F.regexp_extract(folder, known, i), F.lit(""))
+    return [part(1).alias("model"), part(2).alias("mode")]
+
+
+def run_logs(spark: SparkSession, root: str) -> DataFrame:
+    """(model, mode, metrics...) of the run.log in each run's folder below ``root``; logs without any metric are left out."""
+    logs = whole_files(spark, f"{root}/*/run.log")
+    some = "|".join(f"(?:{p})" for p in (OVERALL_SCORE, OVERALL_TYPE_ACC, EPISODE_COMPLETION, IMAGES_PER_STEP, TOTAL_STEPS))
+    logs = logs.where(F.col("path").rlike(rf"_({BASE_MODE}|{VIDEO_MODE})/[^/]+$") & F.col("text").rlike(some))
+    return logs.select(*run_folder(F.col("path")), *log_metrics(F.col("text")))
+
+
+def run_results(spark: SparkSession, root: str) -> DataFrame:
+    """(method, dataset, accuracy, avg_frames, error) of root/method/dataset/results.json; folders of checkpoints are left out,
+    and files that don't read as JSON are marked, not dropped."""
+    files = whole_files(spark, f"{root}/*/*/results.json")
+    path = F.col("path")
+    rows = files.select(F.regexp_extract(path, r"([^/]+)/[^/]+/[^/]+$", 1).alias("method"), F.regexp_extract(path, r"([^/]+)/[^/]+$", 1).alias("dataset"), "text")
+    value = lambda name, kind: F.get_json_object("text", f"$.{name}").try_cast(kind)
+    bad = F.try_parse_json("text").isNull() | F.get_json_object("text", "$.error").isNotNull()
+    rows = rows.where(~F.col("method").endswith("_checkpoint"))
+    return rows.select("method", "dataset", value("accuracy_pct", "string").alias("accuracy"), value("avg_frames", "double").alias("avg_frames"), bad.alias("error"))
+
+
+def named(rows: DataFrame, names: dict[str, str], col: str = "method") -> DataFrame:
+    """``rows`` with display, the name to show for ``col``; a name that isn't known is shown as it is."""
+    known = F.create_map(*(F.lit(x) for pair in names.items() for x in pair)) if names else F.create_map().cast("map<string,string>")
+    return rows.withColumn("display", F.coalesce(F.try_element_at(known, F.col(col)), F.col(col)))
+
+
+def splits(spark: SparkSession, root: str) -> DataFrame:
+    """The Parquet rows of all splits, root/split/*.parquet, with the split's name."""
+    rows = spark.read.option("mergeSchema", "true").parquet(f"{root}/*")
+    return rows.withColumn("split", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1))
+
+
+def example_text(spark: SparkSession, path: str) -> str:
+    """A whole small text file, such as an example that goes into every prompt."""
+    return whole_files(spark, path).first()["text"]
+
+
+def narrated(annotations: DataFrame, narrations: DataFrame, durations: DataFrame, key: str = "video_id") -> DataFrame:
+    """Annotations with the narration and duration of their video; those without narration are left out, and one whose
+    duration is missing ends the run."""
+    rows = annotations.join(narrations.select(key, "narration"), key).join(durations.select(key, F.col("duration").cast("int").alias("duration_")), key, "left")
+    known = F.when(F.col("duration_").isNull(), F.raise_error(F.concat(F.lit("no duration for "), F.col(key).cast("string"))).cast("int")).otherwise(F.col("duration_"))
+    return rows.withColumn("duration", known).drop("duration_")
+
+
+def narration(captions: Column, every: int | None = None) -> Column:
+    """Captions as one text: joined by ". ", or each ``every``-th with the index it stands at, a line each."""
+    if every is None:
+        return F.array_join(captions, ". ")
+    kept = F.filter(F.transform(captions, lambda c, i: F.struct(i.alias("i"), c.alias("c"))), lambda x: x["i"] % every == 0)
+    return F.array_join(F.transform(kept, lambda x: F.concat(x["i"].cast("string"), F.lit(": "), x["c"])), ".\n")
+
+
+def reference_folder(mode: Column, no_cut: Column) -> Column:
+    """The folder of a mode's reference images: none for the base mode, the annotated ones for gt, uniform_N for uniformN, otherwise
+    the mode's own name; _no_cut is put behind it for whole recordings."""
+    folder = F.when(mode == BASE_MODE, F.lit(None).cast("string")).when(mode == "gt", F.lit("annotation")).otherwise(F.regexp_replace(mode, r"^uniform(\d+)$", "uniform_$1"))
+    return F.when(no_cut, F.concat(folder, F.lit("_no_cut"))).otherwise(folder)
+
+
+def reference_images(mode: Column, folder: Column, own: Column, most: int = 10) -> Column:
+    """The reference images of a step: none in the base mode, the step's own annotated image (if there is one) for gt, an even
+    sample of the folder's for annotation, else all of the folder's, by name."""
+    images = F.array_sort(F.coalesce(folder, F.array().cast("array<string>")))
+    n = F.size(images)
+    spread = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.get(images, F.bround(i * (n - 1) / (most - 1)).cast("int")))
+    none = F.array().cast("array<string>")
+    return F.when(mode == BASE_MODE, none).when(mode == "gt", F.when(own.isNull(), none).otherwise(F.array(own))).when((mode == "annotation") & (n > most), spread).otherwise(images)
+
+
+def call_images(references: Column, target: Column) -> Column:
+    """The images of a call: references first, the step's own screen last."""
+    return F.concat(F.coalesce(references, F.array().cast("array<string>")), F.array(target))
+
+
 def images(spark: SparkSession, root: str, glob: str = "*.{jpg,jpeg,png}") -> DataFrame:
     """(video_id, name, path) of images below ``root``, without reading their content."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root).select("path")
-    return f.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("video_id"), F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "path")
+    return f.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("video_id"), F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "path").orderBy("video_id", "name")
+
+
+def local_videos(spark: SparkSession, root: str) -> DataFrame:
+    """(video_id): the stems of the recordings in a folder."""
+    f = spark.read.format("binaryFile").option("pathGlobFilter", "*.mp4").load(root).select("path")
+    return f.select(F.regexp_extract("path", r"([^/]+)\.mp4$", 1).alias("video_id"))
 
 
 def first_existing(spark: SparkSession, *paths: str) -> str | None:

@@ -1,15 +1,10 @@
 """Queries give the whole job: rows that earlier cuts left out. The SQL here is written for the test, without the cuts."""
 
-from types import SimpleNamespace
-
 import duckdb
-import numpy as np
-import pyarrow as pa
 import pytest
 
 from keyframe.plans import sources
 from keyframe.plans import surrogates as X
-from llm import licences, masked_lm, ngram_join
 
 D = "/root/testdata/sf0.001"
 
@@ -34,64 +29,3 @@ def test_repeat_takes_late_frames(spark, duck):
     a = duck.sql(f"WITH {X.FRAMES} SELECT video, list(idx ORDER BY idx) FROM frames WHERE event_type = 'signup' GROUP BY video").fetchall()
     assert any(x[0] < 20 <= x[min(len(x), 7) - 1] for _, x in a)
     assert got == {v: ",".join(str(x[i % len(x)]) for i in range(7)) for v, x in a}
-
-
-def test_masked_lm_every_position(spark, monkeypatch):
-    """Each position of each text is predicted in training exactly once, and unlike words never share an id."""
-    texts = ["one two three", "four", "", None] + [" ".join(f"w{i}" for i in range(k, k + 3000)) for k in (0, 3000)]
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    keys, logits = masked_lm.count_words(spark, docs)
-    ids, first = masked_lm.tokens(pa.array(texts), keys)
-    assert len(keys) == len(logits) == 6004 and sorted(ids) == list(range(6004))
-    done = []
-    monkeypatch.setattr(masked_lm, "train_step", lambda model, memory, ids, picks, lo, hi, at, rate: done.append(at))
-    box = lambda v: SimpleNamespace(value=v)
-    for turn in range(2):
-        list(masked_lm._train_map(box(masked_lm.pack(masked_lm.start())), box((keys, logits)), turn, 2)([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])]))
-    assert sorted(np.concatenate(done)) == list(range(6004))
-
-
-def test_masked_lm_learns():
-    """The tree's probabilities sum to one over any vocabulary, give frequencies at first, and training raises the score."""
-    counts = np.arange(1, 12)
-    model = masked_lm.start(logits=masked_lm.tree_logits(counts))
-    lp = [masked_lm.log_probs(model, np.array([k]), np.array([0, 1]))[0] for k in range(11)]
-    assert np.allclose(np.exp(lp), counts / counts.sum())
-    ids, first = np.arange(1100) % 11, np.array([0, 1100])
-    memory = {k: np.full(s, 1e-4, np.float32) for k, s in masked_lm.SHAPES.items()}
-    before = masked_lm.log_probs(model, ids, first).mean()
-    for k in range(40):
-        at = np.arange(k % 2, 1100, 2)
-        masked_lm.train_step(model, memory, ids, masked_lm._picks(ids), first[at * 0], first[at * 0 + 1], at, 0.1)
-    assert masked_lm.log_probs(model, ids, first).mean() > before + 0.5
-    for k in range(11):
-        ids[20] = k
-        lp[k] = masked_lm.log_probs(model, ids[17:24], np.array([0, 7]))[3]
-    assert abs(np.exp(lp).sum() - 1) < 1e-4
-
-
-def test_licences_wrapped_and_embedded(spark):
-    long = " ".join(f"prose{i}" for i in range(200))
-    w = licences.TEMPLATES["MIT"][1].split()
-    wrapped = "\n".join(" ".join(w[i : i + 8]) for i in range(0, len(w), 8))
-    rows = [(1, f"{long}\n{long}\n{wrapped}\n\n{long}"), (2, f"intro\n{long}. Released under the MIT License. {long}\nend"), (3, f"x\n{long}\nReleased under the MIT License.\n{long}"), (4, f"{long}. This work is licensed under a\nCreative Commons Attribution 4.0\nInternational License. {long}"), (5, f"{long}\n{long}")]
-    got = sorted((r.doc_id, r.unit, r.licence, r.template, r.dice) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
-    assert (1, 3, "MIT", 1, 1.0) in got and (2, 2, "MIT", 0, 1.0) in got and [g[1:] for g in got if g[0] == 3] == [(3, "MIT", 0, 1.0)]
-    assert (4, 1, "CC-BY-4.0", 1, 1.0) in got and not [g for g in got if g[0] == 5]
-
-
-def test_ngram_join_counts_every_link(spark):
-    """A dense group of near copies with unlike texts, against brute force."""
-    rng = np.random.default_rng(5)
-    base = [f"w{x}" for x in range(120)]
-    texts = []
-    for k in range(30):
-        w = list(base)
-        for at in rng.integers(0, 120, k % 4):
-            w[at] = f"v{k}_{at}"
-        texts.append(" ".join(w))
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r.n_links for r in ngram_join.similarity_join(spark, docs, 4, 85, count_links=True).collect()}
-    sets = [frozenset(zip(*(t.split()[i:] for i in range(4)))) for t in texts]
-    links = lambda x: sum(x != y and 100 * len(x & y) >= 85 * len(x | y) for y in set(sets))
-    assert got == {i: links(x) for i, x in enumerate(sets)} and max(got.values()) > 10
