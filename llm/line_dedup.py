@@ -64,62 +64,88 @@ def _units_map(batches):
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(who) for c in KEY), pa.array(pos.astype(np.int32)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64))], [*KEY, "pos", "d1", "d2"])
 
 
-def _edges(flags: np.ndarray):
-    """(start, end) of each run of true flags."""
-    edge = np.flatnonzero(np.diff(np.concatenate(([0], flags.astype(np.int8), [0])))).tolist()
-    return zip(edge[::2], edge[1::2])
-
-
-def gone(flags: np.ndarray, size: np.ndarray, opens: np.ndarray, unit_words: int, run_words: int, line_words: int) -> np.ndarray:
-    """Which units go: lines that repeat whole, and whole runs of flagged units that are long enough."""
-    at = np.flatnonzero(opens)
+def _runs(flags: np.ndarray, opens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of true flags; a run ends where a text does."""
+    before = np.concatenate(([False], flags[:-1]))
+    after = np.concatenate((flags[1:], [False]))
+    last = np.concatenate((opens[1:], [True]))
+    return np.flatnonzero(flags & (~before | opens)), np.flatnonzero(flags & (~after | last)) + 1
+
+
+def gone(flags: np.ndarray, size: np.ndarray, lines: np.ndarray, texts: np.ndarray, unit_words: int, run_words: int, line_words: int) -> np.ndarray:
+    """Which units go: lines that repeat whole, and whole runs of flagged units that are long enough. ``lines``, ``texts``:
+    whether a line, a text starts with a unit."""
+    at = np.flatnonzero(lines)
     whole = np.logical_and.reduceat(flags, at) & (np.add.reduceat(size, at) >= line_words)
     out = np.repeat(whole, np.diff(np.append(at, len(flags))))
-    for a, b in _edges(flags):
-        if size[a:b].max() >= unit_words or size[a:b].sum() >= run_words:
-            out[a:b] = True
+    start, end = _runs(flags, texts)
+    if len(start):
+        total = np.concatenate(([0], np.cumsum(size)))
+        most = np.maximum.reduceat(np.append(size, 0), np.stack((start, end), 1).ravel())[::2]
+        n = end - start
+        out[np.flatnonzero(flags)] |= np.repeat((most >= unit_words) | (total[end] - total[start] >= run_words), n)
     return out
 
 
-def cut_text(text: str | None, repeats, unit_words: int = UNIT_WORDS, run_words: int = RUN_WORDS, line_words: int = LINE_WORDS):
-    """(text without the removed units, [(start, end, words)] in code points of the original)."""
-    if not text or repeats is None or not len(repeats):
-        return text, []
-    raw = text.encode()
-    _, start, end, size, _, _, opens = units(pa.array([text]))
+def cut_texts(column: pa.Array, repeats, unit_words: int = UNIT_WORDS, run_words: int = RUN_WORDS, line_words: int = LINE_WORDS):
+    """(text without the removed units, [(start, end, words)] in code points of the original) of each text of a slice;
+    ``repeats``: for each text the places of its units that repeat an earlier one, or None."""
+    texts, spans = column.to_pylist(), [[] for _ in range(len(column))]
+    first, start, end, size, _, _, lines = units(column)
+    n = [0 if r is None else len(r) for r in repeats]
+    if not len(start) or not sum(n):
+        return texts, spans
+    data, offsets = _vec.string_parts(column)
     flags = np.zeros(len(start), bool)
-    flags[np.asarray(repeats)] = True
-    cut = gone(flags, size, opens, unit_words, run_words, line_words)
-    if not cut.any():
-        return text, []
-    nxt = np.append(start[1:], len(raw))
-    chars = np.concatenate(([0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)))
-    kept, spans, at = [], [], 0
-    for a, b in _edges(cut):
-        kept.append(raw[at : start[a]])
-        at = nxt[b - 1]
-        spans.append((int(chars[start[a]]), int(chars[end[b - 1]]), int(size[a:b].sum())))
-    kept.append(raw[at:])
-    return b"".join(kept).decode(), spans
+    flags[np.repeat(first[:-1], n) + np.concatenate([np.asarray(r, np.int64) for r in repeats if r is not None and len(r)])] = True
+    opens = np.zeros(len(start), bool)
+    opens[first[:-1][np.diff(first) > 0]] = True
+    cut = gone(flags, size, lines, opens, unit_words, run_words, line_words)
+    a, b = _runs(cut, opens)
+    chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+    total = np.concatenate(([0], np.cumsum(size)))
+    row = np.searchsorted(first, a, side="right") - 1
+    head = chars[offsets[row]]
+    found = zip(row.tolist(), (chars[start[a]] - head).tolist(), (chars[end[b - 1]] - head).tolist(), (total[b] - total[a]).tolist())
+    for i, *span in found:
+        spans[i].append(tuple(span))
+    nxt = np.append(start[1:], len(data))
+    nxt[first[1:][np.diff(first) > 0] - 1] = offsets[1:][np.diff(first) > 0]  # the last unit of a text goes to its end
+    keep = np.ones(len(data) + 1, np.int8)
+    if len(a):
+        edge = np.zeros(len(data) + 1, np.int32)
+        np.add.at(edge, start[a], 1)
+        np.add.at(edge, nxt[b - 1], -1)
+        keep = np.cumsum(edge) == 0
+    for i in np.unique(row).tolist():
+        lo, hi = int(offsets[i]), int(offsets[i + 1])
+        texts[i] = data[lo:hi][keep[lo:hi]].tobytes().decode()
+    return texts, spans
+
+
+def cut_text(text: str | None, repeats, *words: int):
+    """``cut_texts`` of one text."""
+    texts, spans = cut_texts(pa.array([text], pa.string()), [repeats], *words)
+    return texts[0], spans[0]
 
 
 CUT = "struct<text:string,removed:array<struct<start:int,end:int,words:int>>>"
 
 
 def _cut_column(*words: int):
-    """(text, repeats) to the text that stays and the removed spans."""
+    """(text, repeats) to the text that stays and the removed spans. Evaluated once a row, whatever reads its fields."""
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32())]))
 
     @F.arrow_udf(CUT)
     def cut(text: pa.Array, repeats: pa.Array) -> pa.Array:
         texts, spans = [], []
-        for t, r in zip(text, repeats):
-            t, found = cut_text(t.as_py(), r.as_py(), *words)
-            texts.append(t)
-            spans.append([dict(zip(("start", "end", "words"), x)) for x in found])
+        for a, b in _vec.slices(text):
+            t, found = cut_texts(text[a:b], repeats[a:b].to_pylist(), *words)
+            texts += t
+            spans += [[dict(zip(("start", "end", "words"), x)) for x in f] for f in found]
         return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(spans, span)], ["text", "removed"])
 
-    return cut
+    return cut.asNondeterministic()
 
 
 def keyed(docs: DataFrame) -> DataFrame:
