@@ -21,6 +21,8 @@ _SEP_ALNUM[48:58] = _SEP_ALNUM[65:91] = _SEP_ALNUM[97:123] = False
 _SEP_ALNUM[128:] = False
 _rng = np.random.Generator(np.random.PCG64(20240517))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+_BYTE_LOW = _BYTE[_LOWER]
+_IN, _IN_ALNUM = ~_SEP, ~_SEP_ALNUM
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -76,6 +78,22 @@ def slices(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
         a = b
 
 
+#: Powers of _P and of its inverse: a word's hash is a difference of running sums, brought back to its own start.
+_RUNS: list[np.ndarray] = []
+_LIMIT = 1 << 22
+
+
+def _running(n: int) -> list[np.ndarray]:
+    if not _RUNS or len(_RUNS[0]) < n:
+        size = max(1 << 20, 1 << (n - 1).bit_length())
+        _RUNS.clear()
+        for factor in (int(_P), pow(int(_P), -1, 1 << 64)):
+            table = np.full(size, factor, np.uint64)
+            table[0] = 1
+            _RUNS.append(np.multiply.accumulate(table, out=table))
+    return _RUNS
+
+
 def words(column: pa.Array, alnum: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of every row, A-Z lower-cased: (hash uint64, index of the first word of each row and the total,
     byte start, byte end; both within the column). Words are runs without white space, or of letters, digits
@@ -85,24 +103,33 @@ def words(column: pa.Array, alnum: bool = False) -> tuple[np.ndarray, np.ndarray
     if not len(data):
         z = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64), z, z
-    inside = ~(_SEP_ALNUM if alnum else _SEP)[data]
-    edge = np.zeros(len(data) + 1, dtype=bool)
-    edge[offsets] = True
-    start = inside.copy()
-    start[1:] &= ~inside[:-1] | edge[1:-1]
-    stop = inside.copy()
-    stop[:-1] &= ~inside[1:] | edge[1:-1]
-    begin, end = np.flatnonzero(start), np.flatnonzero(stop) + 1
+    inside = (_IN_ALNUM if alnum else _IN)[data]
+    cut = np.flatnonzero(inside[1:] != inside[:-1]) + 1  # where words start or end within the bytes, and at their ends
+    cut = np.concatenate(([0] if inside[0] else [], cut, [len(data)] if inside[-1] else [])).astype(np.int64)
+    begin, end = cut[::2], cut[1::2]
+    # a row's end inside such a run ends one word and starts another
+    inner = offsets[1:-1]
+    inner = np.unique(inner[(inner > 0) & (inner < len(data))])
+    inner = inner[inside[inner] & inside[inner - 1]] if len(inner) else inner
+    if len(inner):
+        begin, end = np.sort(np.concatenate((begin, inner))), np.sort(np.concatenate((end, inner)))
     if not len(begin):
         return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64), begin, end
     size = end - begin
-    at = np.concatenate(([0], np.cumsum(size)))
-    place = np.arange(at[-1], dtype=np.int64)
-    place -= np.repeat(at[:-1], size)
-    value = _BYTE[_LOWER[data[inside]]]
-    value *= _powers(int(size.max()))[place]
-    h = mix(np.add.reduceat(value, at[:-1]) + size.astype(np.uint64))
-    return h, np.searchsorted(begin, offsets), begin, end
+    if len(data) <= _LIMIT:
+        power, back = _running(len(data))
+        total = np.empty(len(data) + 1, np.uint64)
+        total[0] = 0
+        value = _BYTE_LOW[data]
+        value *= power[: len(data)]
+        np.cumsum(value, out=total[1:])
+        raw = (total[end] - total[begin]) * back[begin]
+    else:  # one very long text: its words by their own places
+        at = np.concatenate(([0], np.cumsum(size)))
+        place = np.arange(at[-1], dtype=np.int64)
+        place -= np.repeat(at[:-1], size)
+        raw = np.add.reduceat(_BYTE_LOW[data[inside]] * _powers(int(size.max()))[place], at[:-1])
+    return mix(raw + size.astype(np.uint64)), np.searchsorted(begin, offsets), begin, end
 
 
 def shingles(h: np.ndarray, n: int) -> np.ndarray:
