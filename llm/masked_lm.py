@@ -1,13 +1,15 @@
 """Masked pseudo-likelihood: a bidirectional window network in numpy predicts each token from both sides.
 
-Tokens are words by their exact number in the corpus's own vocabulary (64-bit hashes in order, with counts), so unlike
-words never share an id. A token's context is the mean of the embeddings of up to WINDOW tokens on each side, by side
-and distance weighted, an embedding being the sum of two hashed rows; a hidden layer leads to a softmax that is a binary
-tree over the whole vocabulary. A node's bias comes from the counts below it, so without a context the tree gives each
-word's own frequency; its weights are a row of its own in the upper levels and a hashed one below. Training is rounds of
-local descent: each task starts from the shared parameters and goes over its own documents, each round over one position
-in ``rounds``, so that together they predict every position once; the tasks' parameters are averaged by their numbers of
-tokens in two shuffled levels. Scores sum the conditional log-probabilities of all tokens of a document.
+Tokens are words by WORD_BITS bits of their hash: a fixed number of ids, so that what a task holds doesn't grow with the
+corpus, and many more than a corpus of some GB has words, so that unlike words seldom share one. The first CLASS_BITS bits
+are a word's class. The network gives the probability of the class: the mean of the embeddings of up to WINDOW tokens on
+each side, weighted by side and distance, a hidden layer, a softmax over all classes. Within its class a word has its
+share of the corpus's tokens, counted exactly. The product is a distribution over all ids.
+
+Training goes over every position of every document once. Rows are dealt to groups by a hash of id and text, about
+``group_rows`` each; a local model descends through a group's rows in order of id, and the groups' parameters are
+averaged by their numbers of tokens in two shuffled levels. So scores depend on the table alone, not on how it is split
+into files or tasks. Scores sum the conditional log-probabilities of all tokens of a document.
 """
 
 from __future__ import annotations
@@ -20,31 +22,18 @@ from pyspark.sql import functions as F
 from . import _vec
 from ._scratch import small_batches
 
-#: Words of a model without a vocabulary; rows of the embeddings and of the tree's weights.
-VOCABULARY, ROWS, WIDTH, WINDOW = 4096, 16384, 24, 3
-SHAPES = {"embed": (ROWS, WIDTH), "side": (2 * WINDOW, WIDTH), "hidden": (WIDTH, WIDTH), "hidden_bias": (WIDTH,), "nodes": (ROWS, WIDTH)}
-
-
-def tree_logits(counts: np.ndarray) -> np.ndarray:
-    """Log of right by left count at each inner node of the heap-ordered tree, whose leaf of word i is len(counts) + i."""
-    n = len(counts)
-    total = np.zeros(2 * n, np.float64)
-    total[n:] = counts
-    high = n
-    while high > 1:
-        low = (high + 1) // 2
-        total[low:high] = total[2 * low : 2 * high : 2] + total[2 * low + 1 : 2 * high : 2]
-        high = low
-    out = np.zeros(n, np.float32)
-    out[1:] = np.log(total[3::2] / total[2::2])
-    return out
+WORD_BITS, CLASS_BITS, ROW_BITS, WIDTH, WINDOW = 24, 7, 14, 16, 3
+WORDS, CLASSES, ROWS = 1 << WORD_BITS, 1 << CLASS_BITS, 1 << ROW_BITS
+SHAPES = {"embed": (ROWS, WIDTH), "side": (2 * WINDOW, WIDTH), "hidden": (WIDTH, WIDTH), "hidden_bias": (WIDTH,), "out": (CLASSES, WIDTH), "out_bias": (CLASSES,)}
+OFFSETS = [*range(-WINDOW, 0), *range(1, WINDOW + 1)]
+#: Positions worked on at once, and bytes of a slice of texts.
+STEP, SLICE = 8192, 1 << 20
 
 
-def start(seed: int = 3, logits: np.ndarray | None = None) -> dict[str, np.ndarray]:
+def start(seed: int = 3) -> dict[str, np.ndarray]:
     rng = np.random.Generator(np.random.PCG64(seed))
-    out = {k: (rng.standard_normal(s) * 0.1).astype(np.float32) if k not in ("hidden_bias", "nodes") else np.zeros(s, np.float32) for k, s in SHAPES.items()}
-    out["side"] += 1
-    out["logits"] = tree_logits(np.ones(VOCABULARY)) if logits is None else logits
+    out = {k: np.zeros(s, np.float32) if k.startswith("out") or k == "hidden_bias" else (rng.standard_normal(s) * 0.3).astype(np.float32) for k, s in SHAPES.items()}
+    out["side"] = np.ones(SHAPES["side"], np.float32)
     return out
 
 
@@ -52,217 +41,219 @@ def pack(model: dict[str, np.ndarray]) -> bytes:
     return np.concatenate([model[k].ravel() for k in SHAPES]).astype(np.float32).tobytes()
 
 
-def unpack(raw: bytes, logits: np.ndarray) -> dict[str, np.ndarray]:
-    flat, out, at = np.frombuffer(raw, np.float32), {"logits": logits}, 0
+def unpack(raw: bytes) -> dict[str, np.ndarray]:
+    flat, out, at = np.frombuffer(raw, np.float32), {}, 0
     for k, s in SHAPES.items():
         n = int(np.prod(s))
-        out[k] = flat[at : at + n].reshape(s).astype(np.float32)
+        out[k] = flat[at : at + n].reshape(s).copy()
         at += n
     return out
 
 
-def tokens(column: pa.Array, keys: np.ndarray):
-    """(token ids, first token of each row and the total) of a slice of texts; ``keys``: the sorted hashes of all words."""
+def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(word ids, first token of each row and the total) of a slice of texts."""
     h, first, _, _ = _vec.words(column)
-    own, place = np.unique(h, return_inverse=True)
-    return np.searchsorted(keys, own)[place], first
+    return (h >> np.uint64(64 - WORD_BITS)).astype(np.int64), first
 
 
-def _picks(ids) -> np.ndarray:
-    """The two rows of embeddings of each token."""
-    h = _vec.mix(ids.astype(np.uint64) + np.uint64(1))
-    return np.stack((h % np.uint64(ROWS), (h >> np.uint64(32)) % np.uint64(ROWS))).astype(np.int64)
+def classes(ids: np.ndarray) -> np.ndarray:
+    return ids >> (WORD_BITS - CLASS_BITS)
 
 
-def _weights(node) -> np.ndarray:
-    """The row of weights of each inner node."""
-    half = ROWS // 2
-    return np.where(node < half, node, half + (_vec.mix(node.astype(np.uint64)) % np.uint64(half)).astype(np.int64))
+def embed_rows(ids: np.ndarray) -> np.ndarray:
+    return (ids & (ROWS - 1)).astype(np.uint16)
 
 
-def _forward(model, picks, lo, hi, at):
-    """Context and hidden layer at positions ``at`` of rows [lo, hi)."""
-    off = np.concatenate((np.arange(-WINDOW, 0), np.arange(1, WINDOW + 1)))
-    pos = at[:, None] + off
-    ok = (pos >= lo[:, None]) & (pos < hi[:, None])
-    two = picks[:, np.where(ok, pos, 0)]
-    ctx = np.einsum("nkw,kw,nk->nw", model["embed"][two[0]] + model["embed"][two[1]], model["side"], ok.astype(np.float32), optimize=False)
-    seen = np.maximum(ok.sum(1), 1).astype(np.float32)[:, None]
-    ctx /= seen
-    return ok, two, seen, ctx, np.tanh(ctx @ model["hidden"] + model["hidden_bias"])
+def _context(model, rows: np.ndarray, row: np.ndarray, a: int, b: int):
+    """Mean of the weighted embeddings around positions [a, b), features first, and what a step back needs."""
+    lo, hi = max(0, a - WINDOW), min(len(rows), b + WINDOW)
+    e = np.ascontiguousarray(model["embed"][rows[lo:hi]].T)
+    ctx, seen, parts = np.zeros((WIDTH, b - a), np.float32), np.zeros(b - a, np.float32), []
+    for j, k in enumerate(OFFSETS):
+        i, n = max(a, lo - k), min(b, hi - k)
+        if i >= n:
+            parts.append(None)
+            continue
+        ok = (row[i + k : n + k] == row[i:n]).astype(np.float32)  # a window ends where its text does
+        here, there = slice(i - a, n - a), slice(i + k - lo, n + k - lo)
+        near = e[:, there] * ok
+        ctx[:, here] += model["side"][j][:, None] * near
+        seen[here] += ok
+        parts.append((here, there, ok, near))
+    seen = 1 / np.maximum(seen, 1)
+    ctx *= seen
+    return ctx, seen, parts, lo, hi
 
 
-def log_probs(model, ids, first, step: int = 4096) -> np.ndarray:
-    """Conditional log-probability of each token given its window."""
-    out = np.zeros(len(ids))
-    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    picks, words = _picks(ids), len(model["logits"])
-    for a in range(0, len(ids), step):
-        at = np.arange(a, min(len(ids), a + step))
-        r = row[at]
-        hid = _forward(model, picks, first[r], first[r + 1], at)[-1]
-        leaf = ids[at] + words
-        while (inner := leaf > 1).any():
-            node = leaf >> 1
-            z = np.einsum("nw,nw->n", hid, model["nodes"][_weights(node)]) + model["logits"][node % words]
-            out[at] -= np.where(inner, np.logaddexp(0, np.where(leaf & 1, -z, z)), 0)
-            leaf = np.where(inner, node, 1)
-    return out
+def _forward(model, ctx):
+    hid = np.tanh(model["hidden"].T @ ctx + model["hidden_bias"][:, None])
+    p = np.exp(model["out"] @ hid + model["out_bias"][:, None])  # bounded: hidden values lie between -1 and 1
+    return hid, p, p.sum(0)
 
 
-def _descend(model, memory, name: str, rows, grad, rate: float) -> None:
-    """A step of AdaGrad on single rows of a table; gradients of a repeated row add up."""
-    order = np.argsort(rows.astype(np.uint16), kind="stable")
-    rows = rows[order]
-    head = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1]))) if len(rows) else np.zeros(0, int)
-    if len(head):
-        g, who = np.add.reduceat(grad[order], head, axis=0), rows[head]
-        m = memory[name][who] + g * g
-        memory[name][who] = m
-        model[name][who] -= rate * g / np.sqrt(m + 1e-8)
-
-
-def train_step(model, memory, ids, picks, lo, hi, at, rate: float) -> None:
-    """A step of AdaGrad on the mean loss of the positions ``at``."""
-    n, words = len(at), len(model["logits"])
-    ok, two, seen, ctx, hid = _forward(model, picks, lo, hi, at)
-    leaf = (ids[at] + words)[:, None] >> np.arange((2 * words - 1).bit_length() - 1)
-    node = leaf >> 1
-    inner = node > 0
-    rows = _weights(node)
-    w = model["nodes"][rows]
-    z = (w @ hid[:, :, None])[:, :, 0] + model["logits"][node]
-    err = ((1 / (1 + np.exp(-z)) - (leaf & 1)) * inner / n).astype(np.float32)
-    gz = (err[:, None, :] @ w)[:, 0] * (1 - hid**2)
-    _descend(model, memory, "nodes", rows.ravel(), (err[:, :, None] * hid[:, None, :]).reshape(-1, WIDTH), rate)  # nothing for what isn't inner
-    gc = ((gz @ model["hidden"].T) / seen)[:, None, :] * ok[:, :, None]
-    grad = {"hidden": ctx.T @ gz, "hidden_bias": gz.sum(0), "side": (gc * (model["embed"][two[0]] + model["embed"][two[1]])).sum(0)}
-    part = (gc * model["side"])[ok]
+def log_probs(model, share: np.ndarray, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Conditional log-probability of each token given its window."""
+    out = np.empty(len(ids))
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    rows, own = embed_rows(ids), classes(ids)
+    for a in range(0, len(ids), STEP):
+        b = min(len(ids), a + STEP)
+        _, p, total = _forward(model, _context(model, rows, row, a, b)[0])
+        out[a:b] = np.log(p[own[a:b], np.arange(b - a)] / total)
+    return out + share[ids]
+
+
+def train_step(model, memory, rows, own, row, a: int, b: int, rate: float) -> None:
+    """A step of AdaGrad on the mean loss of the classes at positions [a, b)."""
+    ctx, seen, parts, lo, hi = _context(model, rows, row, a, b)
+    hid, g, total = _forward(model, ctx)
+    g /= total
+    g[own[a:b], np.arange(b - a)] -= 1
+    g /= b - a
+    back = (model["out"].T @ g) * (1 - hid * hid)
+    grad = {"out": g @ hid.T, "out_bias": g.sum(1), "hidden": ctx @ back.T, "hidden_bias": back.sum(1), "side": np.zeros(SHAPES["side"], np.float32)}
+    back = (model["hidden"] @ back) * seen
+    each = np.zeros((WIDTH, hi - lo), np.float32)
+    for j, part in enumerate(parts):
+        if part:
+            here, there, ok, near = part
+            grad["side"][j] = (back[:, here] * near).sum(1)
+            each[:, there] += model["side"][j][:, None] * back[:, here] * ok
+    order = np.argsort(rows[lo:hi], kind="stable")  # a radix sort
+    used = rows[lo:hi][order]
+    head = np.flatnonzero(np.concatenate(([True], used[1:] != used[:-1])))
+    g, used = np.add.reduceat(each.T[order], head, axis=0), used[head]
+    m = memory["embed"][used] + g * g
+    memory["embed"][used] = m
+    model["embed"][used] -= rate * g / np.sqrt(m)
     for k, g in grad.items():
         memory[k] += g * g
-        model[k] -= rate * g / np.sqrt(memory[k] + 1e-8)
-    _descend(model, memory, "embed", np.concatenate((two[0][ok], two[1][ok])), np.concatenate((part, part)), rate)
+        model[k] -= rate * g / np.sqrt(memory[k])
 
 
-def _train_map(shared, vocabulary, turn: int, rounds: int, batch_size: int = 512, rate: float = 0.1):
-    def run(batches):
-        keys, logits = vocabulary.value
-        model = unpack(shared.value, logits)
-        memory = {k: np.full(s, 1e-4, np.float32) for k, s in SHAPES.items()}
-        count = 0
-        for batch in batches:
-            text = batch.column("text")
-            for a, b in _vec.slices(text, 1 << 20):
-                ids, first = tokens(text[a:b], keys)
-                picks = _picks(ids)
-                row = np.repeat(np.arange(b - a), np.diff(first))
-                at = np.arange(turn, len(ids), rounds)
-                at = at[np.argsort(_vec.mix(at.astype(np.uint64)), kind="stable")]
-                for k in range(0, len(at), batch_size):
-                    part = at[k : k + batch_size]
-                    train_step(model, memory, ids, picks, first[row[part]], first[row[part] + 1], part, rate)
-                count += len(at)
-        if count:
-            yield pa.RecordBatch.from_arrays([pa.array([count], pa.int64()), pa.array([pack(model)], pa.binary())], ["tokens", "model"])
+def learn(model, memory, column: pa.Array, rate: float = 0.1) -> int:
+    """Go over all positions of a slice of texts once; the number of tokens."""
+    ids, first = tokens(column)
+    row = np.repeat(np.arange(len(column)), np.diff(first))
+    rows, own = embed_rows(ids), classes(ids)
+    for a in range(0, len(ids), STEP):
+        train_step(model, memory, rows, own, row, a, min(len(ids), a + STEP), rate)
+    return len(ids)
 
-    return run
+
+def fresh(seed: int = 3):
+    return start(seed), {k: np.full(s, 1e-7, np.float32) for k, s in SHAPES.items()}
+
+
+def _train_map(batches):
+    group, model, memory, count = None, None, None, 0
+    done = lambda: pa.RecordBatch.from_arrays([pa.array([count], pa.int64()), pa.array([pack(model)], pa.binary())], ["tokens", "model"])
+    for batch in batches:
+        key, text = batch.column("group").to_numpy(), batch.column("text")
+        cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+        for i, j in zip(cuts, cuts[1:]):
+            if i == j:
+                continue
+            if key[i] != group:
+                if count:
+                    yield done()
+                group, count = key[i], 0
+                model, memory = fresh()
+            for a, b in _vec.slices(text[i:j], SLICE):
+                count += learn(model, memory, text[i:j][a:b])
+    if count:
+        yield done()
+
+
+def _mean_map(batches):
+    total, weight = None, 0
+    for batch in batches:
+        for n, raw in zip(batch.column("tokens").to_pylist(), batch.column("model")):
+            x = np.frombuffer(raw.as_buffer(), np.float32).astype(np.float64) * n
+            total, weight = x if total is None else total + x, weight + n
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([weight], pa.int64()), pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary())], ["tokens", "model"])
 
 
-def _summed(keys, counts):
-    own, place = np.unique(np.concatenate(keys), return_inverse=True)
-    return own, np.bincount(place, np.concatenate(counts), len(own)).astype(np.int64)
+def train(spark: SparkSession, docs: DataFrame, group_rows: int = 8192) -> bytes:
+    """Parameters after one pass over all positions; those of the start if there are no tokens."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups = max(1, docs.count() // group_rows)
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int").alias("group"))
+    ordered = keyed.repartition(min(parts, groups), "group").sortWithinPartitions("group", "doc_id", "hash").select("group", "text")
+    local = ordered.mapInArrow(_train_map, "tokens long, model binary")
+    level = local.repartition(max(1, min(parts, groups) // 8)).mapInArrow(_mean_map, "tokens long, model binary")
+    got = level.coalesce(1).mapInArrow(_mean_map, "tokens long, model binary").collect()
+    return bytes(got[0][1]) if got else pack(start())
 
 
-COUNTED = "bucket int, words binary, counts binary"
+COUNTED = "part int, words binary, counts binary"
 
 
-def _count_map(buckets: int):
-    """The distinct words of a task with their counts, packed by ranges of the hash."""
+def _count_map(parts: int):
+    """The distinct words of a task with their counts, packed by ranges of the id."""
 
     def run(batches):
-        keys, counts, size = [], [], 0
+        total = np.zeros(WORDS, np.int32)
         for batch in batches:
-            for a, b in _vec.slices(batch.column("text"), 1 << 20):
-                own, n = np.unique(_vec.words(batch.column("text")[a:b])[0], return_counts=True)
-                keys.append(own)
-                counts.append(n)
-                size += len(own)
-                if size > 2 * len(keys[0]) + 1_000_000:
-                    own, n = _summed(keys, counts)
-                    keys, counts, size = [own], [n], len(own)
-        if keys:
-            own, n = _summed(keys, counts)
-            to = ((own >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-            cut = np.searchsorted(to, np.arange(buckets + 1).astype(np.uint64))
-            rows = [(k, own[a:b].tobytes(), n[a:b].tobytes()) for k, (a, b) in enumerate(zip(cut, cut[1:])) if a < b]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], ["bucket", "words", "counts"])
+            for a, b in _vec.slices(batch.column("text"), SLICE):
+                own, n = np.unique(tokens(batch.column("text")[a:b])[0], return_counts=True)
+                total[own] += n.astype(np.int32)
+        used = np.flatnonzero(total).astype(np.int32)
+        cut = np.searchsorted(used, np.arange(parts + 1) * (WORDS // parts))
+        rows = [(k, used[a:b].tobytes(), total[used[a:b]].tobytes()) for k, (a, b) in enumerate(zip(cut, cut[1:])) if a < b]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], ["part", "words", "counts"])
 
     return run
 
 
-def _merge_map(batches):
-    found = {}
-    for batch in batches:
-        for k, own, n in zip(*(batch.column(c).to_pylist() for c in ("bucket", "words", "counts"))):
-            a, b = found.setdefault(k, ([], []))
-            a.append(np.frombuffer(own, np.uint64))
-            b.append(np.frombuffer(n, np.int64))
-    for k, (a, b) in found.items():
-        own, n = _summed(a, b)
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([own.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], ["bucket", "words", "counts"])
-
-
-def count_words(spark: SparkSession, docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """All distinct words of the texts as sorted hashes, and the logits of their tree."""
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    got = docs.select("text").mapInArrow(_count_map(buckets), COUNTED).repartition(buckets, "bucket").mapInArrow(_merge_map, COUNTED).collect()
-    got.sort(key=lambda r: r["bucket"])
-    joined = lambda c, t: np.frombuffer(b"".join(bytes(r[c]) for r in got), t)
-    return joined("words", np.uint64), tree_logits(joined("counts", np.int64))
+def _merge_map(parts: int):
+    """Log of each word's share of its class, for whole ranges of ids. A range holds whole classes."""
+    wide = WORDS // parts
 
+    def run(batches):
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, own, n in zip(batch.column("part").to_pylist(), batch.column("words"), batch.column("counts")):
+                total = found.setdefault(k, np.zeros(wide, np.int64))
+                total[np.frombuffer(own.as_buffer(), np.int32) - k * wide] += np.frombuffer(n.as_buffer(), np.int32)
+        for k, total in found.items():
+            total = total.reshape(CLASSES // parts, -1).astype(np.float64)
+            share = np.log(np.maximum(total, 1e-9)) - np.log(np.maximum(total.sum(1, keepdims=True), 1))
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([share.astype(np.float32).tobytes()], pa.binary()), pa.array([b""], pa.binary())], ["part", "words", "counts"])
 
-def _mean_map(batches):
-    total, weight = None, 0
-    for batch in batches:
-        for n, raw in zip(batch.column("tokens").to_pylist(), batch.column("model")):
-            x = np.frombuffer(raw.as_py(), np.float32).astype(np.float64) * n
-            total, weight = x if total is None else total + x, weight + n
-    if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([weight], pa.int64()), pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary())], ["tokens", "model"])
+    return run
 
 
-def train(spark: SparkSession, docs: DataFrame, vocabulary, rounds: int = 2) -> bytes:
-    """Parameters after ``rounds`` rounds over all positions; those of the start if there are no tokens."""
-    model = pack(start())
-    for turn in range(rounds):
-        shared = spark.sparkContext.broadcast(model)
-        local = docs.select("text").mapInArrow(_train_map(shared, vocabulary, turn, rounds), "tokens long, model binary")
-        fan = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
-        level = local.repartition(fan).mapInArrow(_mean_map, "tokens long, model binary")
-        got = level.repartition(1).mapInArrow(_mean_map, "tokens long, model binary").collect()
-        if got:
-            model = bytes(got[0][1])
-    return model
+def shares(docs: DataFrame) -> np.ndarray:
+    """Log of each id's share of its class's tokens over the whole corpus: 4 bytes an id, whatever the corpus."""
+    parts = 32
+    counted = docs.select("text").mapInArrow(_count_map(parts), COUNTED).repartition(parts, "part").mapInArrow(_merge_map(parts), COUNTED)
+    out = np.full(WORDS, -30.0, np.float32)
+    wide = WORDS // parts
+    for k, raw, _ in counted.collect():
+        out[k * wide : (k + 1) * wide] = np.frombuffer(raw, np.float32)
+    return out
 
 
-def score(spark: SparkSession, docs: DataFrame, rounds: int = 2) -> DataFrame:
+def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, log_prob, per_token): summed conditional log-probabilities of whole texts, and their mean.
 
     Null, empty and wordless texts have 0 tokens, log_prob 0 and a null mean. A text of one token is predicted from an
-    empty context. Repeated rows count and are scored each; other columns play no part; an empty table gives no rows."""
+    empty context. Repeated rows count and are scored each, with equal scores; rows with a null id take part like others;
+    other columns play no part, whatever their names; an empty table gives no rows."""
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    vocabulary = spark.sparkContext.broadcast(count_words(spark, docs))
-    shared = spark.sparkContext.broadcast(train(spark, docs, vocabulary, rounds))
+    known = spark.sparkContext.broadcast((train(spark, docs), shares(docs)))  # 64 MB and the network
 
     def run(batches):
-        keys, logits = vocabulary.value
-        model = unpack(shared.value, logits)
+        raw, share = known.value
+        model = unpack(raw)
         for batch in batches:
-            for a, b in _vec.slices(batch.column("text"), 1 << 20):
-                ids, first = tokens(batch.column("text")[a:b], keys)
-                total = np.concatenate(([0.0], np.cumsum(log_probs(model, ids, first))))
+            for a, b in _vec.slices(batch.column("text"), SLICE):
+                ids, first = tokens(batch.column("text")[a:b])
+                total = np.concatenate(([0.0], np.cumsum(log_probs(model, share, ids, first))))
                 n = np.diff(first)
                 lp = total[first[1:]] - total[first[:-1]]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], pa.array(n.astype(np.int64)), pa.array(lp), pa.array(np.where(n > 0, lp / np.maximum(n, 1), 0.0), mask=n == 0)], ["doc_id", "n_tokens", "log_prob", "per_token"])
