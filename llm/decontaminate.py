@@ -139,8 +139,15 @@ def lcs(a: list[int], b: list[int]) -> int:
 
 
 def _holds(part: list[int], b: list[int]) -> bool:
-    n = len(part)
-    return n > 0 and any(b[i] == part[0] and b[i : i + n] == part for i in range(len(b) - n + 1))
+    n, at = len(part), -1
+    while n:
+        try:
+            at = b.index(part[0], at + 1, len(b) - n + 1)
+        except ValueError:
+            break
+        if b[at : at + n] == part:
+            return True
+    return False
 
 
 class Items:
@@ -167,6 +174,24 @@ class Items:
         self.length = np.array([len(w) for w in self.words], np.int64)
         self.span = np.array([max(1, -(-len(w) // BLOCK)) for w in self.words], np.int64)
 
+    def answered(self, k: int, body: list[int]) -> bool:
+        """Whether an item's answer, of three words at least, stands whole among some words."""
+        return len(self.answers[k]) >= 3 and _holds(self.answers[k], body)
+
+
+def _block_sums(space: np.ndarray, t: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The sum of the terms' vectors in each block, word by word of all blocks at once, so that little is in use."""
+    end = np.append(start[1:], len(t))
+    out = np.zeros((len(start), space.shape[1]), np.float32)
+    for k in range(BLOCK):
+        at = start + k
+        if k and not (ok := at < end).all():
+            rows = np.flatnonzero(ok)
+            out[rows] += space[t[at[rows]]]
+        else:
+            out += space[t[at]]
+    return out
+
 
 def _search_map(space: np.ndarray, items: Items, cosine: float, share: float, share_with_answer: float):
     def run(batches):
@@ -179,24 +204,35 @@ def _search_map(space: np.ndarray, items: Items, cosine: float, share: float, sh
                     continue
                 start, at = _blocks(first, BLOCK)
                 t = (h & np.uint64(TERMS - 1)).astype(np.int64)
-                e = np.add.reduceat(space[t], start, axis=0)
-                c = np.concatenate((np.zeros((1, SKETCH)), np.cumsum(e, axis=0, dtype=np.float64)))
+                e = _block_sums(space, t, start)
                 home = np.repeat(np.arange(b - a), np.diff(at))
                 last = at[home + 1]
                 place = np.arange(len(start))
-                for n in np.unique(items.span):
+                # windows of 1, 2, ... blocks as running sums; empty blocks behind each text keep its windows its own
+                gap = int(items.span.max()) - 1
+                there = place + gap * home
+                each = np.zeros((len(start) + gap * (b - a), SKETCH), np.float32)
+                each[there] = e
+                window, wide = each.copy(), 1
+                block_of = np.empty(len(each), np.int64)
+                for n in np.unique(items.span).tolist():
                     own = np.flatnonzero(items.span == n)
-                    till = np.minimum(place + n, last)
-                    fit = (till - place == n) | (place == at[home])
-                    w = (c[till] - c[place])[fit].astype(np.float32)
-                    w /= np.maximum(np.linalg.norm(w, axis=1), 1e-9)[:, None]
-                    least = cosine * min(1.0, 0.7 + 0.05 * int(n))  # few blocks are never well aligned
-                    parts = [np.nonzero(w @ items.vec[own[k : k + AT_ONCE]].T >= least) for k in range(0, len(own), AT_ONCE)]
-                    near = np.concatenate([p[0] for p in parts])
+                    while wide < n:
+                        window[:-wide] += each[wide:]
+                        wide += 1
+                    fit = (place + n <= last) | (place == at[home])
+                    block_of.fill(-1)
+                    block_of[there[fit]] = place[fit]
+                    length = np.sqrt(np.einsum("nd,nd->n", window, window))
+                    least = cosine * min(1.0, 0.7 + 0.05 * n)  # few blocks are never well aligned
+                    bound = least * np.maximum(length, 1e-9)[:, None]
+                    parts = [np.nonzero(window @ items.vec[own[k : k + AT_ONCE]].T >= bound) for k in range(0, len(own), AT_ONCE)]
+                    near = block_of[np.concatenate([p[0] for p in parts])]
                     which = np.concatenate([p[1] + k * AT_ONCE for k, p in enumerate(parts)])
+                    near, which = near[near >= 0], which[near >= 0]
                     if not len(near):
                         continue
-                    block = place[fit][near]
+                    block = near
                     # no more words than the item's own that stand in the window can be common to both in order
                     lo = np.maximum(first[home[block]], start[block] - BLOCK)
                     hi = np.minimum(first[home[block] + 1], start[block] + (n + 1) * BLOCK)
@@ -217,9 +253,14 @@ def _search_map(space: np.ndarray, items: Items, cosine: float, share: float, sh
                         lo = max(int(first[d]), int(start[p]) - BLOCK)
                         hi = min(int(first[d + 1]), int(start[p]) + (q - p + 1) * BLOCK)
                         body, item = h[lo:hi].tolist(), items.words[k]
+                        answer = None
+                        if int(items.terms[k, t[lo:hi]].sum()) < share * len(item):  # too few words for the larger share
+                            answer = items.answered(k, body)
+                            if not answer:
+                                continue
                         got = lcs(item, body) / len(item)
-                        answer = len(items.answers[k]) >= 3 and _holds(items.answers[k], body)
-                        if got >= share or got >= share_with_answer and answer:
+                        answer = got >= share_with_answer and (items.answered(k, body) if answer is None else answer)
+                        if got >= share or answer:
                             out.append((ids[a + d], items.ids[k], got, answer, lo - int(first[d])))
             best: dict[tuple, tuple] = {}
             for row in out:
