@@ -31,6 +31,8 @@ MARK = "▁"
 
 #: Kinds of pieces in a model file.
 UNKNOWN, CONTROL, UNUSED, BYTE = 2, 3, 5, 6
+#: What the unknown piece decodes to.
+UNKNOWN_TEXT = " \u2047 "
 
 
 def _varint(raw: bytes, at: int) -> tuple[int, int]:
@@ -97,7 +99,7 @@ class Vocabulary:
             ends[state] = i
         self.pairs = np.packbits(pairs, bitorder="little")
         self.ends = np.array(ends, np.int32)
-        self.raw = pa.array([bytes([int(p[3:5], 16)]) if k == BYTE else p.encode() for p, k in model], pa.large_binary())
+        self.raw = pa.array([bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else UNKNOWN_TEXT.encode() if k == UNKNOWN else p.encode() for p, k in model], pa.large_binary())
         self.start = np.zeros(self.width, np.int32)
         self.start[1:] = [child.get(c, 0) for c in range(1, self.width)]
         bits = (4 * len(child)).bit_length()
@@ -141,14 +143,14 @@ def vocabulary(path: str, temperature: float) -> Vocabulary:
 
 
 def decode(voc: Vocabulary, ids: np.ndarray, sizes: np.ndarray) -> list[str]:
-    """The texts of segmentations that lie one after the other, ``sizes`` pieces each: pieces and bytes put together,
-    marks to spaces, the mark in front dropped."""
+    """The texts of segmentations that lie one after the other, ``sizes`` pieces each: pieces and bytes put together (bytes
+    that are no UTF-8 become U+FFFD), marks to spaces, the space in front dropped."""
     if not len(ids):
         return [""] * len(sizes)
     taken = voc.raw.take(pa.array(ids, pa.int32()))
     at = np.frombuffer(taken.buffers()[1], np.int64)[np.concatenate(([0], np.cumsum(sizes)))].tolist()
     data = taken.buffers()[2].to_pybytes()
-    return [data[a:b].decode().replace(MARK, " ")[1:] for a, b in zip(at, at[1:])]
+    return [data[a:b].decode(errors="replace").replace(MARK, " ").removeprefix(" ") for a, b in zip(at, at[1:])]
 
 
 def _ragged(start: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -412,5 +414,27 @@ def encode(spark: SparkSession, docs: DataFrame, k: int = 2, path: str = MODEL,
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_encode_map(k, path, temperature), schema)
 
 
+def decoded(spark: SparkSession, encoded: DataFrame, path: str = MODEL) -> DataFrame:
+    """``encoded`` with the text of its column ids (array<int>) as a column text, which replaces one of that name.
+
+    Null ids, and ids that aren't the model's, give a null text; no ids the empty text. Control pieces decode to nothing.
+    Rows are decoded each on their own, so repeated rows give the same; an empty table gives no rows."""
+    small_batches(spark)
+
+    @F.arrow_udf("string")
+    def text(column: pa.Array) -> pa.Array:
+        voc = vocabulary(path, 0.0)
+        out: list[str | None] = [None] * len(column)
+        rows = [x.as_py() for x in column]
+        able = [i for i, r in enumerate(rows) if r is not None and all(x is not None and 0 <= x < len(voc.raw) for x in r)]
+        sizes = np.array([len(rows[i]) for i in able], np.int64)
+        flat = np.fromiter((x for i in able for x in rows[i]), np.int32, int(sizes.sum()))
+        for i, x in zip(able, decode(voc, flat, sizes)):
+            out[i] = x
+        return pa.array(out, pa.string())
+
+    return encoded.withColumn("text", text(F.col("ids").cast("array<int>")))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -2,6 +2,8 @@
 
 import gzip
 import math
+import re
+import time
 
 import numpy as np
 import pandas as pd
@@ -64,11 +66,53 @@ def test_ngram_join_odd(spark):
     assert ngram_join.similarity_join(spark, docs(spark, []), 4, 85).count() == 0
 
 
+def test_ngram_join_null_bridge(spark):
+    """A row without an id links two others that aren't linked themselves; rows without an id may share a text."""
+    w = [f"w{i}" for i in range(100)]
+    texts = [" ".join(x) for x in (w, w[6:] + list("abcdef"), w[12:] + list("abcdefghijkl"))]
+    sets = [set(zip(*(t.split()[i:] for i in range(4)))) for t in texts]
+    j = lambda a, b: len(a & b) / len(a | b)
+    assert j(sets[0], sets[1]) >= 0.85 and j(sets[1], sets[2]) >= 0.85 and j(sets[0], sets[2]) < 0.85
+    for mid in (None, 2):
+        rows = [(1, texts[0]), (mid, texts[1]), (3, texts[2]), (mid, texts[1])]
+        got = ngram_join.similarity_join(spark, docs(spark, rows), 4, 85).collect()
+        assert {r.component_id for r in got} == {1} and len(got) == 4
+
+
 def test_toxicity_held_out(spark):
     got = toxicity.query(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").where("held_out").toPandas()
     assert ((got.predicted == 1) == (got.toxic == 1)).mean() > 0.93
 
 
+def test_toxicity_pairs():
+    """Labels that depend on two words together, neither of which tells anything alone."""
+    rng = np.random.default_rng(5)
+
+    def made(n):
+        texts, y = [], []
+        for _ in range(n):
+            a, b = rng.random(2) < 0.5
+            words = [*(f"w{x}" for x in rng.integers(0, 300, 12)), *["alpha"] * int(a), *["bravo"] * int(b)]
+            texts.append(" ".join(rng.permutation(words)))
+            y.append(float(a != b))
+        return texts, np.array(y)
+
+    (texts, y), (other, truth) = made(4000), made(500)
+    machine = toxicity.fit(list(toxicity.terms(pa.array(texts))), y, 0.5)
+    assert ((machine.score(pa.array(other)) >= 0.5) == (truth == 1)).mean() > 0.98
+
+
+def test_toxicity_score_brute():
+    """The sum of weights and of all pairs of factors."""
+    rng = np.random.default_rng(1)
+    chosen = np.sort(rng.choice(toxicity.BUCKETS, 5000, replace=False))
+    chosen = np.union1d(chosen, np.concatenate(list(toxicity.terms(pa.array(["some words here and there"])))))
+    machine = toxicity.Machine(chosen, rng.normal(size=len(chosen)), rng.normal(0, 0.2, (len(chosen), 4)), 0.3)
+    x = [int(np.searchsorted(chosen, t)) for t in next(toxicity.terms(pa.array(["some words here and there"])))]
+    z = 0.3 + sum(machine.w[i] for i in x) + sum(machine.v[i] @ machine.v[j] for k, i in enumerate(x) for j in x[:k])
+    assert abs(machine.score(pa.array(["some words here and there"]))[0] - 1 / (1 + np.exp(-z))) < 1e-9
+
+
 def test_toxicity_odd(spark):
     labels = spark.createDataFrame([(4, 1, 0), (6, 1, 1), (None, 0, 1)], "doc_id long, quality int, toxic int")
     out = toxicity.score(spark, docs(spark, ODD), labels).collect()
@@ -113,6 +157,47 @@ def test_pieces_round_trip(spark):
     assert len({tuple(r.ids) for r in out if r.doc_id == 7}) == 3
 
 
+def test_pieces_without_spaces():
+    """Texts without spaces take time in proportion; what no piece spans is cut, and only that."""
+    voc = pieces.vocabulary(pieces.MODEL, 0.2)
+    chinese = "".join(chr(0x4E00 + (i * 7919) % 20000) for i in range(20_000))
+    began = time.process_time()
+    got = pieces.sample(voc, [chinese], [1], 1)
+    assert pieces.decode(voc, got[0][2], [len(got[0][2])]) == [chinese]
+    assert time.process_time() - began < 1
+    rng = np.random.default_rng(2)
+    long = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 300_000))
+    began = time.process_time()
+    pieces.sample(voc, [long], [1], 2)
+    assert time.process_time() - began < 10
+    model = pieces.read_model(pieces.MODEL)
+    inside = {p[i : i + 2] for p, k in model if k == 1 for i in range(len(p) - 1)}
+    text = "\u2581the\u2581cat" + long[:500]
+    cut = voc.apart(voc.char[np.frombuffer(text.encode("utf-32-le"), np.int32)])
+    assert all(bool(c) == (text[i - 1 : i + 1] not in inside) for i, c in enumerate(cut) if i)
+
+
+def test_pieces_model_file():
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    assert [p for p, _ in pieces.read_model(pieces.MODEL)] == [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
+
+
+def test_pieces_decoded(spark):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    texts = ["a b", "Gr\u00fc\u00dfe, \u4f60\u597d \U0001f600\n end", "", "two  spaces", LONG[:5000]]
+    sampled = pieces.encode(spark, docs(spark, list(enumerate(texts))), k=2)
+    assert all(r.text == texts[r.doc_id] for r in pieces.decoded(spark, sampled).collect())
+    rows = [(0, sp.encode(texts[1])), (1, []), (2, None), (3, [5, 99999]), (4, [-1]), (5, [1, 450, 2])]
+    t = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, ids array<int>, text int")
+    got = {r.doc_id: r.text for r in pieces.decoded(spark, t).collect()}
+    assert got == {0: texts[1], 1: "", 2: None, 3: None, 4: None, 5: sp.decode([1, 450, 2])}
+    assert pieces.decoded(spark, t.limit(0)).count() == 0
+
+
 def test_warc_splits(spark, tmp_path):
     rows = [(1, "u", "same " * 30), (2, "v", "same " * 30), (3, None, None), (4, "w", ""), (5, "x", "\x1f\x8b\x08 in text " + LONG), (None, "y", "z"), (2, "v", "same " * 30)]
     scratch = Scratch(spark, "t")
@@ -187,37 +272,171 @@ def test_neighbours_brute(spark):
     assert neighbours.search(spark, t.limit(0), t.limit(0)).count() == 0
 
 
-def test_line_dedup_brute(spark):
-    line = "this unit has more than eight words in it here"
-    rows = [(2, f"Own start of two.\n{line}\nend"), (1, f"{line}\nOne goes on."), (3, f"{line.upper()}  \n{line}\nthird ones tail"), (4, None), (5, ""), (6, "Hi.")]
-    got = {r.doc_id: r.text for r in line_dedup.dedup(spark, docs(spark, rows)).collect()}
-    assert got == {1: rows[1][1], 2: "Own start of two.\nend", 3: "third ones tail", 4: None, 5: "", 6: "Hi."}
+def plain_units(text):
+    """(start, end, words, ends a line, normalised) of each unit, by a direct scan."""
+    out, cur = [], []
+    found = [(m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", text or "")]
+    for k, (s, e) in enumerate(found):
+        cur.append((s, e))
+        feed = k + 1 == len(found) or "\n" in text[e : found[k + 1][0]]
+        if feed or text[e - 1] in ".!?":
+            out.append((cur[0][0], cur[-1][1], len(cur), feed, " ".join(text[a:b] for a, b in cur).lower()))
+            cur = []
+    return out
+
+
+def plain_dedup(rows, unit_words, run_words, line_words):
+    """{row number: (text, spans)}: the earliest unit of each kind stays, by id and place."""
+    seen, out = set(), {}
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0))
+    for i in order:
+        us, flags = plain_units(rows[i][1]), []
+        for u in us:
+            flags.append(u[4] in seen)
+            seen.add(u[4])
+        cut, at = [False] * len(us), 0
+        for j, u in enumerate(us):
+            if u[3]:
+                if all(flags[at : j + 1]) and sum(x[2] for x in us[at : j + 1]) >= line_words:
+                    cut[at : j + 1] = [True] * (j + 1 - at)
+                at = j + 1
+        runs = lambda f: [(k, next((m for m in range(k, len(f)) if not f[m]), len(f))) for k in range(len(f)) if f[k] and (k == 0 or not f[k - 1])]
+        for a, b in runs(flags):
+            n = [u[2] for u in us[a:b]]
+            if max(n) >= unit_words or sum(n) >= run_words:
+                cut[a:b] = [True] * (b - a)
+        text, keep, last, spans = rows[i][1], "", 0, []
+        for a, b in runs(cut):
+            keep += text[last : us[a][0]]
+            last = us[b][0] if b < len(us) else len(text)
+            spans.append((us[a][0], us[b - 1][1], sum(u[2] for u in us[a:b])))
+        out[i] = (keep + text[last:] if spans else text, spans)
+    return out
+
+
+@pytest.mark.parametrize("params", [(8, 20, 0), (3, 5, 2)])
+def test_line_dedup_brute(spark, params):
+    rng = np.random.default_rng(9)
+    vocab = ["a", "Bé.", "c!", "dd", "eee?", "\n", "\n", "x", "\t", "end."]
+    kinds = [" ".join(rng.choice(vocab, rng.integers(1, 9))) for _ in range(25)]
+    rows = [(int(i), "\n".join(rng.choice(kinds, rng.integers(0, 6)))) for i in rng.permutation(40)] + [(100, None), (101, ""), (102, " \n ")]
+    want = plain_dedup(rows, *params)
+    t = spark.createDataFrame([(*r, "k", 7, True) for r in rows], "doc_id long, text string, rank_id string, n_chars int, repeats boolean")
+    got = {r.doc_id: r for r in line_dedup.dedup(spark, t, *params).collect()}
+    assert {i: r.text for i, r in got.items()} == {rows[i][0]: x[0] for i, x in want.items()}
+    assert all(got[rows[i][0]].n_chars == (len(x[0]) if x[1] else 7) for i, x in want.items()) and got[100].rank_id == "k" and got[0].repeats
+    spans = {(r.doc_id, r.start_char, r.end_char, r.n_words) for r in line_dedup.removed(spark, t, *params).collect()}
+    assert spans == {(rows[i][0], *s) for i, x in want.items() for s in x[1]} and spans
+
+
+def test_line_dedup_odd(spark):
     out = line_dedup.dedup(spark, docs(spark, ODD))
     assert out.count() == len(ODD) and out.columns == docs(spark, []).columns
+    assert {r.doc_id: r.text for r in out.collect()}[5] == "" and line_dedup.dedup(spark, docs(spark, [])).count() == 0
     text, spans = line_dedup.cut_text("é A b c d e f g h.\nrest", [0], 8, 20, 0)
     assert (text, spans) == ("rest", [(0, 18, 9)])
+    same = docs(spark, [(1, "one line"), (1, "one line"), (None, "one line")])  # rows of equal id and text are one document
+    assert sorted((r.doc_id or 9, r.text) for r in line_dedup.dedup(spark, same).collect()) == [(1, "one line"), (1, "one line"), (9, "")]
+
+
+def plain_log_prob(model, share, ids, t):
+    """One token, in plain loops."""
+    ctx, seen = np.zeros(masked_lm.WIDTH), 0
+    for j, k in enumerate(masked_lm.OFFSETS):
+        if 0 <= t + k < len(ids):
+            ctx += model["side"][j] * model["embed"][masked_lm.embed_rows(ids)[t + k]]
+            seen += 1
+    hid = np.tanh(ctx / max(seen, 1) @ model["hidden"] + model["hidden_bias"])
+    z = model["out"] @ hid + model["out_bias"]
+    return z[masked_lm.classes(ids)[t]] - np.log(np.exp(z).sum()) + share[ids[t]]
+
+
+def test_masked_lm_brute():
+    """Scores against plain loops; a step back against differences; class probabilities sum to one."""
+    rng = np.random.default_rng(4)
+    model = {k: rng.normal(0, 0.3, s) for k, s in masked_lm.SHAPES.items()}
+    share = np.zeros(masked_lm.WORDS)
+    ids, first = rng.integers(0, masked_lm.WORDS, 30), np.array([0, 0, 1, 18, 30])
+    got = masked_lm.log_probs(model, share, ids, first)
+    want = [plain_log_prob(model, share, ids[a:b], t) for a, b in zip(first, first[1:]) for t in range(b - a)]
+    assert np.allclose(got, want, atol=1e-5)
+    each = [masked_lm.log_probs(model, share, np.concatenate((ids[:5], [c << 17], ids[6:10])), np.array([0, 10]))[5] for c in range(masked_lm.CLASSES)]
+    assert abs(np.exp(each).sum() - 1) < 1e-5
+    row, rows, own = np.repeat(np.arange(4), np.diff(first)), masked_lm.embed_rows(ids), masked_lm.classes(ids)
+    new = {k: v.copy() for k, v in model.items()}
+    masked_lm.train_step(new, {k: np.full(s, 1e12) for k, s in masked_lm.SHAPES.items()}, rows, own, row, 0, 30, 1e6)
+    for k, i in (("embed", (rows[3], 2)), ("side", (1, 4)), ("hidden", (2, 3)), ("out", (own[2], 1)), ("out_bias", (own[5],))):
+        up, down = ({n: v.copy() for n, v in model.items()} for _ in range(2))
+        up[k][i] += 1e-4
+        down[k][i] -= 1e-4
+        slope = (masked_lm.log_probs(up, share, ids, first).mean() - masked_lm.log_probs(down, share, ids, first).mean()) / 2e-4
+        assert abs((new[k][i] - model[k][i]) - slope) < 1e-5
 
 
 def test_masked_lm(spark):
-    model = masked_lm.start()
-    ids, first = np.arange(40) * 37 % masked_lm.VOCABULARY, np.array([0, 40])
-    lp = []
-    for t in range(0, masked_lm.VOCABULARY, 64):  # the class and member softmaxes sum to one
-        for k in range(64):
-            ids[20] = t + k
-            lp.append(masked_lm.log_probs(model, ids[17:24], np.array([0, 7]))[3])
-    assert abs(np.exp(lp).sum() - 1) < 1e-3
-    rows = [(i, "the cat sat on the mat and the dog ran to the park " * 20) for i in range(40)]
-    out = {r.doc_id: r for r in masked_lm.score(spark, docs(spark, [*rows, (90, "zq wv kx pj " * 40), (91, None), (92, "")])).collect()}
-    assert out[0].per_token > out[90].per_token and out[91].n_tokens == 0 and out[92].per_token is None
+    rows = [(i, "the cat sat on the mat and the dog ran to the park " * 20) for i in range(40)] + [(90, "zq wv kx pj " * 40), (91, None), (92, ""), (None, "the cat"), (93, "one"), (93, "one")]
+    t = docs(spark, rows)
+    out = {r.doc_id: r for r in masked_lm.score(spark, t).collect()}
+    assert out[0].per_token > out[90].per_token and out[91].n_tokens == 0 and out[92].per_token is None and out[92].log_prob == 0
+    assert out[None].n_tokens == 2 and masked_lm.score(spark, t).where("doc_id = 93").distinct().count() == 1
+    other = {r.doc_id: r.log_prob for r in masked_lm.score(spark, t.orderBy(F.rand(3)).repartition(7)).collect()}
+    assert all(abs(other[i] - r.log_prob) < 1e-3 * (1 + abs(r.log_prob)) for i, r in out.items())  # however rows are split
     assert masked_lm.score(spark, docs(spark, [])).count() == 0
+    counted = masked_lm.shares(spark.createDataFrame([("a b a c",), ("b a",)], "text string"))
+    n = {w: int(masked_lm.tokens(pa.array([w]))[0][0]) for w in "abc"}
+    per = {c: sum(k for w, k in zip("abc", (3, 2, 1)) if masked_lm.classes(np.array([n[w]]))[0] == c) for c in range(masked_lm.CLASSES)}
+    for w, k in zip("abc", (3, 2, 1)):
+        assert abs(np.exp(counted[n[w]]) - k / per[int(masked_lm.classes(np.array([n[w]]))[0])]) < 1e-6
+
+
+LINE = "This is the text of the article and it has more than twenty words in it, so that it is kept by its length."
 
 
-@pytest.mark.parametrize("page,want", [(None, ""), ("", ""), ("<nav><a>Menu</a></nav><article><h1>T &amp; x</h1><p>a <b>b<br>c</p><script>var a='</p>'</script><p>d</article><footer>f</footer>", "T & x\na b c\nd"), ("<div class='comments'><p>no</p></div><main><p>yes</main><div id=sidebar>no</div>", "yes"), ("<p>plain", "plain"), ("<article><form>no</form><p>ok</p><aside>no</aside></article>", "ok")])
+@pytest.mark.parametrize("page,want", [(None, ""), ("", ""), ("<nav><a>Menu</a></nav><article><h1>T &amp; x</h1><p>a <b>b<br>c</p><script>var a='</p>'</script><p>d</article><footer>f</footer>", "T & x\na b c\nd"), ("<div class='comments'><p>no</p></div><main><p>yes</main><div id=sidebar>no</div>", "yes"), ("<p>plain", "plain"), ("<article><form>no</form><p>ok</p><aside>no</aside></article>", "ok"),
+    (f'<body class="has-sidebar"><article><p>{LINE}</article>', LINE), (f'<body class="no-sidebar"><article><p>{LINE}</article>', LINE), (f'<div class="with share"><article><p>{LINE}</article></div>', LINE),
+    (f'<div class="content-area left-side"><article><p>{LINE}</article></div>', LINE), (f'<article><div class="post-header"><h1>Title</h1></div><p>{LINE}</article>', f"Title\n{LINE}"), (f'<div id=comments><article class=comment><p>{LINE}</article></div>', ""),
+    (f'<div class=sidebar><article><p>{LINE} teaser</article></div><main><p>{LINE}</main>', LINE), (f'<div class="page sidebar"><p>{LINE}</div>', LINE), (f'<aside><article><p>{LINE}</article></aside>', ""), ("<p>a < b &#99999999999; <i>c</i>", "a < b \ufffd c"), ("<p title='x > y'>z", "z"), ("<p title=it's>z don't", "z don't")])
 def test_html(page, want):
     assert html_text.main_text(page) == want
 
 
+@pytest.mark.parametrize("piece", ["<a ", "<div><p>x</p></div>", "<div>", "<a href='", "<svg>", "<![CDATA[", "&", "<article>", "</section>", "</", "<a=", "&#9"])
+def test_html_hostile(piece):
+    """Pages of 1 MB that are never closed, or of nothing but blocks, take time in proportion."""
+    began = time.process_time()
+    html_text.main_text("<div>" * 1000 + piece * (1_000_000 // len(piece)))
+    assert time.process_time() - began < 4
+
+
+def test_html_two_passes():
+    """Both passes against plain rules over all blocks of random pages."""
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        found = [("w " * int(rng.integers(1, 40)) + "the and of it is " * int(rng.integers(0, 6)), int(rng.integers(0, 60)), [None, "good", "hard", "soft"][rng.integers(4)], int(rng.integers(3))) for _ in range(12)]
+        found = [(t.strip(), k, s, b) for t, k, s, b in found]
+        first = html_text.verdicts(found)
+        for (text, link, standing, _), v in zip(found, first):
+            w = text.split()
+            stop = sum(x in ("the", "and", "of", "it", "is") for x in w)
+            if standing in ("hard", "soft") or (link > len(text) / 2 and len(w) < 60):
+                assert v is False
+            else:
+                assert v is (True if len(w) >= 20 and (standing == "good" or len(w) >= 60 or stop >= 0.15 * len(w)) else None)
+        second = html_text.inherit(found, first)
+        for i, (_, _, standing, box) in enumerate(found):
+            near = sorted((abs(j - i), j > i, j) for j in range(12) if found[j][3] == box and first[j] is not None)
+            left, right = ([j for _, after, j in near if after is side][:1] for side in (False, True))
+            if first[i] is not None:
+                want = first[i]
+            elif standing == "good":
+                want = True
+            elif not near:
+                want = not any(f[2] == "good" for f in found) and not any(first)
+            else:
+                want = first[near[0][2]]
+            assert second[i] is bool(want), (i, left, right)
+
+
 def test_html_rows(spark):
     t = spark.createDataFrame([(1, None, None, 1), (2, "u", "<p>x", 2), (2, "u", "<p>x", 2)], "page_id long, url string, html string, text int")
     assert sorted((r.page_id, r.text, r.n_chars) for r in html_text.extract(t).collect()) == [(1, "", 0), (2, "x", 1), (2, "x", 1)]
