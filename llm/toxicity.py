@@ -77,7 +77,10 @@ class _Flat:
     def __init__(self, rows: list[np.ndarray]):
         self.size = np.array([len(r) for r in rows], np.int64)
         self.at = np.cumsum(self.size) - self.size
-        self.names, self.flat = np.unique(np.concatenate(rows) if len(rows) else np.zeros(0, np.int32), return_inverse=True)
+        flat = np.concatenate(rows) if len(rows) else np.zeros(0, np.int32)
+        there = np.bincount(flat, minlength=BUCKETS) > 0
+        self.names = np.flatnonzero(there)
+        self.flat = (np.cumsum(there) - 1).astype(np.int32)[flat]
 
     def batch(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in the batch, term) of all terms of some texts."""
