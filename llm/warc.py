@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 
@@ -17,7 +18,7 @@ import pyarrow.fs as pfs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._scratch import Scratch
+from ._scratch import FEW, Scratch
 
 MAGIC = b"\x1f\x8b\x08"
 
@@ -56,9 +57,14 @@ def parse(raw: bytes) -> dict:
     return {"page_id": number(fields["warc-record-id"]), "url": fields.get("warc-target-uri"), "payload": payload if kind == "response" else None, "payload_bytes": length, "payload_digest": stated, "record_type": kind, "refers_to": number(fields["warc-refers-to"]) if kind == "revisit" else None}
 
 
+def filesystem(root: str):
+    """(file system, path) of a URI; Hadoop's names of object stores are those of pyarrow's with a letter more."""
+    return pfs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", root))
+
+
 def _write_map(root: str, limit: int):
     def run(batches):
-        fs, base = pfs.FileSystem.from_uri(root)
+        fs, base = filesystem(root)
         fs.create_dir(base, recursive=True)
         out, name, size, done = None, None, 0, []
         try:
@@ -93,8 +99,11 @@ def write(spark: SparkSession, pages: DataFrame, root: str, scratch: Scratch, le
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     rows = rows.withColumn("digest", F.sha1(F.coalesce("html", F.lit("")).cast("binary")))
     size = F.octet_length(F.coalesce("html", F.lit("")))
-    many = rows.where(size >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("k")).where("k > 1 and first is not null").select("digest", "first")
-    marked = rows.join(many, "digest", "left").select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    # payloads that occur twice are a written table: a broadcast where they are few, so that no html is shuffled; else the join
+    # is of two shuffled sides, of which Spark splits partitions that a hot payload makes large
+    many = scratch.cut(rows.where(size >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("k")).where("k > 1 and first is not null").select("digest", "first"))
+    few = many.count() <= FEW // 4
+    marked = rows.join(F.broadcast(many) if few else many, "digest", "left").select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
     return scratch.cut(marked.mapInArrow(_write_map(root, limit), "path string, bytes long"))
 
 
@@ -149,7 +158,7 @@ def members(fs, path: str, start: int, end: int, chunk: int = 1 << 20):
 
 def _read_map(root: str):
     def run(batches):
-        fs, _ = pfs.FileSystem.from_uri(root)
+        fs, _ = filesystem(root)
         kinds = {"page_id": pa.int64(), "url": pa.string(), "payload": pa.binary(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64()}
         emit = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in kinds.items()], list(kinds))
         for batch in batches:
