@@ -27,7 +27,7 @@ from ._graph import components
 from ._scratch import Scratch, semi
 
 #: Bytes of signatures that a task pairs at once, about, and bytes of them for each shingle of the input.
-PACK_BYTES, SHINGLE_BYTES = 24 << 20, 6
+PACK_BYTES, SHINGLE_BYTES = 8 << 20, 6
 #: Groups up to this size give all their pairs at once; larger ones give pairs with their least member first,
 #: and the rest only where components stay apart.
 SMALL = 4
