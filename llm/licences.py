@@ -16,14 +16,33 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Well-known notices as projects put them into files; a text of one's own may be passed instead.
+#: Well-known notices and whole licence texts as projects put them into files; texts of one's own may be passed
+#: instead.
 TEMPLATES = {
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'],
-    "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."],
+    "Apache-2.0": [
+        "Licensed under the Apache License, Version 2.0.",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+    ],
+    "MIT": [
+        "Released under the MIT License.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    ],
+    "ISC": [
+        'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    ],
+    "GPL-3.0": [
+        "This work is licensed under the GNU General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
+    ],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."],
+    "BSD-3-Clause": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
+        'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    ],
     "reserved": ["All rights reserved."],
 }
 
@@ -43,6 +62,19 @@ def _unit_bigrams(unit):
     return F.when(F.size(w) < 2, F.array().cast("array<string>")).otherwise(F.array_distinct(F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))))
 
 
+def _joined(texts: list[tuple[str, ...]]) -> str:
+    """A regular expression for any of some sequences of characters, common beginnings once: at most places in a text it
+    ends after a character."""
+    heads: dict[str, list[tuple[str, ...]]] = {}
+    for t in texts:
+        if t:
+            heads.setdefault(t[0], []).append(t[1:])
+    parts = [h + _joined(rest) for h, rest in sorted(heads.items())]
+    if not parts or any(not t for t in texts):  # a sequence that ends here matches whatever follows
+        return ""
+    return parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
+
+
 def pattern(templates: dict[str, list[str]], dice: float) -> str:
     """A regular expression that every unit matches which reaches the bound with a template.
 
@@ -52,8 +84,8 @@ def pattern(templates: dict[str, list[str]], dice: float) -> str:
         for text in texts:
             b = bigrams(text)
             take = min(len(b), math.floor(len(b) * (1 - dice / (2 - dice)) + 1e-9) + 1)
-            need |= set(sorted(b, key=lambda x: (-len(x), x))[:take])  # long bigrams are rare in other texts
-    return "(?i)(?:" + "|".join("[^a-z0-9]+".join(b.split()) for b in sorted(need)) + ")"
+            need |= set(sorted(b, key=lambda x: (x not in need, -len(x), x))[:take])  # those in use already, then long ones, which are rare
+    return "(?i)" + _joined([tuple("[^a-z0-9]+" if c == " " else c for c in b) for b in sorted(need)])
 
 
 def _newlines(text):
@@ -93,7 +125,7 @@ def _sentences(text, near: str):
 def scan(docs: DataFrame, dice: float = 0.8, templates: dict[str, list[str]] | None = None) -> DataFrame:
     """(doc_id, unit, licence, template, dice): units of each text that reach ``dice`` with a template; ``unit`` is the
     number of the line, or of the first line of a run or sentence, from 1, or 0 for the whole text (given if it has
-    several lines). Lines and whole texts give all their hits. Runs and sentences add what these miss: with a template
+    several lines). Lines and whole texts give a hit for each template that they reach, whether or not others fit better. Runs and sentences add what these miss: with a template
     that no line of theirs, nor the whole text, reaches; of those that overlap, the best one, the shortest and first.
 
     Null and empty texts have none; texts of any length are scanned whole; units of one word have no bigrams and match
@@ -143,8 +175,8 @@ def sql(dice: float = 0.8) -> str:
     return rf"""
 WITH t(licence, template, g) AS (VALUES {rows}),
 l AS (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS unit, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL
-  UNION ALL SELECT doc_id, 0, text FROM documents WHERE text LIKE '%' || chr(10) || '%' AND length(text) < 4000),
-w AS (SELECT doc_id, unit, list_filter(regexp_split_to_array(lower(line), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM l WHERE length(line) < 4000),
+  UNION ALL SELECT doc_id, 0, text FROM documents WHERE text LIKE '%' || chr(10) || '%'),
+w AS (SELECT doc_id, unit, list_filter(regexp_split_to_array(lower(line), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM l),
 b AS (SELECT doc_id, unit, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i+1])) AS b FROM w WHERE len(w) > 1)
 SELECT doc_id, CAST(unit AS INTEGER) AS unit, licence, CAST(template AS INTEGER) AS template, 2 * len(list_intersect(b, g)) / (len(b) + len(g)) AS dice
 FROM b JOIN t ON 2000 * len(list_intersect(b, g)) >= {round(1000 * dice)} * (len(b) + len(g))

@@ -54,3 +54,23 @@ def test_ngram_join_counts_every_link(spark):
     sets = [frozenset(zip(*(t.split()[i:] for i in range(4)))) for t in texts]
     links = lambda x: sum(x != y and 100 * len(x & y) >= 85 * len(x | y) for y in set(sets))
     assert got == {i: links(x) for i, x in enumerate(sets)} and max(got.values()) > 10
+
+
+def test_licences_whole_texts(spark):
+    """Whole licence files, wrapped as projects wrap them, under a title and a copyright line."""
+    rows = []
+    for i, (name, texts) in enumerate(sorted(licences.TEMPLATES.items())):
+        w = max(texts, key=len).split()
+        body = "\n".join(" ".join(w[k : k + 11]) for k in range(0, len(w), 11))
+        rows += [(10 * i, f"{name} License\n\nCopyright (c) 2020 The Authors\n\n{body}\n"), (10 * i + 1, f"# {name}\n\n" + "\n".join(f"/* {x} */" for x in body.split("\n")) + "\n\nint main() { return 0; }" * 40)]
+    got = {(r.doc_id, r.licence) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, name in enumerate(sorted(licences.TEMPLATES)):
+        if len(max(licences.TEMPLATES[name], key=len)) > 200:
+            assert {(10 * i, name), (10 * i + 1, name)} <= got, name
+
+
+def test_licences_ties(spark):
+    """A unit that fits two templates alike gives both; runs and sentences give the best of those that overlap."""
+    two = {"a": ["one two three four five six"], "b": ["one two three four five six"]}
+    got = sorted(tuple(r) for r in licences.scan(spark.createDataFrame([(1, "x\none two three four five six\none two three four five six")], "doc_id long, text string"), templates=two).collect())
+    assert got == [(1, u, n, 0, 1.0) for u in (2, 3) for n in "ab"] or {g[1:3] for g in got} >= {(2, "a"), (2, "b"), (3, "a"), (3, "b")}
