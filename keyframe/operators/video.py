@@ -138,7 +138,7 @@ def replacement(relevant: Callable[[int], bool], frame: int, sample: list[int],
 Pick = Callable[[list[int], list[Segment], list[int]], list[int]]
 
 
-def capped_search(clip: Clip, pick: Pick, start: int = 4, limit: int = 16) -> dict:
+def capped_search(clip: Clip, pick: Pick, start: int = 4, limit: int = 16, split: Callable[[Clip, Segment], int] = split_point) -> dict:
     """Frames of a video, ``limit`` at most: one split a step, of the largest gap while the sample is out of balance, else
     of what ``pick`` chooses (or the longest segment). A new frame that repeats one of the sample gives way to the
     segment's middle; if that repeats one as well the segment is split without a frame. Stops at the limit, after five steps
@@ -160,7 +160,7 @@ def capped_search(clip: Clip, pick: Pick, start: int = 4, limit: int = 16) -> di
             chosen = next((i for i in pick(sample, segments, able) if i in able), None)
             chosen = longest(segments) if chosen is None else chosen
         segment = segments[chosen]
-        at = inner_split(clip, segment)
+        at = inner_split(clip, segment, split)
         again = middle(segment)
         if clip.repeats(at, sample) and again != at and again not in sample and not clip.repeats(again, sample):
             at = again
@@ -169,19 +169,19 @@ def capped_search(clip: Clip, pick: Pick, start: int = 4, limit: int = 16) -> di
         else:
             sample = sorted({*sample, at})
             segments, stalled, steps = segments_of(sample), 0, steps + 1
-    return {"sample": filled(clip, sample, limit), "steps": steps, "forced": forced, "reason": reason}
+    return {"sample": filled(clip, sample, limit, split), "steps": steps, "forced": forced, "reason": reason}
 
 
-def filled(clip: Clip, sample: list[int], limit: int) -> list[int]:
+def filled(clip: Clip, sample: list[int], limit: int, split=split_point) -> list[int]:
     """Splits of the largest gaps until there are ``limit`` frames or nothing to split."""
     while len(sample) < limit and (i := longest(segments_of(sample))) is not None:
         segment = segments_of(sample)[i]
-        at = inner_split(clip, segment)
+        at = inner_split(clip, segment, split)
         sample = sorted({*sample, middle(segment) if clip.repeats(at, sample) else at})
     return sample
 
 
-def guided_search(clip: Clip, pick: Pick, relevant: Callable[[int], bool], sure: Callable[[list[int]], int], fps: float, start: int = 4, least: int = 8, limit: int = 11, enough: int = 3, min_steps: int = 2) -> dict:
+def guided_search(clip: Clip, pick: Pick, relevant: Callable[[int], bool], sure: Callable[[list[int]], int], fps: float, start: int = 4, least: int = 8, limit: int = 11, enough: int = 3, min_steps: int = 2, split: Callable[[Clip, Segment], int] = split_point) -> dict:
     """Frames of a screen recording, ``least`` to ``limit``, inside its content.
 
     ``pick`` may choose several segments a step, as many as the limit leaves room for (longest first). A new frame that
@@ -221,7 +221,7 @@ def guided_search(clip: Clip, pick: Pick, relevant: Callable[[int], bool], sure:
             chosen = sorted(chosen, key=lambda i: (segments[i][0] - segments[i][1], i))[:room]
         fresh: list[int] = []
         for i in sorted(chosen):
-            at = inner_split(clip, segments[i])
+            at = inner_split(clip, segments[i], split)
             if clip.repeats(at, [*sample, *fresh]):
                 closed.add(segments[i])
             else:
@@ -236,7 +236,7 @@ def guided_search(clip: Clip, pick: Pick, relevant: Callable[[int], bool], sure:
             if len(sample) >= least or i is None:
                 break
             segment = segments_of(sample)[i]
-            at = inner_split(clip, segment)
+            at = inner_split(clip, segment, split)
             if clip.repeats(at, sample):
                 closed.add(segment)
             else:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from keyframe.functions import actions as A
 from keyframe.functions import answers as N
+from keyframe.operators import pictures as P
 from keyframe.operators import timeline as T
 from keyframe.sources import readers as R
 
@@ -142,7 +143,49 @@ def chosen_ids(spark, d):
     return T.overriding(base.select("qid"), rerun=log.select("qid"), avoid=[8], listed=None, key="qid")
 
 
-QUERIES = {f.__name__: f for f in (log_metrics, run_folders, caption_items, narration_lines, reference_images, segment_rows, json_replies, answer_pairs, clock_formats, run_times, canvas_boxes, predicted_format, chosen_ids)}
+def sampled_captions(spark, d):
+    """Captions at every third place from 1, each with its frame's name."""
+    v = _narrations(spark, d)
+    at = F.filter(F.sequence(F.lit(1), F.size("a")), lambda i: i % 3 == 1)
+    return v.select("video_id", F.explode(at).alias("idx"), "a").select("video_id", F.concat(F.lit("frame "), F.col("idx").cast("string")).alias("frame"), F.element_at("a", F.col("idx")).alias("caption"))
+
+
+def first_non_empty(spark, d):
+    """The first error or signup of each video that has one, by time."""
+    some = F.col("event_type").isin("error", "signup")
+    return X.frames(spark, d).groupBy("video").agg(F.min(F.when(some, F.struct("idx", "event_type"))).alias("m")).where("m is not null").select("video", F.col("m.event_type").alias("kind"))
+
+
+def selected_segments(spark, d):
+    """Segments that are among those chosen elsewhere, by both their ends."""
+    f = X.frames(spark, d).where("event_type = 'click'").select("video", "idx")
+    g = T.gaps(f, "video", "idx")
+    chosen = T.gaps(X.frames(spark, d).where("event_type = 'click' and (k < 50 or idx % 2 = 0)").select("video", "idx"), "video", "idx")
+    return g.join(chosen, ["video", "start", "end"], "left_semi").select("video", F.col("start").alias("seg_start"), F.col("end").alias("seg_end"))
+
+
+def schema_union(spark, d):
+    """Metric rows of two runs with unlike metrics: the union of their columns."""
+    q = X.qa(spark, d)
+    a = q.where("qid % 2 = 0").select("qid", F.col("n_chars").alias("steps"))
+    b = q.where("qid % 2 = 1").select("qid", F.col("pred").alias("forced"))
+    return a.unionByName(b, allowMissingColumns=True)
+
+
+def scene_jobs(spark, d):
+    """Scenes of recordings with their boxes; recordings that aren't local are marked."""
+    f = X.frames(spark, d).where("event_type = 'error'").groupBy("video").agg(F.array_sort(F.collect_list("idx")).alias("at"))
+    videos = f.select(F.col("video").alias("video_id"), F.transform("at", lambda i: i * 0.5).alias("at"), F.transform(F.slice("at", 1, 3), lambda i: i * 10).alias("boxes"))
+    local = f.where("video % 3 > 0").select(F.col("video").alias("video_id"))
+    return P.scene_jobs(videos, local).select("video_id", "ok", "i", "at_sec", "box")
+
+
+def tags(spark, d):
+    p = X.table(spark, d, "part")
+    return p.select("p_partkey", R.tag(F.concat(F.col("p_brand"), F.lit("/"), F.col("p_name"), F.lit(":1"))).alias("tag"))
+
+
+QUERIES = {f.__name__: f for f in (log_metrics, run_folders, caption_items, narration_lines, reference_images, segment_rows, json_replies, answer_pairs, clock_formats, run_times, canvas_boxes, predicted_format, chosen_ids, sampled_captions, first_non_empty, selected_segments, schema_union, scene_jobs, tags)}
 SQL = {
     "log_metrics": f"{_LOG} SELECT qid, {', '.join(_LOG_COLS)} FROM l1",
     "run_folders": "WITH p AS (SELECT p_partkey, lower(p_brand) || (['_single', '_uniform10', '_other'])[CAST(p_size % 3 + 1 AS INT)] AS f FROM part) SELECT p_partkey, CASE WHEN f LIKE '%\\_single' ESCAPE '\\' THEN left(f, length(f) - 7) WHEN f LIKE '%\\_uniform10' ESCAPE '\\' THEN left(f, length(f) - 10) END AS model, CASE WHEN f LIKE '%\\_single' ESCAPE '\\' THEN 'single' WHEN f LIKE '%\\_uniform10' ESCAPE '\\' THEN 'uniform10' END AS mode FROM p",
@@ -167,4 +210,10 @@ SQL = {
       SELECT ep, step, CAST(CASE WHEN k IN (4, 0, 1, 8, 9) THEN 4 ELSE k END AS INT) AS type_id, CASE k WHEN 4 THEN y WHEN 0 THEN 0.8::DOUBLE WHEN 1 THEN 0.2::DOUBLE WHEN 8 THEN 0.5::DOUBLE WHEN 9 THEN 0.5::DOUBLE ELSE -1 END AS touch_y, CASE k WHEN 4 THEN x WHEN 0 THEN 0.5::DOUBLE WHEN 1 THEN 0.5::DOUBLE WHEN 8 THEN 0.2::DOUBLE WHEN 9 THEN 0.8::DOUBLE ELSE -1 END AS touch_x,
         CASE k WHEN 4 THEN y WHEN 0 THEN 0.2::DOUBLE WHEN 1 THEN 0.8::DOUBLE WHEN 8 THEN 0.5::DOUBLE WHEN 9 THEN 0.5::DOUBLE ELSE -1 END AS lift_y, CASE k WHEN 4 THEN x WHEN 0 THEN 0.5::DOUBLE WHEN 1 THEN 0.5::DOUBLE WHEN 8 THEN 0.8::DOUBLE WHEN 9 THEN 0.2::DOUBLE ELSE -1 END AS lift_x, CASE WHEN k = 3 THEN lower(type_text) ELSE '' END AS typed FROM k""",
     "chosen_ids": f"{_Q} SELECT qid FROM qa WHERE qid % 2 = 0 AND pred <> truth AND qid <> 8",
+    "sampled_captions": f"{_NARR} SELECT video_id, 'frame ' || (r + 1) AS frame, role AS caption FROM n0 WHERE r % 3 = 0",
+    "first_non_empty": f"{_F} SELECT video, arg_min(event_type, idx) AS kind FROM frames WHERE event_type IN ('error', 'signup') GROUP BY video",
+    "selected_segments": f"{_F}, g AS (SELECT video, idx AS s, lead(idx) OVER (PARTITION BY video ORDER BY idx) AS e FROM frames WHERE event_type = 'click'), c AS (SELECT video, idx AS s, lead(idx) OVER (PARTITION BY video ORDER BY idx) AS e FROM frames WHERE event_type = 'click' AND (k < 50 OR idx % 2 = 0)) SELECT video, s AS seg_start, e AS seg_end FROM g JOIN c USING (video, s, e) WHERE e IS NOT NULL",
+    "schema_union": f"{_Q} SELECT qid, CASE WHEN qid % 2 = 0 THEN n_chars END AS steps, CASE WHEN qid % 2 = 1 THEN pred END AS forced FROM qa",
+    "scene_jobs": f"{_F}, e AS (SELECT video, idx, CAST(row_number() OVER (PARTITION BY video ORDER BY idx) - 1 AS INT) AS i, first(idx) OVER (PARTITION BY video ORDER BY idx) AS f FROM frames WHERE event_type = 'error') SELECT video AS video_id, TRUE AS ok, i, idx * 0.5::DOUBLE AS at_sec, CAST(CASE WHEN i < 3 THEN idx ELSE f END * 10 AS INT) AS box FROM e WHERE video % 3 > 0 UNION ALL SELECT DISTINCT video, FALSE, CAST(NULL AS INT), CAST(NULL AS DOUBLE), CAST(NULL AS INT) FROM e WHERE video % 3 = 0",
+    "tags": "SELECT p_partkey, translate(p_brand || '/' || p_name || ':1', '/ :', '___') AS tag FROM part",
 }

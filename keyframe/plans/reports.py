@@ -89,7 +89,10 @@ def accuracy_by_step(spark, d):
 
 
 def stop_reasons(spark, d):
-    q = X.qa(spark, d).select(F.element_at(F.array(F.lit("max_frames"), F.lit("confident"), F.lit("stalled"), F.lit(None)), (F.col("n_chars") % 4 + 1).cast("int")).alias("r"), ((F.col("pred") == F.col("truth")) & (F.col("pred") != -1)).cast("int").alias("ok"), F.when(F.col("qid") % 6 == 0, None).otherwise(F.col("n_chars") % 16).alias("f"))
+    """Why runs stopped, and how many of these were right: results joined to the truths, none never right."""
+    q = X.qa(spark, d)
+    runs = q.select("qid", F.element_at(F.array(F.lit("max_frames"), F.lit("confident"), F.lit("stalled"), F.lit(None)), (F.col("n_chars") % 4 + 1).cast("int")).alias("r"), "pred", F.when(F.col("qid") % 6 == 0, None).otherwise(F.col("n_chars") % 16).alias("f"))
+    q = runs.join(q.select("qid", "truth"), "qid", "left").withColumn("ok", F.coalesce((F.col("pred") == F.col("truth")) & (F.col("pred") != -1), F.lit(False)).cast("int"))
     return q.groupBy(F.coalesce("r", F.lit("unknown")).alias("reason")).agg(F.count("*").alias("n"), F.sum("ok").alias("correct"), F.round(F.avg(F.coalesce("f", F.lit(0))), 6).alias("mean_frames"))
 
 
@@ -172,8 +175,11 @@ _T4 = ", ".join(f"printf('%.4f', {c}) AS \"{n}\"" for n, c in [("Acc", "acc"), (
 QUERIES = {f.__name__: f for f in (parse_letter, staged_answer, parse_json_answer, qa_accuracy, qa_by_type, caption_summary, accuracy_by_step, stop_reasons, run_means, submission_map, board_markdown, board_table, leaderboard_pivot, leaderboard_ranked, markdown_rows, metrics_wide, qa_prompt)} | {f"combine_answers_{m}": _combine(m) for m in N.MODES}
 _Q = f"WITH {X.QA}"
 SQL = {f"combine_answers_{m}": f"{_R} SELECT qid, CASE {_CASES[m]} ELSE -1 END AS answer FROM r" for m in N.MODES} | {
-    "parse_letter": rf"""{_Q}, t AS (SELECT qid, pred, substring('ABCDE', CAST(pred + 1 AS INT), 1) AS l, qid % 7 AS m FROM qa)
-      SELECT qid, CAST(CASE WHEN pred < 0 THEN -1 WHEN m = 0 OR m = 1 OR m = 2 OR m = 3 THEN pred WHEN m = 4 THEN 0 WHEN m = 5 THEN pred ELSE -1 END AS INT) AS answer FROM t""",
+    "parse_letter": rf"""{_Q}, t AS (SELECT qid, pred, substring('ABCDE', CAST(pred + 1 AS INT), 1) AS l, qid % 7 AS m FROM qa),
+      r AS (SELECT qid, trim(coalesce(CASE WHEN pred < 0 THEN CASE WHEN m > 3 THEN 'I pick A or B' END WHEN m = 0 THEN l WHEN m = 1 THEN '  (' || lower(l) || ') since' WHEN m = 2 THEN 'The choice ' || l WHEN m = 3 THEN 'Just ' || l WHEN m = 4 THEN 'Answer: ' || l WHEN m = 5 THEN 'My option:' || l ELSE 'no' END, '')) AS s FROM t),
+      p AS (SELECT qid, CASE WHEN regexp_matches(s, '^[A-Ea-e]') THEN substring(s, 1, 1) WHEN regexp_matches(s, '\([A-E]\)', 'i') THEN regexp_extract(s, '\(([A-E])\)', 1, 'i') WHEN regexp_matches(s, '(?:answer|choice|option)[:\s]*[A-E]', 'i') THEN regexp_extract(s, '(?:answer|choice|option)[:\s]*([A-E])', 1, 'i')
+        WHEN len(regexp_extract_all(s, '\b([A-E])\b', 1)) = 1 THEN regexp_extract(s, '\b([A-E])\b', 1) END AS l FROM r)
+      SELECT qid, CAST(coalesce(instr('ABCDE', upper(l)) - 1, -1) AS INT) AS answer FROM p""",
     "staged_answer": f"{_R} SELECT qid, coalesce(nullif(CASE {_CASES['vote_conf_and']} ELSE -1 END, -1), nullif(CASE WHEN qid % 2 = 0 THEN r ELSE -1 END, -1), nullif(s, -1), -1) AS answer FROM r",
     "parse_json_answer": f"""{_Q}, t AS (SELECT qid, CASE WHEN qid % 4 < 3 THEN CAST(n_chars % 12 - 2 AS INT) END AS n FROM qa)
       SELECT qid, CAST(CASE WHEN n BETWEEN -1 AND 4 THEN n WHEN n IS NOT NULL THEN qid % 5 ELSE -1 END AS INT) AS answer, CASE WHEN n BETWEEN 1 AND 3 THEN n ELSE 1 END AS confidence, CASE WHEN abs(n) BETWEEN 0 AND 4 THEN abs(n) ELSE -1 END AS digits FROM t""",

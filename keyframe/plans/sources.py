@@ -139,7 +139,7 @@ _C = "WITH c AS (SELECT DISTINCT text FROM documents WHERE doc_id % 2 = 0)"
 SQL = {
     "explode_episodes": f"{_S} SELECT ls AS task, CAST(ep AS VARCHAR) AS ep_id, CAST(row_number() OVER (PARTITION BY ls, ep ORDER BY step) - 1 AS INT) AS step_idx, 'f' || step || '.png' AS img_filename, label AS goal FROM steps",
     "qa_two_shapes": f"{_Q} SELECT CAST(qid AS VARCHAR) AS qid, source AS question, lang AS first_option, CAST(CASE WHEN qid % 3 > 0 THEN truth ELSE -1 END AS INT) AS truth FROM qa",
-    "path_parts": "SELECT p_partkey, lower(p_brand) AS model, 'uniform' || (p_size % 10) AS mode, p_size % 3 = 0 AS no_cut FROM part",
+    "path_parts": r"WITH p AS (SELECT p_partkey, '/out/' || lower(p_brand) || '/uniform' || (p_size % 10) || CASE WHEN p_size % 3 = 0 THEN '_no_cut' ELSE '' END || '/run.log' AS t FROM part) SELECT p_partkey, regexp_extract(t, '([^/]+)/[^/]+/[^/]+$', 1) AS model, regexp_replace(regexp_extract(t, '([^/]+)/[^/]+$', 1), '_no_cut$', '') AS mode, regexp_extract(t, '([^/]+)/[^/]+$', 1) LIKE '%_no_cut' AS no_cut FROM p",
     "semi_local": "SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)",
     "anti_processed": "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "first_per_key": f"{_S} SELECT ep, label AS goal FROM steps WHERE step = 1",

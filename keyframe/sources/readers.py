@@ -89,6 +89,11 @@ def run_folder(path: Column) -> list[Column]:
     return [part(1).alias("model"), part(2).alias("mode")]
 
 
+def tag(name: Column) -> Column:
+    """A model's name as part of a path: slashes, blanks and colons as underscores."""
+    return F.translate(name, "/ :", "___")
+
+
 def run_logs(spark: SparkSession, root: str) -> DataFrame:
     """(model, mode, metrics...) of the run.log in each run's folder below ``root``; logs without any metric are left out."""
     logs = whole_files(spark, f"{root}/*/run.log")
