@@ -443,11 +443,80 @@ def test_html_rows(spark):
 
 
 def test_pipeline(spark):
+    """Each stage against plain rules over its own input, on the smallest tables."""
     import corpus_pipeline
 
-    frame, d = spark.read.parquet(f"{D}/documents.parquet"), D
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = Scratch(spark, "t").cut(stage(spark, frame, d))
-        assert out.columns == frame.columns and 0 < out.count() <= frame.count(), name
-        frame = out
-    assert {r[0] for r in frame.select("doc_id").collect()} == {r[0] for r in corpus_pipeline.run(spark, d).select("doc_id").distinct().collect()}
+    frame = spark.read.parquet(f"{D}/documents.parquet")
+    texts = lambda f: {r.doc_id: r.text for r in f.collect()}
+    cut = lambda k, f: Scratch(spark, "t").cut(corpus_pipeline.STAGES[k][1](spark, f, D))
+    before = texts(frame)
+    machine = toxicity.learn(spark, frame, spark.read.parquet(f"{D}/labels.parquet"))
+    one = cut(0, frame)
+    assert one.columns == frame.columns
+    left = texts(one)
+    assert set(left) == {i for i, t in before.items() if machine.score(pa.array([t], pa.string()))[0] < 0.5}
+
+    def grams(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+    sets, up = {i: grams(t) for i, t in left.items()}, {i: i for i in left}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in sets:
+        for j in sets:
+            if j < i and sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                x, y = sorted((root(i), root(j)))
+                up[y] = x
+    two = cut(1, one)
+    left = texts(two)
+    assert two.columns == frame.columns and set(left) == {root(i) for i in up}
+    three = cut(2, two)
+    rows = sorted(left.items())
+    want = plain_dedup(rows, line_dedup.UNIT_WORDS, line_dedup.RUN_WORDS, line_dedup.UNIT_WORDS)
+    left = texts(three)
+    assert three.columns == frame.columns and left == {rows[k][0]: t for k, (t, _) in want.items()}
+    four = cut(3, three)
+    hashed = lambda t: decontaminate._vec.words(pa.array([t or ""]), alnum=True)[0].tolist()
+    items = [hashed(r.text) for r in spark.read.parquet(f"{D}/benchmark.parquet").collect()]
+    gone = set(left) - set(texts(four))
+    for i, t in left.items():
+        body = hashed(t)
+        assert i not in gone or any(decontaminate.lcs(x, body) >= 0.5 * len(x) for x in items)
+        assert i in gone or not any(decontaminate._holds(x, body) for x in items)
+    assert four.columns == frame.columns
+    voc = pieces.vocabulary(pieces.MODEL, 0.2)
+    for r in cut(4, four).collect():
+        assert pieces.decode(voc, np.array(r.ids, np.int32), [len(r.ids)]) == [left[r.doc_id] or ""]
+    assert {r[0] for r in corpus_pipeline.run(spark, D).select("doc_id").distinct().collect()} == set(texts(four))
+
+
+def test_pipeline_odd(spark, tmp_path):
+    """Null ids, null, empty and very long texts, repeated rows, clashing columns, empty tables: defined in every stage."""
+    import corpus_pipeline
+
+    d = str(tmp_path)
+    rows = [(None, "some words of a text with no id"), (1, None), (2, ""), (3, "   \n\t "), (4, LONG), (5, LONG), (6, "one"), (6, "one"), (7, "a few words that stand alone in this table")]
+    t = spark.createDataFrame([(*r, "x", i, "r", 5) for i, r in enumerate(rows)], "doc_id long, text string, node string, rank_id int, toxic_label string, n_chars int")
+    t.write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(6, 1, 0), (7, 0, 1), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(1, None), (2, ""), (None, "x y z")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    for data in (spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/documents.parquet").limit(0)):
+        frame, n = data, data.count()
+        for name, stage in corpus_pipeline.STAGES[1:]:
+            out = Scratch(spark, "t").cut(stage(spark, frame, d))
+            if name != "pieces":
+                assert out.columns == frame.columns, name
+                frame = out
+        got = [(r.doc_id, r.text) for r in frame.collect()]
+        if n:  # the long text and its copy, and the row that repeats, are one each
+            assert sorted((i or 0, (t or "")[:20]) for i, t in got) == [(0, "some words of a text"), (1, ""), (2, ""), (3, "   \n\t "), (4, LONG[:20]), (6, "one"), (6, "one"), (7, "a few words that sta")]
+            assert {r.doc_id for r in out.collect()} == {None, 1, 2, 3, 4, 6, 7}
+        else:
+            assert not got and not out.count()
+        toxic = corpus_pipeline.toxic(spark, data, d)
+        assert toxic.columns == data.columns and toxic.count() <= n
