@@ -339,7 +339,7 @@ def similarity_join(spark: SparkSession, docs: DataFrame, n: int = 5, percent: i
     shingles_ = keys.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), shingles_ * SHINGLE_BYTES // PACK_BYTES + 1)
     packs = docs.mapInArrow(packs_map(n, percent, buckets), "bucket int, sig binary, who binary, nodes binary, sizes binary")
-    found = scratch.cut(packs.repartition(buckets, "bucket").mapInArrow(bucket_map(percent), "a long, b long, votes long, least int, sig long, members array<long>"))
+    found = scratch.cut(packs.repartitionById(buckets, "bucket").mapInArrow(bucket_map(percent), "a long, b long, votes long, least int, sig long, members array<long>"))
     del packs
     scratch.free()
     pairs = scratch.cut(found.where("a is not null").groupBy("a", "b").agg(F.sum("votes").alias("votes"), F.max("least").alias("least")).where("votes >= least").select("a", "b", "votes"))
@@ -391,10 +391,14 @@ def similarity_join(spark: SparkSession, docs: DataFrame, n: int = 5, percent: i
     # component, which join most of what belongs together; then all pairs across components, whatever is left
     tried = [pairs.select("a", "b")]
 
-    def across_of(comp: DataFrame | None, nearest: bool) -> DataFrame:
-        """Pairs of members of large groups that profiles allow; ``comp`` None: whatever is joined already."""
+    def across_of(comp: DataFrame | None, nearest: bool) -> DataFrame | None:
+        """Pairs of members of large groups that profiles allow; ``comp`` None: whatever is joined already. None where no
+        group spans components."""
         member = runs.join(comp, "node", "left").select("sig", "node", F.coalesce("comp", "node").alias("comp")) if comp is not None else runs.select("sig", "node", F.col("node").alias("comp"))
         open_ = scratch.cut(member.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("x <> y").select("sig", "blocks"))
+        if comp is not None and not open_.limit(1).count():
+            scratch.free(open_)
+            return None
         member = scratch.cut(member.join(open_, "sig"))
         who = scratch.cut(member.select("node").distinct())
         profiles = scratch.cut(semi(blobs, who, "node").mapInArrow(profile_map, "node long, profile binary"))
@@ -414,6 +418,8 @@ def similarity_join(spark: SparkSession, docs: DataFrame, n: int = 5, percent: i
 
     for nearest in (True, True, False):
         across = across_of(comp, nearest)
+        if across is None:
+            break
         if across.limit(1).count():
             comp = _grown(comp, verified(across), scratch)
         tried.append(across)
