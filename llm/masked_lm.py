@@ -180,7 +180,7 @@ def train(spark: SparkSession, docs: DataFrame, group_rows: int = 8192) -> bytes
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     groups = max(1, docs.count() // group_rows)
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int").alias("group"))
-    ordered = keyed.repartition(min(parts, groups), "group").sortWithinPartitions("group", "doc_id", "hash").select("group", "text")
+    ordered = keyed.repartitionById(min(parts, groups), "group").sortWithinPartitions("group", "doc_id", "hash").select("group", "text")
     local = ordered.mapInArrow(_train_map, "tokens long, model binary")
     level = local.repartition(max(1, min(parts, groups) // 8)).mapInArrow(_mean_map, "tokens long, model binary")
     got = level.coalesce(1).mapInArrow(_mean_map, "tokens long, model binary").collect()
