@@ -351,12 +351,12 @@ def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
     index = scratch.cut(dealt.groupBy("dim", "shard").applyInPandas(_build_group, "dim int, shard int, number int, payload binary"))
     block = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")).groupBy("dim", "block").applyInPandas(_block_group, "dim int, block int, number int, payload binary")
-    slices = -(-blocks // BLOCKS)
+    slices = -(-blocks // BLOCKS)  # a copy of the graph for each
     graphs = index.select("dim", "shard", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.lit(0).alias("part"), "number", "payload")
     block = scratch.cut(block)
     spread = block.select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), (F.col("block") % slices).alias("slice"), F.lit(1).alias("part"), "number", "payload")
     parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), shards * slices))
-    stream = graphs.unionByName(spread).repartition(parts, "dim", "shard", "slice").sortWithinPartitions("dim", "shard", "slice", "part", "number")
+    stream = graphs.unionByName(spread).repartitionById(parts, F.col("shard") * slices + F.col("slice")).sortWithinPartitions("dim", "shard", "slice", "part", "number")
     found = stream.mapInArrow(_search_map(k, ef), "query_id long, score double, vec_id long")
     best = found.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "query_id").mapInArrow(_best_group(k), "query_id long, score double, vec_id long, rank int")
     return best.select("query_id", "rank", "vec_id", "score")
