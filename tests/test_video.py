@@ -191,3 +191,54 @@ def test_answered_search():
     assert (got["answer"], got["at_step"]) == (-1, "final_direct_qa") and got["n_frames"] == 5 + 2 + 2 + 2
     late = lambda s: (2, 3, -1, 1) if len(s) >= 7 else (4, 1, -1, 1)
     assert S.answered_search(v, S.STRATEGIES["bfs"], late, 20, 1, 3, "retain", 2)["at_step"] == "2_s_qa"
+
+
+def plain_tree(v, strategy, interval=20, beam=3, steps=4):
+    """The caption search that keeps all segments, with sets of frames only: segments follow from the frames."""
+    n, answer = len(v), S.spread_answer(v)
+    now = set(range(0, n, interval))
+    seen = set(now)
+
+    def sure(frames):
+        s, cs, r, cr = answer(sorted(frames))
+        return (s, "s") if cs >= 3 else (r, "r") if cr >= 3 else None
+
+    for step in range(1, steps + 1):
+        if got := sure(now):
+            return got[0], f"{step}_{got[1]}_qa", sorted(seen)
+        for _ in range(1 if strategy == "bfs" else beam):
+            able = [(a, b) for a, b in zip(sorted(now), sorted(now)[1:]) if b - a > 1]
+            high = lambda s: max(v[s[0] + 1 : s[1]])
+            jump = lambda s: abs(v[s[1]] - v[s[0]])
+            worth = {"bfs": lambda s: s[1] - s[0], "gbfs": high, "dijkstra": jump, "a_star": lambda s: high(s) + jump(s)}[strategy]
+            able.sort(key=lambda s: (-worth(s), s[0]))
+            now |= {(a + b) // 2 for a, b in able[: beam if strategy == "bfs" else 1]}
+        seen |= now
+    if got := sure(seen):
+        return got[0], f"post_{got[1]}_qa", sorted(seen)
+    return answer(sorted(seen))[0], "final_direct_qa", sorted(seen)
+
+
+@pytest.mark.parametrize("strategy", list(S.STRATEGIES))
+def test_tree_search(spark, strategy):
+    rng = np.random.default_rng(8)
+    videos = {k: rng.integers(0, 1000, int(rng.integers(30, 140))) for k in range(12)}
+    t = spark.createDataFrame([(k, i, int(x)) for k, v in videos.items() for i, x in enumerate(v)], "video long, idx int, v int")
+    got = {r.video: (r.answer, r.at_step, r.frames) for r in S.tree_search(t, strategy).collect()}
+    assert got == {k: plain_tree(v.astype(float), strategy) for k, v in videos.items()}
+    assert len({g[1] for g in got.values()}) > 1
+
+
+def test_ssim():
+    from keyframe.operators.similarity import ssim
+
+    rng = np.random.default_rng(1)
+    a, b = rng.random((9, 9)), rng.random((9, 9))
+    span = max(a.max(), b.max()) - min(a.min(), b.min())
+    total = []
+    for i in range(3):
+        for j in range(3):
+            x, y = a[i : i + 7, j : j + 7].ravel(), b[i : i + 7, j : j + 7].ravel()
+            cov = np.cov(x, y)
+            total.append((2 * x.mean() * y.mean() + (0.01 * span) ** 2) * (2 * cov[0, 1] + (0.03 * span) ** 2) / ((x.mean() ** 2 + y.mean() ** 2 + (0.01 * span) ** 2) * (cov[0, 0] + cov[1, 1] + (0.03 * span) ** 2)))
+    assert abs(ssim(a, b) - np.mean(total)) < 1e-12 and abs(ssim(a, a) - 1) < 1e-12
