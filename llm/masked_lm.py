@@ -238,9 +238,10 @@ def shares(docs: DataFrame) -> np.ndarray:
 
 
 def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, log_prob, per_token): summed conditional log-probabilities of whole texts, and their mean.
+    """(doc_id, score, log_prob, n_tokens): log_prob sums the conditional log-probabilities of a whole text, score is their
+    mean, which compares texts of unlike lengths.
 
-    Null, empty and wordless texts have 0 tokens, log_prob 0 and a null mean. A text of one token is predicted from an
+    Null, empty and wordless texts have 0 tokens, log_prob 0 and a null score. A text of one token is predicted from an
     empty context. Repeated rows count and are scored each, with equal scores; rows with a null id take part like others;
     other columns play no part, whatever their names; an empty table gives no rows."""
     small_batches(spark)
@@ -256,9 +257,9 @@ def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
                 total = np.concatenate(([0.0], np.cumsum(log_probs(model, share, ids, first))))
                 n = np.diff(first)
                 lp = total[first[1:]] - total[first[:-1]]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], pa.array(n.astype(np.int64)), pa.array(lp), pa.array(np.where(n > 0, lp / np.maximum(n, 1), 0.0), mask=n == 0)], ["doc_id", "n_tokens", "log_prob", "per_token"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], pa.array(lp / np.maximum(n, 1), mask=n == 0), pa.array(lp), pa.array(n.astype(np.int64))], ["doc_id", "score", "log_prob", "n_tokens"])
 
-    return docs.mapInArrow(run, "doc_id long, n_tokens long, log_prob double, per_token double")
+    return docs.mapInArrow(run, "doc_id long, score double, log_prob double, n_tokens long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

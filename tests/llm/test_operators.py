@@ -377,7 +377,7 @@ def test_masked_lm(spark):
     rows = [(i, "the cat sat on the mat and the dog ran to the park " * 20) for i in range(40)] + [(90, "zq wv kx pj " * 40), (91, None), (92, ""), (None, "the cat"), (93, "one"), (93, "one")]
     t = docs(spark, rows)
     out = {r.doc_id: r for r in masked_lm.score(spark, t).collect()}
-    assert out[0].per_token > out[90].per_token and out[91].n_tokens == 0 and out[92].per_token is None and out[92].log_prob == 0
+    assert out[0].score > out[90].score and out[91].n_tokens == 0 and out[92].score is None and out[92].log_prob == 0
     assert out[None].n_tokens == 2 and masked_lm.score(spark, t).where("doc_id = 93").distinct().count() == 1
     other = {r.doc_id: r.log_prob for r in masked_lm.score(spark, t.orderBy(F.rand(3)).repartition(7)).collect()}
     assert all(abs(other[i] - r.log_prob) < 1e-3 * (1 + abs(r.log_prob)) for i, r in out.items())  # however rows are split
