@@ -8,7 +8,7 @@ share of the corpus's tokens, counted exactly. The product is a distribution ove
 
 Training goes over every position of every document once. Rows are dealt to groups by a hash of id and text, about
 ``group_rows`` each; a local model descends through a group's rows in order of id, and the groups' parameters are
-averaged by their numbers of tokens in two shuffled levels. So scores depend on the table alone, not on how it is split
+averaged by their numbers of tokens in shuffled levels. So scores depend on the table alone, not on how it is split
 into files or tasks. Scores sum the conditional log-probabilities of all tokens of a document.
 """
 
@@ -28,6 +28,8 @@ SHAPES = {"embed": (ROWS, WIDTH), "side": (2 * WINDOW, WIDTH), "hidden": (WIDTH,
 OFFSETS = [*range(-WINDOW, 0), *range(1, WINDOW + 1)]
 #: Positions worked on at once, and bytes of a slice of texts.
 STEP, SLICE = 8192, 1 << 20
+#: Models that are averaged at once.
+FAN = 32
 
 
 def start(seed: int = 3) -> dict[str, np.ndarray]:
@@ -181,9 +183,11 @@ def train(spark: SparkSession, docs: DataFrame, group_rows: int = 8192) -> bytes
     groups = max(1, docs.count() // group_rows)
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int").alias("group"))
     ordered = keyed.repartitionById(min(parts, groups), "group").sortWithinPartitions("group", "doc_id", "hash").select("group", "text")
-    local = ordered.mapInArrow(_train_map, "tokens long, model binary")
-    level = local.repartition(max(1, min(parts, groups) // 8)).mapInArrow(_mean_map, "tokens long, model binary")
-    got = level.coalesce(1).mapInArrow(_mean_map, "tokens long, model binary").collect()
+    mean = ordered.mapInArrow(_train_map, "tokens long, model binary")
+    while groups > 1:  # no task averages more than some FAN models, however many groups there are
+        groups = -(-groups // FAN)
+        mean = mean.repartition(groups).mapInArrow(_mean_map, "tokens long, model binary")
+    got = mean.collect()
     return bytes(got[0][1]) if got else pack(start())
 
 
