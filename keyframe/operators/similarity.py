@@ -43,6 +43,20 @@ def medoids(frames: DataFrame, part: str, key: str, vec: str) -> DataFrame:
     return d.groupBy(part).agg(F.min(F.struct("d", key)).alias("m")).select(part, F.col(f"m.{key}").alias(key))
 
 
+def nearest_to_centre(frames: DataFrame, part: str, key: str, vec: str) -> DataFrame:
+    """The row nearest to its part's centroid (Euclidean), first of equals."""
+    c = as_vectors(centroids(frames, part, vec), part)
+    apart = F.aggregate(F.zip_with(F.col(vec), F.col("c"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    return frames.join(c, part).select(part, key, F.round(apart, 9).alias("d")).groupBy(part).agg(F.min(F.struct("d", key)).alias("m")).select(part, F.col(f"m.{key}").alias(key))
+
+
+def pearson(a: Column, b: Column) -> Column:
+    """Pearson's r of two arrays of equal length; null where one is even."""
+    mean = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.size(v)
+    away = lambda v: F.transform(v, lambda x: x - mean(v))
+    return cosine(away(a), away(b))
+
+
 def assign(frames: DataFrame, seeds: DataFrame, key: str, vec: str) -> DataFrame:
     """Nearest seed by cosine, smaller cluster of equals. ``seeds(cluster, c)`` is a fixed small set by construction:
     it travels as one row of arrays."""

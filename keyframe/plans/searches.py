@@ -10,6 +10,9 @@ from keyframe.operators import search as S
 from keyframe.operators import select as C
 from keyframe.operators import timeline as T
 from keyframe.operators import video as V
+from keyframe.sources import readers as R
+from keyframe.sources import sinks
+from keyframe.streaming import resume
 
 from . import surrogates as X
 
@@ -120,17 +123,40 @@ def _items(spark, d):
     return q.join(ranked, "slot").select("qid", "truth", "lang", "type", "source", "video"), clips
 
 
-def answered(spark, d, method: str):
+def answers(items, clips, method: str, judge=J.hash_judge):
     """(qid, truth, lang, type, pred, n_frames, steps, reason): frames by a method, then one prompt; no frames where some are
     expected, and no letter in the reply, is -1."""
-    items, clips = _items(spark, d)
     got = C.choose(items.join(clips, "video"), method, "qid")
     prompt = F.concat_ws("|", F.lit("Q"), "qid", "source", F.array_join(F.transform("frames", lambda i: i.cast("string")), ","))
-    rows = J.ask(got.withColumn("prompt", prompt))
+    rows = J.ask(got.withColumn("prompt", prompt), judge)
     none = (F.size("frames") == 0) & F.lit(method != "blind")
     return rows.select("qid", "truth", "lang", "type", F.when(none, -1).otherwise(N.parse_letter(F.col("reply"))).alias("pred"), F.size("frames").alias("n_frames"), "steps", F.when(none & ~F.col("reason").startswith("error"), "no_frames_selected").otherwise(F.col("reason")).alias("reason"))
 
 
+def answered(spark, d, method: str):
+    return answers(*_items(spark, d), method)
+
+
+def resumed(spark, items, clips, method: str, store: str, judge=J.hash_judge):
+    """All answers of a method: those kept in ``store`` from earlier runs, and new ones for the items that have none, which are
+    appended. A run that is broken off loses no more than what it had not appended."""
+    kept = R.first_existing(spark, store)
+    todo = resume.pending(items, spark.read.parquet(store), "qid") if kept else items
+    sinks.append_batch(answers(todo, clips, method, judge).withColumn("method", F.lit(method)), store)
+    return spark.read.parquet(store)
+
+
+def guided_records(spark, d):
+    """The records of guided frames: number, time and place in the video, and the shard the video belongs to."""
+    clips = _clips(spark, d)
+    got = C.choose(clips.withColumn("question", F.col("video")), "guided", "question").select("video", F.explode("frames").alias("idx"))
+    n = clips.select("video", F.size("value").alias("n"))
+    pos = T.positions(n, "video")
+    rows = got.join(pos, "video")
+    pct = F.floor((20000 * F.col("idx") + F.col("n") - 1) / (2 * (F.col("n") - 1))).cast("long")
+    return rows.select("video", "idx", T.clock(F.col("idx"), 2).alias("time"), F.concat(F.floor(pct / 100).cast("string"), F.lit("."), F.lpad((pct % 100).cast("string"), 2, "0"), F.lit("%")).alias("percent"), (F.col("pos") % 10).alias("shard"))
+
+
 def _pipeline(method):
     def run(spark, d):
         r = answered(spark, d, method)
@@ -175,7 +201,7 @@ def replaced_frames(spark, d):
     return T.replaced(f, "video", "idx", "rel", F.col("event_type") == "click", F.col("event_type") == "signup")
 
 
-QUERIES = {f.__name__: f for f in (force_fill, split_point, adaptive_breadth, kept_frames, judge_batch, cached_judge, frame_jobs, content_range, replaced_frames, method_report)}
+QUERIES = {f.__name__: f for f in (force_fill, split_point, adaptive_breadth, kept_frames, judge_batch, cached_judge, frame_jobs, content_range, replaced_frames, method_report, guided_records)}
 QUERIES |= {f"tree_search_{s}": _tree(s) for s in S.STRATEGIES} | {f"{m}_search": _search(m) for m in ("capped", "guided", "agent", "cluster")} | {f"qa_pipeline_{m}": _pipeline(m) for m in C.METHODS}
 _F = f"{X.FRAMES}, cnt AS (SELECT video, CAST(count(*) AS INT) AS n FROM frames GROUP BY video)"
 SQL = {

@@ -108,6 +108,18 @@ def medoid(spark, d):
     return V.medoids(_vectors(spark, d), "label", "vec_id", "vec")
 
 
+def medoid_euclid(spark, d):
+    return V.nearest_to_centre(_vectors(spark, d), "label", "vec_id", "vec")
+
+
+def channel_likeness(spark, d):
+    """Likeness of each vector to the one before it: Pearson's r of three channels of 21 bins, averaged."""
+    w = Window.partitionBy("label").orderBy("vec_id")
+    v = _vectors(spark, d).withColumn("prev", F.lag("vec").over(w)).where("prev is not null")
+    r = sum(V.pearson(F.slice("vec", 21 * c + 1, 21), F.slice("prev", 21 * c + 1, 21)) for c in range(3)) / 3
+    return v.select("vec_id", F.round(r, 6).alias("r"))
+
+
 def kmeans_fixed_init(spark, d):
     """Two unrolled rounds of cosine k-means from fixed seeds."""
     v, seeds = _vectors(spark, d), _seeds(spark, d)
@@ -131,7 +143,7 @@ def sharpness_1d(spark, d):
     return f.where("l is not null").groupBy("video").agg(F.round(F.var_pop("l") / 10000, 4).alias("sharpness"))
 
 
-QUERIES = {f.__name__: f for f in (cosine_pairs, hist_bins, hist_corr, near_dup, joint_hist, sharpness, bright_box, picture_likeness, cluster_tree, assign_centroid, centroid, medoid, kmeans_fixed_init, mse, sharpness_1d)}
+QUERIES = {f.__name__: f for f in (cosine_pairs, hist_bins, hist_corr, near_dup, joint_hist, sharpness, bright_box, picture_likeness, cluster_tree, assign_centroid, centroid, medoid, medoid_euclid, channel_likeness, kmeans_fixed_init, mse, sharpness_1d)}
 _NEXT = "v.vec_id, row_number() OVER (PARTITION BY v.vec_id ORDER BY round(-" + _COS.format("v.vec", "s.c") + ", 9), s.cluster) AS r, s.cluster"
 _SEED = f"{_V}, s0 AS (SELECT CAST(vec_id AS INT) AS cluster, vec AS c FROM v WHERE vec_id < 8), a0 AS (SELECT * FROM (SELECT {_NEXT} FROM v, s0 s) WHERE r = 1)"
 
@@ -152,6 +164,8 @@ SQL = {
     "assign_centroid": f"{_SEED} SELECT vec_id, cluster FROM a0",
     "centroid": f"{_V} SELECT label, CAST(k - 1 AS INT) AS dim, round(avg(vec[k]), 6) AS mean FROM v, unnest(range(1, 65)) AS u(k) GROUP BY ALL",
     "medoid": f"{_V}, m AS (SELECT label, k, avg(vec[k]) AS x FROM v, unnest(range(1, 65)) AS u(k) GROUP BY ALL), c AS (SELECT label, list(x ORDER BY k) AS c FROM m GROUP BY label) SELECT label, vec_id FROM (SELECT v.label, v.vec_id, row_number() OVER (PARTITION BY v.label ORDER BY round(1 - {_COS.format('v.vec', 'c.c')}, 9), v.vec_id) AS r FROM v JOIN c ON c.label = v.label) WHERE r = 1",
+    "medoid_euclid": f"{_V}, m AS (SELECT label, k, avg(vec[k]) AS x FROM v, unnest(range(1, 65)) AS u(k) GROUP BY ALL), c AS (SELECT label, list(x ORDER BY k) AS c FROM m GROUP BY label) SELECT label, vec_id FROM (SELECT v.label, v.vec_id, row_number() OVER (PARTITION BY v.label ORDER BY round(power(list_distance(v.vec, c.c), 2), 9), v.vec_id) AS r FROM v JOIN c ON c.label = v.label) WHERE r = 1",
+    "channel_likeness": f"{_V}, p AS (SELECT vec_id, vec, lag(vec) OVER (PARTITION BY label ORDER BY vec_id) AS prev FROM v), c AS (SELECT vec_id, ch, corr(vec[ch * 21 + j + 1], prev[ch * 21 + j + 1]) AS r FROM p, unnest(range(3)) AS a(ch), unnest(range(21)) AS b(j) WHERE prev IS NOT NULL GROUP BY ALL) SELECT vec_id, round(avg(r), 6) AS r FROM c GROUP BY vec_id",
     "kmeans_fixed_init": f"{_SEED}{_round(1)}{_round(2)} SELECT vec_id, cluster FROM a2",
     "mse": f"{_V}, p AS (SELECT vec_id, vec, lag(vec) OVER (PARTITION BY label ORDER BY vec_id) AS prev FROM v) SELECT vec_id, round(power(list_distance(vec, prev), 2) / 64, 6) AS mse FROM p WHERE prev IS NOT NULL",
     "sharpness_1d": f"WITH {X.FRAMES}, l AS (SELECT video, lag(v) OVER w - 2 * v + lead(v) OVER w AS l FROM frames WINDOW w AS (PARTITION BY video ORDER BY idx)) SELECT video, round(var_pop(l) / 10000, 4) AS sharpness FROM l WHERE l IS NOT NULL GROUP BY video",

@@ -10,9 +10,12 @@ def predictions(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def metrics_csv(long: DataFrame, path: str, names: list[str]) -> None:
-    """Task by metric with a header; ``names`` is the sorted union of metric names, so that no pass is spent on it."""
+def metrics_csv(long: DataFrame, path: str, names: list[str], run: dict[str, object] | None = None) -> None:
+    """Task by metric with a header, then the settings of the run; ``names`` is the union of metric names, so that no pass is
+    spent on it."""
     wide = long.groupBy("task").pivot("metric", sorted(names)).agg(F.first("value"))
+    for k, v in (run or {}).items():
+        wide = wide.withColumn(k, F.lit(str(v)))
     wide.write.mode("overwrite").option("header", "true").csv(path)
 
 
