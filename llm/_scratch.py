@@ -53,15 +53,19 @@ class Scratch:
         return out
 
     def free(self, *frames: DataFrame) -> None:
-        """Delete tables that no later plan reads, and let Spark delete the shuffle files of plans that have ended: it
-        does so only when the driver collects its garbage, which a long job of large shuffles cannot wait for."""
+        """Delete tables that no later plan reads."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for df in frames:
             if path := getattr(df, "scratch_path", None):
                 p = jvm.org.apache.hadoop.fs.Path(path)
                 p.getFileSystem(conf).delete(p, True)
+
+    def sweep(self, *frames: DataFrame) -> None:
+        """As ``free``, and let Spark delete the shuffle files of plans that have ended: it does so only when the driver collects
+        its garbage, which a long job of large shuffles cannot wait for."""
+        self.free(*frames)
         gc.collect()
-        jvm.System.gc()
+        self.spark._jvm.System.gc()
 
 
 #: Ids that are sent to every task at most: 8 MB.

@@ -163,7 +163,7 @@ def repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "lines")
     u = keyed(docs).select(*KEY, F.col("text").cast("string").alias("text")).mapInArrow(_units_map, "rank_id long, key_1 long, key_2 long, pos int, d1 long, d2 long")
     dup = scratch.cut(u.groupBy("d1", "d2").agg(F.count("*").alias("k"), F.min(F.struct(*KEY, "pos")).alias("first")).where("k > 1").select("d1", "d2", "first"))
-    scratch.free()
+    scratch.sweep()
     later = u.join(dup, ["d1", "d2"]).where(F.struct(*KEY, "pos") != F.col("first")).select(*KEY, "pos")
     return later.groupBy(*KEY).agg(F.collect_set("pos").alias("repeats"))
 

@@ -123,6 +123,8 @@ def keys_map(n: int):
 
 
 NAMES = ["a", "b", "votes", "least", "sig", "members"]
+#: Members of a large group that a row holds at most.
+MEMBERS = 1 << 18
 
 
 def packs_map(n: int, num: int, buckets: int, most: int = 400_000):
@@ -177,10 +179,21 @@ def bucket_map(num: int):
             votes = np.diff(np.append(at, len(a)))
             none = pa.nulls(len(at), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at]), pa.array(votes.astype(np.int64)), pa.array(least[at].astype(np.int32)), none, pa.nulls(len(at), pa.list_(pa.int64()))], NAMES)
-        for k in range(0, len(runs), 20_000):
-            part = runs[k : k + 20_000]
-            none = pa.nulls(len(part), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(part), pa.int32()), pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.list_(pa.int64()))], NAMES)
+        rows, total = [], 0
+        for sig, members in runs:  # a group is as many rows as its members need, and a batch holds no more than MEMBERS or so
+            for k in range(0, len(members), MEMBERS):
+                rows.append((sig, members[k : k + MEMBERS]))
+                total += len(rows[-1][1])
+                if total >= MEMBERS:
+                    yield listed(rows)
+                    rows, total = [], 0
+        if rows:
+            yield listed(rows)
+
+    def listed(rows):
+        none = pa.nulls(len(rows), pa.int64())
+        members = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(r[1]) for r in rows]))), pa.int32()), pa.array(np.concatenate([r[1] for r in rows])))
+        return pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.int64()), members], NAMES)
 
     def run(batches):
         sig, node, size = [], [], []
@@ -341,7 +354,7 @@ def similarity_join(spark: SparkSession, docs: DataFrame, n: int = 5, percent: i
     packs = docs.mapInArrow(packs_map(n, percent, buckets), "bucket int, sig binary, who binary, nodes binary, sizes binary")
     found = scratch.cut(packs.repartitionById(buckets, "bucket").mapInArrow(bucket_map(percent), "a long, b long, votes long, least int, sig long, members array<long>"))
     del packs
-    scratch.free()
+    scratch.sweep()
     pairs = scratch.cut(found.where("a is not null").groupBy("a", "b").agg(F.sum("votes").alias("votes"), F.max("least").alias("least")).where("votes >= least").select("a", "b", "votes"))
     runs = scratch.cut(found.where("sig is not null").select("sig", F.explode("members").alias("node")))
     scratch.free(found)
@@ -357,7 +370,7 @@ def similarity_join(spark: SparkSession, docs: DataFrame, n: int = 5, percent: i
         again, blobs = blobs, scratch.cut(blobs.dropDuplicates(["node"]))
         scratch.free(again)
     del texts
-    scratch.free(wanted, ids)
+    scratch.sweep(wanted, ids)
 
     def verified(these: DataFrame) -> DataFrame:
         """The pairs of the written table ``these`` that reach the bound; only the sets they name are shuffled."""
@@ -369,7 +382,7 @@ def similarity_join(spark: SparkSession, docs: DataFrame, n: int = 5, percent: i
         both = these.select("a", "b").join(blob_b, "b").join(blob_a, "a")
         out = scratch.cut(both.select("a", "b", "blob_a", "blob_b").mapInArrow(verify_map(percent), "a long, b long"))
         del sides, blob_a, blob_b, both
-        scratch.free(own_a, own_b)
+        scratch.sweep(own_a, own_b)
         return out
 
     def apart(these: DataFrame, comp: DataFrame) -> DataFrame:
@@ -413,7 +426,7 @@ def similarity_join(spark: SparkSession, docs: DataFrame, n: int = 5, percent: i
             out = out.join(t, ["a", "b"], "left_anti")
         out = scratch.cut(out)
         del wide, groups
-        scratch.free(open_, member, who, profiles)
+        scratch.sweep(open_, member, who, profiles)
         return out
 
     for nearest in (True, True, False):
@@ -432,7 +445,7 @@ def similarity_join(spark: SparkSession, docs: DataFrame, n: int = 5, percent: i
         degree = every.select(F.col("a").alias("node")).union(every.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
         out = out.join(degree, "node", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
     out = scratch.cut(out.drop("node"))
-    scratch.free(keys, nodes, pairs, runs, blobs, comp, *tried)
+    scratch.sweep(keys, nodes, pairs, runs, blobs, comp, *tried)
     return out
 
 
