@@ -55,5 +55,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         last, docs = docs, scratch.cut(stage(spark, docs, sf_dir))
-        scratch.free(last)
+        scratch.sweep(last)
     return docs
