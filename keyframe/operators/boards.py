@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from keyframe.functions.answers import percent
 from keyframe.sources.readers import BASE_MODE, CLASSES, VIDEO_MODE
 
+#: The column heads of the tables.
 _SCORES = [f"{c.lower()}_score" for c in CLASSES]
 _HEAD = ["Acc.(%)", "Type Acc.(%)", *CLASSES, "Comp.(%)", "Eff.↓"]
 

@@ -80,6 +80,7 @@ def segment_rows(spark, d):
     """A line for each segment that can be split: its number, frames, the numbers of its images, and its gap."""
     g = T.gaps(X.frames(spark, d).where("event_type = 'click'").select("video", "idx"), "video", "idx")
     i = F.row_number().over(Window.partitionBy("video").orderBy("start"))
+    # fixed value: the form of a segment's line
     line = F.format_string("  Segment %d: frames %d-%d (Image #%d -> Image #%d, gap=%d frames)", "seg_id", "start", "end", "seg_id", F.col("seg_id") + 1, "gap")
     return g.withColumn("seg_id", i).where("gap > 1").select("video", "seg_id", line.alias("line"))
 
