@@ -245,174 +245,6 @@ def _fit_map(share: float):
     return run
 
 
-def score(self, column: pa.Array) -> np.ndarray:
-        out = np.empty(len(column))
-        for i, x in enumerate(terms(column)):
-            s = self.slot[x]
-            s = s[s >= 0]
-            z = self.bias
-            if len(s):
-                v = self.v[s]
-                z += self.w[s].sum() + 0.5 * ((v.sum(0) ** 2).sum() - (v**2).sum())
-            out[i] = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-        return out
-
-
-class _Flat:
-    """Texts as one array of term numbers, from which those of any batch are cut."""
-
-    def __init__(self, rows: list[np.ndarray]):
-        self.size = np.array([len(r) for r in rows], np.int64)
-        self.at = np.cumsum(self.size) - self.size
-        flat = np.concatenate(rows) if len(rows) else np.zeros(0, np.int32)
-        there = np.bincount(flat, minlength=BUCKETS) > 0
-        self.names = np.flatnonzero(there)
-        self.flat = (np.cumsum(there) - 1).astype(np.int32)[flat]
-
-    def batch(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place in the batch, term) of all terms of some texts."""
-        n = self.size[which]
-        return np.repeat(np.arange(len(which)), n), self.flat[np.repeat(self.at[which] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-
-
-def _sums(doc, v, n):
-    """Sums of factors by text, and the pairs' part of the score."""
-    total = np.stack([np.bincount(doc, v[:, f], minlength=n) for f in range(v.shape[1])], 1)
-    return total, 0.5 * ((total**2).sum(1) - np.bincount(doc, (v**2).sum(1), minlength=n))
-
-
-def pair_gains(rows: list[np.ndarray], y: np.ndarray, rank: int = RANK, epochs: int = 8, rate: float = 0.1, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, gains): how much the pairs of each bucket raise the log-likelihood of every fourth row, after a fit on the
-    others with all buckets. Weights shrink by what chance alone would give them, factors hardly (AdaGrad, by batches)."""
-    x, n = _Flat(rows), len(y)
-    test = np.arange(n) % 4 == 3
-    train, test = np.flatnonzero(~test), np.flatnonzero(test)
-    size, rng = len(x.names), np.random.Generator(np.random.PCG64(seed))
-    w, v, bias = np.zeros(size), rng.normal(0, 0.01, (size, rank)), 0.0
-    gw, gv, gb = np.full(size, 1e-4), np.full((size, rank), 1e-4), 1e-4
-    chance = 1.5 * np.sqrt(np.bincount(x.flat, minlength=size)) / n
-    for _ in range(epochs):
-        rng.shuffle(train)
-        for k in range(0, len(train), 256):
-            part = train[k : k + 256]
-            doc, term = x.batch(part)
-            used, term = np.unique(term, return_inverse=True)
-            vt = v[used][term]
-            total, pairs = _sums(doc, vt, len(part))
-            z = bias + np.bincount(doc, w[used][term], minlength=len(part)) + pairs
-            g = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[part]) / len(part)
-            dw = np.bincount(term, g[doc], minlength=len(used))
-            dv = g[doc][:, None] * (total[doc] - vt)
-            dv = np.stack([np.bincount(term, dv[:, f], minlength=len(used)) for f in range(rank)], 1) + 1e-4 * v[used]
-            gw[used] += dw**2
-            gv[used] += dv**2
-            gb += g.sum() ** 2
-            step = rate / np.sqrt(gw[used])
-            new = w[used] - step * dw
-            w[used] = np.sign(new) * np.maximum(np.abs(new) - step * chance[used], 0)
-            v[used] -= rate * dv / np.sqrt(gv[used])
-            bias -= rate * g.sum() / np.sqrt(gb)
-    gain = np.zeros(size)
-    for k in range(0, len(test), 256):
-        part = test[k : k + 256]
-        doc, term = x.batch(part)
-        total, pairs = _sums(doc, v[term], len(part))
-        z = (bias + np.bincount(doc, w[term], minlength=len(part)) + pairs)[doc]
-        own = (v[term] * (total[doc] - v[term])).sum(1)
-        sign = np.where(y[part][doc] > 0, -1.0, 1.0)
-        np.add.at(gain, term, np.logaddexp(0, sign * (z - own)) - np.logaddexp(0, sign * z))
-    return x.names.astype(np.int64), gain
-
-
-def fit(rows: list[np.ndarray], y: np.ndarray, share: float, rank: int = RANK, least_chi: float = 12.0, least_gain: float = 0.03, epochs: int = 60, seed: int = 7) -> Machine:
-    """Logistic loss with Adam on the buckets that matter; ``share``: the share of label 1 among all labelled rows, as the
-    sample is balanced. ``least_gain`` is by row that the gain is measured on, 6 in all at least."""
-    n, n1 = len(y), int(y.sum())
-    if not n or n1 in (0, n):
-        return Machine(np.zeros(0, np.int64), np.zeros(0), np.zeros((0, rank)), -4.0 if not n1 else 4.0)
-    c1 = np.bincount(np.concatenate([r for r, t in zip(rows, y) if t]), minlength=BUCKETS).astype(float)
-    c = np.bincount(np.concatenate(rows), minlength=BUCKETS).astype(float)
-    expected = c * n1 / n
-    with np.errstate(divide="ignore", invalid="ignore"):
-        chi = np.where((c > 0) & (c < n), (c1 - expected) ** 2 * n * n / (c * (n - c) * (n1 / n) * (1 - n1 / n) * n), 0.0)
-    named, gain = pair_gains(rows, y, rank, seed=seed)
-    chosen = np.union1d(np.flatnonzero(chi >= least_chi), named[gain >= max(6.0, least_gain * (n // 4))])
-    slot = np.full(BUCKETS, -1, np.int64)
-    slot[chosen] = np.arange(len(chosen))
-    xs = [slot[r][slot[r] >= 0] for r in rows]
-    rng = np.random.Generator(np.random.PCG64(seed))
-    w, v, bias = np.zeros(len(chosen)), rng.normal(0, 0.05, (len(chosen), rank)), 0.0
-    state = {k: [np.zeros_like(p), np.zeros_like(p)] for k, p in (("w", w), ("v", v))}
-    state_b, step = [0.0, 0.0], 0
-    sizes = np.array([len(x) for x in xs])
-    order = np.arange(n)
-    for _ in range(epochs if len(chosen) else 0):
-        rng.shuffle(order)
-        for k in range(0, n, 256):
-            batch = order[k : k + 256]
-            idx = np.concatenate([xs[i] for i in batch]) if sizes[batch].sum() else np.zeros(0, np.int64)
-            doc = np.repeat(np.arange(len(batch)), sizes[batch])
-            lin = np.bincount(doc, w[idx], minlength=len(batch))
-            total = np.stack([np.bincount(doc, v[idx, f], minlength=len(batch)) for f in range(rank)], 1)
-            square = np.bincount(doc, (v[idx] ** 2).sum(1), minlength=len(batch))
-            z = bias + lin + 0.5 * ((total**2).sum(1) - square)
-            g = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[batch]) / len(batch)
-            gw = np.bincount(idx, g[doc], minlength=len(w)) + 1e-4 * w
-            dv = g[doc][:, None] * (total[doc] - v[idx])
-            gv = np.stack([np.bincount(idx, dv[:, f], minlength=len(w)) for f in range(rank)], 1) + 1e-3 * v
-            step += 1
-            for p, grad, name in ((w, gw, "w"), (v, gv, "v")):
-                m1, m2 = state[name]
-                m1 += 0.1 * (grad - m1)
-                m2 += 0.01 * (grad**2 - m2)
-                p -= 0.02 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
-            gb = g.sum()
-            state_b[0] += 0.1 * (gb - state_b[0])
-            state_b[1] += 0.01 * (gb**2 - state_b[1])
-            bias -= 0.02 * (state_b[0] / (1 - 0.9**step)) / (np.sqrt(state_b[1] / (1 - 0.99**step)) + 1e-8)
-    sample = n1 / n
-    bias += np.log(max(share, 1e-6) / max(1 - share, 1e-6)) - np.log(sample / (1 - sample))
-    return Machine(chosen, w, v, float(bias))
-
-
-def held_out(doc_id):
-    """crc32 of the id as text, mod 5, is 0; false for a null id."""
-    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
-
-
-def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_class: int = 4000, most_bytes: int = 64 << 20) -> Machine:
-    """Fit on at most ``per_class`` labelled rows of each label that are not held out, and of these on as many as have texts of
-    ``most_bytes`` in all; both in hash order. An id that repeats counts once, with the text of least hash."""
-    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id")))
-    marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    counts = {r[0]: r[1] for r in marks.groupBy("toxic").count().collect()}
-    picked = [marks.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for t in (0, 1)]
-    schema = "doc_id long, toxic int"
-    ids = {r[0]: (i, r[1]) for p in picked for i, r in enumerate(p.collect())}
-
-    def texts(wanted) -> DataFrame:
-        few = spark.createDataFrame(wanted, schema)  # at most 2 * per_class rows
-        both = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(few), "doc_id")
-        return both.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-
-    size = texts([(d, t) for d, (_, t) in ids.items()]).select("doc_id", "toxic", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).collect()
-    wanted, room = [], {0: most_bytes, 1: most_bytes}
-    for r in sorted(size, key=lambda r: ids[r.doc_id][0]):
-        room[r.toxic] -= r.n
-        if room[r.toxic] >= 0:
-            wanted.append((r.doc_id, r.toxic))
-
-    def run(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([t.tobytes() for t in terms(batch.column("text"))], pa.binary())], ["toxic", "terms"])
-
-    got = texts(wanted).mapInArrow(run, "toxic int, terms binary").collect()
-    got.sort(key=lambda r: (r[0], bytes(r[1])))
-    order = np.random.Generator(np.random.PCG64(len(got))).permutation(len(got))
-    total = sum(counts.values())
-    return fit([np.frombuffer(got[i][1], np.int32) for i in order], np.array([got[i][0] for i in order], float), counts.get(1, 0) / total if total else 0.0)
-
-
 def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_class: int = 4000) -> DataFrame:
     """``docs`` with toxic_score (double, 0 to 1) and toxic_predicted (int, 1 from 0.5 on), which replace columns of these
     names; all other columns stay as they are.
