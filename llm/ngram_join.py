@@ -357,7 +357,7 @@ def similarity_join(spark: SparkSession, docs: DataFrame, n: int = 5, percent: i
     scratch.sweep()
     pairs = scratch.cut(found.where("a is not null").groupBy("a", "b").agg(F.sum("votes").alias("votes"), F.max("least").alias("least")).where("votes >= least").select("a", "b", "votes"))
     runs = scratch.cut(found.where("sig is not null").select("sig", F.explode("members").alias("node")))
-    scratch.free(found)
+    scratch.sweep(found)
     in_pairs = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).union(runs.select("node")).distinct()
     wanted = scratch.cut(nodes.join(in_pairs, "node", "left_semi").select("node", "rep"))
     # a node's text is that of its least doc_id, or of a row without an id if it has no other
@@ -399,7 +399,7 @@ def similarity_join(spark: SparkSession, docs: DataFrame, n: int = 5, percent: i
     # 2. what is still apart
     rest = scratch.cut(apart(pairs, comp).join(best, ["a", "b"], "left_anti"))
     comp = _grown(comp, verified(rest), scratch)
-    scratch.free(best, rest)
+    scratch.sweep(best, rest)
     # 3. large groups that still span components: rounds in which each member meets its nearest partner beyond its own
     # component, which join most of what belongs together; then all pairs across components, whatever is left
     tried = [pairs.select("a", "b")]
@@ -456,7 +456,7 @@ def _grown(comp: DataFrame, more: DataFrame, scratch: Scratch) -> DataFrame:
         return comp
     stars = comp.where("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b"))
     out = components(stars.union(more.select("a", "b")), scratch)
-    scratch.free(comp, more)
+    scratch.sweep(comp, more)
     return out
 
 
