@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, licences, line_dedup, masked_lm, neighbours, ngram_join, pieces, toxicity, warc
+from . import conversations, decontaminate, html_text, languages, licences, line_dedup, masked_lm, neighbours, ngram_join, pieces, spelling, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_masked_lm": masked_lm.query,
     "op9_ngram_jaccard": ngram_join.query,
     "op10_html_text": html_text.query,
+    "op11_languages": languages.query,
+    "op12_conversations": conversations.query,
+    "op13_spelling": spelling.query,
 }
-SQL = {"op4_licences": licences.SQL, "op9_ngram_jaccard": ngram_join.SQL}
+SQL = {"op4_licences": licences.SQL, "op9_ngram_jaccard": ngram_join.SQL, "op12_conversations": conversations.SQL, "op13_spelling": spelling.SQL}
