@@ -57,6 +57,15 @@ def pearson(a: Column, b: Column) -> Column:
     return cosine(away(a), away(b))
 
 
+def whole_correlation(a: str, b: str) -> Column:
+    """Pearson's r of two columns of whole numbers, as an aggregate; 0 where one is even. Sums are exact, so the result doesn't
+    depend on the order of rows."""
+    n, x, y = F.count("*").cast("decimal(18,0)"), F.col(a).cast("decimal(14,0)"), F.col(b).cast("decimal(14,0)")
+    spread = lambda p, q: (n * F.sum(p * q) - F.sum(p) * F.sum(q)).cast("double")
+    both, one, other = spread(x, y), spread(x, x), spread(y, y)
+    return F.when((both == 0) | (one == 0) | (other == 0), 0.0).otherwise(both / (F.sqrt(one) * F.sqrt(other)))
+
+
 def assign(frames: DataFrame, seeds: DataFrame, key: str, vec: str) -> DataFrame:
     """Nearest seed by cosine, smaller cluster of equals. ``seeds(cluster, c)`` is a fixed small set by construction:
     it travels as one row of arrays."""

@@ -73,15 +73,14 @@ def reference_images(spark, d):
     mode = F.element_at(F.array(*map(F.lit, modes)), (F.col("video") % 5 + 1).cast("int"))
     v = v.withColumn("mode", mode).withColumn("own", F.when(F.col("video") % 2 == 0, F.lit("own_annot.png")))
     images = R.call_images(R.reference_images(F.col("mode"), F.col("files"), F.col("own")), F.lit("screen.png"))
-    return v.select("video", R.reference_folder(F.col("mode"), F.col("video") % 3 == 0).alias("folder"), F.size(images).alias("n"), F.array_join(F.slice(images, 1, 11), ",").alias("images"))
+    return v.select("video", R.reference_folder(F.col("mode"), F.col("video") % 3 == 0).alias("folder"), F.size(images).alias("n"), F.array_join(images, ",").alias("images"))
 
 
 def segment_rows(spark, d):
     """A line for each segment that can be split: its number, frames, the numbers of its images, and its gap."""
     g = T.gaps(X.frames(spark, d).where("event_type = 'click'").select("video", "idx"), "video", "idx")
     i = F.row_number().over(Window.partitionBy("video").orderBy("start"))
-    # fixed value: the form of a segment's line
-    line = F.format_string("  Segment %d: frames %d-%d (Image #%d -> Image #%d, gap=%d frames)", "seg_id", "start", "end", "seg_id", F.col("seg_id") + 1, "gap")
+    line = F.format_string("%d) from frame %d to frame %d, between pictures %d and %d: %d frames apart", "seg_id", "start", "end", "seg_id", F.col("seg_id") + 1, "gap")
     return g.withColumn("seg_id", i).where("gap > 1").select("video", "seg_id", line.alias("line"))
 
 
@@ -195,8 +194,8 @@ SQL = {
     "reference_images": f"""{_F}, v AS (SELECT video, list('f' || lpad(CAST(idx AS VARCHAR), 4, '0') || '.png' ORDER BY idx) AS a, count(*) AS n, (['single', 'gt', 'annotation', 'origin', 'uniform10'])[CAST(video % 5 + 1 AS INT)] AS m FROM frames GROUP BY video),
       r AS (SELECT *, CASE WHEN m = 'single' OR (m = 'gt' AND video % 2 > 0) THEN [] WHEN m = 'gt' THEN ['own_annot.png'] WHEN m = 'annotation' AND n > 10 THEN list_transform(range(10), lambda i: a[CAST(round_even(i * (n - 1) / 9, 0) + 1 AS INT)]) ELSE a END AS refs FROM v),
       w AS (SELECT *, list_append(refs, 'screen.png') AS al FROM r)
-      SELECT video, CASE m WHEN 'single' THEN NULL WHEN 'gt' THEN 'annotation' WHEN 'uniform10' THEN 'uniform_10' ELSE m END || CASE WHEN video % 3 = 0 THEN '_no_cut' ELSE '' END AS folder, CAST(len(al) AS INT) AS n, array_to_string(al[1:11], ',') AS images FROM w""",
-    "segment_rows": f"{_F}, s AS (SELECT video, idx, lead(idx) OVER (PARTITION BY video ORDER BY idx) AS e, CAST(row_number() OVER (PARTITION BY video ORDER BY idx) AS INT) AS i FROM frames WHERE event_type = 'click') SELECT video, i AS seg_id, printf('  Segment %d: frames %d-%d (Image #%d -> Image #%d, gap=%d frames)', i, idx, e, i, i + 1, e - idx) AS line FROM s WHERE e - idx > 1",
+      SELECT video, CASE m WHEN 'single' THEN NULL WHEN 'gt' THEN 'annotation' WHEN 'uniform10' THEN 'uniform_10' ELSE m END || CASE WHEN video % 3 = 0 THEN '_no_cut' ELSE '' END AS folder, CAST(len(al) AS INT) AS n, array_to_string(al, ',') AS images FROM w""",
+    "segment_rows": f"{_F}, s AS (SELECT video, idx, lead(idx) OVER (PARTITION BY video ORDER BY idx) AS e, CAST(row_number() OVER (PARTITION BY video ORDER BY idx) AS INT) AS i FROM frames WHERE event_type = 'click') SELECT video, i AS seg_id, printf('%d) from frame %d to frame %d, between pictures %d and %d: %d frames apart', i, idx, e, i, i + 1, e - idx) AS line FROM s WHERE e - idx > 1",
     "json_replies": f"{_Q} SELECT qid, CASE WHEN qid % 5 < 4 THEN CAST(n_chars AS INT) END AS segment FROM qa",
     "answer_pairs": f"{_Q}, t AS (SELECT qid, CAST(n_chars % 8 AS INT) AS n, CAST(qid % 4 AS INT) AS m FROM qa) SELECT qid, CASE m WHEN 0 THEN CASE WHEN n <= 4 THEN n ELSE -1 END WHEN 1 THEN n WHEN 2 THEN n ELSE -1 END AS answer, CASE m WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE -1 END AS confidence FROM t",
     "clock_formats": f"{_F}, t AS (SELECT video, idx, idx * 37250 AS ms, idx * 37 // 5 AS s FROM frames) SELECT video, idx, printf('%02d:%02d:%02d.%03d', ms // 3600000, ms // 60000 % 60, ms // 1000 % 60, ms % 1000) AS hms, printf('%d:%02d', s // 60, s % 60) AS m_ss FROM t",

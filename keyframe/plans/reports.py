@@ -152,9 +152,11 @@ def markdown_rows(spark, d):
 
 
 def metrics_wide(spark, d):
-    """Task by class; the columns are the sorted union of metric names."""
+    """Task by class; the columns are the sorted union of the fixed class names and those that occur."""
     b = scoring._best(spark, d).withColumn("task", F.col("sk") % 7)
-    return b.groupBy("task").pivot("gt_type", ["CLICK", "PRESS", "SCROLL", "TYPE"]).agg(F.round(F.avg("score"), 6)).select("task", *(F.coalesce(c, F.lit(0.0)).alias(f"acc_{c.lower()}") for c in ("CLICK", "PRESS", "SCROLL", "TYPE")))
+    names = sorted({*R.CLASSES, *(r[0] for r in b.select("gt_type").where("gt_type is not null").distinct().collect())})
+    wide = b.groupBy("task").pivot("gt_type", names).agg(F.round(F.avg("score"), 6))
+    return wide.select("task", *(F.coalesce(F.col(f"`{c}`"), F.lit(0.0)).alias(f"acc_{c.lower()}") for c in names))
 
 
 def qa_prompt(spark, d):
@@ -195,7 +197,7 @@ SQL = {f"combine_answers_{m}": f"{_R} SELECT qid, CASE {_CASES[m]} ELSE -1 END A
     "leaderboard_pivot": f"{_BOARD} SELECT * FROM board",
     "leaderboard_ranked": f"{_BOARD} SELECT model, best, CAST(row_number() OVER (ORDER BY best DESC, model) AS INT) AS place FROM board",
     "markdown_rows": f"{_BOARD} SELECT model, '| model-' || model || ' | ' || CAST(round(base * 10000) AS BIGINT) || ' | ' || coalesce(CAST(CAST(round(pir * 10000) AS BIGINT) AS VARCHAR), '-') || ' |' AS line FROM board",
-    "metrics_wide": f"{scoring._BEST} SELECT sk % 7 AS task, " + ", ".join(f"coalesce(round(avg(score) FILTER (gt_type = '{c}'), 6), 0) AS acc_{c.lower()}" for c in ("CLICK", "PRESS", "SCROLL", "TYPE")) + " FROM best GROUP BY ALL",
+    "metrics_wide": f"{scoring._BEST} SELECT sk % 7 AS task, " + ", ".join(f"coalesce(round(avg(score) FILTER (gt_type = '{c}'), 6), 0) AS acc_{c.lower()}" for c in sorted([*R.CLASSES, "None", "UNKNOWN"])) + " FROM best GROUP BY ALL",
     "qa_prompt": f"{_Q} SELECT lang || '_' || qid AS item, 'Question ' || qid || chr(10) || '(A) ' || lang || chr(10) || '(B) ' || source || chr(10) || '(C) ' || type || chr(10) || '(D) all' || chr(10) || '(E) none' || CASE n_chars % 3 WHEN 1 THEN chr(10) || 'Images: #1' WHEN 2 THEN chr(10) || 'Images: #1 #2' ELSE '' END AS prompt FROM qa",
     "run_means": f"{_Q} SELECT lang, round(avg(CASE WHEN qid % 6 = 0 THEN 0 ELSE n_chars % 17 END), 6) AS frames, round(avg(CASE WHEN qid % 4 = 0 THEN 0 ELSE n_chars % 5 END), 6) AS steps, round(avg(CASE WHEN qid % 5 = 0 THEN 0 ELSE qid % 3 END), 6) AS forced, count(*) FILTER (n_chars % 3 = 2) AS high, count(*) FILTER (pred <> -1) AS done, count(*) AS total FROM qa GROUP BY lang",
     "board_table": f"{_RUNS} SELECT CAST(row_number() OVER (ORDER BY best DESC, model, mode) AS INT) AS number, model AS \"Model\", CASE mode WHEN 'single' THEN 'No Video' ELSE 'Uniform10' END AS \"Mode\", {_T4}, printf('%.2f', 1.0) AS \"Eff\", CASE WHEN mode = 'single' OR ba IS NULL OR ba = 0 THEN '' ELSE printf('%.4f', (acc - ba) / ba) END AS \"PIR\", CAST(n AS VARCHAR) AS \"Total_Steps\" FROM z",

@@ -36,7 +36,7 @@ def hist_corr(spark, d):
     whole = f.groupBy("bin").agg(F.count("*").alias("m"))
     full = f.select("video").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long"))))
     j = full.join(h, ["video", "bin"], "left").join(whole, "bin", "left").fillna(0)
-    return j.groupBy("video").agg(F.round(F.coalesce(F.corr("n", "m"), F.lit(0.0)), 6).alias("r"))
+    return j.groupBy("video").agg(F.round(V.whole_correlation("n", "m"), 6).alias("r"))
 
 
 def _video(spark, d):
@@ -156,7 +156,10 @@ def _round(i):
 SQL = {
     "cosine_pairs": f"{_V}, p AS (SELECT vec_id, vec, lag(vec) OVER (PARTITION BY label ORDER BY vec_id) AS prev FROM v) SELECT vec_id, round({_COS.format('vec', 'prev')}, 6) AS cos FROM p WHERE prev IS NOT NULL",
     "hist_bins": f"WITH {X.FRAMES}, h AS (SELECT video, CAST(least(v // 200, 49) AS BIGINT) AS bin, count(*) AS n FROM frames GROUP BY ALL) SELECT video, bin, n, round(n / sqrt(sum(n * n) OVER (PARTITION BY video)), 6) AS norm FROM h",
-    "hist_corr": f"WITH {X.FRAMES}, f AS (SELECT video, least(k // 5, 19) AS bin FROM frames), h AS (SELECT video, bin, count(*) AS n FROM f GROUP BY ALL), w AS (SELECT bin, count(*) AS m FROM f GROUP BY ALL), x AS (SELECT video, b AS bin FROM (SELECT DISTINCT video FROM f), range(20) AS t(b)) SELECT x.video, round(coalesce(corr(coalesce(n, 0), coalesce(m, 0)), 0), 6) AS r FROM x LEFT JOIN h ON h.video = x.video AND h.bin = x.bin LEFT JOIN w ON w.bin = x.bin GROUP BY x.video",
+    "hist_corr": f"""WITH {X.FRAMES}, f AS (SELECT video, least(k // 5, 19) AS bin FROM frames), h AS (SELECT video, bin, count(*) AS n FROM f GROUP BY ALL), w AS (SELECT bin, count(*) AS m FROM f GROUP BY ALL),
+      x AS (SELECT video, b AS bin FROM (SELECT DISTINCT video FROM f), range(20) AS t(b)), c AS (SELECT x.video, coalesce(n, 0) AS n, coalesce(m, 0) AS m FROM x LEFT JOIN h ON h.video = x.video AND h.bin = x.bin LEFT JOIN w ON w.bin = x.bin),
+      s AS (SELECT video, count(*) * sum(n * m) - sum(n) * sum(m) AS xy, count(*) * sum(n * n) - sum(n) * sum(n) AS xx, count(*) * sum(m * m) - sum(m) * sum(m) AS yy FROM c GROUP BY video)
+      SELECT video, round(CASE WHEN xy = 0 OR xx = 0 OR yy = 0 THEN 0.0::DOUBLE ELSE CAST(xy AS DOUBLE) / (sqrt(CAST(xx AS DOUBLE)) * sqrt(CAST(yy AS DOUBLE))) END, 6) AS r FROM s""",
     "near_dup": f"{_V} SELECT DISTINCT a.vec_id // 64 AS video, a.vec_id FROM v a JOIN v b ON a.vec_id // 64 = b.vec_id // 64 AND b.vec_id < a.vec_id WHERE {_COS.format('a.vec', 'b.vec')} >= 0.3",
     "joint_hist": f"{_V}, h AS (SELECT vec_id // 64 AS video, CAST(least(floor((vec[1] + 4) * 6.25), 49) * 2500 + least(floor((vec[2] + 4) * 6.25), 49) * 50 + least(floor((vec[3] + 4) * 6.25), 49) AS BIGINT) AS bin, count(*) AS n FROM v GROUP BY ALL) SELECT video, bin, n, round(n / sqrt(sum(n * n) OVER (PARTITION BY video)), 6) AS norm FROM h",
     "sharpness": f"{_V}, l AS (SELECT vec_id, list_transform(range(64), lambda i: vec[CASE WHEN i < 8 THEN i + 8 ELSE i - 8 END + 1] + vec[CASE WHEN i >= 56 THEN i - 8 ELSE i + 8 END + 1] + vec[CASE WHEN i % 8 = 0 THEN i + 1 ELSE i - 1 END + 1] + vec[CASE WHEN i % 8 = 7 THEN i - 1 ELSE i + 1 END + 1] - 4 * vec[i + 1]) AS l FROM v) SELECT vec_id, round(list_aggregate(l, 'var_pop'), 6) AS sharpness FROM l",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from keyframe.operators import joins as J
 from keyframe.operators import timeline as T
 
 from . import surrogates as X
@@ -113,7 +114,7 @@ def clearest_near(spark, d):
     f = X.frames(spark, d).withColumn("sharp", F.col("k") * 2)
     g = T.gaps(_selected(spark, d), "video", "idx").select("video", "start", "end")
     at = f.where("event_type = 'signup'").select("video", F.col("idx").alias("at"), F.col("sharp").alias("own"))
-    at = at.join(g, "video").where("at > start and at < end")
+    at = J.points_in_intervals(at, g.where("end > start + 1").withColumn("inner", F.col("start") + 1), "video", "at", "inner").drop("inner")
     reach = F.greatest(F.lit(3), F.floor((F.col("end") - F.col("start")) / 10).cast("int"))
     near = at.where("own < 100").withColumn("idx", F.explode(F.filter(F.sequence(F.col("at") - reach, F.col("at") + reach), lambda i: (i > F.col("start")) & (i < F.col("end")))))
     best = near.join(f.select("video", "idx", "sharp"), ["video", "idx"]).where("sharp > own").groupBy("video", "at").agg(F.max(F.struct("sharp", (-F.col("idx")).alias("i"))).alias("m"))
@@ -141,18 +142,16 @@ def trim_head_tail(spark, d):
 
 
 def range_frames(spark, d):
-    """Frames of each video within a segment [start, end): an equi-join on the video with a range on the index."""
-    g = T.gaps(_selected(spark, d), "video", "idx")
-    f = X.frames(spark, d).select(F.col("video").alias("v2"), "idx", "v")
-    j = g.join(f, (F.col("video") == F.col("v2")) & (F.col("idx") >= F.col("start")) & (F.col("idx") < F.col("end")))
+    """Number and sum of the frames of each video within a segment [start, end)."""
+    g = T.gaps(_selected(spark, d), "video", "idx").select("video", "start", "end")
+    j = J.points_in_intervals(X.frames(spark, d).select("video", "idx", "v"), g, "video", "idx")
     return j.groupBy("video", F.col("start").alias("seg_start")).agg(F.count("*").alias("n"), F.sum("v").alias("total"))
 
 
 def nearest_frame(spark, d):
-    """For each error frame the nearest clicked one, first of equals."""
-    ask = X.frames(spark, d).where("event_type = 'error'").select("video", F.col("idx").alias("at"))
-    j = ask.join(_selected(spark, d), "video")
-    return j.groupBy("video", F.col("at").alias("from_idx")).agg(F.min(F.struct(F.abs(F.col("idx") - F.col("at")).alias("dist"), "idx")).alias("m")).select("video", "from_idx", F.col("m.idx").alias("to_idx"))
+    """For each error frame the nearest clicked one, first of equals; videos without clicks have none."""
+    asked = X.frames(spark, d).where("event_type = 'error'").select("video", F.col("idx").alias("from_idx"))
+    return J.nearest(asked, _selected(spark, d).withColumnRenamed("idx", "to_idx"), "video", "from_idx", "to_idx").where("to_idx is not null")
 
 
 def bounded_range(spark, d):

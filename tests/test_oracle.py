@@ -21,7 +21,7 @@ def duck():
 def plain(v):
     if v is None or isinstance(v, float) and math.isnan(v):
         return None
-    return round(float(v), 8) if isinstance(v, (int, float)) and not isinstance(v, bool) else v
+    return round(float(v), 8) + 0.0 if isinstance(v, (int, float)) and not isinstance(v, bool) else v
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.SQL))
