@@ -21,8 +21,8 @@ def hash_judge(prompts: list[str]) -> list[str]:
 
 
 def with_retry(judge: Judge, tries: int = 3, wait: float = 0.0) -> Judge:
-    """Ask again on failure, after ``wait`` seconds more each time; then empty replies, as a failed call must not stop the
-    run."""
+    """Ask again on failure, after ``wait`` seconds more each time. Prompts whose batch goes on failing are asked one by one,
+    so that only a prompt that fails by itself has an empty reply: a failed call must not stop the run."""
 
     def ask(prompts: list[str]) -> list[str]:
         for k in range(tries):
@@ -31,11 +31,28 @@ def with_retry(judge: Judge, tries: int = 3, wait: float = 0.0) -> Judge:
             except Exception:  # noqa: BLE001  a client may raise anything
                 if k + 1 < tries:
                     time.sleep(wait * (k + 1))
-        return [""] * len(prompts)
+        return [""] if len(prompts) == 1 else [ask([p])[0] for p in prompts]
 
     return ask
 
 
+def in_order(work: Iterator, call: Callable, running: int) -> Iterator:
+    """(item, call(item)) of all items in their order, ``running`` calls at a time; an item is taken only when there is room."""
+    from collections import deque
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(running) as pool:
+        waiting: deque = deque()
+        for item in work:
+            waiting.append((item, pool.submit(call, item)))
+            if len(waiting) >= running:
+                first, reply = waiting.popleft()
+                yield first, reply.result()
+        while waiting:
+            first, reply = waiting.popleft()
+            yield first, reply.result()
+
+
 def until_read(judge: Judge, reads: Callable[[str], bool], tries: int = 5) -> Judge:
     """Ask again for the replies that don't read, ``tries`` times in all; the last reply stands."""
 
@@ -85,23 +102,23 @@ def prompt_of(role: str, **columns: Column) -> Column:
     return F.concat(*(F.coalesce(columns[p].cast("string"), F.lit("")) if i % 2 else F.lit(p) for i, p in enumerate(parts)))
 
 
-def ask(rows: DataFrame, judge: Judge = hash_judge, prompt: str = "prompt", batch: int = 256) -> DataFrame:
-    """``rows`` with the column reply; order doesn't matter, rows are asked in batches within partitions."""
-    asked = with_retry(judge)
+def ask(rows: DataFrame, judge: Judge = hash_judge, prompt: str = "prompt", batch: int = 32, running: int = 8, tries: int = 3, wait: float = 0.0) -> DataFrame:
+    """``rows`` with the column reply, in their order within a partition. Calls have ``batch`` prompts; a task has ``running`` of
+    them under way and takes further rows only as these come back."""
+    asked = with_retry(judge, tries, wait)
     schema = rows.withColumn("reply", F.lit("")).schema
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for k in range(0, len(f), batch):
-                part = f.iloc[k : k + batch].copy()
-                part["reply"] = asked(part[prompt].tolist())
-                yield part
+        parts = (f.iloc[k : k + batch] for f in frames for k in range(0, len(f), batch))
+        for part, replies in in_order(parts, lambda p: asked(p[prompt].tolist()), running):
+            yield part.assign(reply=replies)
 
     return rows.mapInPandas(run, schema)
 
 
 def cached(rows: DataFrame, cache: DataFrame, judge: Judge = hash_judge, prompt: str = "prompt", store: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rows with replies, new cache rows). ``cache``: key, reply. Equal prompts are asked once in a plan.
+    """(rows with replies, new cache rows). ``cache``: key, reply; of a key that repeats in it one reply counts. Equal prompts
+    are asked once in a plan.
 
     The new rows are written to ``store`` and read back, so that both results have the same replies and the judge is
     asked once for both; without a ``store`` only one of the two results may be used, as each runs the judge."""
@@ -111,4 +128,5 @@ def cached(rows: DataFrame, cache: DataFrame, judge: Judge = hash_judge, prompt:
     if store:
         new.write.mode("overwrite").parquet(store)
         new = rows.sparkSession.read.schema(new.schema).parquet(store)
-    return keyed.join(cache.select("key", "reply").unionByName(new), "key", "left").drop("key"), new
+    known = cache.groupBy("key").agg(F.min("reply").alias("reply"))
+    return keyed.join(known.unionByName(new), "key", "left").drop("key"), new

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,7 +71,7 @@ def _agent(clip, look):
 
 
 def _cluster(clip, look):
-    return {"sample": V.cluster_search(clip.hist, look.relevance, seed=look.question), "reason": "clusters"}
+    return {"sample": clip.clusters.search(look.relevance), "reason": "clusters"}
 
 
 #: Methods by name: (clip, judge) to a sample and how it came about.
@@ -99,3 +100,33 @@ def choose(rows: DataFrame, method: str, question: str, strategy: str = "a_star"
     keyed = rows.select(*keys).schema
     schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in keyed) + ", " + FOUND
     return rows.mapInPandas(run, schema)
+
+
+def choose_packed(items: DataFrame, clips: DataFrame, method: str, question: str, part: str = "video", strategy: str = "a_star", pack: int = 64) -> DataFrame:
+    """``items`` (part, question, other columns) with the frames chosen from the features of their part. About ``pack`` items
+    of a part travel together, so that its arrays are copied once for these, and a part that is asked about much is no
+    single row."""
+    run_one = METHODS[method]
+    names = items.columns
+    found = pa.struct([("frames", pa.list_(pa.int32())), ("steps", pa.int32()), ("forced", pa.int32()), ("reason", pa.string())])
+
+    @F.arrow_udf("array<struct<frames:array<int>,steps:int,forced:int,reason:string>>")
+    def chosen(hist: pa.Array, sharp: pa.Array, value: pa.Array, questions: pa.Array) -> pa.Array:
+        out = []
+        for h, s, v, qs in zip(hist, sharp, value, questions.to_pylist()):
+            clip, seen = V.Clip(np.array(h.as_py(), float), np.array(s.as_py(), float)), np.array(v.as_py(), float)
+            out.append([])
+            for q in qs:
+                try:
+                    got = run_one(clip, Look(seen, int(q), strategy))
+                except Exception as e:  # noqa: BLE001  a method may raise anything
+                    got = {"sample": [], "reason": f"error: {type(e).__name__}"}
+                out[-1].append({"frames": [int(i) for i in got["sample"]], "steps": int(got.get("steps", 0)), "forced": int(got.get("forced", 0)), "reason": got["reason"]})
+        return pa.array(out, pa.list_(found))
+
+    count = items.groupBy(part).agg(F.ceil(F.count("*") / pack).alias("packs_"))
+    packed = items.join(count, part).groupBy(part, F.pmod(F.xxhash64(question), F.col("packs_")).alias("pack_")).agg(F.collect_list(F.struct(*names)).alias("items_"))
+    rows = packed.join(clips, part).withColumn("found_", chosen("hist", "sharp", "value", F.transform("items_", lambda x: x[question])))
+    each = rows.select(F.explode(F.arrays_zip("items_", "found_")).alias("z"))
+    return each.select(*(F.col(f"z.items_.{n}").alias(n) for n in names), *(F.col(f"z.found_.{n}").alias(n) for n in ("frames", "steps", "forced", "reason")))
+

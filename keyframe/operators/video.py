@@ -29,6 +29,7 @@ class Clip:
         away = self.hist - self.hist.mean(1, keepdims=True)
         self.length = np.sqrt((away**2).sum(1))
         self.away, self.n = away, len(away)
+        self.clusters = Clusters(self.hist)
 
     def like(self, a: int, b: int) -> float:
         both = self.length[a] * self.length[b]
@@ -312,25 +313,56 @@ def wide_enough(x: np.ndarray, relevance: Callable[[list[int]], list[int]], star
         k = min(2 * k, most)
 
 
-def ward(x: np.ndarray, k: int) -> np.ndarray:
-    """Labels of k clusters by Ward's criterion, by repeated nearest merges (Lance and Williams), numbered by first row.
-    Memory is that of the distances of a group, which are made from dot products."""
-    n = len(x)
-    square = (x**2).sum(1)
-    d = np.maximum(square[:, None] + square[None] - 2 * (x @ x.T), 0) / 2
-    np.fill_diagonal(d, np.inf)
-    label, size, alive = np.arange(n), np.ones(n), np.ones(n, bool)
-    for _ in range(n - k):
-        sub = np.where(alive[:, None] & alive[None], d, np.inf)
-        i, j = sorted(divmod(int(sub.argmin()), n))
-        rest = alive.copy()
-        rest[[i, j]] = False
-        total = size[i] + size[j] + size[rest]
-        d[i, rest] = d[rest, i] = ((size[i] + size[rest]) * d[i, rest] + (size[j] + size[rest]) * d[j, rest] - size[rest] * d[i, j]) / total
+def ward_merges(x: np.ndarray) -> list[tuple[float, int, int]]:
+    """(cost, row of one group, row of the other) of all merges by Ward's criterion, cheapest first, by chains of nearest
+    neighbours: a chain goes on to the nearest group of its last one until two are each other's nearest, which merge.
+
+    Costs come from the groups' means and sizes, so memory is that of the rows and time is quadratic. Of equally near groups
+    the one that the chain came from wins, then the first."""
+    mean, size, root = np.array(x, float), np.ones(len(x)), np.arange(len(x))
+    alive, merges, chain = np.ones(len(x), bool), [], []
+    for _ in range(len(x) - 1):
+        if not chain:
+            chain.append(int(np.flatnonzero(alive)[0]))
+        while True:
+            i = chain[-1]
+            away = mean - mean[i]
+            cost = np.where(alive, size[i] * size / (size[i] + size) * np.einsum("ij,ij->i", away, away), np.inf)
+            cost[i] = np.inf
+            j = int(cost.argmin())
+            if len(chain) > 1 and cost[chain[-2]] <= cost[j]:
+                j = chain[-2]
+                break
+            chain.append(j)
+        del chain[-2:]
+        merges.append((float(cost[j]), int(root[i]), int(root[j])))
+        i, j = sorted((i, j))
+        mean[i] = (size[i] * mean[i] + size[j] * mean[j]) / (size[i] + size[j])
         size[i] += size[j]
         alive[j] = False
-        label[label == j] = i
-    return np.unique(label, return_inverse=True)[1]
+        left = np.flatnonzero(alive)
+        if len(left) < len(mean) // 2:  # what is left moves together, so that later steps read less
+            place = np.cumsum(alive) - 1
+            chain = [int(place[c]) for c in chain]
+            mean, size, root, alive = mean[left], size[left], root[left], np.ones(len(left), bool)
+    return sorted(merges, key=lambda m: m[0])
+
+
+def ward(x: np.ndarray, k: int, merges: list[tuple[float, int, int]] | None = None) -> np.ndarray:
+    """Labels of k clusters by Ward's criterion, numbered by first row; ``merges`` of the rows, if they are known."""
+    n = len(x)
+    up = np.arange(n)
+
+    def top(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    for _, i, j in (ward_merges(x) if merges is None else merges)[: n - k]:
+        a, b = sorted((top(i), top(j)))
+        up[b] = a
+    return np.unique([top(i) for i in range(n)], return_inverse=True)[1]
 
 
 def _central(x: np.ndarray, rows: np.ndarray) -> int:
@@ -369,7 +401,48 @@ def cluster_search(x: np.ndarray, relevance: Callable[[list[int]], list[int]], l
     if len(x) < 2:
         return list(range(len(x)))
     near, score, nodes, _ = wide_enough(x, relevance, seed=seed)
-    found = deep_enough(x, near, score)
+    return _within(deep_enough(x, near, score), nodes, limit)
+
+
+def _within(found: list[int], nodes: list[int], limit: int) -> list[int]:
     if len(found) > limit:
         return [found[math.floor(i * len(found) / limit)] for i in range(limit)]
     return sorted([*found, *[i for i in nodes if i not in found][: limit - len(found)]])
+
+
+class Clusters:
+    """What cluster searches of one video have in common, whatever is asked: each number of clusters, and what a cluster gives at
+    a relevance, is worked out once, when it is first needed."""
+
+    def __init__(self, x: np.ndarray, seed: int = 0, width: int = 4):
+        self.x, self.seed, self.width, self._levels, self._given = np.asarray(x, float), seed, width, {}, {}
+
+    def level(self, k: int) -> list[tuple[int, np.ndarray]]:
+        """(representative, rows) of k clusters, fewer if some are empty, in order of representatives."""
+        if k not in self._levels:
+            near, centres = cosine_kmeans(self.x, k, self.seed)
+            rows = [np.flatnonzero(near == c) for c in range(len(centres))]
+            away = [((self.x[r] - c) ** 2).sum(1) for r, c in zip(rows, centres)]
+            self._levels[k] = sorted(((int(r[np.argmin(np.round(d, 12))]), r) for r, d in zip(rows, away) if len(r)), key=lambda c: c[0])
+        return self._levels[k]
+
+    def given(self, rows: np.ndarray, value: int) -> list[int]:
+        """The rows that a cluster gives: see ``deep_enough``."""
+        key = (rows.tobytes(), value)
+        if key not in self._given:
+            found = deep_enough(self.x[rows], np.zeros(len(rows), int), {0: value}, self.width)
+            self._given[key] = rows[found].tolist()
+        return self._given[key]
+
+    def search(self, relevance: Callable[[list[int]], list[int]], limit: int = 16, start: int = 8, most: int = 32, least: int = 4) -> list[int]:
+        """``cluster_search``."""
+        n, k = len(self.x), start
+        if n < 2:
+            return list(range(n))
+        while True:
+            level = self.level(k)
+            score = relevance([node for node, _ in level])
+            if sum(v == 3 for v in score) >= least or k >= most:
+                break
+            k = min(2 * k, most)
+        return _within(sorted({r for (_, rows), v in zip(level, score) for r in self.given(rows, v)}), [node for node, _ in level], limit)

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import functools
+import uuid
+
 from pyspark.sql import functions as F
 
 from keyframe.functions import answers as N
 from keyframe.operators import judge as J
 from keyframe.operators import search as S
 from keyframe.operators import select as C
+from keyframe.operators import supersteps as P
 from keyframe.operators import timeline as T
 from keyframe.operators import video as V
 from keyframe.sources import readers as R
 from keyframe.sources import sinks
-from keyframe.streaming import resume
+from keyframe.streaming import resume, shared
 
 from . import surrogates as X
 
@@ -44,6 +48,18 @@ def _search(method, question="video"):
     return run
 
 
+def _steps(method):
+    """The frames of a search whose every choice is asked for in words, all videos a step at a time."""
+
+    def run(spark, d):
+        clips = _clips(spark, d)
+        items = clips.select("video", F.col("video").alias("question"))
+        got = P.run(spark, items, clips, method, "question", f"{shared.folder(spark)}/steps-{uuid.uuid4().hex}", P.arithmetic())
+        return got.select("video", F.posexplode("frames").alias("pos", "frame"), "steps", "forced", "reason")
+
+    return run
+
+
 def split_point(spark, d):
     """The split point of each segment of an even sample of five frames."""
 
@@ -116,17 +132,28 @@ def judge_batch(spark, d):
 
 def _items(spark, d):
     """Questions about videos: the number of a question picks one of the videos there are."""
-    clips = _clips(spark, d)
-    n = clips.count()
-    ranked = T.positions(clips.select("video"), "video").withColumnRenamed("pos", "slot")
-    q = X.qa(spark, d).withColumn("slot", F.pmod(F.col("qid"), F.lit(max(n, 1))))
-    return q.join(ranked, "slot").select("qid", "truth", "lang", "type", "source", "video"), clips
+    videos = X.frames(spark, d).select("video").distinct()
+    ranked = T.positions(videos, "video").withColumnRenamed("pos", "slot")
+    q = X.qa(spark, d).withColumn("slot", F.pmod(F.col("qid"), F.lit(max(videos.count(), 1))))
+    return q.join(ranked, "slot").select("qid", "truth", "lang", "type", "source", "video"), _clips(spark, d)
+
+
+def _chosen(items, clips, method: str):
+    """Frames by a method. Features go to those methods only that look at them: no frames need none, and spaced ones the number
+    of frames."""
+    made = {"steps": F.lit(0), "forced": F.lit(0)}
+    if method == "blind":
+        return items.withColumns({"frames": F.array().cast("array<int>"), **made, "reason": F.lit("no_frames")})
+    if method == "uniform":
+        spaced = items.join(clips.select("video", F.size("value").alias("n")), "video").withColumn("frames", T.linspace(F.col("n"), 16)).drop("n")
+        return spaced.withColumns({**made, "reason": F.lit("spaced")})
+    return C.choose_packed(items, clips, method, "qid")
 
 
 def answers(items, clips, method: str, judge=J.hash_judge):
     """(qid, truth, lang, type, pred, n_frames, steps, reason): frames by a method, then one prompt; no frames where some are
     expected, and no letter in the reply, is -1."""
-    got = C.choose(items.join(clips, "video"), method, "qid")
+    got = _chosen(items, clips, method)
     prompt = F.concat_ws("|", F.lit("Q"), "qid", "source", F.array_join(F.transform("frames", lambda i: i.cast("string")), ","))
     rows = J.ask(got.withColumn("prompt", prompt), judge)
     none = (F.size("frames") == 0) & F.lit(method != "blind")
@@ -167,8 +194,8 @@ def _pipeline(method):
 
 def method_report(spark, d):
     """Accuracy by question type and method: the same driver for all methods, the method a column."""
-    parts = [answered(spark, d, m).withColumn("method", F.lit(m)) for m in ("blind", "uniform", "agent")]
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    items, clips = _items(spark, d)
+    rows = functools.reduce(lambda a, b: a.unionByName(b), (answers(items, clips, m).withColumn("method", F.lit(m)) for m in C.METHODS))
     kind = F.when(F.col("type") == "TP", "TN").otherwise(F.col("type"))
     ok = (F.col("pred") == F.col("truth")).cast("int")
     g = rows.select("method", kind.alias("type"), F.substring(kind, 1, 1).alias("cat"), ok.alias("ok")).groupingSets([["method", "type"], ["method", "cat"], ["method"]], "method", "type", "cat").agg(F.count("*").alias("n"), F.round(F.avg("ok"), 6).alias("acc"))
@@ -202,7 +229,7 @@ def replaced_frames(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (force_fill, split_point, adaptive_breadth, kept_frames, judge_batch, cached_judge, frame_jobs, content_range, replaced_frames, method_report, guided_records)}
-QUERIES |= {f"tree_search_{s}": _tree(s) for s in S.STRATEGIES} | {f"{m}_search": _search(m) for m in ("capped", "guided", "agent", "cluster")} | {f"qa_pipeline_{m}": _pipeline(m) for m in C.METHODS}
+QUERIES |= {f"tree_search_{s}": _tree(s) for s in S.STRATEGIES} | {f"{m}_search": _search(m) for m in ("capped", "guided", "agent", "cluster")} | {f"superstep_{m}": _steps(m) for m in ("capped", "agent")} | {f"qa_pipeline_{m}": _pipeline(m) for m in C.METHODS}
 _F = f"{X.FRAMES}, cnt AS (SELECT video, CAST(count(*) AS INT) AS n FROM frames GROUP BY video)"
 SQL = {
     "force_fill": f"""WITH RECURSIVE {_F}, r(video, step, a) AS (SELECT video, 2, [0, n - 1] FROM cnt UNION ALL

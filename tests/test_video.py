@@ -158,6 +158,31 @@ def test_ward():
         assert sorted(np.flatnonzero(label == c).tolist() for c in range(4)) == plain_ward(x, 4)
 
 
+@pytest.mark.parametrize("k", [1, 2, 5, 14])
+def test_ward_scales(k):
+    """All cuts agree with plain merging; thousands of rows take seconds, and memory for the rows only."""
+    rng = np.random.default_rng(k)
+    x = np.concatenate([rng.normal(c, 0.3, (7, 4)) for c in rng.random((2, 4)) * 5])
+    label = V.ward(x, k)
+    assert sorted(np.flatnonzero(label == c).tolist() for c in range(k)) == plain_ward(x, k)
+    same = np.repeat(rng.random((3, 4)), 5, axis=0)
+    assert len(set(map(tuple, np.c_[V.ward(same, 3), np.repeat(range(3), 5)]))) == 3
+    big = np.concatenate([rng.normal(c, 0.1, (1000, 8)) for c in range(5)])
+    assert (V.ward(big, 5) == np.repeat(range(5), 1000)).all()
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_clusters_search_alike(seed):
+    """What is worked out once for a video gives the frames of a search for each question."""
+    rng = np.random.default_rng(seed)
+    x = np.concatenate([rng.normal(c, 0.05, (25, 6)) for c in rng.random((5, 6)) * 3 + 1])
+    for table in (x, np.floor(2 * x), x[:3], x[:1]):
+        held = V.Clusters(table, seed)
+        for q in range(5):
+            look = lambda rows, q=q: [1 + (7 * r + q) % 3 if q < 3 else q - 2 for r in rows]
+            assert held.search(look) == V.cluster_search(table, look, seed=seed)
+
+
 def test_breadth_and_depth():
     rng = np.random.default_rng(2)
     x = np.concatenate([rng.normal(c, 0.05, (30, 6)) for c in rng.random((5, 6)) * 3 + 1])
