@@ -5,6 +5,9 @@ Equal vectors of a shard are one node that carries all its ids. Nodes enter the
 grow with it: a batch searches the graph as it stands, level by level, all its nodes at once; its own nodes are candidates
 of each other as well. No distance matrix of a shard is ever made.
 
+Rows of unlike magnitude go to shards of their own, scaled to single precision; where a query is so far out of a shard's
+scale that this couldn't tell its rows apart, all of them are measured.
+
 Every query searches every shard. Queries travel in packed blocks behind their shard's graph, and a task reads its graph
 once, then block by block. The graph is walked in single precision; what it finds is measured on the original vectors in
 double precision, and results merge by that distance and the id, the best ``k`` kept at each step.
@@ -17,10 +20,10 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._scratch import Scratch
+from ._scratch import FEW, Scratch
 
 #: Rows of a shard; links of a node (twice as many on the lowest level); nodes kept in sight while building and searching.
 SHARD_ROWS, LINKS, BUILD, SEARCH = 1 << 15, 16, 64, 384
@@ -29,6 +32,31 @@ OPEN, MOST = 4, 512
 #: Queries of a block; blocks that a task reads behind one copy of a graph; bytes of a piece of a graph.
 BLOCK, BLOCKS, PIECE = 1024, 64, 4 << 20
 _FAR = np.float32(np.inf)
+#: Powers of two of a vector's largest component that share shards; a query's component beyond a shard's, from which all of
+#: its rows are measured.
+SCALE, BEYOND = 8, 2.0**18
+
+
+def scale_of(largest: np.ndarray) -> np.ndarray:
+    """The class of magnitude of vectors by their largest component; limits lie beside common sizes."""
+    return np.floor((np.log2(largest) + 3.3) / SCALE).astype(np.int32)
+
+
+def distances(x: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Euclidean distances of rows to a vector in double precision, whatever the exponents."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        d = np.sqrt(((x - v) ** 2).sum(1))
+    odd = np.flatnonzero(~(d < 1e150) | (d < 1e-140))  # squares may have left the range
+    if len(odd):
+        away = np.abs(x[odd] / 4 - v / 4)
+        most = away.max(1)
+        at = most > 0
+        with np.errstate(over="ignore"):
+            d[odd[at]] = 4 * (most[at] * np.sqrt(((away[at] / most[at, None]) ** 2).sum(1)))
+        tiny = odd[~at]
+        if len(tiny):  # what a quarter of can't be told from 0
+            d[tiny] = np.abs(x[tiny] - v).max(1)
+    return d
 
 
 class Graph:
@@ -37,13 +65,22 @@ class Graph:
 
     def __init__(self, x: np.ndarray, ids: np.ndarray, id_start: np.ndarray, level: np.ndarray, links: int = LINKS):
         self.x, self.ids, self.id_start, self.level, self.links = x, ids, id_start, level, links
-        self.centre = x.mean(0) if len(x) else np.zeros(x.shape[1])
-        self.y = np.ascontiguousarray(x - self.centre, np.float32)
+        self.power = int(np.frexp(np.abs(x).max())[1]) if x.size else 0
+        near_one = np.ldexp(x, -self.power)
+        self.centre = near_one.mean(0) if len(x) else np.zeros(x.shape[1])
+        self.span = float(np.abs(near_one - self.centre).max()) if x.size else 1.0
+        self.span = self.span or 1.0
+        self.y = self.scaled(x)
         self.sq = (self.y**2).sum(1)
         top = int(level.max()) if len(level) else 0
         self.row = [np.cumsum(level >= k) - 1 for k in range(top + 1)]
         self.link = [np.full((int((level >= k).sum()), links * (1 if k else 2)), -1, np.int32) for k in range(top + 1)]
 
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        """Vectors on the shard's own scale; infinite where they are beyond it."""
+        with np.errstate(over="ignore"):
+            return np.ascontiguousarray((np.ldexp(x, -self.power) - self.centre) / self.span, np.float32)
+
     def far(self, q: np.ndarray, nodes: np.ndarray) -> np.ndarray:
         """Squared distances of row i of ``q`` to nodes[i]; -1 is beyond all."""
         d = self.sq[nodes] - 2 * np.matmul(self.y[nodes], q[:, :, None])[:, :, 0]
@@ -102,8 +139,7 @@ class Graph:
         return dist, nodes
 
     def near(self, q: np.ndarray, ef: int) -> np.ndarray:
-        """The nodes nearest to each row of ``q`` (-1: none), nearest first."""
-        q = np.ascontiguousarray(q - self.centre, np.float32)
+        """The nodes nearest to each row of ``q`` (scaled; -1: none), nearest first."""
         start = np.zeros((len(q), 1), np.int64)  # node 0 is on all levels
         for level in range(len(self.link) - 1, 0, -1):
             start = self.beam(level, q, start, 8)[1][:, :1]
@@ -226,7 +262,7 @@ def unpack(raw: bytes) -> Graph:
     return g
 
 
-PARCEL = "dim int, shard int, slice int, part int, number int, payload binary"
+PARCEL = "dim int, shard long, slice int, part int, number int, payload binary"
 
 
 def _build_group(key, frame: pd.DataFrame) -> pd.DataFrame:
@@ -236,14 +272,15 @@ def _build_group(key, frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def _raw_map(batches):
-    """Vectors as bytes: (vec_id, dim, raw)."""
+    """Vectors as bytes: (vec_id, dim, scale, raw)."""
     for batch in batches:
         column = batch.column("embedding")
         flat = np.ascontiguousarray(column.flatten().to_numpy(zero_copy_only=False), np.float64)
         size = np.asarray(column.value_lengths())
         at = np.concatenate(([0], np.cumsum(size)))
         raw = pa.array([flat[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(size.astype(np.int32)), raw], ["vec_id", "dim", "raw"])
+        largest = np.maximum.reduceat(np.abs(flat), at[:-1]) if len(size) else np.zeros(0)
+        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(size.astype(np.int32)), pa.array(scale_of(largest)), raw], ["vec_id", "dim", "scale", "raw"])
 
 
 def _block_group(key, frame: pd.DataFrame) -> pd.DataFrame:
@@ -262,14 +299,26 @@ def _found(g: Graph, ids: np.ndarray, vectors: np.ndarray, k: int, ef: int):
         return
     step = max(1, min(256, (64 << 20) // len(g.level)))
     for a in range(0, len(ids), step):
-        nodes = g.near(vectors[a : a + step], max(ef, k + 1))
-        for q, v, own in zip(ids[a : a + step].tolist(), vectors[a : a + step], nodes):
-            own = own[own >= 0]
-            d = np.sqrt(((g.x[own] - v) ** 2).sum(1))
+        part = g.scaled(vectors[a : a + step])
+        walks = (np.abs(part) <= BEYOND).all(1)
+        found = iter(g.near(part[walks], max(ef, k + 1)))
+        for q, v, walk in zip(ids[a : a + step].tolist(), vectors[a : a + step], walks.tolist()):
+            if walk:
+                own = next(found)
+                own = own[own >= 0]
+                d = distances(g.x[own], v)
+            else:  # all nodes as near as the k + 1st stay, as there may be ties; those of least ids are chosen below
+                d = distances(g.x, v)
+                own = np.flatnonzero(d <= np.partition(d, min(k, len(d) - 1))[min(k, len(d) - 1)])
+                d = d[own]
             order = np.argsort(d, kind="stable")[: k + 1]  # a node has an id at least, and the query's own may be one
             kth = d[order[-1]]
             got = []
-            for n, e in zip(own[d <= kth].tolist(), d[d <= kth].tolist()):
+            own, d = own[d <= kth], d[d <= kth]
+            if len(own) > 4 * (k + 1):  # many ties: those whose least ids are least come first
+                least = np.lexsort((g.ids[g.id_start[own]], d))[: 2 * (k + 1)]
+                own, d = own[least], d[least]
+            for n, e in zip(own.tolist(), d.tolist()):
                 same = g.ids[g.id_start[n] : g.id_start[n + 1]]
                 got += [(e, i) for i in same[same != q][:k].tolist()]  # no more than k of equal vectors can be among the k nearest
             for e, i in sorted(got)[:k]:
@@ -341,22 +390,27 @@ def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
     """(query_id, rank, vec_id, score): for each row of ``queries`` the ``k`` rows of ``vectors`` nearest by Euclidean
     distance, without the row of its own id; ties go to smaller ids; fewer where there are fewer.
 
-    Rows with unusable vectors take no part on either side; vectors meet only those of their own length. Repeated rows of
+    Rows with unusable vectors (null, empty, zero, with a component null or not finite) and null ids take no part on either
+    side; components may have any exponent; vectors meet only those of their own length. Repeated rows of
     ``vectors`` count each, those of ``queries`` once; other columns play no part; empty tables give no rows."""
     scratch = Scratch(spark, "hnsw")
-    raw = lambda t: usable(t).select("vec_id", "embedding").mapInArrow(_raw_map, "vec_id long, dim int, raw binary")
+    raw = lambda t: usable(t).select("vec_id", "embedding").mapInArrow(_raw_map, "vec_id long, dim int, scale int, raw binary")
     rows, asked = raw(vectors), raw(queries.dropDuplicates(["vec_id"]))
-    n, m = usable(vectors).count(), queries.count()
-    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-m // BLOCK))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    index = scratch.cut(dealt.groupBy("dim", "shard").applyInPandas(_build_group, "dim int, shard int, number int, payload binary"))
+    blocks = max(1, -(-queries.count() // BLOCK))
+    # a row for each length and magnitude there is: its number of shards, and the number of its first
+    classes = rows.groupBy("dim", "scale").agg(F.ceil(F.count("*") / shard_rows).alias("shards"))
+    classes = scratch.cut(classes.withColumn("base", F.coalesce(F.sum("shards").over(Window.orderBy("dim", "scale").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
+    n, shards = classes.agg(F.count("*"), F.coalesce(F.sum("shards"), F.lit(0))).first()
+    dealt = rows.join(F.broadcast(classes) if n <= FEW else classes, ["dim", "scale"]).withColumn("shard", F.col("base") + F.pmod(F.xxhash64("vec_id", "raw"), F.col("shards")))
+    index = scratch.cut(dealt.groupBy("dim", "shard").applyInPandas(_build_group, "dim int, shard long, number int, payload binary"))
     block = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")).groupBy("dim", "block").applyInPandas(_block_group, "dim int, block int, number int, payload binary")
     slices = -(-blocks // BLOCKS)  # a copy of the graph for each
     graphs = index.select("dim", "shard", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.lit(0).alias("part"), "number", "payload")
     block = scratch.cut(block)
-    spread = block.select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), (F.col("block") % slices).alias("slice"), F.lit(1).alias("part"), "number", "payload")
+    every = classes.select("dim", F.explode(F.sequence("base", F.col("base") + F.col("shards") - 1)).alias("shard"))
+    spread = block.join(every, "dim").select("dim", "shard", (F.col("block") % slices).alias("slice"), F.lit(1).alias("part"), "number", "payload")
     parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), shards * slices))
-    stream = graphs.unionByName(spread).repartitionById(parts, F.col("shard") * slices + F.col("slice")).sortWithinPartitions("dim", "shard", "slice", "part", "number")
+    stream = graphs.unionByName(spread).repartitionById(parts, F.pmod(F.col("shard") * slices + F.col("slice"), F.lit(parts)).cast("int")).sortWithinPartitions("dim", "shard", "slice", "part", "number")
     found = stream.mapInArrow(_search_map(k, ef), "query_id long, score double, vec_id long")
     best = found.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "query_id").mapInArrow(_best_group(k), "query_id long, score double, vec_id long, rank int")
     return best.select("query_id", "rank", "vec_id", "score")
