@@ -126,7 +126,8 @@ def choose_packed(items: DataFrame, clips: DataFrame, method: str, question: str
 
     count = items.groupBy(part).agg(F.ceil(F.count("*") / pack).alias("packs_"))
     packed = items.join(count, part).groupBy(part, F.pmod(F.xxhash64(question), F.col("packs_")).alias("pack_")).agg(F.collect_list(F.struct(*names)).alias("items_"))
-    rows = packed.join(clips, part).withColumn("found_", chosen("hist", "sharp", "value", F.transform("items_", lambda x: x[question])))
+    n = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a row takes far longer than its bytes tell, so they aren't merged by size
+    rows = packed.repartition(n, part).join(clips.repartition(n, part), part).withColumn("found_", chosen("hist", "sharp", "value", F.transform("items_", lambda x: x[question])))
     each = rows.select(F.explode(F.arrays_zip("items_", "found_")).alias("z"))
     return each.select(*(F.col(f"z.items_.{n}").alias(n) for n in names), *(F.col(f"z.found_.{n}").alias(n) for n in ("frames", "steps", "forced", "reason")))
 
