@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -84,13 +85,23 @@ def _unescape(text: str) -> str:
     return html.unescape(_HUGE.sub("\ufffd", text) if len(text) > 1000 and "&#" in text else text)
 
 
-def blocks(page: str):
-    """(text, length of link text, standing, number of the container) of each block that isn't empty.
+class Block(NamedTuple):
+    """A block's text, the length of its link text, its standing, the number of its container, and its number of links."""
+
+    text: str
+    link: int
+    standing: str | None
+    box: int
+    links: int = 1
+
+
+def blocks(page: str) -> list[Block]:
+    """The blocks of a page that aren't empty.
 
     Standing: good inside article or main, lifted if these stand in a container that a soft word marks, hard or soft
     where a container speaks against the block, else None. One pass over the page; what is looked for in vain once
     isn't looked for again, so that the time is linear in the page whatever it holds."""
-    out, buf, link, depth_a = [], [], 0, 0
+    out, buf, link, links, depth_a = [], [], 0, 0, 0
     stack: list[tuple[str, str | None, int, bool]] = [("", None, 0, False)]  # tag, standing, container, inside an article
     depth: dict[str, int] = {}
     unclosed: set[str] = set()
@@ -98,13 +109,13 @@ def blocks(page: str):
     at, n = 0, len(page)
 
     def close():
-        nonlocal link
+        nonlocal link, links
         if buf:
             text = " ".join(_unescape("".join(buf)).split())
             if text:
-                out.append((text, link, stack[-1][1], stack[-1][2]))
+                out.append(Block(text, link, stack[-1][1], stack[-1][2], links))
             buf.clear()
-        link = 0
+        link, links = 0, depth_a
 
     def add(piece):
         nonlocal link
@@ -155,6 +166,7 @@ def blocks(page: str):
             continue
         if tag == "a":
             depth_a = max(0, depth_a - 1) if end else 1
+            links += not end
         elif tag in ("br", "hr", "img", "input"):
             buf.append(" ")
         if tag not in _BLOCK:
@@ -189,42 +201,54 @@ def blocks(page: str):
     return out
 
 
-def verdicts(found, long: int = 20, stop_share: float = 0.15, link_share: float = 0.5) -> list[bool | None]:
-    """Pass one: True, False, or None where a block is too short or too unlike a sentence to tell."""
+def _row_of_links(block: Block) -> bool:
+    """Several links with no more than a sign between them, as in a menu."""
+    return block.links >= 3 and len(block.text) - block.link <= 3 * block.links
+
+
+def verdicts(found: list[Block], long: int = 20, stop_share: float = 0.15, link_share: float = 0.5) -> list[bool | None]:
+    """Pass one: True, False, or None where a block is too short or too unlike a sentence to tell.
+
+    Inside the article links are text, but for rows of links that stand together; elsewhere a block that is links for the
+    most part goes, unless it is one link around a whole paragraph."""
     out: list[bool | None] = []
-    for text, link, standing, _ in found:
-        words = text.split()
-        dense = link > link_share * len(text)
-        if standing in ("hard", "soft") or dense and len(words) < 60:
+    rows = [_row_of_links(b) for b in found]
+    for i, b in enumerate(found):
+        words = b.text.split()
+        if b.standing == "good":
+            boring = rows[i] and any(0 <= j < len(found) and rows[j] and found[j].box == b.box for j in (i - 1, i + 1))
+        else:
+            boring = b.standing in ("hard", "soft") or b.link > link_share * len(b.text) and not (b.links == 1 and len(words) >= long)
+        if boring:
             out.append(False)
-        elif len(words) >= long and (standing == "good" or len(words) >= 3 * long or sum(w.strip(".,;:!?").lower() in _STOP for w in words) >= stop_share * len(words)):
+        elif len(words) >= long and (b.standing == "good" or len(words) >= 3 * long or sum(w.strip(".,;:!?").lower() in _STOP for w in words) >= stop_share * len(words)):
             out.append(True)
         else:
             out.append(None)
     return out
 
 
-def inherit(found, verdict: list[bool | None]) -> list[bool]:
+def inherit(found: list[Block], verdict: list[bool | None]) -> list[bool]:
     """Pass two: undecided blocks take the label of the nearest decided ones of their container."""
     keep: list[bool] = []
     last: dict[int, int] = {}
     before: list[int | None] = []
-    for i, (_, _, _, box) in enumerate(found):
-        before.append(last.get(box))
+    for i, block in enumerate(found):
+        before.append(last.get(block.box))
         if verdict[i] is not None:
-            last[box] = i
+            last[block.box] = i
     nxt: dict[int, int] = {}
     after: list[int | None] = [None] * len(found)
     for i in range(len(found) - 1, -1, -1):
-        after[i] = nxt.get(found[i][3])
+        after[i] = nxt.get(found[i].box)
         if verdict[i] is not None:
-            nxt[found[i][3]] = i
-    bare = not any(standing == "good" for _, _, standing, _ in found) and not any(verdict)  # a page of short blocks only
-    for i, (_, _, standing, _) in enumerate(found):
+            nxt[found[i].box] = i
+    bare = not any(b.standing == "good" for b in found) and not any(verdict)  # a page of short blocks only
+    for i, block in enumerate(found):
         v = verdict[i]
         if v is None:
             p, q = before[i], after[i]
-            if standing == "good":
+            if block.standing == "good":
                 v = True
             elif p is None and q is None:
                 v = bare
@@ -240,14 +264,14 @@ def main_text(page: str | None) -> str:
     """The blocks that are kept. An article in a softly marked container counts if the page has none elsewhere; where
     nothing is kept at all, softly marked containers are judged by their blocks alone."""
     found = blocks(page or "")
-    good = any(standing == "good" for _, _, standing, _ in found)
-    found = [(t, k, ("soft" if good else "good") if standing == "lifted" else standing, box) for t, k, standing, box in found]
+    good = any(b.standing == "good" for b in found)
+    found = [b._replace(standing="soft" if good else "good") if b.standing == "lifted" else b for b in found]
     keep = inherit(found, verdicts(found))
-    if not any(keep) and any(standing == "soft" for _, _, standing, _ in found):
-        freed = [(t, k, None if standing == "soft" else standing, box) for t, k, standing, box in found]
+    if not any(keep) and any(b.standing == "soft" for b in found):
+        freed = [b._replace(standing=None) if b.standing == "soft" else b for b in found]
         verdict = verdicts(freed)
         keep = inherit(freed, verdict) if any(verdict) else keep
-    return "\n".join(text for (text, *_), k in zip(found, keep) if k)
+    return "\n".join(b.text for b, k in zip(found, keep) if k)
 
 
 def _map(batches):

@@ -412,18 +412,20 @@ def test_html_two_passes():
     """Both passes against plain rules over all blocks of random pages."""
     rng = np.random.default_rng(6)
     for _ in range(60):
-        found = [("w " * int(rng.integers(1, 40)) + "the and of it is " * int(rng.integers(0, 6)), int(rng.integers(0, 60)), [None, "good", "hard", "soft"][rng.integers(4)], int(rng.integers(3))) for _ in range(12)]
-        found = [(t.strip(), k, s, b) for t, k, s, b in found]
+        found = [("w " * int(rng.integers(1, 40)) + "the and of it is " * int(rng.integers(0, 6)), int(rng.integers(0, 60)), [None, "good", "good", "hard", "soft"][rng.integers(5)], int(rng.integers(3)), int(rng.integers(0, 5))) for _ in range(12)]
+        found = [html_text.Block(t.strip(), k, *rest) for t, k, *rest in found]
         first = html_text.verdicts(found)
-        for (text, link, standing, _), v in zip(found, first):
+        row = [b.links > 2 and b.link + 3 * b.links >= len(b.text) for b in found]
+        for i, ((text, link, standing, box, links), v) in enumerate(zip(found, first)):
             w = text.split()
             stop = sum(x in ("the", "and", "of", "it", "is") for x in w)
-            if standing in ("hard", "soft") or (link > len(text) / 2 and len(w) < 60):
+            beside = [row[j] for j in (i - 1, i + 1) if 0 <= j < 12 and found[j][3] == box]
+            if standing == "good" and row[i] and True in beside or standing in ("hard", "soft") or standing is None and link > len(text) / 2 and (links != 1 or len(w) < 20):
                 assert v is False
             else:
                 assert v is (True if len(w) >= 20 and (standing == "good" or len(w) >= 60 or stop >= 0.15 * len(w)) else None)
         second = html_text.inherit(found, first)
-        for i, (_, _, standing, box) in enumerate(found):
+        for i, (_, _, standing, box, _) in enumerate(found):
             near = sorted((abs(j - i), j > i, j) for j in range(12) if found[j][3] == box and first[j] is not None)
             left, right = ([j for _, after, j in near if after is side][:1] for side in (False, True))
             if first[i] is not None:
@@ -437,6 +439,31 @@ def test_html_two_passes():
             assert second[i] is bool(want), (i, left, right)
 
 
+MENU = "".join(f'<p><a href="/{k}">Topic {k}</a> | <a href="/{k}a">More</a> | <a href="/{k}b">Most</a></p>' for k in range(3))
+LINKED = "".join(f'<li><a href="/{k}">Work number {k}</a></li>' for k in range(4))
+
+
+@pytest.mark.parametrize("page,want", [
+    ("<article><p>See <a>the long linked title of the work</a>.</p><p>Body of it.</p></article>", "See the long linked title of the work.\nBody of it."),
+    (f"<article><p><a>All of one paragraph. {LINE}</a></p><p>End.</p></article>", f"All of one paragraph. {LINE}\nEnd."),
+    (f"<article><p>{LINE}</p><ul>{LINKED}</ul></article>", LINE + "".join(f"\nWork number {k}" for k in range(4))),
+    ("<article><p><a>A</a>, <a>B</a>, <a>C</a></p><p>Body.</p></article>", "A, B, C\nBody."),
+    (f"<article>{MENU}<p>{LINE}</p></article>", LINE),
+    (f"<div>{MENU}<p>{LINE}</p></div>", LINE),
+    (f"<div><p>{LINE}</p><p><a>{LINE}</a></p></div>", f"{LINE}\n{LINE}"),
+    (f"<div><p>{LINE}</p><p>{'<a>Some more words</a> ' * 40}</p></div>", LINE),
+])
+def test_html_links(page, want):
+    """What is linked inside an article is its text; rows of links side by side are a menu, wherever they stand."""
+    assert html_text.main_text(page) == want
+
+
+def test_html_empty_table(spark):
+    t = spark.createDataFrame([], "page_id long, url string, html string, text int, n_chars string")
+    out = html_text.extract(t)
+    assert out.count() == 0 and out.columns == ["page_id", "url", "text", "n_chars"]
+
+
 def test_html_rows(spark):
     t = spark.createDataFrame([(1, None, None, 1), (2, "u", "<p>x", 2), (2, "u", "<p>x", 2)], "page_id long, url string, html string, text int")
     assert sorted((r.page_id, r.text, r.n_chars) for r in html_text.extract(t).collect()) == [(1, "", 0), (2, "x", 1), (2, "x", 1)]
