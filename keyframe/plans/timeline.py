@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from keyframe.operators import annotations as A
 from keyframe.operators import joins as J
 from keyframe.operators import timeline as T
 
@@ -161,12 +162,30 @@ def bounded_range(spark, d):
     return b.select("video", F.explode(F.when(F.size(kept) == 0, F.array("lo", "hi")).otherwise(kept)).alias("frame"))
 
 
+def _annotating(spark, d):
+    """Events as those of annotation sessions: clicks choose an action, signups give a direction, views a box, errors undo, and
+    purchases delete one of the first four."""
+    k = F.col("k")
+    actions = F.array(*map(F.lit, ("CLICK", "SCROLL", "TYPE", "DRAG", "FINISH", "HOTKEY")))
+    return X.frames(spark, d).select(
+        "video", "idx",
+        F.element_at(F.create_map(*(F.lit(x) for pair in (("click", "select"), ("signup", "direction"), ("view", "box"), ("error", "undo"), ("purchase", "delete")) for x in pair)), F.col("event_type")).alias("op"),
+        F.col("idx").cast("long").alias("frame"), F.element_at(actions, k % 6 + 1).alias("action"), F.when(k % 4 > 0, F.concat(F.lit(" Key"), k.cast("string"))).alias("text"),
+        F.when(k % 3 > 0, F.element_at(F.array(F.lit("up"), F.lit("down")), k % 3)).alias("direction"), k.alias("width"), F.lit(4).alias("height"), (k % 4).alias("place"),
+    )
+
+
+def annotation_replay(spark, d):
+    """The annotations that stand at the end of each session."""
+    return A.replay(_annotating(spark, d), "video", "idx")
+
+
 def neighbour_bounds(spark, d):
     w = Window.partitionBy("video").orderBy("idx")
     return _selected(spark, d).select("video", "idx", F.lag("idx").over(w).alias("left_idx"), F.lead("idx").over(w).alias("right_idx"))
 
 
-QUERIES = {f.__name__: f for f in (frontier, gap_stats, dense_sparse, max_gap_segment, topk_longest, sample_interval, sample_truncate, strided_candidates, frame_record, shards, stable_suffix, max_change, clearest_near, trim_head_tail, range_frames, nearest_frame, bounded_range, neighbour_bounds)}
+QUERIES = {f.__name__: f for f in (frontier, gap_stats, dense_sparse, max_gap_segment, topk_longest, sample_interval, sample_truncate, strided_candidates, frame_record, shards, stable_suffix, max_change, clearest_near, trim_head_tail, range_frames, nearest_frame, bounded_range, neighbour_bounds, annotation_replay)}
 QUERIES |= {f"split_{m}": _split(m) for m in ("prune", "retain", "merge")} | {"sample_linspace": _sampler(lambda n: T.linspace(n, 16)), "sample_rounded": _sampler(lambda n: T.rounded(n, 10)), "sample_stride": _sampler(lambda n: T.stride(n, 7))}
 
 
@@ -200,5 +219,19 @@ SQL = {
     "range_frames": f"{_SEL} SELECT g.video, g.s AS seg_start, count(*) AS n, CAST(sum(f.v) AS BIGINT) AS total FROM gaps g JOIN frames f ON f.video = g.video AND f.idx >= g.s AND f.idx < g.e GROUP BY ALL",
     "nearest_frame": f"{_SEL} SELECT video, from_idx, to_idx FROM (SELECT a.video, a.idx AS from_idx, b.idx AS to_idx, row_number() OVER (PARTITION BY a.video, a.idx ORDER BY abs(a.idx - b.idx), b.idx) AS r FROM frames a JOIN sel b ON a.video = b.video WHERE a.event_type = 'error') WHERE r = 1",
     "bounded_range": f"{_CNT}, t AS (SELECT video, coalesce(min(idx) FILTER (k > 90), min(idx)) AS lo, coalesce(max(idx) FILTER (k > 90), max(idx)) AS hi FROM frames GROUP BY video), s AS (SELECT f.video, f.idx AS frame FROM frames f JOIN t USING (video) WHERE f.idx % 15 = 0 AND f.idx BETWEEN lo AND hi) SELECT * FROM s UNION ALL SELECT video, unnest([lo, hi]) FROM t WHERE video NOT IN (SELECT video FROM s)",
+    "annotation_replay": f"""WITH RECURSIVE {X.FRAMES}, e AS (SELECT video, idx, event_type AS op, (['CLICK', 'SCROLL', 'TYPE', 'DRAG', 'FINISH', 'HOTKEY'])[k % 6 + 1] AS action, CASE WHEN k % 4 > 0 THEN ' Key' || k END AS txt, CASE k % 3 WHEN 1 THEN 'up' WHEN 2 THEN 'down' END AS dir, k, k % 4 AS place FROM frames),
+      f AS (SELECT *, CASE action WHEN 'HOTKEY' THEN lower(trim(txt)) WHEN 'TYPE' THEN txt END AS said, op = 'click' AND (action = 'FINISH' OR action IN ('TYPE', 'HOTKEY') AND txt IS NOT NULL) AS at_once FROM e),
+      w AS (SELECT DISTINCT video, CAST(0 AS INT) AS idx, '' AS needs, {{'frame': CAST(NULL AS BIGINT), 'action': CAST(NULL AS VARCHAR), 'text': CAST(NULL AS VARCHAR), 'direction': CAST(NULL AS VARCHAR)}} AS p,
+          CAST([] AS STRUCT(frame BIGINT, action VARCHAR, text VARCHAR, direction VARCHAR)[]) AS notes, CAST([] AS BIGINT[]) AS undo FROM frames
+        UNION ALL SELECT f.video, f.idx + 1,
+          CASE WHEN op = 'click' THEN CASE WHEN action IN ('TYPE', 'HOTKEY', 'FINISH') THEN '' WHEN action = 'SCROLL' THEN 'direction' ELSE 'box' END WHEN op = 'signup' AND needs = 'direction' AND dir IS NOT NULL THEN 'box'
+            WHEN op = 'view' AND needs IN ('box', 'second') AND k >= 5 THEN CASE WHEN needs = 'box' AND p.action = 'DRAG' THEN 'second' ELSE '' END ELSE needs END,
+          CASE WHEN op = 'click' THEN {{'frame': CAST(f.idx AS BIGINT), 'action': f.action, 'text': CAST(NULL AS VARCHAR), 'direction': CAST(NULL AS VARCHAR)}} WHEN op = 'signup' AND needs = 'direction' AND dir IS NOT NULL THEN {{'frame': p.frame, 'action': p.action, 'text': p.text, 'direction': dir}} ELSE p END,
+          CASE WHEN at_once THEN list_append(notes, {{'frame': CAST(f.idx AS BIGINT), 'action': f.action, 'text': said, 'direction': CAST(NULL AS VARCHAR)}}) WHEN op = 'view' AND k >= 5 AND (needs = 'second' OR needs = 'box' AND p.action <> 'DRAG') THEN list_append(notes, p)
+            WHEN op = 'error' AND len(undo) > 0 THEN list_filter(notes, lambda x, i: i <> undo[-1] + 1) WHEN op = 'purchase' THEN list_filter(notes, lambda x, i: i <> place + 1) ELSE notes END,
+          CASE WHEN at_once OR op = 'view' AND k >= 5 AND (needs = 'second' OR needs = 'box' AND p.action <> 'DRAG') THEN list_append(undo, len(notes)) WHEN op = 'error' THEN undo[:-2] ELSE undo END
+        FROM w JOIN f ON f.video = w.video AND f.idx = w.idx),
+      z AS (SELECT video, notes FROM w WHERE idx = (SELECT count(*) FROM frames x WHERE x.video = w.video))
+      SELECT video, CAST(i AS INT) AS pos, notes[i + 1].frame AS frame, notes[i + 1].action AS action, notes[i + 1].text AS text, notes[i + 1].direction AS direction FROM z, unnest(range(len(notes))) AS u(i)""",
     "neighbour_bounds": f"{_SEL} SELECT video, idx, lag(idx) OVER w AS left_idx, lead(idx) OVER w AS right_idx FROM sel WINDOW w AS (PARTITION BY video ORDER BY idx)",
 }
