@@ -14,8 +14,7 @@ from keyframe.operators import select as C
 from keyframe.operators import supersteps as P
 from keyframe.operators import timeline as T
 from keyframe.operators import video as V
-from keyframe.sources import readers as R
-from keyframe.sources import sinks
+from keyframe.sources.checkpoint import Checkpoint
 from keyframe.streaming import resume, shared
 
 from . import surrogates as X
@@ -166,11 +165,12 @@ def answered(spark, d, method: str):
 
 def resumed(spark, items, clips, method: str, store: str, judge=J.hash_judge):
     """All answers of a method: those kept in ``store`` from earlier runs, and new ones for the items that have none, which are
-    appended. A run that is broken off loses no more than what it had not appended."""
-    kept = R.first_existing(spark, store)
-    todo = resume.pending(items, spark.read.parquet(store), "qid") if kept else items
-    sinks.append_batch(answers(todo, clips, method, judge).withColumn("method", F.lit(method)), store)
-    return spark.read.parquet(store)
+    committed as a batch. A run that is broken off leaves no part of its batch behind."""
+    kept = Checkpoint(spark, store)
+    old = kept.read()
+    todo = items if old is None else resume.pending(items, old, "qid")
+    kept.commit(f"{method}-{len(kept.batches())}", answers(todo, clips, method, judge).withColumn("method", F.lit(method)))
+    return kept.read()
 
 
 def guided_records(spark, d):

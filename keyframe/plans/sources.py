@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from keyframe.sources import nested
 from keyframe.sources import readers as R
-from keyframe.streaming import resume
+from keyframe.sources.checkpoint import Checkpoint
+from keyframe.streaming import resume, shared
 
 from . import surrogates as X
 
@@ -132,11 +136,33 @@ def repeat_to_count(spark, d):
     return f.select("video", F.array_join(F.transform(F.slice(F.flatten(F.array_repeat("a", 7)), 1, 7), lambda x: x.cast("string")), ",").alias("picked"))
 
 
-QUERIES = {f.__name__: f for f in (explode_episodes, qa_two_shapes, path_parts, semi_local, anti_processed, first_per_key, last_wins_lookup, positional_fallback, set_union, set_intersect, set_except, upsert_last, exclude_then_limit, id_selection_chain, quick_sample, cache_hits, cache_misses, caption_positions, batch_tally, repeat_to_count)}
+def nested_entries(spark, d):
+    """Conversations written as nested JSON files, a key for each, and read back by ranges of bytes: turns and characters."""
+    c = X.table(spark, d, "conversations").select("conv_id", F.struct("turn", "role", "text").alias("s"))
+    whole = c.groupBy("conv_id").agg(F.to_json(F.array_sort(F.collect_list("s"))).alias("turns"))
+    root = f"{shared.folder(spark)}/nested-{uuid.uuid4().hex}"
+    nested.write_objects(whole, "conv_id", "turns", root)
+    rows = nested.elements(spark, root).select(F.col("key").cast("long").alias("conv_id"), F.explode(F.from_json("value", "array<struct<turn:long,role:string,text:string>>")).alias("t"))
+    return rows.groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.sum(F.length("t.text")).alias("n_chars"), F.max("t.turn").alias("last_turn"))
+
+
+def checkpoint_replay(spark, d):
+    """Events committed in three batches, each of them twice, then merged: what is read has each row once."""
+    f = X.frames(spark, d).select("video", "idx", "event_type", "v")
+    kept = Checkpoint(spark, f"{shared.folder(spark)}/checkpoint-{uuid.uuid4().hex}")
+    for part in (0, 1, 1, 2, 0):
+        kept.commit(f"part-{part}", f.where(F.col("video") % 3 == part))
+    kept.compact(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return kept.read().groupBy("event_type").agg(F.count("*").alias("n"), F.sum("v").alias("total"), F.countDistinct("video").alias("videos"))
+
+
+QUERIES = {f.__name__: f for f in (explode_episodes, qa_two_shapes, path_parts, semi_local, anti_processed, first_per_key, last_wins_lookup, positional_fallback, set_union, set_intersect, set_except, upsert_last, exclude_then_limit, id_selection_chain, quick_sample, cache_hits, cache_misses, caption_positions, batch_tally, repeat_to_count, nested_entries, checkpoint_replay)}
 _Q, _F, _S = f"WITH {X.QA}", f"WITH {X.FRAMES}", f"WITH {X.STEPS}"
 _AB = f"{_F}, a AS (SELECT video, k % 20 AS frame FROM frames WHERE event_type = 'click'), b AS (SELECT video, k % 20 AS frame FROM frames WHERE event_type = 'view')"
 _C = "WITH c AS (SELECT DISTINCT text FROM documents WHERE doc_id % 2 = 0)"
 SQL = {
+    "nested_entries": "SELECT conv_id, count(*) AS n_turns, CAST(sum(length(text)) AS BIGINT) AS n_chars, max(turn) AS last_turn FROM conversations GROUP BY conv_id",
+    "checkpoint_replay": f"{_F} SELECT event_type, count(*) AS n, CAST(sum(v) AS BIGINT) AS total, count(DISTINCT video) AS videos FROM frames GROUP BY event_type",
     "explode_episodes": f"{_S} SELECT ls AS task, CAST(ep AS VARCHAR) AS ep_id, CAST(row_number() OVER (PARTITION BY ls, ep ORDER BY step) - 1 AS INT) AS step_idx, 'f' || step || '.png' AS img_filename, label AS goal FROM steps",
     "qa_two_shapes": f"{_Q} SELECT CAST(qid AS VARCHAR) AS qid, source AS question, lang AS first_option, CAST(CASE WHEN qid % 3 > 0 THEN truth ELSE -1 END AS INT) AS truth FROM qa",
     "path_parts": r"WITH p AS (SELECT p_partkey, '/out/' || lower(p_brand) || '/uniform' || (p_size % 10) || CASE WHEN p_size % 3 = 0 THEN '_no_cut' ELSE '' END || '/run.log' AS t FROM part) SELECT p_partkey, regexp_extract(t, '([^/]+)/[^/]+/[^/]+$', 1) AS model, regexp_replace(regexp_extract(t, '([^/]+)/[^/]+$', 1), '_no_cut$', '') AS mode, regexp_extract(t, '([^/]+)/[^/]+$', 1) LIKE '%_no_cut' AS no_cut FROM p",

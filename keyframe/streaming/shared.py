@@ -40,15 +40,26 @@ def names(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
 
-def put(spark: SparkSession, path: str, text: str) -> None:
-    """A small file, whole or not at all: written beside its place and renamed."""
+def put(spark: SparkSession, path: str, text: str) -> bool:
+    """A small file, whole or not at all: written beside its place and renamed. False if there is one already."""
     p, fs = _path(spark, path)
+    if fs.exists(p):
+        return False
     beside, _ = _path(spark, f"{path}.new")
     out = fs.create(beside, True)
-    out.write(text.encode())
+    out.write(bytearray(text.encode()))
     out.close()
-    if not fs.rename(beside, p):
-        fs.delete(beside, False)
+    return fs.rename(beside, p)
+
+
+def get(spark: SparkSession, path: str) -> str:
+    """The text of a small file."""
+    p, fs = _path(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
 
 
 def remove(spark: SparkSession, path: str) -> None:
