@@ -30,12 +30,25 @@ def change(v, s):
     return float(abs(v[s[1]] - v[s[0]]))
 
 
+def coverage(s, mean):
+    """0 for a segment that is sparsely covered, 2 for a densely covered one: by its length over the mean."""
+    size = s[1] - s[0]
+    return 0 if 2 * size > 3 * mean else 2 if 2 * size < mean else 1
+
+
+def adaptive(v, segs, beam):
+    """The best of the sparsest segments, so that the sample spreads before it digs deeper."""
+    mean = sum(s[1] - s[0] for s in segs) / max(1, len(segs))
+    return sorted(segs, key=lambda s: (coverage(s, mean), -(relevance(v, s) + change(v, s)), s[0]))[:1]
+
+
 #: Which segments to open next: (values, segments that can be split, beam).
 STRATEGIES = {
     "bfs": lambda v, segs, beam: longest(segs, beam),
     "gbfs": lambda v, segs, beam: sorted(segs, key=lambda s: (-relevance(v, s), s[0]))[:1],
     "dijkstra": lambda v, segs, beam: sorted(segs, key=lambda s: (-change(v, s), s[0]))[:1],
     "a_star": lambda v, segs, beam: sorted(segs, key=lambda s: (-(relevance(v, s) + change(v, s)), s[0]))[:1],
+    "adaptive": adaptive,
 }
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,11 +17,84 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def redundant(frames: DataFrame, part: str, key: str, vec: str, limit: float) -> DataFrame:
-    """(part, key) of frames like an earlier one of their part: an equi-join on the part, never across parts."""
-    left = frames.select(part, F.col(key).alias("a"), F.col(vec).alias("va"))
-    right = frames.select(part, F.col(key).alias("b"), F.col(vec).alias("vb"))
-    return left.join(right, part).where(F.col("b") < F.col("a")).where(cosine(F.col("va"), F.col("vb")) >= limit).select(part, F.col("a").alias(key)).distinct()
+def _packed(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(float)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _spread_axes(rows: DataFrame, dim: int, n: int) -> np.ndarray:
+    """The ``n`` axes along which unit vectors spread most, from sums over all rows: a square of ``dim`` numbers for each task,
+    added up by place."""
+
+    def run(batches):
+        total, count = np.zeros((dim, dim + 1)), 0
+        for batch in batches:
+            u = _unit(_packed(batch.column("vec")))
+            total += u.T @ np.c_[u, np.ones(len(u))]
+            count += len(u)
+        if count:
+            yield pa.RecordBatch.from_arrays([pa.array([count]), pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], ["n", "total"])
+
+    sums = rows.select("vec").mapInArrow(run, "n long, total array<double>").select("n", F.posexplode("total").alias("i", "x")).groupBy("i").agg(F.sum("n").alias("n"), F.sum("x").alias("x")).collect()
+    if not sums:
+        return np.zeros((min(n, dim), dim))
+    total = np.zeros(dim * (dim + 1))
+    total[[r.i for r in sums]] = [r.x / sums[0].n for r in sums]
+    total = total.reshape(dim, dim + 1)
+    return np.linalg.eigh(total[:, :dim] - np.outer(total[:, dim], total[:, dim]))[1][:, ::-1][:, :n].T
+
+
+def redundant(frames: DataFrame, part: str, key: str, vec: str, limit: float, block: int = 512, axes: int = 2) -> DataFrame:
+    """(part, key) of the frames whose cosine with an earlier one of their part (by key) is ``limit`` or more.
+
+    Equal vectors go by the earliest of them, before anything is compared. The others lie in cells on the axes along which
+    the unit vectors spread most, as wide as two that are alike can be apart; frames of adjoining cells meet, as blocks of
+    about ``block`` rows. A part or a cell of any size is dealt over as many tasks as it has pairs of blocks; nothing is
+    left out. Vectors are of one length; those that are null or zero, and rows without a part, are like none; keys are whole numbers, once in a part."""
+    v = F.col(vec).cast("array<double>")
+    rows = frames.select(F.col(part).alias("part_"), F.col(key).cast("long").alias("key_"), v.alias("vec")).where(F.coalesce(F.exists(v, lambda x: x != 0), F.lit(False)))
+    first = rows.groupBy("part_", "vec").agg(F.min("key_").alias("key_"))
+    copies = rows.join(first.withColumnRenamed("key_", "least_"), ["part_", "vec"]).where("key_ > least_").select("part_", "key_")
+    one = rows.select(F.size("vec").alias("d")).first()
+    if one is None:
+        return rows.select(F.col("part_").alias(part), F.col("key_").cast(frames.schema[key].dataType).alias(key))
+    width, along = max(0.0, 2 - 2 * limit) ** 0.5 + 1e-7, _spread_axes(rows, one.d, axes)
+    names = [f"c{i}" for i in range(len(along))]
+
+    def place(batches):
+        for batch in batches:
+            u = _unit(_packed(batch.column("vec")))
+            cell = np.floor(u @ along.T / width).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("part_"), batch.column("key_"), pa.array([r.tobytes() for r in u], pa.binary()), *(pa.array(cell[:, i]) for i in range(len(along)))], ["part_", "key_", "unit", *names])
+
+    kind = frames.schema[part].dataType.simpleString()
+    placed = first.select("part_", "key_", "vec").mapInArrow(place, f"part_ {kind}, key_ long, unit binary, " + ", ".join(f"{n} int" for n in names))
+    size = placed.groupBy("part_", *names).agg(F.ceil(F.count("*") / block).alias("blocks"))
+    dealt = placed.join(size, ["part_", *names]).withColumn("block_", F.pmod(F.xxhash64("key_"), F.col("blocks")))
+    blocks = dealt.groupBy("part_", *names, "block_").agg(F.collect_list(F.struct("key_", "unit")).alias("rows_"), F.min("key_").alias("low_"), F.max("key_").alias("high_"))
+    left = blocks
+    for n in names:
+        left = left.withColumn(n, F.explode(F.array(*(F.col(n) + step for step in (-1, 0, 1)))))
+    right = blocks.select("part_", *names, F.col("rows_").alias("others_"), F.col("low_").alias("from_"))
+    met = left.join(right, ["part_", *names]).where("from_ < high_").select("part_", "rows_", "others_")
+
+    def compare(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (keys, x), (others, y) = (_block(batch.column(c)[i].values) for c in ("rows_", "others_"))
+                hit = keys[((x @ y.T >= limit) & (others[None] < keys[:, None])).any(1)]
+                if len(hit):
+                    yield pa.RecordBatch.from_arrays([pa.repeat(batch.column("part_")[i], len(hit)), pa.array(hit)], ["part_", "key_"])
+
+    found = met.mapInArrow(compare, f"part_ {kind}, key_ long").unionByName(copies).distinct()
+    return found.select(F.col("part_").alias(part), F.col("key_").cast(frames.schema[key].dataType).alias(key))
+
+
+def _block(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+    return rows.field("key_").to_numpy(), np.stack([np.frombuffer(b, float) for b in rows.field("unit").to_pylist()])
 
 
 def components_of(frames: DataFrame, vec: str) -> DataFrame:

@@ -25,7 +25,7 @@ from keyframe.streaming import shared
 from . import judge as J
 from . import select as C
 from . import video as V
-from .search import longest
+from .search import coverage, longest
 
 FOUND = "known map<string,string>, request string, digest string, frames array<int>, steps int, forced int, reason string"
 
@@ -141,11 +141,13 @@ def arithmetic(strategy: str = "a_star", level: float = 40.0) -> J.Judge:
 
     def pick(text: str) -> str:
         rows = [(int(i), int(a), int(b), float(c), float(h)) for i, a, b, c, h in re.findall(r"(\d+)\) (\d+) to (\d+), change (\S+), highest ([^;\s]+)", text)]
-        worth = {"gbfs": lambda r: r[4], "dijkstra": lambda r: r[3], "a_star": lambda r: r[4] + r[3]}
+        mean = sum(r[2] - r[1] for r in rows) / max(1, len(rows))
+        worth = {"gbfs": lambda r: r[4], "dijkstra": lambda r: r[3], "a_star": lambda r: r[4] + r[3], "adaptive": lambda r: r[4] + r[3]}
         if strategy == "bfs":
             best = longest([(r[1], r[2]) for r in rows], 3)
             return ", ".join(str(next(r[0] for r in rows if (r[1], r[2]) == s)) for s in best)
-        return str(min(rows, key=lambda r: (-worth[strategy](r), r[1]))[0]) if rows else ""
+        need = lambda r: coverage(r[1:3], mean) if strategy == "adaptive" else 0
+        return str(min(rows, key=lambda r: (need(r), -worth[strategy](r), r[1]))[0]) if rows else ""
 
     def one(prompt: str) -> str:
         role, q, text = re.match(r"(.*?) for question (-?\d+): (.*)", prompt, re.S).groups()

@@ -39,6 +39,37 @@ class Clip:
         return any(self.like(frame, k) >= limit for k in kept)
 
 
+def first_kept(clip: Clip, limit: float = REPEATS) -> tuple[list[int], int]:
+    """(frames that repeat none of those kept before them, pairs compared).
+
+    Vectors of likeness ``limit`` or more are, at unit length, no farther apart than sqrt(2 - 2 limit), and no farther in any
+    projection. So kept frames lie in cells of that width on the three axes along which the frames spread most, and a
+    frame meets those of its own and the adjoining cells only. Nearly even histograms meet all, as their likeness isn't
+    an angle."""
+    even = clip.length < 1e-5
+    unit = clip.away / np.maximum(clip.length, 1e-300)[:, None]
+    unit[even] = 0
+    axes = np.linalg.svd(unit - unit.mean(0), full_matrices=False)[2][:3] if clip.n else np.zeros((0, 1))
+    width = math.sqrt(max(0.0, 2 - 2 * limit)) + 1e-7
+    cell = np.floor(unit @ axes.T / width).astype(np.int64)
+    around = list(np.ndindex(*(3,) * cell.shape[1]))
+    cells: dict[tuple, list[int]] = {}
+    kept: list[int] = []
+    odd: list[int] = []
+    compared = 0
+    for i in range(clip.n):
+        near = kept if even[i] else [*odd, *(k for step in around for k in cells.get(tuple(c + s - 1 for c, s in zip(cell[i].tolist(), step)), ()))]
+        again = False
+        for k in near:
+            compared += 1
+            if again := clip.like(i, k) >= limit:
+                break
+        if not again:
+            kept.append(i)
+            (odd if even[i] else cells.setdefault(tuple(cell[i].tolist()), [])).append(i)
+    return kept, compared
+
+
 def segments_of(sample: list[int]) -> list[Segment]:
     return list(zip(sample, sample[1:]))
 

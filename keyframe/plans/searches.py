@@ -103,13 +103,7 @@ def kept_frames(spark, d):
         import pandas as pd
 
         for f in frames:
-            out = []
-            for v, h, s in zip(f["video"], f["hist"], f["sharp"]):
-                clip, kept = V.Clip(np.stack(list(h)), s), []
-                for i in range(clip.n):
-                    if not clip.repeats(i, kept):
-                        kept.append(i)
-                out += [(v, i) for i in kept]
+            out = [(v, i) for v, h, s in zip(f["video"], f["hist"], f["sharp"]) for i in V.first_kept(V.Clip(np.stack(list(h)), s))[0]]
             yield pd.DataFrame(out, columns=["video", "frame"])
 
     return _clips(spark, d).select("video", "hist", "sharp").mapInPandas(run, "video long, frame int")

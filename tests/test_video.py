@@ -235,8 +235,11 @@ def plain_tree(v, strategy, interval=20, beam=3, steps=4):
             able = [(a, b) for a, b in zip(sorted(now), sorted(now)[1:]) if b - a > 1]
             high = lambda s: max(v[s[0] + 1 : s[1]])
             jump = lambda s: abs(v[s[1]] - v[s[0]])
-            worth = {"bfs": lambda s: s[1] - s[0], "gbfs": high, "dijkstra": jump, "a_star": lambda s: high(s) + jump(s)}[strategy]
-            able.sort(key=lambda s: (-worth(s), s[0]))
+            both = lambda s: high(s) + jump(s)
+            worth = {"bfs": lambda s: s[1] - s[0], "gbfs": high, "dijkstra": jump, "a_star": both, "adaptive": both}[strategy]
+            mean = float(np.mean([b - a for a, b in able])) if able else 0.0
+            wide = lambda s: -((s[1] - s[0]) / mean > 1.5) + ((s[1] - s[0]) / mean < 0.5) if strategy == "adaptive" else 0
+            able.sort(key=lambda s: (wide(s), -worth(s), s[0]))
             now |= {(a + b) // 2 for a, b in able[: beam if strategy == "bfs" else 1]}
         seen |= now
     if got := sure(seen):
