@@ -12,8 +12,12 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import pyarrow.fs as pfs
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.functions import predict_batch_udf
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from keyframe.sources.checkpoint import Checkpoint
 
 Decoder = Callable[[str, list[int]], list[bytes | None]]
 
@@ -67,21 +71,34 @@ def decoded(requests: DataFrame, decoder: Decoder, known: DataFrame | None = Non
     return new.unionByName(known.select("video_id", "frame", "content").join(wanted.select("video_id", "frame"), ["video_id", "frame"], "left_semi"))
 
 
-def embedded(pictures: DataFrame, model: Callable[[list[bytes | None]], np.ndarray], batch: int = 32, content: str = "content") -> DataFrame:
-    """``pictures`` with vec in place of ``content``: unit vectors of a model that is given ``batch`` pictures at a time; what
-    isn't a picture is given as None, for which a model shows a blank one."""
-    keys = [c for c in pictures.columns if c != content]
+def embedded(pictures: DataFrame, make: Callable[[], Callable[[np.ndarray], np.ndarray]], batch: int = 32, content: str = "content", shape: list[int] | None = None) -> DataFrame:
+    """``pictures`` with vec in place of ``content``: unit vectors of a model. ``make`` loads it, once in each worker, and it is given
+    ``batch`` pictures at a time (bytes, or where the column holds arrays of numbers, one array of ``shape`` each), whatever the
+    batches between Spark and the worker are; what isn't a picture comes as empty bytes, for which a model shows a blank one."""
 
-    def run(frames):
-        for f in frames:
-            parts = [np.asarray(model(f[content].iloc[k : k + batch].tolist()), float) for k in range(0, len(f), batch)]
-            out = f[keys].copy()
-            x = np.concatenate(parts) if parts else np.zeros((0, 1))
-            out["vec"] = list(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12))
-            yield out
-
-    schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in pictures.select(*keys).schema)
-    return pictures.mapInPandas(run, f"{schema}, vec array<double>")
+    def load():
+        model = make()
+
+        def predict(inputs: np.ndarray) -> np.ndarray:
+            x = np.asarray(model(inputs), float)
+            return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+        return predict
+
+    run = predict_batch_udf(load, return_type=T.ArrayType(T.DoubleType()), batch_size=batch, input_tensor_shapes=[shape] if shape else None)
+    shown = F.coalesce(F.col(content), F.lit(b"")) if pictures.schema[content].dataType == T.BinaryType() else F.col(content)
+    return pictures.withColumn("vec", run(shown)).drop(*({content} - {"vec"}))
+
+
+def stored(spark: SparkSession, requests: DataFrame, decoder: Decoder, store: str, run: str, most: int = 64) -> DataFrame:
+    """The frames that are asked for, from the store of all that was decoded before; what isn't there is decoded and added as
+    the batch ``run``, once however often that is repeated. Frames that didn't decode are kept as such."""
+    kept = Checkpoint(spark, store)
+    known = kept.read()
+    wanted = requests.select("video_id", F.col("frame").cast("int").alias("frame")).distinct()
+    missing = requests if known is None else requests.join(known.select("video_id", "frame"), ["video_id", "frame"], "left_anti")
+    kept.commit(run, decoded(missing, decoder, most=most))
+    return kept.read().join(wanted, ["video_id", "frame"], "left_semi")
 
 
 def content_box(picture: np.ndarray) -> tuple[int, int, int, int]:

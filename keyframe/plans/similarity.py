@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from keyframe.operators import clusters as K
+from keyframe.operators import pictures as P
 from keyframe.operators import similarity as V
 from keyframe.streaming import shared
 
@@ -140,6 +141,20 @@ def kmeans_lloyd(spark, d):
     return got
 
 
+def embedded_pictures(spark, d):
+    """Unit vectors of all vectors under a fixed projection, as by a model that is loaded once and takes 32 at a time."""
+
+    def make():
+        import numpy as np
+
+        i, j = np.ogrid[:64, :8]
+        weights = (7 * i + 3 * j) % 5 - 2.0
+        return lambda inputs: inputs @ weights
+
+    got = P.embedded(_vectors(spark, d).select("vec_id", "vec"), make, content="vec", shape=[64])
+    return got.select("vec_id", F.posexplode("vec").alias("dim", "v")).select("vec_id", "dim", F.round("v", 6).alias("v"))
+
+
 def mse(spark, d):
     w = Window.partitionBy("label").orderBy("vec_id")
     v = _vectors(spark, d).withColumn("prev", F.lag("vec").over(w)).where("prev is not null")
@@ -153,7 +168,7 @@ def sharpness_1d(spark, d):
     return f.where("l is not null").groupBy("video").agg(F.round(F.var_pop("l") / 10000, 4).alias("sharpness"))
 
 
-QUERIES = {f.__name__: f for f in (cosine_pairs, hist_bins, hist_corr, near_dup, joint_hist, sharpness, bright_box, picture_likeness, cluster_tree, assign_centroid, centroid, medoid, medoid_euclid, channel_likeness, kmeans_fixed_init, kmeans_lloyd, mse, sharpness_1d)}
+QUERIES = {f.__name__: f for f in (cosine_pairs, hist_bins, hist_corr, near_dup, joint_hist, sharpness, bright_box, picture_likeness, cluster_tree, assign_centroid, centroid, medoid, medoid_euclid, channel_likeness, kmeans_fixed_init, kmeans_lloyd, embedded_pictures, mse, sharpness_1d)}
 _NEXT = "v.vec_id, row_number() OVER (PARTITION BY v.vec_id ORDER BY round(-" + _COS.format("v.vec", "s.c") + ", 9), s.cluster) AS r, s.cluster"
 _SEED = f"{_V}, s0 AS (SELECT CAST(vec_id AS INT) AS cluster, vec AS c FROM v WHERE vec_id < 8), a0 AS (SELECT * FROM (SELECT {_NEXT} FROM v, s0 s) WHERE r = 1)"
 
@@ -180,6 +195,7 @@ SQL = {
     "medoid_euclid": f"{_V}, m AS (SELECT label, k, avg(vec[k]) AS x FROM v, unnest(range(1, 65)) AS u(k) GROUP BY ALL), c AS (SELECT label, list(x ORDER BY k) AS c FROM m GROUP BY label) SELECT label, vec_id FROM (SELECT v.label, v.vec_id, row_number() OVER (PARTITION BY v.label ORDER BY round(power(list_distance(v.vec, c.c), 2), 9), v.vec_id) AS r FROM v JOIN c ON c.label = v.label) WHERE r = 1",
     "channel_likeness": f"{_V}, p AS (SELECT vec_id, vec, lag(vec) OVER (PARTITION BY label ORDER BY vec_id) AS prev FROM v), c AS (SELECT vec_id, ch, corr(vec[ch * 21 + j + 1], prev[ch * 21 + j + 1]) AS r FROM p, unnest(range(3)) AS a(ch), unnest(range(21)) AS b(j) WHERE prev IS NOT NULL GROUP BY ALL) SELECT vec_id, round(avg(r), 6) AS r FROM c GROUP BY vec_id",
     "kmeans_fixed_init": f"{_SEED}{_round(1)}{_round(2)} SELECT vec_id, cluster FROM a2",
+    "embedded_pictures": f"{_V}, p AS (SELECT vec_id, list_transform(range(8), lambda j: list_sum(list_transform(range(64), lambda i: vec[i + 1] * ((7 * i + 3 * j) % 5 - 2)))) AS x FROM v) SELECT vec_id, CAST(j AS INT) AS dim, round(x[j + 1] / sqrt(list_dot_product(x, x)), 6) AS v FROM p, unnest(range(8)) AS u(j)",
     "kmeans_lloyd": f"{_V}, s0 AS (SELECT CAST(row_number() OVER (ORDER BY m) - 1 AS INT) AS cluster, vec AS c FROM (SELECT vec, md5('1:' || vec_id) AS m FROM v ORDER BY m LIMIT 8)), a0 AS (SELECT * FROM (SELECT {_NEXT} FROM v, s0 s) WHERE r = 1){_round(1)}{_round(2)} SELECT vec_id, cluster FROM a2",
     "mse": f"{_V}, p AS (SELECT vec_id, vec, lag(vec) OVER (PARTITION BY label ORDER BY vec_id) AS prev FROM v) SELECT vec_id, round(power(list_distance(vec, prev), 2) / 64, 6) AS mse FROM p WHERE prev IS NOT NULL",
     "sharpness_1d": f"WITH {X.FRAMES}, l AS (SELECT video, lag(v) OVER w - 2 * v + lead(v) OVER w AS l FROM frames WINDOW w AS (PARTITION BY video ORDER BY idx)) SELECT video, round(var_pop(l) / 10000, 4) AS sharpness FROM l WHERE l IS NOT NULL GROUP BY video",

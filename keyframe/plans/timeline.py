@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from keyframe.functions import tables
 from keyframe.operators import annotations as A
 from keyframe.operators import joins as J
 from keyframe.operators import timeline as T
@@ -180,12 +181,25 @@ def annotation_replay(spark, d):
     return A.replay(_annotating(spark, d), "video", "idx")
 
 
+def lateral_samples(spark, d):
+    """Four ways to sample, in SQL text by a table function."""
+    tables.register(spark)
+    return spark.sql("SELECT v.video, w.how, s.pos, s.frame FROM {videos} v, (SELECT explode(map('linspace', 16, 'rounded', 10, 'stride', 7, 'interval', 10)) AS (how, k)) w, LATERAL sample_frames(CAST(v.n AS INT), w.k, w.how) s", videos=_count(spark, d))
+
+
+def lateral_segments(spark, d):
+    """Segments of the selected frames, and what is left of them after a split in each of three ways, by table functions."""
+    tables.register(spark)
+    at = _selected(spark, d).groupBy("video").agg(F.array_sort(F.collect_list("idx")).alias("frames"), F.collect_list(F.when(F.col("idx") % 3 == 0, F.col("idx"))).alias("chosen"))
+    return spark.sql("SELECT v.video, 'frontier' AS how, s.seg_start, s.seg_end FROM {at} v, LATERAL frontier_segments(v.frames, 2) s UNION ALL SELECT v.video, w.how, s.seg_start, s.seg_end FROM {at} v, (SELECT explode(array('retain', 'prune', 'merge')) AS how) w, LATERAL split_segments(v.frames, v.chosen, w.how) s", at=at)
+
+
 def neighbour_bounds(spark, d):
     w = Window.partitionBy("video").orderBy("idx")
     return _selected(spark, d).select("video", "idx", F.lag("idx").over(w).alias("left_idx"), F.lead("idx").over(w).alias("right_idx"))
 
 
-QUERIES = {f.__name__: f for f in (frontier, gap_stats, dense_sparse, max_gap_segment, topk_longest, sample_interval, sample_truncate, strided_candidates, frame_record, shards, stable_suffix, max_change, clearest_near, trim_head_tail, range_frames, nearest_frame, bounded_range, neighbour_bounds, annotation_replay)}
+QUERIES = {f.__name__: f for f in (frontier, gap_stats, dense_sparse, max_gap_segment, topk_longest, sample_interval, sample_truncate, strided_candidates, frame_record, shards, stable_suffix, max_change, clearest_near, trim_head_tail, range_frames, nearest_frame, bounded_range, neighbour_bounds, annotation_replay, lateral_samples, lateral_segments)}
 QUERIES |= {f"split_{m}": _split(m) for m in ("prune", "retain", "merge")} | {"sample_linspace": _sampler(lambda n: T.linspace(n, 16)), "sample_rounded": _sampler(lambda n: T.rounded(n, 10)), "sample_stride": _sampler(lambda n: T.stride(n, 7))}
 
 
@@ -235,3 +249,7 @@ SQL = {
       SELECT video, CAST(i AS INT) AS pos, notes[i + 1].frame AS frame, notes[i + 1].action AS action, notes[i + 1].text AS text, notes[i + 1].direction AS direction FROM z, unnest(range(len(notes))) AS u(i)""",
     "neighbour_bounds": f"{_SEL} SELECT video, idx, lag(idx) OVER w AS left_idx, lead(idx) OVER w AS right_idx FROM sel WINDOW w AS (PARTITION BY video ORDER BY idx)",
 }
+SQL["lateral_samples"] = f"""{_CNT} SELECT video, how, CAST(i AS INT) AS pos, CAST(CASE how WHEN 'linspace' THEN i * (n - 1) // 15 WHEN 'rounded' THEN round_even(i * (n - 1) / 9, 0) ELSE i * n // 7 END AS INT) AS frame
+  FROM cnt, (VALUES ('linspace', 16), ('rounded', 10), ('stride', 7)) AS w(how, k), range(16) AS u(i) WHERE i < k
+  UNION ALL SELECT video, 'interval', CAST(row_number() OVER (PARTITION BY video ORDER BY idx) - 1 AS INT), idx FROM frames JOIN cnt USING (video) WHERE idx % 10 = 0 OR idx = n - 1"""
+SQL["lateral_segments"] = f"{_SPLIT}, z AS (SELECT *, sum(CAST(c AS INT)) OVER (PARTITION BY video ORDER BY s) AS z FROM h), halves AS ({_HALVES}) SELECT video, 'frontier' AS how, s AS seg_start, e AS seg_end FROM gaps WHERE e - s > 1 UNION ALL SELECT video, how, seg_start, seg_end FROM halves, (VALUES ('retain'), ('prune'), ('merge')) AS w(how) UNION ALL SELECT video, 'retain', s, e FROM h WHERE NOT c UNION ALL SELECT video, 'merge', min(s), max(e) FROM z WHERE NOT c GROUP BY video, z"
