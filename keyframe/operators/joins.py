@@ -54,3 +54,18 @@ def nearest(asked: DataFrame, targets: DataFrame, part: str, at: str, target: st
     low, high = F.coalesce("low_", "before_"), F.coalesce("high_", "after_")
     best = F.when(low.isNull() | (high - F.col("at_") < F.col("at_") - low), high).otherwise(low)
     return met.select(*(F.col(f"row_.{n}").alias(n) for n in names), best.cast(targets.schema[target].dataType).alias(target))
+
+
+def previous(rows: DataFrame, part: str, at: str, columns: list[str], width: int = WIDTH) -> DataFrame:
+    """``rows`` with prev, a struct of ``columns`` of the row before in its part by the whole number ``at``; null for the first.
+
+    As a window over the part, but a part is dealt over buckets of ``width``: what stands before a bucket's first row is the
+    last row of the bucket before, of which there is one for each bucket. Of rows at the same place any comes first; nulls
+    make a part like others, and null places come first."""
+    held = F.struct(*columns)
+    dealt = rows.withColumn("bucket_", F.coalesce(F.floor(F.col(at) / width).cast("long"), F.lit(-(2**63))))
+    inner = F.lag(held).over(Window.partitionBy(part, "bucket_").orderBy(F.col(at).asc_nulls_first()))
+    tails = dealt.groupBy(F.col(part).alias("part_"), F.col("bucket_").alias("to_")).agg(F.max_by(held, F.coalesce(F.col(at), F.lit(0))).alias("tail_"))
+    tails = tails.select("part_", "to_", F.lag("tail_").over(Window.partitionBy("part_").orderBy("to_")).alias("before_"))
+    met = dealt.withColumn("prev", inner).join(tails, F.col(part).eqNullSafe(F.col("part_")) & (F.col("bucket_") == F.col("to_")), "left")
+    return met.select(*rows.columns, F.coalesce("prev", "before_").alias("prev"))

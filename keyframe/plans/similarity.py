@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from keyframe.operators import clusters as K
+from keyframe.operators import joins as J
 from keyframe.operators import pictures as P
 from keyframe.operators import similarity as V
 from keyframe.streaming import shared
@@ -23,10 +24,15 @@ _V = "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS vec, label FROM e
 _COS = "(list_dot_product({0}, {1}) / (sqrt(list_dot_product({0}, {0})) * sqrt(list_dot_product({1}, {1}))))"
 
 
+def _pairs(spark, d):
+    """Vectors beside the one before of their label, by id."""
+    v = J.previous(_vectors(spark, d), "label", "vec_id", ["vec"]).where("prev is not null")
+    return v.withColumn("prev", F.col("prev.vec"))
+
+
 def cosine_pairs(spark, d):
     """Neighbouring vectors of a label by id."""
-    w = Window.partitionBy("label").orderBy("vec_id")
-    v = _vectors(spark, d).withColumn("prev", F.lag("vec").over(w)).where("prev is not null")
+    v = _pairs(spark, d)
     return v.select("vec_id", F.round(V.cosine(F.col("vec"), F.col("prev")), 6).alias("cos"))
 
 
@@ -72,8 +78,7 @@ def bright_box(spark, d):
 
 def picture_likeness(spark, d):
     """Likeness of each 8 x 8 picture to the one before it: structural similarity in windows of 7."""
-    w = Window.partitionBy("label").orderBy("vec_id")
-    v = _vectors(spark, d).withColumn("prev", F.lag("vec").over(w)).where("prev is not null")
+    v = _pairs(spark, d)
     return v.select("vec_id", F.round(V.structural_similarity(F.col("vec"), F.col("prev")), 6).alias("ssim"))
 
 
@@ -119,8 +124,7 @@ def medoid_euclid(spark, d):
 
 def channel_likeness(spark, d):
     """Likeness of each vector to the one before it: Pearson's r of three channels of 21 bins, averaged."""
-    w = Window.partitionBy("label").orderBy("vec_id")
-    v = _vectors(spark, d).withColumn("prev", F.lag("vec").over(w)).where("prev is not null")
+    v = _pairs(spark, d)
     r = sum(V.pearson(F.slice("vec", 21 * c + 1, 21), F.slice("prev", 21 * c + 1, 21)) for c in range(3)) / 3
     return v.select("vec_id", F.round(r, 6).alias("r"))
 
@@ -156,8 +160,7 @@ def embedded_pictures(spark, d):
 
 
 def mse(spark, d):
-    w = Window.partitionBy("label").orderBy("vec_id")
-    v = _vectors(spark, d).withColumn("prev", F.lag("vec").over(w)).where("prev is not null")
+    v = _pairs(spark, d)
     se = F.aggregate(F.zip_with("vec", "prev", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
     return v.select("vec_id", F.round(se / F.size("vec"), 6).alias("mse"))
 

@@ -41,3 +41,16 @@ def test_nearest(spark):
     assert J.nearest(a, t.limit(0), "video", "at", "to").where("to is not null").count() == 0
     hot = J.nearest(spark.range(100_000).select(F.lit(1).alias("v"), "id"), spark.range(0, 100_000, 1000).select(F.lit(1).alias("v"), F.col("id").alias("to")), "v", "id", "to")
     assert hot.where(F.col("to") != F.when(F.col("id") % 1000 <= 500, F.floor(F.col("id") / 1000)).otherwise(F.floor(F.col("id") / 1000) + 1) * 1000).where("id < 99000").count() == 0
+
+
+def test_previous(spark):
+    rng = np.random.default_rng(7)
+    rows = [(int(rng.integers(3)) if i % 40 else None, int(a), f"r{i}") for i, a in enumerate(rng.choice(20_000, 400, replace=False) - 9000)]
+    want = {}
+    for p in (0, 1, 2, None):
+        own = sorted(r for r in rows if r[0] == p and r[0] is p or r[0] == p)
+        want |= {b[2]: a[2] if a else None for a, b in zip([None, *own], own)}
+    t = spark.createDataFrame(rows, "p int, at int, name string")
+    for width in (100, 5000, 1 << 20):
+        got = J.previous(t, "p", "at", ["name"], width).collect()
+        assert {r.name: r.prev and r.prev.name for r in got} == want and len(got) == 400
