@@ -1,5 +1,7 @@
 """Operators give the whole job: rows that earlier cuts left out."""
 
+from types import SimpleNamespace
+
 import numpy as np
 import pyarrow as pa
 
@@ -14,7 +16,7 @@ def test_masked_lm_every_position(monkeypatch):
     done = []
     monkeypatch.setattr(masked_lm, "train_step", lambda model, memory, rows, own, row, a, b, rate: done.extend(range(a, b)))
     batch = pa.RecordBatch.from_arrays([pa.array([0] * 6, pa.int32()), pa.array(texts)], ["group", "text"])
-    out = list(masked_lm._train_map([batch]))
+    out = list(masked_lm._train_map(SimpleNamespace(value=(np.zeros(masked_lm.WORDS, np.uint8),)))([batch]))
     assert sorted(done) == list(range(40_004)) and out[0].column("tokens").to_pylist() == [40_004]
 
 
@@ -23,10 +25,11 @@ def test_masked_lm_learns():
     model, memory = masked_lm.fresh()
     text = pa.array(["the cat sat on the mat while a dog ran to the park " * 400])
     share = np.zeros(masked_lm.WORDS, np.float32)
-    before = masked_lm.log_probs(model, share, *masked_lm.tokens(text)).mean()
+    table = (np.arange(masked_lm.WORDS) % masked_lm.CLASSES).astype(np.uint8)
+    before = masked_lm.log_probs(model, share, table, *masked_lm.tokens(text)).mean()
     for _ in range(6):
-        masked_lm.learn(model, memory, text)
-    assert masked_lm.log_probs(model, share, *masked_lm.tokens(text)).mean() > before + 0.5
+        masked_lm.learn(model, memory, table, text)
+    assert masked_lm.log_probs(model, share, table, *masked_lm.tokens(text)).mean() > before + 0.5
 
 
 def test_licences_wrapped_and_embedded(spark):

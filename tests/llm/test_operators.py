@@ -339,7 +339,7 @@ def test_line_dedup_odd(spark):
     assert sorted((r.doc_id or 9, r.text) for r in line_dedup.dedup(spark, same).collect()) == [(1, "one line"), (1, "one line"), (9, "")]
 
 
-def plain_log_prob(model, share, ids, t):
+def plain_log_prob(model, share, table, ids, t):
     """One token, in plain loops."""
     ctx, seen = np.zeros(masked_lm.WIDTH), 0
     for j, k in enumerate(masked_lm.OFFSETS):
@@ -348,28 +348,28 @@ def plain_log_prob(model, share, ids, t):
             seen += 1
     hid = np.tanh(ctx / max(seen, 1) @ model["hidden"] + model["hidden_bias"])
     z = model["out"] @ hid + model["out_bias"]
-    return z[masked_lm.classes(ids)[t]] - np.log(np.exp(z).sum()) + share[ids[t]]
+    return z[table[ids[t]]] - np.log(np.exp(z).sum()) + share[ids[t]]
 
 
 def test_masked_lm_brute():
     """Scores against plain loops; a step back against differences; class probabilities sum to one."""
     rng = np.random.default_rng(4)
     model = {k: rng.normal(0, 0.3, s) for k, s in masked_lm.SHAPES.items()}
-    share = np.zeros(masked_lm.WORDS)
+    share, table = np.zeros(masked_lm.WORDS), rng.integers(0, masked_lm.CLASSES, masked_lm.WORDS).astype(np.uint8)
     ids, first = rng.integers(0, masked_lm.WORDS, 30), np.array([0, 0, 1, 18, 30])
-    got = masked_lm.log_probs(model, share, ids, first)
-    want = [plain_log_prob(model, share, ids[a:b], t) for a, b in zip(first, first[1:]) for t in range(b - a)]
+    got = masked_lm.log_probs(model, share, table, ids, first)
+    want = [plain_log_prob(model, share, table, ids[a:b], t) for a, b in zip(first, first[1:]) for t in range(b - a)]
     assert np.allclose(got, want, atol=1e-5)
-    each = [masked_lm.log_probs(model, share, np.concatenate((ids[:5], [c << 17], ids[6:10])), np.array([0, 10]))[5] for c in range(masked_lm.CLASSES)]
+    each = [masked_lm.log_probs(model, share, table, np.concatenate((ids[:5], [int(np.flatnonzero(table == c)[0])], ids[6:10])), np.array([0, 10]))[5] for c in range(masked_lm.CLASSES)]
     assert abs(np.exp(each).sum() - 1) < 1e-5
-    row, rows, own = np.repeat(np.arange(4), np.diff(first)), masked_lm.embed_rows(ids), masked_lm.classes(ids)
+    row, rows, own = np.repeat(np.arange(4), np.diff(first)), masked_lm.embed_rows(ids), table[ids]
     new = {k: v.copy() for k, v in model.items()}
     masked_lm.train_step(new, {k: np.full(s, 1e12) for k, s in masked_lm.SHAPES.items()}, rows, own, row, 0, 30, 1e6)
     for k, i in (("embed", (rows[3], 2)), ("side", (1, 4)), ("hidden", (2, 3)), ("out", (own[2], 1)), ("out_bias", (own[5],))):
         up, down = ({n: v.copy() for n, v in model.items()} for _ in range(2))
         up[k][i] += 1e-4
         down[k][i] -= 1e-4
-        slope = (masked_lm.log_probs(up, share, ids, first).mean() - masked_lm.log_probs(down, share, ids, first).mean()) / 2e-4
+        slope = (masked_lm.log_probs(up, share, table, ids, first).mean() - masked_lm.log_probs(down, share, table, ids, first).mean()) / 2e-4
         assert abs((new[k][i] - model[k][i]) - slope) < 1e-5
 
 
@@ -377,16 +377,52 @@ def test_masked_lm(spark):
     rows = [(i, "the cat sat on the mat and the dog ran to the park " * 20) for i in range(40)] + [(90, "zq wv kx pj " * 40), (91, None), (92, ""), (None, "the cat"), (93, "one"), (93, "one")]
     t = docs(spark, rows)
     out = {r.doc_id: r for r in masked_lm.score(spark, t).collect()}
-    assert out[0].score > out[90].score and out[91].n_tokens == 0 and out[92].score is None and out[92].log_prob == 0
+    assert out[0].mean > out[90].mean and out[91].n_tokens == 0 and out[92].mean is None and out[92].score == 0
+    assert abs(out[0].score - out[0].mean * out[0].n_tokens) < 1e-6
     assert out[None].n_tokens == 2 and masked_lm.score(spark, t).where("doc_id = 93").distinct().count() == 1
-    other = {r.doc_id: r.log_prob for r in masked_lm.score(spark, t.orderBy(F.rand(3)).repartition(7)).collect()}
-    assert all(abs(other[i] - r.log_prob) < 1e-3 * (1 + abs(r.log_prob)) for i, r in out.items())  # however rows are split
+    other = {r.doc_id: r.score for r in masked_lm.score(spark, t.orderBy(F.rand(3)).repartition(7)).collect()}
+    assert all(abs(other[i] - r.score) < 1e-3 * (1 + abs(r.score)) for i, r in out.items())  # however rows are split
     assert masked_lm.score(spark, docs(spark, [])).count() == 0
-    counted = masked_lm.shares(spark.createDataFrame([("a b a c",), ("b a",)], "text string"))
+    table, share = masked_lm.vocabulary(spark, spark.createDataFrame([("a b a c",), ("b a",)], "text string"))
     n = {w: int(masked_lm.tokens(pa.array([w]))[0][0]) for w in "abc"}
-    per = {c: sum(k for w, k in zip("abc", (3, 2, 1)) if masked_lm.classes(np.array([n[w]]))[0] == c) for c in range(masked_lm.CLASSES)}
     for w, k in zip("abc", (3, 2, 1)):
-        assert abs(np.exp(counted[n[w]]) - k / per[int(masked_lm.classes(np.array([n[w]]))[0])]) < 1e-6
+        per = sum(m for v, m in zip("abc", (3, 2, 1)) if table[n[v]] == table[n[w]])
+        assert abs(np.exp(share[n[w]]) - k / per) < 1e-6
+
+
+def test_masked_lm_company():
+    """Documents' vectors against plain sums."""
+    texts = ["a b a", "", "c", "b b d e"]
+    ids, first = masked_lm.tokens(pa.array(texts))
+    got = masked_lm.company(ids, first)
+    for i in range(4):
+        own = ids[first[i] : first[i + 1]]
+        sign = [[1 if int(masked_lm._vec.mix(np.array([w + 0xC0FFEE], np.uint64))[0]) >> k & 1 else -1 for k in range(masked_lm.SKETCH)] for w in own.tolist()]
+        total = np.sum(sign, 0) if sign else np.zeros(8)
+        want = np.round(masked_lm.STEPS * total / max(1.0, np.sqrt((total**2).sum())))
+        assert (got[first[i] : first[i + 1]] == want).all()
+
+
+def test_masked_lm_gain(spark):
+    """On documents that weren't trained on, the context is worth half a nat a token over the words' shares of the corpus."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").where("doc_id < 4000")
+    train, rest = docs.where("doc_id % 5 > 0"), docs.where("doc_id % 5 = 0")
+    words = spark.sparkContext.broadcast(masked_lm.vocabulary(spark, docs))  # numbers of words over all, as in the query
+    table, share = words.value
+    model = masked_lm.unpack(masked_lm.train(spark, train, words))
+    n = np.bincount(table, np.where(share > -30, np.exp(share.astype(float)), 0), masked_lm.CLASSES)
+    assert np.allclose(n[n > 0], 1, atol=1e-3)  # shares of each class sum to one
+    lp, base, tokens = 0.0, 0.0, 0
+    ids, first = masked_lm.tokens(pa.array([r.text for r in docs.collect()]))
+    of = np.log(np.bincount(table[ids], minlength=masked_lm.CLASSES) / len(ids))
+    for r in rest.collect():
+        ids, first = masked_lm.tokens(pa.array([r.text]))
+        if len(ids):
+            lp += masked_lm.log_probs(model, share, table, ids, first).sum()
+            base += (share[ids] + of[table[ids]]).sum()
+            tokens += len(ids)
+    print(lp / tokens, base / tokens)
+    assert lp / tokens > base / tokens + 0.5
 
 
 LINE = "This is the text of the article and it has more than twenty words in it, so that it is kept by its length."
