@@ -13,7 +13,7 @@ from __future__ import annotations
 import math
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Well-known notices and whole licence texts as projects put them into files; texts of one's own may be passed
@@ -158,12 +158,16 @@ def scan(docs: DataFrame, dice: float = 0.8, templates: dict[str, list[str]] | N
         return hits.where("false").select("doc_id", F.lit(0).alias("unit"), F.lit("").alias("licence"), F.lit(0).alias("template"), F.lit(0.0).alias("dice"))
     each = found.select("key", "doc_id", "unit", "last", "more", F.explode(F.filter(F.array(*cases), lambda c: c.isNotNull())).alias("c"))
     each = each.select("key", "doc_id", "unit", "last", "more", "c.licence", "c.template", "c.dice")
-    own = F.struct((-F.col("dice")).alias("d"), (F.col("last") - F.col("unit")).alias("n"), "unit", "last", "more", "dice")
-    group = each.groupBy("key", "doc_id", "licence", "template").agg(F.collect_set(own).alias("h"))
-    rank = lambda x: F.struct(x["more"], x["d"], x["n"], x["unit"])
-    hides = lambda y, x: (rank(y) < rank(x)) & ((~y["more"] & (y["unit"] == 0)) | (y["unit"] <= x["last"]) & (y["last"] >= x["unit"]))
-    best = group.select("doc_id", "licence", "template", F.explode(F.filter("h", lambda x: ~x["more"] | ~F.exists("h", lambda y: hides(y, x)))).alias("x"))
-    return best.select("doc_id", F.col("x.unit").alias("unit"), "licence", "template", F.col("x.dice").alias("dice"))
+    hit = ["key", "doc_id", "licence", "template", "unit", "last", "more", "dice"]
+    each = each.select(*hit).distinct()
+    # a run or sentence goes where a better hit shares a line with it: each hit looks at the best one of each of its lines
+    rank = F.struct("more", (-F.col("dice")).alias("d"), (F.col("last") - F.col("unit")).alias("n"), "unit")
+    lines = each.withColumn("rank", rank).withColumn("line", F.explode(F.sequence("unit", "last")))
+    best = F.min("rank").over(Window.partitionBy("key", "licence", "template", "line"))
+    whole = F.max(~F.col("more") & (F.col("unit") == 0)).over(Window.partitionBy("key", "licence", "template"))
+    kept = lines.withColumns({"best": best, "whole": whole}).groupBy(*hit).agg(F.min("best").alias("best"), F.max("whole").alias("whole"))
+    kept = kept.where(~F.col("more") | ~F.col("whole") & (F.col("best") >= rank))
+    return kept.select("doc_id", "unit", "licence", "template", "dice")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
