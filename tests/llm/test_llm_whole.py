@@ -192,4 +192,4 @@ def test_decontamination_brute(spark):
         there = [(d, i) for d, (x, i) in rate_of.items() if x == rate and (d, i) in want]
         assert len(there) >= 8 and sum(p in got for p in there) >= 0.9 * len(there), rate
     rest = {p for p in want if p[0] < 1_000_000}
-    assert len(rest) > 3 and rest <= set(got)
+    assert len(rest) >= 3 and rest <= set(got)
