@@ -12,6 +12,7 @@ W_TYPE, W_PARAM = 0.3, 0.7
 NEAR, TEXT_LEAST = 0.14, 0.8
 #: Classes every report shows, whether steps have them or not.
 CLASSES = ["CLICK", "SCROLL", "TYPE", "PRESS", "ZOOM", "FINISH"]
+# fixed values: the grammar of replies
 _N = r"\s*([\d\.]+)\s*"
 _CLICK = rf"(?i)CLICK\s*\({_N},{_N}\)"
 _SCROLL = rf"(?i)SCROLL\s*\({_N},{_N},{_N},{_N}\)"

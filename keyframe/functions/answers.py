@@ -17,6 +17,7 @@ def _letter(c: Column) -> Column:
 def parse_letter(c: Column) -> Column:
     """A to E as 0 to 4, else -1: first character, (X), answer/choice/option X, one bare capital."""
     s = strip(F.coalesce(c, F.lit("")))
+    # fixed values: the forms in which a letter answers
     bare = F.regexp_extract_all(s, F.lit(r"\b([A-E])\b"), 1)
     return F.when(s.rlike("^[A-Ea-e]"), _letter(F.substring(s, 1, 1))).when(s.rlike(r"(?i)\([A-E]\)"), _letter(F.regexp_extract(s, r"(?i)\(([A-E])\)", 1))).when(s.rlike(r"(?i)(?:answer|choice|option)[:\s]*[A-E]"), _letter(F.regexp_extract(s, r"(?i)(?:answer|choice|option)[:\s]*([A-E])", 1))).when(F.size(bare) == 1, _letter(F.element_at(bare, 1))).otherwise(-1).cast("int")
 
@@ -25,6 +26,7 @@ def json_text(c: Column) -> Column:
     """The JSON in a reply: a fenced object, the whole reply, or the first {...} or [...] that reads as JSON once single
     quotes are double ones (shortest matches, so nested braces are cut as they stand); else null."""
     text = F.coalesce(c, F.lit(""))
+    # fixed values: fences and brackets around an answer's JSON
     fenced = F.regexp_extract(text, r"(?s)```json\n(\{.*?\})\n```", 1)
     body = F.when(fenced != "", fenced).otherwise(text)
     parts = F.transform(F.regexp_extract_all(body, F.lit(r"(?s)(\{.*?\}|\[.*?\])"), 1), lambda x: F.replace(x, F.lit("'"), F.lit('"')))

@@ -21,8 +21,14 @@ def hash_judge(prompts: list[str]) -> list[str]:
 
 
 def with_retry(judge: Judge, tries: int = 3, wait: float = 0.0) -> Judge:
-    """Ask again on failure, after ``wait`` seconds more each time. Prompts whose batch goes on failing are asked one by one,
-    so that only a prompt that fails by itself has an empty reply: a failed call must not stop the run."""
+    """Ask again on failure, after ``wait`` seconds more each time. Prompts whose batch goes on failing are asked once more, one
+    by one, so that only a prompt that fails by itself has an empty reply: a failed call must not stop the run."""
+
+    def alone(prompt: str) -> str:
+        try:
+            return judge([prompt])[0]
+        except Exception:  # noqa: BLE001
+            return ""
 
     def ask(prompts: list[str]) -> list[str]:
         for k in range(tries):
@@ -31,7 +37,7 @@ def with_retry(judge: Judge, tries: int = 3, wait: float = 0.0) -> Judge:
             except Exception:  # noqa: BLE001  a client may raise anything
                 if k + 1 < tries:
                     time.sleep(wait * (k + 1))
-        return [""] if len(prompts) == 1 else [ask([p])[0] for p in prompts]
+        return [""] if len(prompts) == 1 else [alone(p) for p in prompts]
 
     return ask
 

@@ -48,6 +48,7 @@ steps AS (SELECT *, CASE WHEN pk % 19 = 0 THEN '' WHEN pk % 23 = 0 THEN 'CLICK(1
   ELSE 'SCROLL(0.' || lpad(CAST(pxi AS VARCHAR), 2, '0') || ', 0.' || lpad(CAST(yi AS VARCHAR), 2, '0') || ', 0.' || lpad(CAST(x2i AS VARCHAR), 2, '0') || ', 0.' || lpad(CAST(y2i AS VARCHAR), 2, '0') || ')' END AS reply FROM b3)
 """
 
+# fixed values: the grammar of replies, as in functions/actions.py
 PARSED = r"""
 p0 AS (SELECT *, regexp_extract(reply, 'CLICK\s*\(\s*([\d\.]+)\s*,\s*([\d\.]+)\s*\)', ['a', 'b'], 'i') AS c,
   regexp_extract(reply, 'SCROLL\s*\(\s*([\d\.]+)\s*,\s*([\d\.]+)\s*,\s*([\d\.]+)\s*,\s*([\d\.]+)\s*\)', ['a', 'b', 'c', 'd'], 'i') AS s,
