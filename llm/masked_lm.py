@@ -201,13 +201,19 @@ COUNTED = "part int, words binary, counts binary, company binary"
 PARTS, HELD, STEPS = 32, 1 << 20, 31
 
 
+#: The signs that the bits of a number stand for.
+_SIGNS = ((np.arange(1 << SKETCH)[:, None] >> np.arange(SKETCH) & 1) * 2 - 1).astype(np.int8)
+
+
 def company(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
     """For each token its document as SKETCH small whole numbers: sums of random signs of its words, at unit length."""
-    sign = ((_vec.mix(ids.astype(np.uint64) + np.uint64(0xC0FFEE))[:, None] >> np.arange(SKETCH, dtype=np.uint64)) & np.uint64(1)).astype(np.int64) * 2 - 1
-    run = np.concatenate((np.zeros((1, SKETCH), np.int64), np.cumsum(sign, 0)))
-    total = run[first[1:]] - run[first[:-1]]
-    size = np.sqrt((total**2).sum(1))
-    vector = np.round(STEPS * total / np.maximum(size, 1)[:, None]).astype(np.int64)
+    sign = _SIGNS[(_vec.mix(ids.astype(np.uint64) + np.uint64(0xC0FFEE)) & np.uint64((1 << SKETCH) - 1)).astype(np.intp)]
+    some = np.flatnonzero(np.diff(first))
+    total = np.zeros((len(first) - 1, SKETCH), np.int32)
+    if len(some):
+        total[some] = np.add.reduceat(sign, first[some], axis=0, dtype=np.int32)
+    size = np.sqrt((total.astype(float) ** 2).sum(1))
+    vector = np.round(STEPS * total / np.maximum(size, 1)[:, None]).astype(np.int32)
     return np.repeat(vector, np.diff(first), axis=0)
 
 
