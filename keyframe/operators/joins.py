@@ -69,3 +69,19 @@ def previous(rows: DataFrame, part: str, at: str, columns: list[str], width: int
     tails = tails.select("part_", "to_", F.lag("tail_").over(Window.partitionBy("part_").orderBy("to_")).alias("before_"))
     met = dealt.withColumn("prev", inner).join(tails, F.col(part).eqNullSafe(F.col("part_")) & (F.col("bucket_") == F.col("to_")), "left")
     return met.select(*rows.columns, F.coalesce("prev", "before_").alias("prev"))
+
+
+def leading(rows: DataFrame, part: str, at: str, take, width: int = WIDTH) -> DataFrame:
+    """The first rows of each part by the whole number ``at``, as many as ``take`` says of the part's number of rows (a column).
+
+    Buckets of ``width`` are counted first; those that lie behind the rows wanted are left out, and of the one in which these
+    end the rows are numbered, so no part is sorted in one task. Places differ within a part; nulls make a part like
+    others, and null places come first."""
+    dealt = rows.withColumn("bucket_", F.coalesce(F.floor(F.col(at) / width).cast("long"), F.lit(-(2**63))))
+    whole = Window.partitionBy("part_")
+    count = dealt.groupBy(F.col(part).alias("part_"), F.col("bucket_").alias("to_")).agg(F.count("*").alias("n_"))
+    before = F.coalesce(F.sum("n_").over(whole.orderBy("to_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    count = count.select("part_", "to_", before.alias("before_"), take(F.sum("n_").over(whole)).alias("take_")).where("before_ < take_")
+    met = dealt.join(count, F.col(part).eqNullSafe(F.col("part_")) & (F.col("bucket_") == F.col("to_")))
+    place = F.row_number().over(Window.partitionBy(part, "bucket_").orderBy(F.col(at).asc_nulls_first()))
+    return met.withColumn("place_", place + F.col("before_")).where("place_ <= take_").select(*rows.columns)

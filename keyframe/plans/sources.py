@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from keyframe.operators import joins as J
 from keyframe.sources import nested
 from keyframe.sources import readers as R
 from keyframe.sources.checkpoint import Checkpoint
@@ -99,8 +100,7 @@ def id_selection_chain(spark, d):
 def quick_sample(spark, d):
     """The first max(1, n / 50) episodes of each task."""
     e = X.steps(spark, d).select((F.col("ls")).alias("task"), "ep").distinct()
-    w = Window.partitionBy("task")
-    return e.withColumn("n", F.count("*").over(w)).withColumn("r", F.row_number().over(w.orderBy("ep"))).where("r <= greatest(1, n div 50)").select("task", "ep")
+    return J.leading(e, "task", "ep", lambda n: F.greatest(F.lit(1), F.floor(n / 50)))
 
 
 def _cache(spark, d):

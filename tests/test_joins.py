@@ -54,3 +54,16 @@ def test_previous(spark):
     for width in (100, 5000, 1 << 20):
         got = J.previous(t, "p", "at", ["name"], width).collect()
         assert {r.name: r.prev and r.prev.name for r in got} == want and len(got) == 400
+
+
+def test_leading(spark):
+    rng = np.random.default_rng(8)
+    rows = [(int(rng.integers(3)) if i % 30 else None, int(a)) for i, a in enumerate(rng.choice(9000, 500, replace=False) - 4000)]
+    t = spark.createDataFrame(rows, "p int, at int")
+    want = []
+    for p in (0, 1, 2, None):
+        own = sorted(r[1] for r in rows if r[0] == p)
+        want += [(p, a) for a in own[: max(1, len(own) // 7)]]
+    for width in (50, 3000, 1 << 20):
+        got = J.leading(t, "p", "at", lambda n: F.greatest(F.lit(1), F.floor(n / 7)), width).collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
