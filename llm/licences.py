@@ -56,10 +56,10 @@ def bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(w, w[1:])})
 
 
-def _unit_bigrams(unit):
-    """Set of bigrams of a unit as a column expression."""
-    w = F.filter(F.split(F.lower(unit), "[^a-z0-9]+"), lambda x: x != "")
-    return F.when(F.size(w) < 2, F.array().cast("array<string>")).otherwise(F.array_distinct(F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))))
+def _bigrams(w):
+    """Set of bigrams of an array of words as a column expression."""
+    more = lambda w: F.array_distinct(F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b)))
+    return _let(w, lambda w: F.when(F.size(w) > 1, more(w)).otherwise(F.array().cast("array<string>")))
 
 
 def _joined(texts: list[tuple[str, ...]]) -> str:
@@ -88,38 +88,72 @@ def pattern(templates: dict[str, list[str]], dice: float) -> str:
     return "(?i)" + _joined([tuple("[^a-z0-9]+" if c == " " else c for c in b) for b in sorted(need)])
 
 
+def _let(value, use):
+    """``use(value)`` with the value worked out once: an expression named twice is otherwise worked out twice, and anew for
+    each element inside a lambda."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _words(text):
+    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda x: x != "")
+
+
 def _newlines(text):
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
-def _marked(lines, near: str):
-    """Lines with words: their number, words, and whether they match ``near``, alone or with the next one."""
-    full = F.filter(lines, lambda u: u["line"].rlike("[A-Za-z0-9]"))
-    return F.transform(full, lambda u, i: F.struct(u["unit"].alias("unit"), u["line"].alias("line"), F.size(F.filter(F.split(F.lower(u["line"]), "[^a-z0-9]+"), lambda x: x != "")).alias("n"), F.concat_ws("\n", F.transform(F.slice(full, i + 1, 2), lambda v: v["line"])).rlike(near).alias("near")))
+#: Lines that start runs in one row, and sentences whose line ends are counted together.
+BLOCK = 256
+
+
+def _blocks(text, near: str, most: int):
+    """Lines with words as (unit, w, near), ``BLOCK`` in a row with those behind them that their runs reach; ``near``: the line
+    matches, alone or with the next one. Blocks without a match are left out."""
+    lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct((i + 1).alias("unit"), x.alias("line")))
+
+    def marked(full):
+        both = lambda i: F.concat_ws("\n", F.transform(F.slice(full, i + 1, 2), lambda v: v["line"]))
+        return F.transform(full, lambda u, i: F.struct(u["unit"].alias("unit"), _words(u["line"]).alias("w"), both(i).rlike(near).alias("near")))
+
+    cut = lambda m: F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(m), F.lit(1)) - 1) / BLOCK).cast("int")), lambda b: F.slice(m, b * BLOCK + 1, BLOCK + most))
+    return F.filter(_let(_let(F.filter(lines, lambda u: u["line"].rlike("[A-Za-z0-9]")), marked), cut), lambda m: F.exists(m, lambda v: v["near"]))
 
 
-def _wrapped(marked, near: str, most: int):
-    """Runs of two and more such lines, of ``most`` + 1 words at most, with a match of ``near``: (unit, last, line)."""
+def _reaches(block, most: int):
+    """For each line that starts runs, the lines from it on that have ``most`` + 1 words at most, as (unit, n, b, bj, near): its
+    words' number, its bigrams, and these with the one that leads over to the next line. Starts without a match are left out."""
+    first = lambda i: F.flatten(F.transform(F.slice(block, i + 2, 1), lambda v: F.slice(v["w"], 1, 1)))
+    taken = F.transform(block, lambda u, i: F.struct(u["unit"].alias("unit"), F.size(u["w"]).alias("n"), _bigrams(u["w"]).alias("b"), _bigrams(F.concat(u["w"], first(i))).alias("bj"), u["near"].alias("near")))
+    none = F.struct(F.lit(0).alias("words"), F.lit(0).alias("lines"))
+    more = lambda a, v: F.when(a["words"] + v["n"] <= most + 1, F.struct((a["words"] + v["n"]).alias("words"), (a["lines"] + 1).alias("lines"))).otherwise(F.struct(F.lit(most + 2).alias("words"), a["lines"].alias("lines")))
+    held = lambda tail: F.slice(tail, 1, F.aggregate(tail, none, more, lambda a: a["lines"]))
+    each = lambda m: F.transform(F.slice(m, 1, BLOCK), lambda u, i: _let(F.slice(m, i + 1, most + 1), held))
+    return F.filter(_let(taken, each), lambda r: (F.size(r) > 1) & F.exists(r, lambda v: v["near"]))
 
-    def ends(u, i):
-        """Runs from line i on."""
-        tail = F.slice(marked, i + 1, most + 1)
-        none = F.struct(F.lit(0).alias("words"), F.lit(0).alias("lines"))
-        count = F.aggregate(tail, none, lambda a, v: F.when((a["lines"] >= 0) & (a["words"] + v["n"] <= most + 1), F.struct((a["words"] + v["n"]).alias("words"), (a["lines"] + 1).alias("lines"))).otherwise(F.struct(F.lit(most + 2).alias("words"), a["lines"].alias("lines"))), lambda a: a["lines"])
-        reach = F.slice(tail, 1, count)
-        run = lambda k: F.struct(u["unit"].alias("unit"), F.element_at(reach, k)["unit"].alias("last"), F.array_join(F.transform(F.slice(reach, 1, k), lambda v: v["line"]), "\n").alias("line"))
-        some = F.when((F.size(reach) > 1) & F.exists(reach, lambda v: v["near"]), F.sequence(F.lit(2), F.size(reach))).otherwise(F.array().cast("array<int>"))
-        return F.filter(F.transform(some, run), lambda r: r["line"].rlike(near))
 
-    return F.flatten(F.transform(marked, ends))
+def _runs(reach):
+    """Runs of two and more lines from the first of ``reach`` on, up to its first match at least: (unit, last, more, b)."""
+    least = F.greatest(F.lit(2), F.array_position(F.transform(reach, lambda v: v["near"]), True).cast("int"))
+    of = lambda k: F.array_distinct(F.concat(F.flatten(F.transform(F.slice(reach, 1, k - 1), lambda v: v["bj"])), F.element_at(reach, k)["b"]))
+    run = lambda k: F.struct(F.element_at(reach, 1)["unit"].alias("unit"), F.element_at(reach, k)["unit"].alias("last"), F.lit(True).alias("more"), of(k).alias("b"))
+    return F.transform(F.sequence(least, F.size(reach)), run)
 
 
 def _sentences(text, near: str):
     """Sentences with a match of ``near``: (unit, last, line), by the lines they start and end on."""
-    parts = F.split(text, r"(?<=[.!?])(?=\s)")
-    each = F.filter(F.transform(parts, lambda x, i: F.struct(i.alias("i"), x.alias("line"))), lambda u: u["line"].rlike(near))
-    begin = lambda u: F.when(u["i"] > 0, _newlines(F.array_join(F.slice(parts, 1, u["i"]), ""))).otherwise(0) + 1
-    return F.transform(each, lambda u: F.struct((begin(u) + _newlines(F.regexp_extract(u["line"], r"^\s*", 0))).cast("int").alias("unit"), (begin(u) + _newlines(u["line"])).cast("int").alias("last"), u["line"].alias("line")))
+
+    def of(parts):
+        sums = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / BLOCK).cast("int")), lambda b: _newlines(F.array_join(F.slice(parts, b * BLOCK + 1, BLOCK), "")))
+        each = F.filter(F.transform(parts, lambda x, i: F.struct(i.alias("i"), x.alias("line"))), lambda u: u["line"].rlike(near))
+
+        def placed(sums, u):
+            block = F.floor(u["i"] / BLOCK).cast("int")
+            before = F.aggregate(F.slice(sums, 1, block), F.lit(0), lambda a, x: a + x) + _newlines(F.array_join(F.slice(parts, block * BLOCK + 1, u["i"] % BLOCK), ""))
+            return _let(before + 1, lambda line: F.struct((line + _newlines(F.regexp_extract(u["line"], r"^\s*", 0))).cast("int").alias("unit"), (line + _newlines(u["line"])).cast("int").alias("last"), u["line"].alias("line")))
+
+        return _let(sums, lambda sums: F.transform(each, lambda u: placed(sums, u)))
+
+    return _let(F.split(text, r"(?<=[.!?])(?=\s)"), of)
 
 
 def scan(docs: DataFrame, dice: float = 0.8, templates: dict[str, list[str]] | None = None) -> DataFrame:
@@ -137,15 +171,24 @@ def scan(docs: DataFrame, dice: float = 0.8, templates: dict[str, list[str]] | N
     most = math.floor(max((len(b) for _, _, b in known), default=0) * high + 1e-9)
     text = F.col("text").cast("string")
     near = pattern(templates, dice)
-    lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct((i + 1).alias("unit"), x.alias("line")))
+    lines = F.transform(F.split(F.col("text"), "\n"), lambda x, i: F.struct((i + 1).alias("unit"), x.alias("line")))
     # bigrams number at most words; a longer text than the largest template allows is no candidate as a whole
-    whole = F.when(F.instr(text, "\n") > 0, F.array(F.struct(F.lit(0).alias("unit"), text.alias("line")))).otherwise(F.array().cast("array<struct<unit:int,line:string>>"))
+    whole = F.when(F.instr("text", "\n") > 0, F.array(F.struct(F.lit(0).alias("unit"), F.col("text").alias("line")))).otherwise(F.array().cast("array<struct<unit:int,line:string>>"))
     hits = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).where(F.col("text").rlike(near))
-    plain = F.transform(F.concat(F.filter(lines, lambda u: u["line"].rlike(near)), whole), lambda u: F.struct(u["unit"].alias("unit"), u["unit"].alias("last"), u["line"].alias("line"), F.lit(False).alias("more")))
-    more = lambda a: F.transform(a, lambda u: F.struct(u["unit"].alias("unit"), u["last"].alias("last"), u["line"].alias("line"), F.lit(True).alias("more")))
-    texts = hits.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text", _marked(lines, near).alias("marked"))
-    found = texts.select("key", "doc_id", F.explode(F.concat(plain, more(_wrapped(F.col("marked"), near, most)), more(_sentences(F.col("text"), near)))).alias("u"))
-    found = found.select("key", "doc_id", "u.unit", "u.last", "u.more", _unit_bigrams(F.col("u.line")).alias("b")).where(F.size("b").between(1, most))
+    unit = lambda u, more, last: F.struct(u["unit"].alias("unit"), u[last].alias("last"), F.lit(more).alias("more"), u["line"].alias("line"), F.lit(None).cast(block).alias("block"))
+    block = "array<struct<unit:int,w:array<string>,near:boolean>>"
+    plain = F.transform(F.concat(F.filter(lines, lambda u: u["line"].rlike(near)), whole), lambda u: unit(u, False, "unit"))
+    pieces = F.transform(_sentences(F.col("text"), near), lambda u: unit(u, True, "last"))
+    nothing = [F.lit(None).cast(t).alias(n) for n, t in (("unit", "int"), ("last", "int"), ("more", "boolean"), ("line", "string"))]
+    blocks = F.transform(_blocks(F.col("text"), near, most), lambda m: F.struct(*nothing, m.alias("block")))
+    # a row for a line, whole text or sentence, or for a block of lines; a row for each start of runs; a row for each run
+    texts = hits.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text")  # before any explode
+    found = texts.select("key", "doc_id", F.explode(F.concat(plain, pieces, blocks)).alias("u"))
+    taken = "array<struct<unit:int,n:int,b:array<string>,bj:array<string>,near:boolean>>"
+    found = found.select("key", "doc_id", "u", F.explode(F.when(F.col("u.block").isNull(), F.array(F.lit(None).cast(taken))).otherwise(_reaches(F.col("u.block"), most))).alias("reach"))
+    alone = F.struct("u.unit", "u.last", "u.more", _bigrams(_words(F.col("u.line"))).alias("b"))
+    found = found.select("key", "doc_id", F.explode(F.when(F.col("reach").isNull(), F.array(alone)).otherwise(_runs(F.col("reach")))).alias("u"))
+    found = found.select("key", "doc_id", "u.unit", "u.last", "u.more", "u.b")
     cases = []
     for name, number, b in known:
         size, n = F.size("b"), len(b)
@@ -160,13 +203,21 @@ def scan(docs: DataFrame, dice: float = 0.8, templates: dict[str, list[str]] | N
     each = each.select("key", "doc_id", "unit", "last", "more", "c.licence", "c.template", "c.dice")
     hit = ["key", "doc_id", "licence", "template", "unit", "last", "more", "dice"]
     each = each.select(*hit).distinct()
-    # a run or sentence goes where a better hit shares a line with it: each hit looks at the best one of each of its lines
-    rank = F.struct("more", (-F.col("dice")).alias("d"), (F.col("last") - F.col("unit")).alias("n"), "unit")
-    lines = each.withColumn("rank", rank).withColumn("line", F.explode(F.sequence("unit", "last")))
-    best = F.min("rank").over(Window.partitionBy("key", "licence", "template", "line"))
-    whole = F.max(~F.col("more") & (F.col("unit") == 0)).over(Window.partitionBy("key", "licence", "template"))
-    kept = lines.withColumns({"best": best, "whole": whole}).groupBy(*hit).agg(F.min("best").alias("best"), F.max("whole").alias("whole"))
-    kept = kept.where(~F.col("more") | ~F.col("whole") & (F.col("best") >= rank))
+    # A run or sentence goes where a better hit shares a line with it. Hits from one start are nested, so each line is covered
+    # once for a start, by the best of the hits that reach it; only the best hit of a start, and those that stay whatever
+    # covers them, look at the best one of each of their lines.
+    start = ["key", "licence", "template", "unit"]
+    ranked = each.withColumn("rank", F.struct("more", (-F.col("dice")).alias("d"), (F.col("last") - F.col("unit")).alias("n"), "unit"))
+    down = Window.partitionBy(*start).orderBy(F.desc("last"), "rank")
+    ranked = ranked.withColumns({"reached": F.min("rank").over(down.rowsBetween(Window.unboundedPreceding, 0)), "lower": F.coalesce(F.lead("last").over(down), F.col("unit") - 1), "first": F.min("rank").over(Window.partitionBy(*start))})
+    looks = ~F.col("more") | (F.col("rank") == F.col("first"))
+    begin = F.when(looks, F.col("unit")).otherwise(F.col("lower") + 1)
+    spans = F.when(begin <= F.col("last"), F.sequence(begin, F.col("last"))).otherwise(F.array().cast("array<int>"))
+    spans = ranked.select(*hit, "rank", "reached", "lower", looks.alias("looks"), F.explode(spans).alias("line"))
+    best = F.min(F.when(F.col("line") > F.col("lower"), F.col("reached"))).over(Window.partitionBy("key", "licence", "template", "line"))
+    full = F.max(~F.col("more") & (F.col("unit") == 0)).over(Window.partitionBy("key", "licence", "template"))
+    kept = spans.withColumns({"best": best, "full": full}).where("looks").groupBy(*hit, "rank").agg(F.min("best").alias("best"), F.max("full").alias("full"))
+    kept = kept.where(~F.col("more") | ~F.col("full") & (F.col("best") >= F.col("rank")))
     return kept.select("doc_id", "unit", "licence", "template", "dice")
 
 

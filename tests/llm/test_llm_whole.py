@@ -193,3 +193,21 @@ def test_decontamination_brute(spark):
         assert len(there) >= 8 and sum(p in got for p in there) >= 0.9 * len(there), rate
     rest = {p for p in want if p[0] < 1_000_000}
     assert len(rest) >= 3 and rest <= set(got)
+
+
+def test_licences_across_blocks(spark):
+    """Runs and sentences on both sides of, and over, the bounds of blocks of lines and sentences."""
+    w = licences.TEMPLATES["MIT"][1].split()
+    notice = "\n".join(" ".join(w[i : i + 9]) for i in range(0, len(w), 9))
+    b = licences.BLOCK
+    rows = [(i, "\n".join([f"plain line {k}." for k in range(at)] + [notice] + ["and more of it."] * 3)) for i, at in enumerate((b - 3, b - 1, b, 2 * b + 1))]
+    rows += [(10 + i, "Some words go on.\n" * at + "Then at last. Released under\nthe MIT License. " + "And so on. " * 5) for i, at in enumerate((b - 2, b - 1, b, 2 * b))]
+    got = sorted((r.doc_id, r.unit, r.licence, r.template) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(i, at + 1, "MIT", 1) for i, at in enumerate((b - 3, b - 1, b, 2 * b + 1))] + [(10 + i, at + 1, "MIT", 0) for i, at in enumerate((b - 2, b - 1, b, 2 * b))]
+
+
+def test_licences_many_hits(spark):
+    """A text of a thousand lines that all match gives each line and the whole text, and no runs of these."""
+    line = "Released under the MIT License."
+    got = sorted((r.unit, r.licence, r.template) for r in licences.scan(spark.createDataFrame([(1, "\n".join([line] * 1000))], "doc_id long, text string")).collect())
+    assert got == [(u, "MIT", 0) for u in range(1001)]
