@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,27 @@ from . import video as V
 from .search import STRATEGIES
 
 FOUND = "frames array<int>, steps int, forced int, reason string"
+#: The same in Arrow.
+CHOSEN = [("frames", pa.list_(pa.int32())), ("steps", pa.int32()), ("forced", pa.int32()), ("reason", pa.string())]
+
+
+def vector(x: pa.Scalar) -> np.ndarray:
+    """A row's array of numbers."""
+    return np.asarray(x.values.to_numpy(zero_copy_only=False), float)
+
+
+def matrix(x: pa.Scalar) -> np.ndarray:
+    """A row's array of arrays of one length."""
+    rows = x.values
+    wide = set(pc.list_value_length(rows).unique().to_pylist())
+    if len(wide) == 1 and None not in wide:
+        return np.asarray(rows.flatten().to_numpy(zero_copy_only=False), float).reshape(len(rows), -1)
+    return np.stack([np.asarray(r, float) for r in rows.to_pylist()])  # which tells what is wrong
+
+
+def found(got: dict) -> dict:
+    """A method's outcome as a row of ``FOUND``."""
+    return {"frames": [int(i) for i in got["sample"]], "steps": int(got.get("steps", 0)), "forced": int(got.get("forced", 0)), "reason": got["reason"]}
 
 
 def clips(frames: DataFrame, part: str, order: str, hist: list[Column], sharp: Column, value: Column) -> DataFrame:

@@ -7,16 +7,18 @@ the next step goes on with them, as methods do nothing but what replies tell the
 of each step is a written table: replies by digest, the open request, or the frames. So a run that breaks off starts
 again with its last whole step, and no prompt that was answered is asked again.
 
-The state grows by a reply a step, not by frames; features are written once and joined to the rows that are still open."""
+The state grows by a reply a step, not by frames or requests: replies stand in the order in which the method asks for them.
+Features are written once, in buckets by part, which open rows are sent to: a step shuffles no features."""
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +29,7 @@ from . import select as C
 from . import video as V
 from .search import coverage, longest
 
-FOUND = "known map<string,string>, request string, digest string, frames array<int>, steps int, forced int, reason string"
+FOUND = "known array<string>, request string, digest binary, frames array<int>, steps int, forced int, reason string"
 
 
 class Open(Exception):
@@ -42,10 +44,26 @@ def numbers(reply: str) -> list[int]:
     return [int(x) for x in re.findall(r"-?\d+", reply)]
 
 
+class Replies:
+    """Replies in the order of the requests that they were given to, by digest: a method that starts anew asks the same ones,
+    so each request that is new to an attempt has the next reply."""
+
+    def __init__(self, replies: list[str]):
+        self.left, self.seen = iter(replies), {}
+
+    def __getitem__(self, key: str) -> str:
+        if key not in self.seen:
+            try:
+                self.seen[key] = next(self.left)
+            except StopIteration:
+                raise KeyError(key) from None
+        return self.seen[key]
+
+
 class Told:
     """The choices of a method as requests in words, and what replies to them mean."""
 
-    def __init__(self, value: np.ndarray, question: int, known: dict[str, str]):
+    def __init__(self, value: np.ndarray, question: int, known: dict[str, str] | Replies):
         self.value, self.question, self.known = value, question, known
 
     def _reply(self, role: str, text: str) -> str:
@@ -80,24 +98,41 @@ class Told:
         return [min(3, max(1, x)) for x in found[: len(rows)]] + [1] * (len(rows) - len(found))
 
 
-def _step_map(method: Callable, keys: list[str], question: str):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+def _step_map(method: Callable, keys: list[str], question: str, found: pa.Schema):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             out = []
-            for h, s, v, q, known in zip(f["hist"], f["sharp"], f["value"], f[question], f["known"]):
-                known, request = dict(known or {}), None
+            for h, s, v, q, known in zip(*(batch.column(c) for c in ("hist", "sharp", "value", question, "known"))):
+                known, request = known.as_py() or [], None
                 try:
-                    got = method(V.Clip(np.stack(list(h)), np.asarray(s)), Told(np.asarray(v, float), int(q), known))
+                    got = method(V.Clip(C.matrix(h), C.vector(s)), Told(C.vector(v), int(q.as_py()), Replies(known)))
                 except Open as e:
                     request, got = str(e), {"sample": [], "reason": "open"}
                 except Exception as e:  # noqa: BLE001  a method may raise anything
                     got = {"sample": [], "reason": f"error: {type(e).__name__}"}
-                out.append((known if request else {}, request, digest(request) if request else None, [int(i) for i in got["sample"]], int(got.get("steps", 0)), int(got.get("forced", 0)), got["reason"]))
-            yield pd.concat([f[keys].reset_index(drop=True), pd.DataFrame(out, columns=["known", "request", "digest", "frames", "steps", "forced", "reason"])], axis=1)
+                out.append({"known": known if request else [], "request": request, "digest": bytes.fromhex(digest(request)) if request else None, **C.found(got)})
+            made = pa.Table.from_pylist(out, found).combine_chunks()
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *(pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type) for c in made.columns)], [*keys, *found.names])
 
     return run
 
 
+def bucketed(spark: SparkSession, store: str, part: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table of a run in buckets by ``part``, a file each, so that joins by it move the other side only; made and written
+    only where that hasn't been done to the end. The number of buckets is kept in the folder's name; ``name`` is the session's
+    for it."""
+    done = [x for x in shared.names(spark, store) if re.fullmatch(r"features-\d+", x) and shared.written(spark, f"{store}/{x}")]
+    if not done:
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        shared.remove(spark, f"{store}/features-{n}")
+        make().repartition(n, part).write.bucketBy(n, part).option("path", f"{store}/features-{n}").saveAsTable(name)
+        return spark.table(name)
+    n, path = done[0].split("-")[1], f"{store}/{done[0]}"
+    columns = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in spark.read.parquet(path).schema)
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (`{part}`) INTO {n} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
 def run(spark: SparkSession, items: DataFrame, clips: DataFrame, method: str, question: str, store: str, judge: J.Judge, part: str = "video", most: int = 500, methods: dict[str, Callable] | None = None) -> DataFrame:
     """``items`` (part, question, other columns) with frames, steps, forced and reason, as ``select.choose`` gives them.
 
@@ -106,28 +141,32 @@ def run(spark: SparkSession, items: DataFrame, clips: DataFrame, method: str, qu
     one = (methods or C.METHODS)[method]
     keys = items.columns
     schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in items.schema) + ", " + FOUND
-    features = shared.once(spark, f"{store}/features", lambda: clips)
+    found = pa.schema([("known", pa.list_(pa.string())), ("request", pa.string()), ("digest", pa.binary()), *C.CHOSEN])
+    name = f"features_{uuid.uuid4().hex}"
+    features = bucketed(spark, store, part, name, lambda: clips)
 
     def stepped(rows: DataFrame) -> DataFrame:
-        return rows.join(features, part).mapInPandas(_step_map(one, keys, question), schema)
+        # open rows are the hashed side, so that features aren't sorted either
+        return features.join(rows.hint("shuffle_hash"), part).mapInArrow(_step_map(one, keys, question, found), schema)
 
     state = lambda n: f"{store}/state-{n:04d}"
     done = [n for n in shared.names(spark, store) if n.startswith("state-") and shared.written(spark, f"{store}/{n}")]
     n = len(done) - 1
     if n < 0:
         n = 0
-        stepped(items.withColumn("known", F.lit(None).cast("map<string,string>"))).write.mode("overwrite").parquet(state(0))
+        stepped(items.withColumn("known", F.lit(None).cast("array<string>"))).write.mode("overwrite").parquet(state(0))
     for n in range(n, most):
         rows = spark.read.parquet(state(n)).where("request is not null")
         if not rows.limit(1).count():
             break
         cache = [f"{store}/replies-{i:04d}" for i in range(n)]
-        kept = spark.read.parquet(*cache) if cache else spark.createDataFrame([], "digest string, reply string")
+        kept = spark.read.parquet(*cache) if cache else spark.createDataFrame([], "digest binary, reply string")
         fresh = rows.select("digest", F.col("request").alias("prompt")).dropDuplicates(["digest"]).join(kept, "digest", "left_anti")
         new = shared.once(spark, f"{store}/replies-{n:04d}", lambda fresh=fresh: J.ask(fresh, judge).select("digest", "reply"))
         told = rows.join(kept.unionByName(new), "digest")
-        told = told.select(*keys, F.map_concat(F.coalesce("known", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))), F.create_map("digest", "reply")).alias("known"))
+        told = told.select(*keys, F.array_append(F.coalesce("known", F.array().cast("array<string>")), F.col("reply")).alias("known"))
         stepped(told).write.mode("overwrite").parquet(state(n + 1))
+    spark.sql(f"DROP TABLE {name}")  # the name alone: the files stay
     last = max(i for i in range(most + 1) if shared.written(spark, state(i)))
     ended = spark.read.parquet(*(state(i) for i in range(last + 1))).where("request is null")
     left = spark.read.parquet(state(last)).where("request is not null")

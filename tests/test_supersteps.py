@@ -157,3 +157,23 @@ def test_cache_keys_that_repeat(spark):
     rows = spark.createDataFrame([(1, "a"), (2, "b")], "i int, prompt string")
     cache = rows.where("i = 1").select(F.sha2("prompt", 256).alias("key"), F.lit("C").alias("reply"))
     assert J.cached(rows, cache.unionByName(cache).unionByName(cache.withColumn("reply", F.lit("D"))))[0].count() == 2
+
+
+def test_steps_shuffle_no_features(spark, tmp_path):
+    """Features are read in buckets, also by a run that goes on; the one exchange is that of the open rows."""
+    c, store = clips(spark, 5), f"file://{tmp_path}/run"
+    for name in ("features_a", "features_b"):
+        table = P.bucketed(spark, store, "video", name, lambda: c)
+        joined = table.join(c.select("video").hint("shuffle_hash"), "video")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
+        assert sorted(r.video for r in joined.collect()) == [0, 1, 2, 3, 4, 99]
+        spark.sql(f"DROP TABLE {name}")
+
+
+def test_replies_in_order():
+    """Replies go by order: a request that comes again in an attempt has its own, one beyond the last has none."""
+    told = P.Told(np.arange(9.0), 1, P.Replies(["2", "3"]))
+    assert [told.sure([1]), told.sure([2]), told.sure([1])] == [2, 3, 2]
+    with pytest.raises(P.Open):
+        told.sure([3])
