@@ -270,3 +270,25 @@ def test_ssim():
             cov = np.cov(x, y)
             total.append((2 * x.mean() * y.mean() + (0.01 * span) ** 2) * (2 * cov[0, 1] + (0.03 * span) ** 2) / ((x.mean() ** 2 + y.mean() ** 2 + (0.01 * span) ** 2) * (cov[0, 0] + cov[1, 1] + (0.03 * span) ** 2)))
     assert abs(ssim(a, b) - np.mean(total)) < 1e-12 and abs(ssim(a, a) - 1) < 1e-12
+
+
+def test_small_parts_need_no_merges(monkeypatch):
+    """No more rows than clusters are clusters of their own: no merges are worked out for them."""
+    monkeypatch.setattr(V, "ward_merges", lambda x: 1 / 0)
+    x = np.random.default_rng(1).random((4, 3))
+    assert V.ward(x, 4).tolist() == [0, 1, 2, 3] and V.ward(x[:2], 4).tolist() == [0, 1]
+    assert V.deep_enough(x, np.zeros(4, int), {0: 2}) == [0, 1, 2, 3]
+
+
+def test_segments_split_once(monkeypatch):
+    """What the questions of a video share is worked out once: a segment's split point."""
+    rng = np.random.default_rng(3)
+    clip, asked = V.Clip(rng.random((80, 5)), rng.integers(40, 200, 80)), []
+
+    def split(clip, segment):
+        asked.append(segment)
+        return V.split_point(clip, segment)
+
+    first = V.capped_search(clip, lambda sample, segments, able: able[:1], split=split)
+    assert V.capped_search(clip, lambda sample, segments, able: able[:1], split=split) == first
+    assert len(asked) == len(set(asked)) > 5
