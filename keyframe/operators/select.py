@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import video as V
 from .search import STRATEGIES
@@ -124,32 +125,40 @@ def choose(rows: DataFrame, method: str, question: str, strategy: str = "a_star"
     return rows.mapInPandas(run, schema)
 
 
-def choose_packed(items: DataFrame, clips: DataFrame, method: str, question: str, part: str = "video", strategy: str = "a_star", pack: int = 64) -> DataFrame:
-    """``items`` (part, question, other columns) with the frames chosen from the features of their part. About ``pack`` items
-    of a part travel together, so that its arrays are copied once for these, and a part that is asked about much is no
-    single row."""
-    run_one = METHODS[method]
+def choose_packed(items: DataFrame, clips: DataFrame, method: str | list[str], question: str, part: str = "video", strategy: str = "a_star", pack: int = 64) -> DataFrame:
+    """``items`` (part, question, other columns) with the frames chosen from the features of their part, a row for each of several
+    methods, then with the column method. About ``pack`` items of a part travel together, so that its arrays are copied once
+    for these and all methods, and a part that is asked about much is no single row. Results leave a task ``pack`` rows at a
+    time."""
+    several = [method] if isinstance(method, str) else method
     names = items.columns
-    found = pa.struct([("frames", pa.list_(pa.int32())), ("steps", pa.int32()), ("forced", pa.int32()), ("reason", pa.string())])
+    each = pa.list_(pa.struct([("method", pa.string()), *CHOSEN]))
+    count = items.groupBy(part).agg(F.ceil(F.count("*") / pack).alias("packs_"))
+    packed = items.join(count, part).groupBy(part, F.pmod(F.xxhash64(question), F.col("packs_")).alias("pack_")).agg(F.collect_list(F.struct(*names)).alias("items_"))
+    n = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a row takes far longer than its bytes tell, so they aren't merged by size
+    rows = packed.repartition(n, part).join(clips.repartition(n, part), part).select("items_", F.transform("items_", lambda x: x[question].cast("long")).alias("questions_"), "hist", "sharp", "value")
 
-    @F.arrow_udf("array<struct<frames:array<int>,steps:int,forced:int,reason:string>>")
-    def chosen(hist: pa.Array, sharp: pa.Array, value: pa.Array, questions: pa.Array) -> pa.Array:
-        out = []
-        for h, s, v, qs in zip(hist, sharp, value, questions.to_pylist()):
-            clip, seen = V.Clip(np.array(h.as_py(), float), np.array(s.as_py(), float)), np.array(v.as_py(), float)
+    def one(h: pa.Scalar, s: pa.Scalar, v: pa.Scalar, questions: list[int]) -> list[list[dict]]:
+        clip, seen, out = V.Clip(matrix(h), vector(s)), vector(v), []
+        for q in questions:
             out.append([])
-            for q in qs:
+            for m in several:
                 try:
-                    got = run_one(clip, Look(seen, int(q), strategy))
+                    got = METHODS[m](clip, Look(seen, q, strategy))
                 except Exception as e:  # noqa: BLE001  a method may raise anything
                     got = {"sample": [], "reason": f"error: {type(e).__name__}"}
-                out[-1].append({"frames": [int(i) for i in got["sample"]], "steps": int(got.get("steps", 0)), "forced": int(got.get("forced", 0)), "reason": got["reason"]})
-        return pa.array(out, pa.list_(found))
-
-    count = items.groupBy(part).agg(F.ceil(F.count("*") / pack).alias("packs_"))
-    packed = items.join(count, part).groupBy(part, F.pmod(F.xxhash64(question), F.col("packs_")).alias("pack_")).agg(F.collect_list(F.struct(*names)).alias("items_"))
-    n = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a row takes far longer than its bytes tell, so they aren't merged by size
-    rows = packed.repartition(n, part).join(clips.repartition(n, part), part).withColumn("found_", chosen("hist", "sharp", "value", F.transform("items_", lambda x: x[question])))
-    each = rows.select(F.explode(F.arrays_zip("items_", "found_")).alias("z"))
-    return each.select(*(F.col(f"z.items_.{n}").alias(n) for n in names), *(F.col(f"z.found_.{n}").alias(n) for n in ("frames", "steps", "forced", "reason")))
-
+                out[-1].append({"method": m, **found(got)})
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, pack):
+                b = batch.slice(k, pack)
+                made = [one(*x[:3], x[3].as_py()) for x in zip(*(b.column(c) for c in ("hist", "sharp", "value", "questions_")))]
+                yield pa.RecordBatch.from_arrays([b.column("items_"), pa.array(made, pa.list_(each))], ["items_", "found_"])
+
+    outcome = T.StructType([T.StructField("method", T.StringType()), *T.StructType.fromDDL(FOUND)])
+    schema = rows.select("items_").schema.add("found_", T.ArrayType(T.ArrayType(outcome)))
+    got = rows.mapInArrow(run, schema).select(F.explode(F.arrays_zip("items_", "found_")).alias("z")).select("z.items_", F.explode("z.found_").alias("f"))
+    more = [] if isinstance(method, str) else ["f.method"]
+    return got.select(*(F.col(f"items_.{c}").alias(c) for c in names), *more, "f.frames", "f.steps", "f.forced", "f.reason")

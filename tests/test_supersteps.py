@@ -177,3 +177,13 @@ def test_replies_in_order():
     assert [told.sure([1]), told.sure([2]), told.sure([1])] == [2, 3, 2]
     with pytest.raises(P.Open):
         told.sure([3])
+
+
+def test_packed_methods_together(spark):
+    """Several methods take one pass over the features and give what each of them gives alone."""
+    c = clips(spark, 3)
+    items = c.select("video", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("q"))
+    got = C.choose_packed(items, c, ["capped", "cluster"], "q", pack=4)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    for m in ("capped", "cluster"):
+        assert rows_of(got.where(F.col("method") == m)) == rows_of(C.choose_packed(items, c, m, "q"))
