@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from keyframe.functions import answers as N
 from keyframe.operators import boards as B
 from keyframe.operators import scoring as S
 from keyframe.sources import readers as R
+from keyframe.streaming import shared
 
 from . import scoring, surrogates as X
 
@@ -152,10 +155,13 @@ def markdown_rows(spark, d):
 
 
 def metrics_wide(spark, d):
-    """Task by class; the columns are the sorted union of the fixed class names and those that occur."""
+    """Task by class; the columns are the sorted union of the fixed class names and those that occur.
+
+    Steps are scored once: the means by task and class are written, and give both the names and the table."""
     b = scoring._best(spark, d).withColumn("task", F.col("sk") % 7)
-    names = sorted({*R.CLASSES, *(r[0] for r in b.select("gt_type").where("gt_type is not null").distinct().collect())})
-    wide = b.groupBy("task").pivot("gt_type", names).agg(F.round(F.avg("score"), 6))
+    means = shared.once(spark, f"{shared.folder(spark)}/metrics-{uuid.uuid4().hex}", lambda: b.groupBy("task", "gt_type").agg(F.round(F.avg("score"), 6).alias("score")))
+    names = sorted({*R.CLASSES, *(r[0] for r in means.select("gt_type").where("gt_type is not null").distinct().collect())})
+    wide = means.groupBy("task").pivot("gt_type", names).agg(F.first("score"))
     return wide.select("task", *(F.coalesce(F.col(f"`{c}`"), F.lit(0.0)).alias(f"acc_{c.lower()}") for c in names))
 
 
