@@ -6,8 +6,9 @@ in spare + 1 parts at least. A set emits one signature for each of its parts tha
 parts are empty, which spare makes rare, it also emits subsets of its empty parts (few parts) or each empty part (many):
 no pair is lost, whatever parts are empty. Sets so small that k <= 2 have each element as a part, and enumerate what is
 left without up to k of them. A pair that shares fewer signatures
-than spare + 1, less the parts that may be empty in both, cannot reach the bound. Other candidates are then held
-against the exact bound on the whole sets. Equal sets are one node from the start.
+than spare + 1, less the parts that may be empty in both, cannot reach the bound; nor can any pair of a set that shares
+fewer than that with all others together. Other candidates are then held against the exact bound on the whole sets.
+Equal sets are one node from the start.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import _vec
 from ._graph import components
-from ._scratch import Scratch, semi
+from ._scratch import FEW, Scratch, semi
 
 #: Bytes of signatures that a task pairs at once, about, and bytes of them for each shingle of the input.
 PACK_BYTES, SHINGLE_BYTES = 8 << 20, 6
@@ -122,13 +123,15 @@ def keys_map(n: int):
     return run
 
 
-NAMES = ["a", "b", "votes", "least", "sig", "members"]
+NAMES = ["a", "b", "votes", "least", "sig", "members", "leasts"]
+#: Bytes of a signature within its bucket, and the largest size that is told from larger ones before sets are verified.
+SIG_BYTES, SIZE = 5, (1 << 22) - 1
 #: Members of a large group that a row holds at most.
 MEMBERS = 1 << 18
 
 
 def packs_map(n: int, num: int, buckets: int, most: int = 400_000):
-    """Signatures leave a task as packed arrays for each bucket: ten bytes an entry in place of a row each."""
+    """Signatures leave a task as packed arrays for each bucket: seven bytes an entry, and twelve a set, in place of a row each."""
 
     def packed(nodes, sizes, leasts, sigs, counts):
         sig = np.concatenate(sigs)
@@ -139,7 +142,8 @@ def packs_map(n: int, num: int, buckets: int, most: int = 400_000):
         at = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
         end = np.append(at[1:], len(to))
         rows = []
-        nodes, sizes = np.array(nodes, np.int64), np.array(sizes, np.int64) * 1024 + np.array(leasts, np.int64)
+        nodes, sizes = np.array(nodes, np.int64), (np.minimum(sizes, SIZE) * 1024 + np.array(leasts, np.int64)).astype(np.uint32)
+        sig = sig.view(np.uint8).reshape(-1, 8)[:, :SIG_BYTES]
         for a, b in zip(at, end):
             used, local = np.unique(who[a:b], return_inverse=True)
             rows.append((int(to[a]), sig[a:b].tobytes(), local.astype(np.uint16).tobytes(), nodes[used].tobytes(), sizes[used].tobytes()))
@@ -168,7 +172,8 @@ def packs_map(n: int, num: int, buckets: int, most: int = 400_000):
 
 
 def bucket_map(num: int):
-    """Within whole buckets: groups of nodes that share a signature. ``kind`` 0: a pair; 1: a larger group's members."""
+    """Within whole buckets: groups of nodes that share a signature. A row is a pair, or a larger group's members and how
+    many signatures (``votes``) have just these."""
 
     def emit(pairs, runs):
         a, b, least = (np.concatenate(x) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 3
@@ -178,12 +183,12 @@ def bucket_map(num: int):
             at = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
             votes = np.diff(np.append(at, len(a)))
             none = pa.nulls(len(at), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at]), pa.array(votes.astype(np.int64)), pa.array(least[at].astype(np.int32)), none, pa.nulls(len(at), pa.list_(pa.int64()))], NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at]), pa.array(votes.astype(np.int64)), pa.array(least[at].astype(np.int32)), none, pa.nulls(len(at), pa.list_(pa.int64())), pa.nulls(len(at), pa.list_(pa.int32()))], NAMES)
         rows, total = [], 0
-        for sig, members in runs:  # a group is as many rows as its members need, and a batch holds no more than MEMBERS or so
+        for sig, votes, members, leasts in runs:  # a group is as many rows as its members need, and a batch holds no more than MEMBERS or so
             for k in range(0, len(members), MEMBERS):
-                rows.append((sig, members[k : k + MEMBERS]))
-                total += len(rows[-1][1])
+                rows.append((sig, votes, members[k : k + MEMBERS], leasts[k : k + MEMBERS]))
+                total += len(rows[-1][2])
                 if total >= MEMBERS:
                     yield listed(rows)
                     rows, total = [], 0
@@ -192,17 +197,20 @@ def bucket_map(num: int):
 
     def listed(rows):
         none = pa.nulls(len(rows), pa.int64())
-        members = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(r[1]) for r in rows]))), pa.int32()), pa.array(np.concatenate([r[1] for r in rows])))
-        return pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.int64()), members], NAMES)
+        at = pa.array(np.concatenate(([0], np.cumsum([len(r[2]) for r in rows]))), pa.int32())
+        members, leasts = (pa.ListArray.from_arrays(at, pa.array(np.concatenate([r[i] for r in rows]), kind)) for i, kind in ((2, pa.int64()), (3, pa.int32())))
+        return pa.RecordBatch.from_arrays([none, none, pa.array([r[1] for r in rows], pa.int64()), pa.nulls(len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.int64()), members, leasts], NAMES)
 
     def run(batches):
         sig, node, size = [], [], []
         for batch in batches:
-            for s, w, d, z in zip(*(batch.column(c).to_pylist() for c in ("sig", "who", "nodes", "sizes"))):
+            for bucket, s, w, d, z in zip(*(batch.column(c).to_pylist() for c in ("bucket", "sig", "who", "nodes", "sizes"))):
                 w = np.frombuffer(w, np.uint16)
-                sig.append(np.frombuffer(s, np.uint64))
+                whole = np.zeros((len(w), 8), np.uint8)
+                whole[:, :SIG_BYTES] = np.frombuffer(s, np.uint8).reshape(-1, SIG_BYTES)
+                sig.append(whole.view(np.uint64).ravel() | np.uint64(bucket << 8 * SIG_BYTES))
                 node.append(np.frombuffer(d, np.int64)[w])
-                size.append(np.frombuffer(z, np.int64)[w])
+                size.append(np.frombuffer(z, np.uint32)[w])
         if not sig:
             return
         sig, node, size = np.concatenate(sig), np.concatenate(node), np.concatenate(size)
@@ -217,12 +225,12 @@ def bucket_map(num: int):
         fresh = np.ones(len(sig), bool)
         fresh[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
         sig, node, size = sig[fresh], node[fresh], size[fresh]
-        size, least = size // 1024, size % 1024
+        size, least = (x.astype(np.int64) for x in np.divmod(size, 1024))
         if not len(sig):
             return
         at = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
         count = np.diff(np.append(at, len(sig)))
-        pairs, runs, seen = [], [], set()
+        pairs, runs = [], {}
         fits = lambda x, y: 100 * np.minimum(x, y).astype(np.int64) >= num * np.maximum(x, y).astype(np.int64)
         for m in range(2, SMALL + 1):
             base = at[count == m]
@@ -238,10 +246,9 @@ def bucket_map(num: int):
             for a, c in zip(at[big], count[big]):
                 members = node[a : a + c]
                 key = (int(members[0]), int(c), hash(members.tobytes()))
-                if key not in seen:  # the same members under another signature say nothing new
-                    seen.add(key)
-                    runs.append((int(sig[a].view(np.int64)), members))
-        yield from emit(pairs, runs)
+                run = runs.setdefault(key, [int(sig[a].view(np.int64)), 0, members, least[a : a + c]])
+                run[1] += 1  # the same members under another signature are another vote and no other group
+        yield from emit(pairs, runs.values())
 
     return run
 
@@ -336,6 +343,21 @@ def _rest_pairs(num: int, nearest: bool):
     return run
 
 
+def grouped(met: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
+    """(sig, node), written: the members of large groups that may have a partner in them.
+
+    A node shares with a partner no more signatures than all its large groups have and those that one pair has votes for.
+    Where that is less than a partner must share, as where a common passage alone makes the group, the node leaves them."""
+    members = found.where("sig is not null").select("sig", "votes", F.explode(F.arrays_zip("members", "leasts")).alias("m"))
+    members = scratch.cut(members.select("sig", "votes", F.col("m.members").alias("node"), F.col("m.leasts").alias("least")))
+    pair = met.select(F.col("a").alias("node"), "votes").union(met.select(F.col("b").alias("node"), "votes")).groupBy("node").agg(F.max("votes").alias("pair"))
+    total = members.groupBy("node").agg(F.sum("votes").alias("votes"), F.max("least").alias("least")).join(pair, "node", "left")
+    able = scratch.cut(total.where(F.col("votes") + F.coalesce("pair", F.lit(0)) >= F.col("least")).select("node"))
+    out = scratch.cut(semi(members.select("sig", "node"), able, "node"))
+    scratch.free(members, able)
+    return out
+
+
 def similarity_join(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80, count_links: bool = False) -> DataFrame:
     """Groups of documents whose shingle sets reach a Jaccard similarity of ``percent`` / 100.
 
@@ -352,12 +374,13 @@ def similarity_join(spark: SparkSession, docs: DataFrame, n: int = 5, percent: i
     shingles_ = keys.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), shingles_ * SHINGLE_BYTES // PACK_BYTES + 1)
     packs = docs.mapInArrow(packs_map(n, percent, buckets), "bucket int, sig binary, who binary, nodes binary, sizes binary")
-    found = scratch.cut(packs.repartitionById(buckets, "bucket").mapInArrow(bucket_map(percent), "a long, b long, votes long, least int, sig long, members array<long>"))
+    found = scratch.cut(packs.repartitionById(buckets, "bucket").mapInArrow(bucket_map(percent), "a long, b long, votes long, least int, sig long, members array<long>, leasts array<int>"))
     del packs
     scratch.sweep()
-    pairs = scratch.cut(found.where("a is not null").groupBy("a", "b").agg(F.sum("votes").alias("votes"), F.max("least").alias("least")).where("votes >= least").select("a", "b", "votes"))
-    runs = scratch.cut(found.where("sig is not null").select("sig", F.explode("members").alias("node")))
-    scratch.sweep(found)
+    met = scratch.cut(found.where("a is not null").groupBy("a", "b").agg(F.sum("votes").alias("votes"), F.max("least").alias("least")))
+    pairs = scratch.cut(met.where("votes >= least").select("a", "b", "votes"))
+    runs = grouped(met, found, scratch)
+    scratch.sweep(met, found)
     in_pairs = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).union(runs.select("node")).distinct()
     wanted = scratch.cut(nodes.join(in_pairs, "node", "left_semi").select("node", "rep"))
     # a node's text is that of its least doc_id, or of a row without an id if it has no other
@@ -461,11 +484,12 @@ def _grown(comp: DataFrame, more: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with only the least doc_id of each group; documents without words stay."""
+    """``docs`` with only the least doc_id of each group; documents without words stay. The ids that go are sent to every
+    task up to FEW of them, so that texts aren't shuffled; beyond, texts are shuffled once."""
     groups = similarity_join(spark, docs, n, percent)
-    chosen = groups.where("doc_id <=> component_id").select("doc_id").distinct()
-    kept = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["doc_id"]), "left_semi")
-    return kept
+    gone = Scratch(spark, "copies").cut(groups.groupBy("doc_id").agg(F.bool_or(F.expr("doc_id <=> component_id")).alias("stays")).where("not stays").select("doc_id"))
+    gone = F.broadcast(gone) if gone.count() <= FEW else gone
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,6 +58,63 @@ def test_ngram_join_brute(spark):
     assert got == {i: root(i) for i in range(len(rows))}
 
 
+def test_ngram_join_common_passage(spark):
+    """Texts that share a passage only form large groups of signatures, which most leave; near copies with that passage stay."""
+    rng = np.random.default_rng(3)
+    passage = [f"p{i}" for i in range(40)]
+    texts = [[f"u{i}_{j}" for j in range(160)] + passage for i in range(400)]
+    for i in range(8):
+        w = list(texts[0])
+        w[rng.integers(160)] = f"v{i}"
+        texts.append(w)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    copies = {0, *range(400, 408)}
+    got = {r.doc_id: r.component_id for r in ngram_join.similarity_join(spark, docs(spark, rows), 5, 80).collect()}
+    assert got == {i: 0 if i in copies else i for i, _ in rows}
+    scratch, d = Scratch(spark, "test"), docs(spark, rows).select("doc_id", "text")
+    packs = d.mapInArrow(ngram_join.packs_map(5, 80, 4), "bucket int, sig binary, who binary, nodes binary, sizes binary")
+    found = scratch.cut(packs.repartitionById(4, "bucket").mapInArrow(ngram_join.bucket_map(80), "a long, b long, votes long, least int, sig long, members array<long>, leasts array<int>"))
+    met = found.where("a is not null").groupBy("a", "b").agg(F.sum("votes").alias("votes"), F.max("least").alias("least"))
+    keys = d.mapInArrow(ngram_join.keys_map(5), "doc_id long, n_shingles long, node long")
+    near = {r.node for r in keys.where(F.col("doc_id").isin(*copies)).collect()}
+    before = {x for r in found.where("sig is not null").collect() for x in r.members}
+    after = {r.node for r in ngram_join.grouped(met, found, scratch).collect()}
+    assert near <= after and len(before) > 2 * len(after)
+
+
+def test_ngram_join_packed():
+    """An entry in a bucket of its own takes no more than 19 bytes, whatever the number of buckets; nothing of it is lost."""
+    texts = [" ".join(f"u{i}_{j}" for j in range(100 + i)) for i in range(50)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    sets = [s for s in ngram_join.sets_of(pa.array(texts), 5)]
+    entries = sum(len(ngram_join.signatures(s, 80)[0]) for s in sets)
+    for buckets in (3, 1_000_000):
+        rows = [r for b in ngram_join.packs_map(5, 80, buckets)(iter([batch])) for r in b.to_pylist()]
+        assert sum(len(r["who"]) for r in rows) == 2 * entries
+        assert sum(len(r[c]) for r in rows for c in ("sig", "who", "nodes", "sizes")) <= 19 * entries
+        twice = pa.RecordBatch.from_pylist(rows + [r | {"nodes": (np.frombuffer(r["nodes"], np.int64) + 1).tobytes()} for r in rows])
+        pairs = pa.Table.from_batches(ngram_join.bucket_map(80)(iter([twice]))).to_pylist()
+        assert sum(r["votes"] for r in pairs) == entries and {(r["a"], r["b"]) for r in pairs} == {(k, k + 1) for k in map(ngram_join.set_key, sets)}
+
+
+def test_keep_one_leaves_texts(spark, monkeypatch):
+    """The texts of documents that stay aren't shuffled while few go; the rows are the same where many do."""
+    rows = [(None, "no id " * 9), (None, "a b c d e f g"), (1, None), (2, ""), (3, "a b c d e f g"), (4, "a b c d e f g"), (5, "one two"), (5, "a b c d e f g"), (6, "one two")]
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = ngram_join.keep_one(spark, docs(spark, rows))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        kept = sorted(map(str, out.collect()))
+        assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+        monkeypatch.setattr(ngram_join, "FEW", -1)
+        other = ngram_join.keep_one(spark, docs(spark, rows))
+        assert "SortMergeJoin" in other._jdf.queryExecution().executedPlan().toString() and sorted(map(str, other.collect())) == kept
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert [(r.doc_id, r.text) for r in sorted(out.collect(), key=lambda r: (r.doc_id or 0, r.text or ""))] == [(None, "a b c d e f g"), (None, "no id " * 9), (1, None), (2, ""), (3, "a b c d e f g"), (5, "a b c d e f g"), (5, "one two")]
+
+
 def test_ngram_join_odd(spark):
     out = ngram_join.similarity_join(spark, docs(spark, ODD), 4, 85).collect()
     by = {r.doc_id: r for r in out}
